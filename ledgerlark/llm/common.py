@@ -36,3 +36,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Keep the Arrow batches that Python tasks get small, so that very long texts do not add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker; what is in it can be made anew at any time."""
+    import sys
+    import types
+
+    home = sys.modules.setdefault("ledgerlark_worker_cache", types.ModuleType("ledgerlark_worker_cache"))
+    return home.__dict__.setdefault(name, {})
+

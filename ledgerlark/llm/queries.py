@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, packing, sharding, token_counts
 
 QUERIES = {
+    "op3_token_counts": token_counts.op3_token_counts,
     "op5_shard": sharding.op5_shard,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_pack": packing.op9_pack,
 }
 
 ORACLES = {

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding, token_counts
+from . import exact_dedup, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_shard": sharding.op5_shard,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_pack": packing.op9_pack,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding, token_counts, toxicity
+from . import exact_dedup, lm_scoring, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_pack": packing.op9_pack,
+    "op10_lm_score": lm_scoring.op10_lm_score,
 }
 
 ORACLES = {

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, table
 
-POSITIVES = 6_000
-UNLABELLED = 12_000
+POSITIVES = 5_000
+UNLABELLED = 10_000
 FEATURES = 8_192
 GRAMS = 1 << 20
 SHARES = (0.005, 0.01, 0.02, 0.04)
@@ -79,34 +79,45 @@ class WordFeatures(dict):
         return np.concatenate(levels)
 
 
-def _feature_batches(batches):
-    known = WordFeatures()
+def _count_batches(batches):
+    """How many positive and unlabelled rows of the task have each feature."""
+    known, found, held = WordFeatures(), [], 0
+
+    def out():
+        every, side = np.concatenate([f for f, _ in found]), np.repeat([s for _, s in found], [len(f) for f, _ in found])
+        features, at = np.unique(every, return_inverse=True)
+        counts = [pa.array(np.bincount(at, w, len(features)).astype(np.int64)) for w in (side, ~side)]
+        return pa.RecordBatch.from_arrays([pa.array(features.astype(np.int64)), *counts], ["feature", "n_p", "n_u"])
+
     for batch in batches:
-        found = [known.of(t or "") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int32()))], ["positive", "features"])
+        for text, positive in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist(), strict=True):
+            found.append((known.of(text or ""), bool(positive)))
+            held += len(found[-1][0])
+            if held > 1 << 22:
+                yield out()
+                found, held = [], 0
+    if found:
+        yield out()
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, rounds: int = 300, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Chosen feature numbers, their weights and the bias."""
-    df_p = np.bincount(np.concatenate([np.zeros(0, int), *positives]).astype(int), minlength=SPACE) / max(1, len(positives))
-    df_u = np.bincount(np.concatenate([np.zeros(0, int), *unlabelled]).astype(int), minlength=SPACE) / max(1, len(unlabelled))
-    # Features by the size of the difference against its own noise.
-    noise = np.sqrt(df_p * (1 - df_p) / max(1, len(positives)) + df_u * (1 - df_u) / max(1, len(unlabelled)) + 1e-6)
-    gain = (df_p - df_u) / noise
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:features])
-    chosen = chosen[gain[chosen] > 4]
-    if not len(positives) or not len(chosen):
-        rest = prior if len(positives) else 0.0
-        return np.zeros(0, int), np.zeros(0), float(np.log(max(rest, 1e-6) / max(1 - rest, 1e-6)))
-    place = np.full(SPACE, -1)
-    place[chosen] = np.arange(len(chosen))
+def _feature_batches(chosen: np.ndarray):
+    def run(batches):
+        known = WordFeatures(frozenset((chosen % GRAMS).tolist()))
+        for batch in batches:
+            found = [np.flatnonzero(np.isin(chosen, known.of(t or ""))).tolist() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int32()))], ["positive", "features"])
+
+    return run
+
+
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], k: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 3e-4) -> np.ndarray:
+    """Weights of ``k`` features and the bias, from the feature numbers of each row."""
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        kept = [c[c >= 0] for c in (place[r] for r in rows)]
-        return np.concatenate(kept), np.repeat(np.arange(len(rows)), [len(k) for k in kept])
+        return np.concatenate([np.zeros(0, int), *rows]).astype(int), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
     (cp, rp), (cu, ru) = matrix(positives), matrix(unlabelled)
-    n_p, n_u, k = len(positives), max(1, len(unlabelled)), len(chosen)
+    n_p, n_u = len(positives), max(1, len(unlabelled))
     weights = np.concatenate([np.zeros(k), [np.log(prior / (1 - prior)) - 1]])
     mean, square = np.zeros(k + 1), np.zeros(k + 1)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -124,7 +135,7 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         grad[:-1] += decay * weights[:-1]
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         weights -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)
-    return chosen, weights[:-1], float(weights[-1])
+    return weights
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
@@ -143,14 +154,25 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rows = rows.where(F.col("positive").isNotNull() | other).select(F.coalesce("positive", F.lit(False)).alias("positive"), "text", other.alias("other"))
     # A drawn row that is also confirmed counts on both sides: the unlabelled rows stand for all rows.
     both = rows.select(F.explode(F.when(F.col("positive") & F.col("other"), F.array(F.lit(True), F.lit(False))).otherwise(F.array("positive"))).alias("positive"), "text")
-    sample = both.mapInArrow(_feature_batches, "positive boolean, features array<int>").toArrow()
-    side = np.asarray(sample.column("positive").to_pylist(), bool)
-    lists = sample.column("features").combine_chunks()
+    sample = cut(both)
+    prior = min(0.9, max(1e-4, n_toxic / max(1, n_known)))
+    sides = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    n_p, n_u = sides.get(True, 0), max(1, sides.get(False, 0))
+    counts = sample.mapInArrow(_count_batches, "feature long, n_p long, n_u long").groupBy("feature").agg((F.sum("n_p") / max(1, n_p)).alias("p"), (F.sum("n_u") / n_u).alias("u"))
+    # Features by the size of the difference against its own noise.
+    noise = F.sqrt(F.col("p") * (1 - F.col("p")) / max(1, n_p) + F.col("u") * (1 - F.col("u")) / n_u + 1e-6)
+    best = counts.withColumn("gain", (F.col("p") - F.col("u")) / noise).where("gain > 4").orderBy(F.desc("gain"), "feature").limit(FEATURES)
+    chosen = np.array(sorted(r["feature"] for r in best.select("feature").collect()), np.int64)
+    if not n_p or not len(chosen):
+        rest = prior if n_p else 1e-6
+        return chosen[:0], np.zeros(0), float(np.log(rest / (1 - rest)))
+    found = sample.mapInArrow(_feature_batches(chosen), "positive boolean, features array<int>").toArrow()
+    side = np.asarray(found.column("positive").to_pylist(), bool)
+    lists = found.column("features").combine_chunks()
     values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
-    found = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    pos = [f for f, s in zip(found, side, strict=True) if s]
-    unl = [f for f, s in zip(found, side, strict=True) if not s]
-    return fit(pos, unl, min(0.9, max(1e-4, n_toxic / max(1, n_known))))
+    rows = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    weights = fit([r for r, s in zip(rows, side, strict=True) if s], [r for r, s in zip(rows, side, strict=True) if not s], len(chosen), prior)
+    return chosen, weights[:-1], float(weights[-1])
 
 
 def _score_batches(features: np.ndarray, weights: np.ndarray, bias: float):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_scoring, packing, sharding, token_counts, toxicity
+from . import exact_dedup, html_extract, lm_scoring, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_html_extract": html_extract.op4_html_extract,
     "op5_shard": sharding.op5_shard,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,

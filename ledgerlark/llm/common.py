@@ -51,3 +51,44 @@ def worker_cache(name: str) -> dict:
     home = sys.modules.setdefault("ledgerlark_worker_cache", types.ModuleType("ledgerlark_worker_cache"))
     return home.__dict__.setdefault(name, {})
 
+
+
+def row_key() -> list:
+    """Columns ``_id`` and ``_hash`` that name a row of a documents table, also where ids are null or repeated."""
+    return [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")]
+
+
+def without(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``marked (_id, _hash)``, with the columns of ``docs``."""
+    return docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"]) & (F.xxhash64(docs["text"]) == marked["_hash"]), "left_anti")
+
+
+def mix(x):
+    """A 64-bit hash of each element of an unsigned array."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, computed when first met; emptied when it grows too large."""
+
+    def __init__(self, most: int = 1 << 19):
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        from hashlib import blake2b
+
+        out = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
+        if len(self) > self.most:
+            self.clear()
+        if len(word) < 100:
+            self[word] = out
+        return out
+
+    def of(self, words: list[str]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table
+from .common import bounded_batches, cut, table, without
 
 POSITIVES = 5_000
 UNLABELLED = 10_000
@@ -175,25 +175,41 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return chosen, weights[:-1], float(weights[-1])
 
 
-def _score_batches(features: np.ndarray, weights: np.ndarray, bias: float):
-    def run(batches):
-        known = WordFeatures(frozenset((features % GRAMS).tolist()))
+def _scores(features: np.ndarray, weights: np.ndarray, bias: float):
+    """A function from texts to scores."""
+    known = WordFeatures(frozenset((features % GRAMS).tolist()))
+
+    def margin(text: str) -> float:
+        if not len(features):
+            return bias
+        found = known.of(text)
+        at = np.minimum(np.searchsorted(features, found), len(features) - 1)
+        return bias + float(weights[at[features[at] == found]].sum())
+
+    return lambda texts: 1 / (1 + np.exp(-np.clip(np.array([margin(t or "") for t in texts], float), -700, 700)))
 
-        def margin(text: str) -> float:
-            found = known.of(text)
-            at = np.searchsorted(features, found)
-            hit = (at < len(features)) & (features[np.minimum(at, len(features) - 1)] == found) if len(features) else np.zeros(0, int)
-            return bias + float(weights[at[hit]].sum()) if len(features) else bias
 
+def _score_batches(*model):
+    def run(batches):
+        scores_of = _scores(*model)
         for batch in batches:
-            margins = np.array([margin(t or "") for t in batch.column("text").to_pylist()], float)
-            scores = 1 / (1 + np.exp(-np.clip(margins, -700, 700)))
+            scores = scores_of(batch.column("text").to_pylist())
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype("int32"))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     return run
 
 
+def _toxic_batches(*model):
+    def run(batches):
+        scores_of = _scores(*model)
+        for batch in batches:
+            toxic = pa.array(scores_of(batch.column("text").to_pylist()) >= 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(toxic), batch.column("_hash").filter(toxic)], ["_id", "_hash"])
+
+    return run
+
+
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs (doc_id long, text)``."""
     bounded_batches(docs.sparkSession)
@@ -203,9 +219,9 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with the columns of ``docs``."""
-    scores = score_documents(docs, learn(docs, labels))
-    toxic = cut(scores.where("predicted = 1").select(F.col("doc_id").alias("_toxic_id")).distinct())
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["_toxic_id"]), "left_anti")
+    features, weights, bias = learn(docs, labels)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    return without(docs, cut(rows.mapInArrow(_toxic_batches(features, weights, bias), "_id long, _hash long").distinct()))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

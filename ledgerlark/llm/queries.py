@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_extract, lm_scoring, packing, sharding, token_counts, toxicity
+from . import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op2_decontaminate": decontamination.op2_decontaminate,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_html_extract": html_extract.op4_html_extract,

@@ -7,9 +7,9 @@ into Hamming distance, and bit sampling finds windows close to an item: a key is
 found on average (measured in the tests), and every verbatim copy. A walk of n steps stays inside an item of n words, so
 windows are item-sized for every item.
 
-Before any walk, a window must have enough words that some item has: at most ``edits`` words of an item may be missing in a
-match, so this loses nothing. The tasks get two bitmaps of fixed size (item words, item keys), however many items there are;
-what passes is joined with the items by key, and the best match's edit distance, in words, is computed exactly.
+Before any walk, a window must have enough words and word pairs that some item has: a match lacks at most ``edits`` words of an
+item and twice as many pairs, so this loses nothing. The tasks get three bitmaps of fixed size (words, pairs and keys of the
+items), however many items there are; what passes is joined with the items by key, and the best match's edit distance, in words, is computed exactly.
 
 Defined cases: null, empty and wordless texts match nothing, on either side; an item of fewer than five words must match
 without edits; null and repeated ids are passed through; an empty table on either side gives no rows.
@@ -29,7 +29,7 @@ from .common import WordHashes, bounded_batches, cut, mix, row_key, table, witho
 WALKS, SETS, BITS = 4, 4, 4
 REACHES = (1, 2, 4, 8, 16, 32, 64)
 SHARE = 0.2
-WORD_BITS, KEY_BITS = 20, 22
+WORD_BITS, PAIR_BITS, KEY_BITS = 20, 22, 22
 SLAB = 1 << 19
 WORD = re.compile(r"\w+")
 PAD = max(REACHES)
@@ -50,6 +50,11 @@ def reaches(n: int) -> list[int]:
     return [r for r in fits if r >= 8] or fits[-1:]
 
 
+def pairs(words: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs that each word makes with the next."""
+    return mix(words[:-1] + mix(words[1:] ^ np.uint64(0xD6E8FEB86659FD93)))
+
+
 def samples() -> dict[tuple[int, int, int], np.ndarray]:
     """The sampled steps of each (walk, reach, set)."""
     draw = np.random.default_rng(20)
@@ -84,10 +89,10 @@ def _item_keys(batches):
             if words:
                 h = np.concatenate([hashes.of(words), np.zeros(PAD, np.uint64)])
                 keys = sorted({int(k[0]) for _, k in walk_keys(h, np.zeros(1, np.int64), reaches(len(words)))})
-                rows.append((item, np.array(keys, np.uint64).astype(np.int64).tolist(), len(words), " ".join(words), sorted({int(x >> np.uint64(64 - WORD_BITS)) for x in h[: len(words)]})))
-        columns = [*zip(*rows, strict=True)] if rows else [[]] * 5
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item_id", "keys", "n", "words", "word_bits"])
+                rows.append((item, np.array(keys, np.uint64).astype(np.int64).tolist(), len(words), " ".join(words), sorted({int(x >> np.uint64(64 - WORD_BITS)) for x in h[: len(words)]}), sorted({int(x >> np.uint64(64 - PAIR_BITS)) for x in pairs(h[: len(words)])})))
+        columns = [*zip(*rows, strict=True)] if rows else [[]] * 6
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item_id", "keys", "n", "words", "word_bits", "pair_bits"])
 
 
 def bitmap(places: DataFrame, bits: int) -> np.ndarray:
@@ -109,14 +114,18 @@ def _window_batches(maps, classes: list[tuple[int, int]]):
 
     def search(hashes: np.ndarray, maps) -> dict[int, list[int]]:
         """Starts of windows with keys of items, over texts laid end to end, each followed by ``PAD`` blanks."""
-        word_map, key_map = maps
+        word_map, pair_map, key_map = maps
         known = word_map[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
         known[hashes == 0] = 0
-        total = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
-        n, possible = len(hashes), np.zeros(len(hashes), bool)
+        paired = np.append(pair_map[(pairs(hashes) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)], 0)
+        n, most = len(hashes), longest + edits(longest)
+        words = np.concatenate([[0], np.cumsum(known, dtype=np.int32), np.full(most, known.sum(dtype=np.int32), np.int32)])
+        both = np.concatenate([[0], np.cumsum(paired, dtype=np.int32), np.full(most, paired.sum(dtype=np.int32), np.int32)])
+        possible = np.zeros(n, bool)
         for lo, hi in classes:
-            last = np.minimum(np.arange(n) + hi + edits(hi), n)
-            possible |= total[last] - total[:-1] >= lo - edits(lo)
+            reach = hi + edits(hi)
+            few = min(size - 1 - 2 * edits(size) for size in range(lo, hi + 1))
+            possible |= (words[reach : reach + n] - words[:n] >= lo - edits(lo)) & (both[reach - 1 : reach - 1 + n] - both[:n] >= few)
         at = np.flatnonzero(possible & (hashes != 0))
         out: dict[int, list[int]] = {}
         if len(at):
@@ -193,14 +202,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (_id, _hash, item_id, n, edits, begin) of ``docs (doc_id, text)`` that hold an item of ``benchmark (item_id, text)``."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = cut(benchmark.select("item_id", "text").mapInArrow(_item_keys, "item_id long, keys array<long>, n long, words string, word_bits array<long>"))
+    items = cut(benchmark.select("item_id", "text").mapInArrow(_item_keys, "item_id long, keys array<long>, n long, words string, word_bits array<long>, pair_bits array<long>"))
     # Sizes that differ by up to a tenth share one bound on the words a window must have.
     sizes = items.groupBy(F.floor(F.log("n") / np.log(1.1)).alias("class")).agg(F.min("n"), F.max("n")).collect()
     if not sizes:
         return spark.createDataFrame([], "_id long, _hash long, item_id long, n long, edits long, begin long")
     item_keys = items.select("item_id", F.explode("keys").alias("key"))
     places = F.shiftrightunsigned("key", 64 - KEY_BITS)
-    maps = (bitmap(items.select(F.explode("word_bits").alias("place")), WORD_BITS), bitmap(item_keys.select(places.alias("place")), KEY_BITS))
+    maps = (bitmap(items.select(F.explode("word_bits").alias("place")), WORD_BITS), bitmap(items.select(F.explode("pair_bits").alias("place")), PAIR_BITS), bitmap(item_keys.select(places.alias("place")), KEY_BITS))
     sent = spark.sparkContext.broadcast(maps)
     found = cut(docs.select(*row_key(), "text").mapInArrow(_window_batches(sent, [(r[1], r[2]) for r in sizes]), FOUND))
     pairs = found.select("uid", F.explode("keys").alias("key")).join(item_keys, "key").select("uid", "item_id").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, sharding, token_counts, toxicity
+from . import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_shard": sharding.op5_shard,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_pack": packing.op9_pack,
     "op10_lm_score": lm_scoring.op10_lm_score,
 }

@@ -50,7 +50,7 @@ def concentration(facts: DataFrame) -> DataFrame:
 
 def top(facts: DataFrame, spec: FilterSpec, column: str, limit: int = 60) -> DataFrame:
     """Jobs per value of a dimension, its own filter left aside; blanks are no values."""
-    rows = facts.where(compile_filters(spec.without(column))).where(ONCE)
+    rows = facts.where(compile_filters(spec.without("sources" if column == "source_type" else column))).where(ONCE)
     value = tier() if column == "tier" else F.col(column)
     out = rows.groupBy(value.alias("label")).agg(*measures()).where("label <> ''")
     return out.orderBy(F.desc("jobs"), "label").limit(limit)

@@ -30,7 +30,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, suppressed: DataFrame | Non
         if c in ("id", "event_id"):
             return F.coalesce(f"_{c}", c)
         fresh = F.when(F.col(c).cast("string") != "", F.col(c)) if c in STICKY else F.col(c)
-        value = F.coalesce(fresh, F.col(f"_{c}")) if c in STICKY else fresh
+        value = F.coalesce(fresh, F.col(f"_{c}"), F.col(c)) if c in STICKY else fresh
         return F.when(F.col("dedup_hash").isNull() | F.coalesce("_edited", F.lit(False)), F.col(f"_{c}")).otherwise(value)
 
     return both.select(*[merged(c).alias(c) for c in columns])

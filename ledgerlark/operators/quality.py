@@ -15,7 +15,7 @@ def cadence_profile(days: DataFrame, as_of: str) -> DataFrame:
     seen = days.distinct()
     gap = F.datediff("day", F.lag("day").over(Window.partitionBy("source").orderBy("day")))
     out = seen.withColumn("gap", gap).groupBy("source").agg(
-        F.count(F.lit(1)).alias("days"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY gap)").alias("gap90"), F.max("gap").alias("longest_gap"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+        F.count(F.lit(1)).alias("days"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY gap)").cast("long").alias("gap90"), F.max("gap").alias("longest_gap"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     span = F.datediff("last_day", "first_day")
     rate = F.when((F.col("days") >= 7) & (span > 0), F.round((F.col("days") - 1) * 365 / span, 6))
     out = out.withColumns({"per_year": rate, "days_dark": F.datediff(F.to_date(F.lit(as_of)), "last_day")})

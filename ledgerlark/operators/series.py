@@ -12,7 +12,7 @@ def filled(months: DataFrame, value: str, as_of: str) -> DataFrame:
     """Every month between the first and the last one, none later than ``as_of``; missing values are 0."""
     day = F.to_date(F.concat("month", F.lit("-01")))
     bounds = months.agg(F.min(day).alias("a"), F.least(F.max(day), F.trunc(F.to_date(F.lit(as_of)), "month")).alias("b"))
-    every = bounds.where("a <= b").select(F.date_format(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))), "yyyy-MM").alias("month"))
+    every = bounds.where("a <= b").select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("day")).select(F.date_format("day", "yyyy-MM").alias("month"))
     return every.join(months.select("month", value), "month", "left").select("month", F.coalesce(value, F.lit(0)).alias(value))
 
 

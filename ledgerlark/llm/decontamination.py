@@ -192,8 +192,20 @@ def best_match(item: list[str], text: list[str]) -> int:
 
 
 def _verify(batches):
+    """Exact distances; null where words or word pairs of the item that the stretch lacks already rule a match out."""
+    held: dict[str, tuple] = {}
     for batch in batches:
-        distance = [best_match(a.split(" "), b.split(" ")) for a, b in zip(batch.column("item_words").to_pylist(), batch.column("words").to_pylist(), strict=True)]
+        distance = []
+        for item, stretch in zip(batch.column("item_words").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            if item not in held:
+                if len(held) > 4096:
+                    held.clear()
+                words = item.split(" ")
+                held[item] = words, set(words), set(zip(words, words[1:], strict=False)), edits(len(words))
+            words, single, double, most = held[item]
+            own = stretch.split(" ")
+            possible = len(single.difference(own)) <= most and len(double.difference(zip(own, own[1:], strict=False))) <= 2 * most
+            distance.append(best_match(words, own) if possible else None)
         names = ["_id", "_hash", "item_id", "begin", "n"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(distance, pa.int64())], [*names, "edits"])
 

@@ -6,8 +6,8 @@ frequencies come from a count-min sketch of fixed size over all documents: it is
 consistent samples agrees between two documents with the probability of their weighted Jaccard similarity; ``ROWS`` samples make a
 band. A band's bucket is never paired out: all its members are checked against its least member, and the links give
 components. Only in buckets that still hold several components are the members outside the largest component compared with all
-others, by their samples, in tiles of bounded size; pairs whose samples agree often enough are checked too. Checks compute the
-weighted Jaccard similarity of the whole texts. Equal texts are one node throughout.
+others, by their samples, in tiles of bounded size; pairs whose samples agree often enough are checked too, unless links found in
+the tile already join them. Checks compute the weighted Jaccard similarity of the whole texts. Equal texts are one node throughout.
 
 Missed on average: a pair of similarity 0.8 with probability 0.0008 (no band in common) plus 0.0002 (few equal samples).
 
@@ -36,7 +36,8 @@ AGREE = SAMPLES // 2
 HASH_BITS = 52
 WIDTH_BITS, SKETCH_ROWS = 17, 2
 SLAB, CHUNK = 1 << 19, 1 << 16
-TILE = 1024
+TILE, TILE_BYTES = 1024, 8 << 20
+TILE_COLUMNS = ["key", "i", "j", "band", "node", "component", "codes", "left", "outside", "text"]
 WORD = re.compile(r"\w+")
 
 
@@ -160,8 +161,8 @@ def _sample_batches(stats):
                 blank = ~np.isin(np.arange(len(some)), owner)
                 keys += [None if e else k for e, k in zip(blank, band_keys(found).tolist(), strict=True)]
                 codes += [None if e else c.tobytes() for e, c in zip(blank, found.astype(np.uint32), strict=True)]
-            columns = [batch.column("_id"), batch.column("_hash"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_hash", "node", "keys", "codes"])
+            columns = [batch.column("_id"), batch.column("_hash"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_hash", "node", "keys", "codes", "n_bytes"])
 
     return run
 
@@ -195,32 +196,105 @@ def _check_batches(stats):
     return run
 
 
-def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
-    pairs = []
-    if len(left) and len(right):
-        a = np.frombuffer(b"".join(left["codes"]), np.uint32).reshape(len(left), SAMPLES)
-        b = np.frombuffer(b"".join(right["codes"]), np.uint32).reshape(len(right), SAMPLES)
-        other = pd.factorize(np.concatenate([left["component"].to_numpy(), right["component"].to_numpy()]))[0]
-        mine, theirs = other[: len(a)], other[len(a) :]
-        names, others = left["node"].to_numpy(), right["node"].to_numpy()
-        for i in range(len(a)):
-            close = np.flatnonzero(((b == a[i]).sum(axis=1) >= AGREE) & (theirs != mine[i]))
-            pairs += [(min(names[i], others[j]), max(names[i], others[j])) for j in close]
-    return pd.DataFrame(pairs, columns=["a", "b"])
-
-
-def rest_pairs(members: DataFrame, components: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs (a, b) still to be checked, from buckets ``members (key, node)`` with several components."""
-    labelled = members.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    by_key = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("bulk")).where("parts > 1")
-    by_key = by_key.select("key", F.col("bulk.component").alias("bulk"), F.ceil(F.col("all") / TILE).alias("tiles"), F.ceil((F.col("all") - F.col("bulk.n")) / TILE).alias("left_tiles"))
-    rows = cut(labelled.join(by_key, "key").join(codes, "node"))
+def near(a: tuple, b: tuple) -> bool:
+    """Whether two ordered sparse vectors (hashes, weights, total) are near; the totals alone often rule it out."""
+    if min(a[2], b[2]) < THRESHOLD * max(a[2], b[2]):
+        return False
+    a, b = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    both = np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum(dtype=float)
+    return bool(both >= THRESHOLD * (a[2] + b[2] - both))
+
+
+def _tiles(stats):
+    """Links between components within each tile, from rows ordered by tile; a tile gives fewer links than it has rows."""
+
+    def run(batches):
+        sketch, n = stats.value
+        hashes = WordHashes()
+
+        def vectors(texts: dict[bytes, str]) -> dict[bytes, tuple]:
+            out, names = {}, list(texts)
+            for begin, some in slabs(list(texts.values())):
+                owner, h, count = shingles(some, hashes)
+                weight = count * inverse_frequency(h, sketch, n)
+                ends = np.searchsorted(owner, np.arange(len(some) + 1))
+                for i in range(len(some)):
+                    w = weight[ends[i] : ends[i + 1]]
+                    out[names[begin + i]] = h[ends[i] : ends[i + 1]], w, w.sum(dtype=float)
+            return out
+
+        def links(rows: list[tuple]) -> list[tuple]:
+            left, right = [r for r in rows if r[7]], [r for r in rows if not r[7]]
+            if not left or not right:
+                return []
+            band = rows[0][3]
+            b = np.frombuffer(b"".join(r[6] for r in right), np.uint32).reshape(-1, SAMPLES)
+            parent: dict[bytes, bytes] = {}
+
+            def root(x: bytes) -> bytes:
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            pairs = []
+            for x in left:
+                equal = b == np.frombuffer(x[6], np.uint32)
+                agree = equal.sum(axis=1)
+                close = np.flatnonzero(agree >= AGREE)
+                # A pair belongs to the first band that both share, and once to that band's tiles.
+                first = equal[close].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                for j in close[first == band]:
+                    y = right[j]
+                    if x[5] != y[5] and (not y[8] or x[4] < y[4]):
+                        pairs.append((int(agree[j]), x, y))
+            pairs.sort(key=lambda p: -p[0])
+            held = vectors({r[4]: r[9] for _, x, y in pairs for r in (x, y)})
+            out = []
+            for _, x, y in pairs:
+                p, q = root(x[5]), root(y[5])
+                if p != q and near(held[x[4]], held[y[4]]):
+                    parent[p] = q
+                    out.append((x[4], y[4]))
+            return out
+
+        rows: list[tuple] = []
+        for batch in batches:
+            found: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in TILE_COLUMNS), strict=True):
+                if rows and row[:3] != rows[0][:3]:
+                    found += links(rows)
+                    rows = []
+                rows.append(row)
+            yield _pairs(found)
+        yield _pairs(links(rows))
+
+    return run
+
+
+def _pairs(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def rest_links(members: DataFrame, components: DataFrame, codes: DataFrame, own: DataFrame, stats) -> DataFrame:
+    """Links (a, b) still to be found in buckets ``members (key, band, node)`` with several components.
+
+    The members outside a bucket's largest component meet all others in tiles of bounded rows and bytes; the tiles check whole
+    texts and send on links only.
+    """
+    labelled = members.join(components, "node", "left").join(codes.select("node", "n_bytes"), "node").select("key", "band", "node", "n_bytes", F.coalesce("component", "node").alias("component"))
+    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size"))
+    by_key = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.sum("size").alias("size"), F.max(F.struct("n", "component", "size")).alias("bulk")).where("parts > 1")
+    tiles = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_BYTES)).cast("long")
+    by_key = by_key.select("key", F.col("bulk.component").alias("bulk"), tiles(F.col("all"), F.col("size")).alias("tiles"), tiles(F.col("all") - F.col("bulk.n"), F.col("size") - F.col("bulk.size")).alias("left_tiles"))
+    rows = cut(labelled.drop("n_bytes").join(by_key, "key").join(codes.select("node", "codes"), "node").withColumn("outside", F.col("component") != F.col("bulk")))
     spot = F.xxhash64("node")
-    right = rows.select("key", "node", "component", "codes", F.lit(False).alias("left"), F.pmod(spot, "tiles").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_tiles") - 1)).alias("i"))
-    left = rows.where("component <> bulk").select("key", "node", "component", "codes", F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("j"), F.pmod(spot, "left_tiles").alias("i"))
-    return right.unionByName(left).groupBy("key", "i", "j").applyInPandas(_tile, "a binary, b binary").distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    common = ["key", "band", "node", "component", "codes", "outside"]
+    right = rows.select(*common, F.lit(False).alias("left"), F.pmod(spot, "tiles").alias("j"), every("left_tiles").alias("i"))
+    left = rows.where("outside").select(*common, F.lit(True).alias("left"), every("tiles").alias("j"), F.pmod(spot, "left_tiles").alias("i"))
+    dealt = right.unionByName(left).join(own, "node").select(*TILE_COLUMNS).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_tiles(stats), "a binary, b binary")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -232,25 +306,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     stats = spark.sparkContext.broadcast(document_frequencies(docs))
     text = text_or_empty()
-    rows = cut(docs.select(*row_key(), F.unhex(F.md5(text)).alias("node"), text.alias("text")).mapInArrow(_sample_batches(stats), "_id long, _hash long, node binary, keys array<long>, codes binary"))
-    nodes = cut(rows.groupBy("node").agg(F.min("_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("codes").alias("codes")))
-    members = nodes.select(F.explode("keys").alias("key"), "node")
+    rows = cut(docs.select(*row_key(), F.unhex(F.md5(text)).alias("node"), text.alias("text")).mapInArrow(_sample_batches(stats), "_id long, _hash long, node binary, keys array<long>, codes binary, n_bytes long"))
+    nodes = cut(rows.groupBy("node").agg(F.min("_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("codes").alias("codes"), F.first("n_bytes").alias("n_bytes")))
+    members = nodes.select(F.posexplode("keys").alias("band", "key"), "node")
     shared = members.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "center")
     members = cut(members.join(shared, "key"))
     texts = docs.select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").alias("_id"), text.alias("text"))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are near. Every text travels once to its node, then once to each of its pairs."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("least_id").alias("_least")), "node")
-        own = cut(texts.join(wanted, (texts["node"] == wanted["node"]) & texts["_id"].eqNullSafe(wanted["_least"])).select(texts["node"], "text").dropDuplicates(["node"]))
-        with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        with_b = with_a.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_check_batches(stats), "a binary, b binary")
-
     first = cut(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    links = cut(checked(first))
-    rest = cut(rest_pairs(members.select("key", "node"), connected_components(links), nodes.select("node", "codes")).join(first, ["a", "b"], "left_anti"))
-    components = connected_components(links.unionByName(cut(checked(rest))))
+    # Every text that shares a bucket travels once to its node.
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("least_id").alias("_least")), "node")
+    own = cut(texts.join(wanted, (texts["node"] == wanted["node"]) & texts["_id"].eqNullSafe(wanted["_least"])).select(texts["node"], "text").dropDuplicates(["node"]))
+    with_a = first.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    links = cut(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_check_batches(stats), "a binary, b binary"))
+    rest = rest_links(members.select("key", "band", "node"), connected_components(links), nodes.select("node", "codes", "n_bytes"), own, stats)
+    components = connected_components(links.unionByName(cut(rest)))
     placed = nodes.select("node", "least_id", "copies").join(components, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("component"))
     classes = placed.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = cut(placed.join(classes, "component").select("node", "class_id", "class_size"))

@@ -2,8 +2,10 @@
 
 Rows with equal texts form one group. Groups are dealt by hash into buckets of bounded size; each bucket is differenced
 on its own into ``shards`` partial sums, and the buckets' tuples of sums are differenced in turn, ``FAN`` at a time, until
-one tuple is left. So no task ever holds more than ``GROUPS_A_BUCKET`` groups or ``FAN`` tuples. A group larger than an
-even share gets a shard of its own (at most ``shards`` such groups exist), as no division of the rest can lighten it.
+one tuple is left. Groups of more than a ``COARSE``-th of an even share wait for that last step, where they are differenced
+together with the tuples: else a bucket would have to balance a group that only all buckets together can. So no task ever holds
+more than about ``GROUPS_A_BUCKET`` groups, ``FAN`` tuples or ``shards * COARSE`` large groups. A group larger than an even
+share gets a shard of its own (at most ``shards`` such groups exist), as no division of the rest can lighten it.
 
 Defined cases: a null text counts as an empty one; a null ``doc_id`` sorts first in its shard; empty input gives no rows.
 """
@@ -21,6 +23,7 @@ from .common import cut, table, text_or_empty
 
 GROUPS_A_BUCKET = 4_000
 FAN = 256
+COARSE = 400
 ROWS_A_CHUNK = 20_000
 ROW_OVERHEAD = 8
 
@@ -90,19 +93,27 @@ def assign_groups(groups: DataFrame, shards: int, bucket: int = GROUPS_A_BUCKET,
         own, rest, parts = [*own, key], rest - size, parts - 1
     spread = groups.where(~F.col("key").isin(own)) if own else groups
     nodes = max(1, -(-(count or 0) // bucket))
+    coarse = F.col("size") * parts * COARSE > rest
+    large = spread.where(coarse).select("key", "size", (-1 - F.pmod(F.xxhash64("key"), F.lit(1 << 62))).alias("node"), F.lit(0).alias("part"))
     placed = cut(
-        spread.withColumn("node", F.pmod(F.xxhash64("key"), F.lit(nodes)))
+        spread.where(~coarse).withColumn("node", F.pmod(F.xxhash64("key"), F.lit(nodes)))
         .groupBy("node").applyInPandas(_leaves(parts), "key binary, size long, node long, part int")
     )
     sums = placed.groupBy("node", "part").agg(F.sum("size").alias("size"))
-    while nodes > 1:
-        nodes = -(-nodes // fan)
+    while True:
+        last = nodes <= fan
+        nodes = 1 if last else -(-nodes // fan)
+        if last:
+            placed = placed.unionByName(large)
+            sums = sums.unionByName(large.groupBy("node", "part").agg(F.sum("size").alias("size")))
         up = cut(
             sums.withColumn("parent", F.pmod("node", F.lit(nodes)))
             .groupBy("parent").applyInPandas(_nodes(parts), "node long, part int, up long, up_part int")
         )
-        sums = cut(sums.join(up, ["node", "part"]).groupBy(F.col("up").alias("node"), F.col("up_part").alias("part")).agg(F.sum("size").alias("size")))
         placed = placed.join(up, ["node", "part"]).select("key", "size", F.col("up").alias("node"), F.col("up_part").alias("part"))
+        if last:
+            break
+        sums = cut(sums.join(up, ["node", "part"]).groupBy(F.col("up").alias("node"), F.col("up_part").alias("part")).agg(F.sum("size").alias("size")))
     out = placed.select("key", (F.col("part") + len(own)).alias("shard"))
     if own:
         alone = groups.sparkSession.createDataFrame([(k, i) for i, k in enumerate(own)], "key binary, shard int")

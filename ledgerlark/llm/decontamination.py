@@ -225,8 +225,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(maps)
     found = cut(docs.select(*row_key(), "text").mapInArrow(_window_batches(sent, [(r[1], r[2]) for r in sizes]), FOUND))
     pairs = found.select("uid", F.explode("keys").alias("key")).join(item_keys, "key").select("uid", "item_id").distinct()
-    texts = items.select("item_id", "n", F.col("words").alias("item_words")).dropDuplicates(["item_id", "item_words"])
-    checked = pairs.join(found.drop("keys"), "uid").join(texts, "item_id").select("_id", "_hash", "item_id", "begin", "n", "item_words", "words")
+    texts = items.select(F.col("item_id").alias("own_id"), "n", F.col("words").alias("item_words")).dropDuplicates(["own_id", "item_words"])
+    checked = pairs.join(found.drop("keys"), "uid").join(texts, F.col("item_id").eqNullSafe(F.col("own_id"))).select("_id", "_hash", "item_id", "begin", "n", "item_words", "words")
     checked = checked.mapInArrow(_verify, "_id long, _hash long, item_id long, begin long, n long, edits long")
     near = checked.where(F.col("edits") <= F.floor(F.col("n") * SHARE))
     return near.groupBy("_id", "_hash", "item_id").agg(F.min(F.struct("edits", "n", "begin")).alias("x")).select("_id", "_hash", "item_id", "x.n", "x.edits", "x.begin")

@@ -279,7 +279,7 @@ query("typeahead", """SELECT company, max(layoff_date) AS last_date, count(*) AS
 @query("upsert_snapshot", """, old AS (SELECT * FROM ledger WHERE id % 3 <> 0), fresh AS (SELECT id + 1000000 AS id, dedup_hash, job_count + 1 AS job_count, CASE WHEN id % 2 = 0 THEN '' ELSE 'NEW' END AS industry FROM ledger WHERE id % 5 = 0
   QUALIFY row_number() OVER (PARTITION BY dedup_hash ORDER BY id DESC) = 1)
 SELECT coalesce(o.id, f.id) AS id, coalesce(o.dedup_hash, f.dedup_hash) AS dedup_hash, CASE WHEN f.id IS NULL OR coalesce(o.edited, FALSE) THEN o.job_count ELSE f.job_count END AS job_count,
-  CASE WHEN f.id IS NULL OR coalesce(o.edited, FALSE) THEN o.industry ELSE coalesce(nullif(f.industry, ''), o.industry) END AS industry FROM old o FULL JOIN fresh f ON o.dedup_hash = f.dedup_hash""")
+  CASE WHEN f.id IS NULL OR coalesce(o.edited, FALSE) THEN o.industry ELSE coalesce(nullif(f.industry, ''), o.industry, f.industry) END AS industry FROM old o FULL JOIN fresh f ON o.dedup_hash = f.dedup_hash""")
 def _(spark, sf_dir):
     old, base = facts(spark, sf_dir).where("id % 3 <> 0"), facts(spark, sf_dir).where("id % 5 = 0")
     fresh = base.withColumns({"industry": F.when(F.col("id") % 2 == 0, "").otherwise("NEW"), "id": F.col("id") + 1000000, "job_count": F.col("job_count") + 1})

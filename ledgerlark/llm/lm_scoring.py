@@ -1,15 +1,17 @@
 """Language-model scores by context-tree weighting over bytes.
 
 Every byte is decomposed into eight binary choices; each choice has a context tree over the preceding ``DEPTH`` bytes. The
-learning rows give counts of (context, byte) grams, which Spark sums; from them the binary counts of every node follow depth
-by depth, the Krichevsky-Trofimov estimates, and from the leaves upwards the weighted probabilities: a node's weight is the
-posterior chance that its tree ends there. A choice is predicted by mixing the estimates along its context path with those
-weights; a path ends at the longest context met in learning. Text bytes and one end byte are coded; a text begins with
-``DEPTH`` end bytes as context. ASCII letters are lower-cased.
-
-The model sent to the tasks is a table of ``SLOTS`` hashed nodes (6 bytes each), whatever the corpus size: where nodes share a
-slot, the one with more counts stays. Beside it stands the unigram base score: its word counts are exact, as a bounded number
-of frequent words travels with the tasks and the counts of all other words are joined in.
+learning rows give counts of (context, byte) grams; from them follow, depth by depth, the binary counts of every node, the
+Krichevsky-Trofimov estimates, and from the leaves upwards the weighted probabilities: a node's weight is the posterior chance
+that its tree ends there. A choice is predicted by mixing the estimates along its context path with those weights; a path ends
+at the longest context met in learning. Text bytes and one end byte are coded; a text begins with ``DEPTH`` end bytes as
+context. ASCII letters are lower-cased.
+
+No node is dropped. A gram is kept with its nearest context byte first, so that all grams with the same ``HEAD`` nearest bytes
+are one subtree: Spark deals the grams by subtree, and tasks compute the deeper nodes of each. The nodes above have at most
+two bytes of context, whatever the corpus size, and travel with the tasks. That gives the log of every gram that occurs in
+the texts, learned from or not. At most ``CACHED`` frequent grams travel with the scoring tasks; all others are joined in,
+as are the rare words of the unigram base score beside it, whose counts are exact.
 
 Defined cases: null and empty texts have one token, the end; null ids learn and are scored like others; with nothing to learn
 from, every binary choice has probability one half, and the base score is that of a single unknown token kind.
@@ -28,11 +30,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, table
 
 DEPTH = 5
-SLOTS = 1 << 22
+HEAD = 3
+CACHED = 1 << 21
 SLAB = 1 << 19
 GRAMS_HELD = 3 << 20
+SUBTREES_HELD = 1 << 19
 FREQUENT = 1 << 16
-LOGS_HELD = 1 << 22
 FOLDS = 5
 END = b"\xff"
 GAP = END * (DEPTH + 1)
@@ -80,34 +83,69 @@ def _lower(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode().lower() for t in batch.column("text").to_pylist()]
 
 
-def _count_grams(batches):
-    held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def nearest_first(codes: np.ndarray) -> np.ndarray:
+    """Each byte with the ``DEPTH`` before it, the nearest of those in the highest place and the byte itself in the lowest."""
+    out = codes.copy()
+    for j in range(1, DEPTH + 1):
+        out[j:] |= codes[:-j] << np.uint64(8 * (DEPTH + 1 - j))
+    return out
+
+
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and their sums of each of ``counts``."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+    return keys[first], *(np.add.reduceat(n[order], first) if len(first) else n for n in counts)
 
-    def merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-        return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+def _count_grams(batches):
+    """Grams of the texts with their counts in all rows and in the learning rows."""
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64)), pa.array(counts)], ["gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(held[0] >> 8 * (DEPTH + 1 - HEAD)), *map(pa.array, held)], ["head", "gram", "n", "learned"])
 
     new = []
     for batch in batches:
-        for slab in slabs(_lower(batch)):
-            data, own, _ = own_grams(slab)
-            new.append(np.unique(rolled(data.astype(np.uint64), 8)[own], return_counts=True))
-            if sum(len(k) for k, _ in new) > GRAMS_HELD // 2:
-                held, counts = merge(np.concatenate([held, *(k for k, _ in new)]), np.concatenate([counts, *(n for _, n in new)]))
-                new = []
-                if len(held) > GRAMS_HELD:
-                    yield out()
-                    held, counts = held[:0], counts[:0]
+        texts, apart = _lower(batch), batch.column("held_out").to_pylist()
+        for learning in (False, True):
+            for slab in slabs([t for t, a in zip(texts, apart, strict=True) if a != learning]):
+                data, own, _ = own_grams(slab)
+                keys, n = np.unique(nearest_first(data.astype(np.uint64))[own], return_counts=True)
+                new.append((keys.astype(np.int64), n, n * learning))
+                if sum(len(x[0]) for x in new) > GRAMS_HELD // 2:
+                    held, new = summed(*map(np.concatenate, zip(held, *new, strict=True))), []
+                    if len(held[0]) > GRAMS_HELD:
+                        yield out()
+                        held = tuple(x[:0] for x in held)
     if new:
-        held, counts = merge(np.concatenate([held, *(k for k, _ in new)]), np.concatenate([counts, *(n for _, n in new)]))
+        held = summed(*map(np.concatenate, zip(held, *new, strict=True)))
     yield out()
 
 
+def _subtrees(batches):
+    """One row for each head, from grams that come sorted."""
+    def out(grams, n, learned):
+        heads = grams >> 8 * (DEPTH + 1 - HEAD)
+        offsets = pa.array(np.append(np.flatnonzero(np.append(True, heads[1:] != heads[:-1])), len(heads)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (grams, n, learned)], ["grams", "n", "learned"])
+
+    held = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("gram", "n", "learned")))
+        if sum(len(x[0]) for x in held) > SUBTREES_HELD:
+            rows = summed(*map(np.concatenate, zip(*held, strict=True)))
+            heads = rows[0] >> 8 * (DEPTH + 1 - HEAD)
+            whole = int(np.searchsorted(heads, heads[-1]))
+            if whole:
+                yield out(*(x[:whole] for x in rows))
+            held = [tuple(x[whole:] for x in rows)]
+    if held:
+        yield out(*summed(*map(np.concatenate, zip(*held, strict=True))))
+
+
 def _count_words(batches):
     words: Counter = Counter()
 
@@ -124,157 +162,196 @@ def _count_words(batches):
     yield out()
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """Natural log of gamma for x > 0: Stirling's series seven steps up."""
     y = x + 7
-    steps = F.ln(x * (x + 1)) + F.ln((x + 2) * (x + 3)) + F.ln((x + 4) * (x + 5) * (x + 6))
-    return (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - steps
+    steps = np.log(x * (x + 1)) + np.log((x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6))
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - steps
 
 
-def estimate(n0: Column, n1: Column) -> Column:
+def estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov block probability."""
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - 1.1447298858494002 - log_gamma(n0 + n1 + 1.0)
 
 
-def context_tree(grams: DataFrame) -> DataFrame:
-    """Nodes (depth, context, prefix, n, p, weight) of all binary context trees, from ``grams (gram, n)``.
+class Nodes:
+    """Nodes of one depth and one binary choice: sorted keys (context, bits of the byte so far) and their values."""
+
+    def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, split: np.ndarray | None):
+        self.key, self.n0, self.n1, own = key, n0, n1, estimate(n0, n1)
+        self.p = (n1 + 0.5) / (n0 + n1 + 1.0)
+        self.weighted = own if split is None else np.logaddexp(own, split) - np.log(2)
+        self.weight = np.ones(len(key)) if split is None else 1 / (1 + np.exp(np.minimum(split - own, 500.0)))
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+
+    def descend(self, above: Nodes | None, i: int) -> None:
+        """Values of a path that ends here, and what a longer path has mixed so far and has left to mix."""
+        at = above.place(shorter(self.key, i)) if above else None
+        mixed, left = (above.mixed[at], above.left[at]) if above else (0.0, 1.0)
+        self.final = mixed + left * self.p
+        self.mixed, self.left = mixed + left * self.weight * self.p, left * (1 - self.weight)
+
+
+def shorter(key: np.ndarray, i: int) -> np.ndarray:
+    """Keys of the nodes above those of choice ``i``: the farthest byte of the context is left out."""
+    return (key >> 8 + i << i) | (key & (1 << i) - 1)
 
-    ``prefix`` is the binary choice within the byte (1 for its first bit); ``p`` estimates the chance of a one.
+
+def above(below: Nodes, i: int) -> tuple[np.ndarray, ...]:
+    """Keys, counts and summed weighted logs of the nodes above."""
+    return summed(shorter(below.key, i), below.n0, below.n1, below.weighted)
+
+
+def deep_nodes(grams: np.ndarray, learned: np.ndarray) -> list[list[Nodes]]:
+    """For each choice, the nodes with ``HEAD`` to ``DEPTH`` bytes of context of whole subtrees; ``grams`` are sorted."""
+    met = learned > 0
+    grams, n, out = grams[met], learned[met].astype(float), []
+    for i in range(8):
+        ones = n * (grams >> 7 - i & 1)
+        key, n0, n1 = summed(grams >> 8 - i, n - ones, ones)
+        levels = [Nodes(key, n0, n1, None)]
+        for _ in range(DEPTH - HEAD):
+            levels.insert(0, Nodes(*above(levels[0], i)))
+        out.append(levels)
+    return out
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Grams and counts of a batch of subtrees, sorted by gram."""
+    grams, n, learned = (batch.column(c).flatten().to_numpy() for c in ("grams", "n", "learned"))
+    order = np.argsort(grams)
+    return grams[order], n[order], learned[order]
+
+
+def _above_heads(batches):
+    """What the nodes just above the heads sum."""
+    for batch in batches:
+        grams, _, learned = _flat(batch)
+        for i, levels in enumerate(deep_nodes(grams, learned)):
+            columns = above(levels[0], i)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), i, np.int32)), *map(pa.array, columns)], ["choice", "key", "n0", "n1", "split"])
+
+
+def top_nodes(sums: pa.Table) -> list[list[Nodes]]:
+    """For each choice, the nodes with fewer than ``HEAD`` bytes of context."""
+    choice, *columns = (sums.column(c).to_numpy() for c in ("choice", "key", "n0", "n1", "split"))
+    out = []
+    for i in range(8):
+        levels = [Nodes(*summed(*(c[choice == i] for c in columns)))]
+        for _ in range(HEAD - 1):
+            levels.insert(0, Nodes(*above(levels[0], i)))
+        for depth, nodes in enumerate(levels):
+            nodes.descend(levels[depth - 1] if depth else None, i)
+        out.append(levels)
+    return out
+
+
+def _gram_logs(top):
+    def run(batches):
+        for batch in batches:
+            grams, n, learned = _flat(batch)
+            logs = np.zeros(len(grams))
+            for i, deep in enumerate(deep_nodes(grams, learned)):
+                levels, p = [*top.value[i], *deep], np.full(len(grams), 0.5)
+                for depth, nodes in enumerate(levels):
+                    if depth >= HEAD:
+                        nodes.descend(levels[depth - 1], i)
+                    if len(nodes.key):
+                        key = (grams >> 8 * (DEPTH + 1 - depth) << i) | (grams & 255) >> 8 - i
+                        at = nodes.place(key)
+                        p = np.where(nodes.key[at] == key, nodes.final[at], p)
+                logs += np.log10(np.where(grams >> 7 - i & 1, p, 1 - p))
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n), pa.array(logs)], ["gram", "n", "log"])
+
+    return run
+
+
+def learn_grams(docs: DataFrame) -> DataFrame:
+    """Rows (gram, n, log) of every gram of ``docs (text, held_out)``, ``log10`` of its byte's chance as learned from the rows not held out."""
+    spark = docs.sparkSession
+    grams = docs.select("text", "held_out").mapInArrow(_count_grams, "head long, gram long, n long, learned long")
+    lists = "grams array<long>, n array<long>, learned array<long>"
+    bounded_batches(spark, 1 << 16)
+    subtrees = cut(grams.repartition("head").sortWithinPartitions("gram").mapInArrow(_subtrees, lists))
+    bounded_batches(spark)
+    sums = subtrees.mapInArrow(_above_heads, "choice int, key long, n0 double, n1 double, split double")
+    sums = sums.groupBy("choice", "key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "split"))).toArrow()
+    top = spark.sparkContext.broadcast(top_nodes(sums))
+    return cut(subtrees.mapInArrow(_gram_logs(top), "gram long, n long, log double"))
+
+
+def most_frequent(logs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams, in order, and logs of at most ``CACHED`` frequent grams: those of the highest classes of counts that fit."""
+    band = F.floor(F.log2("n") * 16)
+    room, least = CACHED, None
+    for r in logs.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["band"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0)
+    best = logs.where(band >= least).select("gram", "log").toArrow()
+    order = np.argsort(best.column("gram").to_numpy())
+    return best.column("gram").to_numpy()[order], best.column("log").to_numpy()[order]
+
+
+def distinct_grams(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a slab and, for each coded byte, which of them it is.
+
+    The slab's bytes are numbered densely, so that a gram and its place mostly fit into 64 bits and one sort orders both.
     """
-    symbols = grams.select(F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("byte"), "n")
-    levels: list[DataFrame] = []
-    for depth in range(DEPTH, -1, -1):
-        bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(
-            F.call_function("shiftright", F.col("byte") + 256, F.lit(8) - i).alias("prefix"),
-            F.call_function("shiftright", F.col("byte"), F.lit(7) - i).bitwiseAND(1).alias("bit"),
-        ))
-        choices = symbols.select("context", "n", F.explode(bits).alias("x")).select("context", "n", "x.*")
-        nodes = choices.groupBy("context", "prefix").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-        nodes = nodes.withColumn("own", estimate(F.col("n0").cast("double"), F.col("n1").cast("double")))
-        if levels:
-            below = levels[-1].select(F.col("context").bitwiseAND((1 << 8 * depth) - 1).alias("context"), "prefix", "weighted")
-            below = below.groupBy("context", "prefix").agg(F.sum("weighted").alias("split"))
-            nodes = nodes.join(below, ["context", "prefix"])
-            high, low = F.greatest("own", "split"), F.least("own", "split")
-            nodes = nodes.withColumn("weighted", high + F.log1p(F.exp(low - high)) - F.lit(float(np.log(2))))
-            nodes = nodes.withColumn("weight", 1 / (1 + F.exp(F.least(F.col("split") - F.col("own"), F.lit(500.0)))))
-        else:
-            nodes = nodes.withColumn("weighted", F.col("own")).withColumn("weight", F.lit(1.0))
-        levels.append(cut(nodes.withColumn("depth", F.lit(depth)).drop("own", "split")))
-        if depth:
-            symbols = symbols.groupBy(F.col("context").bitwiseAND((1 << 8 * (depth - 1)) - 1).alias("context"), "byte").agg(F.sum("n").alias("n"))
-            symbols = cut(symbols)
-    every = levels[0]
-    for more in levels[1:]:
-        every = every.unionByName(more, allowMissingColumns=True)
-    n = F.col("n0") + F.col("n1")
-    return every.select("depth", "context", "prefix", n.alias("n"), ((F.col("n1") + 0.5) / (n + 1.0)).alias("p"), "weight")
-
-
-def place(depth, context: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and nonzero 16-bit tag of each node."""
-    with np.errstate(over="ignore"):
-        x = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.asarray(depth, np.uint64) << np.uint64(8)) + prefix.astype(np.uint64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return (x & np.uint64(SLOTS - 1)).astype(np.int64), (x >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
-
-
-def _slot_batches(batches):
-    for b in batches:
-        depth, context, prefix, n, p, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("depth", "context", "prefix", "n", "p", "weight"))
-        slot, tag = place(depth, context, prefix)
-        p16 = np.clip(np.rint(p * 65536), 1, 65535).astype(np.int64)
-        w16 = np.clip(np.rint(w * 65535), 0, 65535).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n), pa.array((tag.astype(np.int64) << 32) | (p16 << 16) | w16)], ["slot", "n", "packed"])
-
-
-class Model:
-    """The hashed node table."""
-
-    def __init__(self, slots: np.ndarray, packed: np.ndarray):
-        self.tags, self.p, self.w = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint16)
-        self.tags[slots], self.p[slots], self.w[slots] = packed >> 32, (packed >> 16) & 65535, packed & 65535
-        self.known, self.logs = np.zeros(0, np.uint64), np.zeros(0)
-
-    def along(self, data: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """``log10`` of each coded byte of a slab after its context, computed once for each distinct gram.
-
-        The slab's bytes are numbered densely, so that a gram and its place mostly fit into 64 bits and one sort orders both.
-        """
-        met = np.flatnonzero(np.bincount(data, minlength=256))
-        dense = np.zeros(256, np.uint64)
-        dense[met] = np.arange(len(met))
-        width = max(1, int(len(met) - 1).bit_length())
-        grams = rolled(dense[data], width)[own]
-        bits = np.uint64(max(1, int(len(grams)).bit_length()))
-        if width * (DEPTH + 1) + int(bits) <= 64:
-            both = np.sort((grams << bits) | np.arange(len(grams), dtype=np.uint64))
-            ordered, places = both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        else:
-            places = np.argsort(grams)
-            ordered = grams[places]
-        first = np.append(True, ordered[1:] != ordered[:-1])
-        coded, distinct = ordered[first], np.zeros(int(first.sum()), np.uint64)
-        for d in range(DEPTH, -1, -1):
-            distinct = (distinct << np.uint64(8)) | met[((coded >> np.uint64(d * width)) & np.uint64((1 << width) - 1)).astype(np.int64)].astype(np.uint64)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        values = np.zeros(len(distinct))
-        values[~new] = self.logs[at[~new]] if len(self.known) else 0.0
-        values[new] = self.log10(distinct[new])
-        if len(self.known) > LOGS_HELD:
-            self.known, self.logs = distinct, values
-        else:
-            known, logs = np.append(self.known, distinct[new]), np.append(self.logs, values[new])
-            order = np.argsort(known)
-            self.known, self.logs = known[order], logs[order]
-        out = np.empty(len(places))
-        out[places] = values[np.cumsum(first) - 1]
-        return out
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's byte after its context."""
-        context, byte = grams >> np.uint64(8), (grams & np.uint64(255)).astype(np.int64)
-        out = np.zeros(len(grams))
-        masks = [np.uint64((1 << 8 * d) - 1) for d in range(DEPTH + 1)]
-        for i in range(8):
-            prefix, bit = (byte + 256) >> (8 - i), (byte >> (7 - i)) & 1
-            p, met = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
-            for d in range(DEPTH, -1, -1):
-                slot, tag = place(d, context & masks[d], prefix)
-                there = self.tags[slot] == tag
-                own = self.p[slot] / 65536.0
-                w = np.where(met, self.w[slot] / 65535.0, 1.0)
-                p = np.where(there, w * own + (1 - w) * p, p)
-                met |= there
-            out += np.log10(np.where(bit == 1, p, 1 - p))
-        return out
-
-
-def learn_tree(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and packed nodes of the model of ``texts (text)``; at most ``SLOTS`` of them."""
-    grams = cut(texts.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    slotted = context_tree(grams).mapInArrow(_slot_batches, "slot long, n long, packed long")
-    best = slotted.groupBy("slot").agg(F.max(F.struct("n", "packed")).alias("x")).select("slot", "x.packed").toArrow()
-    return best.column("slot").to_numpy(), best.column("packed").to_numpy()
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: long>>"
-
-
-def _score_batches(nodes, frequent, total: int, kinds: int):
+    met = np.flatnonzero(np.bincount(data, minlength=256))
+    dense = np.zeros(256, np.uint64)
+    dense[met] = np.arange(len(met))
+    width = max(1, int(len(met) - 1).bit_length())
+    grams = rolled(dense[data], width)[own]
+    bits = np.uint64(max(1, int(len(grams)).bit_length()))
+    if width * (DEPTH + 1) + int(bits) <= 64:
+        both = np.sort((grams << bits) | np.arange(len(grams), dtype=np.uint64))
+        ordered, places = both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    else:
+        places = np.argsort(grams)
+        ordered = grams[places]
+    first = np.append(True, ordered[1:] != ordered[:-1])
+    coded, distinct = ordered[first], np.zeros(int(first.sum()), np.int64)
+    for d in (*range(1, DEPTH + 1), 0):
+        distinct = (distinct << 8) | met[((coded >> np.uint64(d * width)) & np.uint64((1 << width) - 1)).astype(np.int64)]
+    which = np.empty(len(places), np.int64)
+    which[places] = np.cumsum(first) - 1
+    return distinct, which
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: long>>, rare_grams array<struct<gram: long, times: long>>"
+
+
+def _score_batches(cached, frequent, total: int, kinds: int):
     def run(batches):
-        model, known, row = Model(*nodes.value), frequent.value, TaskContext.get().partitionId() << 40
+        (grams, gram_logs), known, row = cached.value, frequent.value, TaskContext.get().partitionId() << 40
         under = np.log10(total + 0.5 * (kinds + 1))
         logs = {w: (np.log10(n + 0.5) - under, n > 0) for w, n in known.items()}
         for batch in batches:
             texts = _lower(batch)
-            scores = np.zeros(len(texts))
+            scores, others = np.zeros(len(texts)), [(np.zeros(0, np.int64),) * 3]
             for slab in slabs(texts):
                 data, own, begins = own_grams(slab)
-                np.add.at(scores, [i for i, _ in slab], np.add.reduceat(model.along(data, own), begins))
+                distinct, which = distinct_grams(data, own)
+                at = np.minimum(np.searchsorted(grams, distinct), max(0, len(grams) - 1))
+                hit = grams[at] == distinct if len(grams) else np.zeros(len(distinct), bool)
+                values = np.where(hit, gram_logs[at], 0.0) if len(grams) else np.zeros(len(distinct))
+                rows = np.array([i for i, _ in slab])
+                np.add.at(scores, rows, np.add.reduceat(values[which], begins))
+                if not hit.all():
+                    missed = np.flatnonzero(~hit[which])
+                    part = np.searchsorted(begins, missed, side="right") - 1
+                    pair, times = np.unique(rows[part] * len(distinct) + which[missed], return_counts=True)
+                    others.append((pair // len(distinct), distinct[pair % len(distinct)], times))
+            owner, other, times = map(np.concatenate, zip(*others, strict=True))
+            order = np.argsort(owner, kind="stable")
+            offsets = np.searchsorted(owner[order], np.arange(len(texts) + 1)).astype(np.int32)
+            rare_grams = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(other[order]), pa.array(times[order])], ["gram", "times"]))
             tokens, met, base, rare = [], [], [], []
             for text in texts:
                 words = Counter(text.split())
@@ -286,8 +363,8 @@ def _score_batches(nodes, frequent, total: int, kinds: int):
                 rare.append([{"word": w, "n": n} for w, n in words.items() if w not in logs])
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + len(texts))), batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(met, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-            ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+                pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), rare_grams,
+            ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "rare_grams"])
             row += len(texts)
 
     return run
@@ -304,16 +381,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     short = words.where((F.length("word") <= 64) & (F.col("word") != F.lit(END))).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = {bytes(r["word"]): r["n"] for r in short} | {END: max(0, learning.count())}
     sc = spark.sparkContext
-    scored = cut(docs.mapInArrow(_score_batches(sc.broadcast(learn_tree(learning)), sc.broadcast(frequent), total, kinds), SCORED))
+    logs = learn_grams(docs)
+    scored = cut(docs.mapInArrow(_score_batches(sc.broadcast(most_frequent(logs)), sc.broadcast(frequent), total, kinds), SCORED))
     under = float(np.log10(total + 0.5 * (kinds + 1)))
     seen = F.coalesce(words["n"], F.lit(0))
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
     rare = rare.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * (F.log10(seen + 0.5) - under)).alias("more"), F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more_known")
     )
-    return scored.join(rare, "row", "left").select(
+    others = scored.select("row", F.explode("rare_grams").alias("x")).select("row", "x.gram", "x.times")
+    others = others.join(logs, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+    return scored.join(rare, "row", "left").join(others, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

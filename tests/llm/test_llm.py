@@ -307,6 +307,49 @@ def test_op10_base_is_exact_and_the_model_beats_it(spark):
     assert larger.model > 0.98 * larger.base and larger.share > 0.75
 
 
+def weighted_by_hand(learning, texts):
+    """Context-tree weighting over bytes with a dict of all nodes, as plain loops."""
+    depth, end = lm_scoring.DEPTH, lm_scoring.END
+    coded = lambda t: [(end * depth + (t or "").encode().lower() + end)[i - depth : i + 1] for i in range(depth, len((t or "").encode()) + depth + 1)]
+    choices = lambda g: [((g[-1] + 256) >> (8 - i), (g[-1] >> (7 - i)) & 1) for i in range(8)]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t in learning:
+        for g in coded(t):
+            for prefix, bit in choices(g):
+                for d in range(depth + 1):
+                    counts[g[depth - d : depth], prefix][bit] += 1
+    weight, splits = {}, collections.defaultdict(float)
+    for (context, prefix), (a, b) in sorted(counts.items(), key=lambda x: -len(x[0][0])):
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+        total = own if len(context) == depth else float(np.logaddexp(own, splits[context, prefix])) - math.log(2)
+        weight[context, prefix] = 1.0 if len(context) == depth else math.exp(own - math.log(2) - total)
+        if context:
+            splits[context[1:], prefix] += total
+    def log10(g):
+        out = 0.0
+        for prefix, bit in choices(g):
+            p, met = 0.5, False
+            for d in range(depth, -1, -1):
+                node = (g[depth - d : depth], prefix)
+                if node in counts:
+                    w = weight[node] if met else 1.0
+                    p, met = w * (counts[node][1] + 0.5) / (sum(counts[node]) + 1) + (1 - w) * p, True
+            out += math.log10(p if bit else 1 - p)
+        return out
+    return [sum(map(log10, coded(t))) for t in texts]
+
+
+@pytest.mark.parametrize("cached", [1 << 21, 300, 0])
+def test_op10_scores_with_every_node(spark, monkeypatch, cached):
+    monkeypatch.setattr(lm_scoring, "CACHED", cached, raising=False)
+    texts = [r.text for r in table(spark, "documents", SMALL).where("length(text) < 900").orderBy("doc_id").limit(30).collect()]
+    rows = [*enumerate(texts), (900, None), (901, ""), (902, "né 🎉 unmet zqzq"), (None, "né"), (903, texts[0])]
+    held = {r.doc_id: r.held_out for r in documents(spark, rows).select("doc_id", (lm_scoring.fold() == 1).alias("held_out")).collect()}
+    expected = collections.Counter(zip((i for i, _ in rows), (round(x, 5) for x in weighted_by_hand([t for i, t in rows if not held[i]], [t for _, t in rows])), strict=True))
+    assert any(held.values())
+    assert collections.Counter((r.doc_id, round(r.score, 5)) for r in lm_scoring.score_documents(documents(spark, rows)).collect()) == expected
+
+
 def test_pipeline(spark):
     docs, kept = table(spark, "documents", SMALL), {}
     current = docs

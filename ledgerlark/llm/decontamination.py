@@ -4,8 +4,9 @@ Texts are sequences of words (case and punctuation aside). The CGK random walk r
 puts out the word it stands on and moves on or stays, as a random function of step and word says. So it embeds edit distance
 into Hamming distance, and bit sampling finds windows close to an item: a key is the words put out at ``BITS`` sampled steps.
 ``WALKS`` walks with ``SETS`` keys for each reach are drawn; with them, 0.9 of the items with a fifth of their words edited are
-found on average (measured in the tests), and every verbatim copy. A walk of n steps stays inside an item of n words, so
-windows are item-sized for every item.
+found on average (measured in the tests), and every verbatim copy. A walk of n steps stays inside what it starts on, and moves
+on half the time. So that edits in one place don't hide an item, its keys are taken from anchors all over it; a text is walked
+from every word of a possible window, and what is found is shifted back by the anchor.
 
 Before any walk, a window must have enough words and word pairs that some item has: a match lacks at most ``edits`` words of an
 item and twice as many pairs, so this loses nothing. The tasks get three bitmaps of fixed size (words, pairs and keys of the
@@ -33,6 +34,7 @@ WORD_BITS, PAIR_BITS, KEY_BITS = 20, 22, 22
 SLAB = 1 << 19
 WORD = re.compile(r"\w+")
 PAD = max(REACHES)
+STRIDE = 8
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,6 +52,12 @@ def reaches(n: int) -> list[int]:
     return [r for r in fits if r >= 8] or fits[-1:]
 
 
+def anchors(n: int) -> dict[int, list[int]]:
+    """Places in an item of ``n`` words that walks start from, with their lengths: all at its start, then one at every ``STRIDE`` words, just behind an edited opening, and at the last place for 8 steps."""
+    later = {*range(STRIDE, n - 7, STRIDE), edits(n), max(0, n - 8)} - {0}
+    return {0: reaches(n)} | {a: [max(r for r in REACHES if r <= min(16, n - a))] for a in sorted(later)}
+
+
 def pairs(words: np.ndarray) -> np.ndarray:
     """Hashes of the pairs that each word makes with the next."""
     return mix(words[:-1] + mix(words[1:] ^ np.uint64(0xD6E8FEB86659FD93)))
@@ -88,10 +96,10 @@ def _item_keys(batches):
             words = words_of(text)
             if words:
                 h = np.concatenate([hashes.of(words), np.zeros(PAD, np.uint64)])
-                keys = sorted({int(k[0]) for _, k in walk_keys(h, np.zeros(1, np.int64), reaches(len(words)))})
-                rows.append((item, np.array(keys, np.uint64).astype(np.int64).tolist(), len(words), " ".join(words), sorted({int(x >> np.uint64(64 - WORD_BITS)) for x in h[: len(words)]}), sorted({int(x >> np.uint64(64 - PAIR_BITS)) for x in pairs(h[: len(words)])})))
+                keys = sorted({(int(k[0].astype(np.int64)), a) for a, used in anchors(len(words)).items() for _, k in walk_keys(h, np.full(1, a, np.int64), used)})
+                rows.append((item, [{"key": k, "anchor": a} for k, a in keys], len(words), " ".join(words), sorted({int(x >> np.uint64(64 - WORD_BITS)) for x in h[: len(words)]}), sorted({int(x >> np.uint64(64 - PAIR_BITS)) for x in pairs(h[: len(words)])})))
         columns = [*zip(*rows, strict=True)] if rows else [[]] * 6
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.list_(pa.struct([("key", pa.int64()), ("anchor", pa.int64())])), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item_id", "keys", "n", "words", "word_bits", "pair_bits"])
 
 
@@ -104,11 +112,11 @@ def bitmap(places: DataFrame, bits: int) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-FOUND = "uid long, _id long, _hash long, begin long, keys array<long>, words string"
+FOUND = "uid long, _id long, _hash long, begin long, place long, keys array<long>, words string"
 
 
 def _window_batches(maps, classes: list[tuple[int, int]]):
-    used = sorted({r for lo, hi in classes for n in (lo, hi) for r in reaches(n)} | {r for r in REACHES if any(lo <= r <= hi for lo, hi in classes)})
+    used = sorted({r for lo, hi in classes for n in range(lo, hi + 1) for rs in anchors(n).values() for r in rs})
     longest = max(hi for _, hi in classes)
     around = longest + 2 * edits(longest)
 
@@ -125,7 +133,9 @@ def _window_batches(maps, classes: list[tuple[int, int]]):
         for lo, hi in classes:
             reach = hi + edits(hi)
             few = min(size - 1 - 2 * edits(size) for size in range(lo, hi + 1))
-            possible |= (words[reach : reach + n] - words[:n] >= lo - edits(lo)) & (both[reach - 1 : reach - 1 + n] - both[:n] >= few)
+            starts = (words[reach : reach + n] - words[:n] >= lo - edits(lo)) & (both[reach - 1 : reach - 1 + n] - both[:n] >= few)
+            before = np.append(0, np.cumsum(starts, dtype=np.int32))
+            possible |= before[1:] > before[np.maximum(np.arange(n) - reach + 1, 0)]
         at = np.flatnonzero(possible & (hashes != 0))
         out: dict[int, list[int]] = {}
         if len(at):
@@ -151,10 +161,11 @@ def _window_batches(maps, classes: list[tuple[int, int]]):
                 i = int(np.searchsorted(begins, at, side="right")) - 1
                 key, digest, own = rows[i]
                 p = at - int(begins[i])
-                found.append((uid, key, digest, p, keys, " ".join(own[max(0, p - edits(longest)) : p + around])))
+                left = max(0, p - longest - edits(longest))
+                found.append((uid, key, digest, p, p - left, keys, " ".join(own[left : p + around])))
                 uid += 1
-            columns = [*zip(*found, strict=True)] if found else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.string()]
+            columns = [*zip(*found, strict=True)] if found else [[]] * 7
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
         for batch in batches:
@@ -191,43 +202,48 @@ def best_match(item: list[str], text: list[str]) -> int:
     return best
 
 
-def _verify(batches):
+def _verify(longest: int):
     """Exact distances; null where words or word pairs of the item that the stretch lacks already rule a match out."""
-    held: dict[str, tuple] = {}
-    for batch in batches:
-        distance = []
-        for item, stretch in zip(batch.column("item_words").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            if item not in held:
-                if len(held) > 4096:
-                    held.clear()
-                words = item.split(" ")
-                held[item] = words, set(words), set(zip(words, words[1:], strict=False)), edits(len(words))
-            words, single, double, most = held[item]
-            own = stretch.split(" ")
-            possible = len(single.difference(own)) <= most and len(double.difference(zip(own, own[1:], strict=False))) <= 2 * most
-            distance.append(best_match(words, own) if possible else None)
-        names = ["_id", "_hash", "item_id", "begin", "n"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(distance, pa.int64())], [*names, "edits"])
+
+    def run(batches):
+        held: dict[str, tuple] = {}
+        for batch in batches:
+            distance = []
+            for item, stretch, place, anchor in zip(*(batch.column(c).to_pylist() for c in ("item_words", "words", "place", "anchor")), strict=True):
+                if item not in held:
+                    if len(held) > 4096:
+                        held.clear()
+                    words = item.split(" ")
+                    held[item] = words, set(words), set(zip(words, words[1:], strict=False)), edits(len(words))
+                words, single, double, most = held[item]
+                start = place - anchor
+                own = stretch.split(" ")[max(0, start - edits(longest)) : max(0, start + longest + 2 * edits(longest))]
+                possible = len(single.difference(own)) <= most and len(double.difference(zip(own, own[1:], strict=False))) <= 2 * most
+                distance.append(best_match(words, own) if possible else None)
+            names = ["_id", "_hash", "item_id", "begin", "n"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(distance, pa.int64())], [*names, "edits"])
+
+    return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (_id, _hash, item_id, n, edits, begin) of ``docs (doc_id, text)`` that hold an item of ``benchmark (item_id, text)``."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = cut(benchmark.select("item_id", "text").mapInArrow(_item_keys, "item_id long, keys array<long>, n long, words string, word_bits array<long>, pair_bits array<long>"))
+    items = cut(benchmark.select("item_id", "text").mapInArrow(_item_keys, "item_id long, keys array<struct<key: long, anchor: long>>, n long, words string, word_bits array<long>, pair_bits array<long>"))
     # Sizes that differ by up to a tenth share one bound on the words a window must have.
     sizes = items.groupBy(F.floor(F.log("n") / np.log(1.1)).alias("class")).agg(F.min("n"), F.max("n")).collect()
     if not sizes:
         return spark.createDataFrame([], "_id long, _hash long, item_id long, n long, edits long, begin long")
-    item_keys = items.select("item_id", F.explode("keys").alias("key"))
+    item_keys = items.select("item_id", F.explode("keys").alias("x")).select("item_id", "x.key", "x.anchor")
     places = F.shiftrightunsigned("key", 64 - KEY_BITS)
     maps = (bitmap(items.select(F.explode("word_bits").alias("place")), WORD_BITS), bitmap(items.select(F.explode("pair_bits").alias("place")), PAIR_BITS), bitmap(item_keys.select(places.alias("place")), KEY_BITS))
     sent = spark.sparkContext.broadcast(maps)
     found = cut(docs.select(*row_key(), "text").mapInArrow(_window_batches(sent, [(r[1], r[2]) for r in sizes]), FOUND))
-    pairs = found.select("uid", F.explode("keys").alias("key")).join(item_keys, "key").select("uid", "item_id").distinct()
+    pairs = found.select("uid", F.explode("keys").alias("key")).join(item_keys, "key").select("uid", "item_id", "anchor").distinct()
     texts = items.select(F.col("item_id").alias("own_id"), "n", F.col("words").alias("item_words")).dropDuplicates(["own_id", "item_words"])
-    checked = pairs.join(found.drop("keys"), "uid").join(texts, F.col("item_id").eqNullSafe(F.col("own_id"))).select("_id", "_hash", "item_id", "begin", "n", "item_words", "words")
-    checked = checked.mapInArrow(_verify, "_id long, _hash long, item_id long, begin long, n long, edits long")
+    checked = pairs.join(found.drop("keys"), "uid").join(texts, F.col("item_id").eqNullSafe(F.col("own_id"))).select("_id", "_hash", "item_id", F.greatest(F.col("begin") - F.col("anchor"), F.lit(0)).alias("begin"), "n", "item_words", "words", "place", "anchor")
+    checked = checked.mapInArrow(_verify(max(r[2] for r in sizes)), "_id long, _hash long, item_id long, begin long, n long, edits long")
     near = checked.where(F.col("edits") <= F.floor(F.col("n") * SHARE))
     return near.groupBy("_id", "_hash", "item_id").agg(F.min(F.struct("edits", "n", "begin")).alias("x")).select("_id", "_hash", "item_id", "x.n", "x.edits", "x.begin")
 

@@ -157,6 +157,21 @@ def test_op2_recall_of_edited_items(spark):
     assert len(found) >= 90
 
 
+def test_op2_recall_of_items_edited_in_one_place(spark):
+    rng = np.random.default_rng(6)
+    items, rows = [], []
+    for size in (24, 40, 58, 100, 300):
+        for where in ("start", "middle", "end", "cut"):
+            for _ in range(10):
+                words, most = [f"q{x}" for x in rng.integers(3000, size=size)], decontamination.edits(size)
+                items.append((len(items), " ".join(words)))
+                at = {"start": 0, "middle": (size - most) // 2, "end": size - most, "cut": 0}[where]
+                words[at : at + most] = [] if where == "cut" else ["changed"] * most
+                rows.append((len(rows), "lead in words " + " ".join(words) + " trailing words"))
+    found = {(r["_id"], r["item_id"]) for r in decontamination.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(i, i) for i in range(len(items))}
+
+
 def test_op3_equals_the_library(spark):
     from tokenizers import Tokenizer
 

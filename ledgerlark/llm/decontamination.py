@@ -8,9 +8,11 @@ found on average (measured in the tests), and every verbatim copy. A walk of n s
 on half the time. So that edits in one place don't hide an item, its keys are taken from anchors all over it; a text is walked
 from every word of a possible window, and what is found is shifted back by the anchor.
 
-Before any walk, a window must have enough words and word pairs that some item has: a match lacks at most ``edits`` words of an
-item and twice as many pairs, so this loses nothing. The tasks get three bitmaps of fixed size (words, pairs and keys of the
-items), however many items there are; what passes is joined with the items by key, and the best match's edit distance, in words, is computed exactly.
+Before any walk, a stretch of a text must hold enough grams of ``GRAMS`` words that some item has: ``edits`` edits of an item of n
+words leave n - q + 1 - q * edits of its grams of q words, so this loses nothing. What passes is a run of words that holds every
+possible match whole, however long the items are. The tasks get two bitmaps of fixed size (grams and keys of the items),
+however many items there are; runs with a key are joined with the items by key, once a run and item, and the edit distance of
+the best match, in words, is computed exactly over the run.
 
 Defined cases: null, empty and wordless texts match nothing, on either side; an item of fewer than five words must match
 without edits; null and repeated ids are passed through; an empty table on either side gives no rows.
@@ -30,7 +32,8 @@ from .common import WordHashes, bounded_batches, cut, mix, row_key, table, witho
 WALKS, SETS, BITS = 4, 4, 4
 REACHES = (1, 2, 4, 8, 16, 32, 64)
 SHARE = 0.2
-WORD_BITS, PAIR_BITS, KEY_BITS = 20, 22, 22
+GRAMS = (1, 2, 3, 4)
+GRAM_BITS, KEY_BITS = 24, 26
 SLAB = 1 << 19
 WORD = re.compile(r"\w+")
 PAD = max(REACHES)
@@ -58,9 +61,22 @@ def anchors(n: int) -> dict[int, list[int]]:
     return {0: reaches(n)} | {a: [max(r for r in REACHES if r <= min(16, n - a))] for a in sorted(later)}
 
 
-def pairs(words: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs that each word makes with the next."""
-    return mix(words[:-1] + mix(words[1:] ^ np.uint64(0xD6E8FEB86659FD93)))
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the grams of ``size`` words."""
+    last = len(words) - size + 1
+    out = words[: max(0, last)].copy()
+    for j in range(1, size):
+        out = mix(out + mix(words[j : j + last] ^ np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1)))
+    return out
+
+
+def places(hashes: np.ndarray, bits: int, probe: int = 0) -> np.ndarray:
+    """Places of hashes in a bitmap; a second probe uses other bits."""
+    return ((hashes >> np.uint64(64 - bits - 12 * probe)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def marked(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1
 
 
 def samples() -> dict[tuple[int, int, int], np.ndarray]:
@@ -95,12 +111,15 @@ def _item_keys(batches):
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = words_of(text)
             if words:
-                h = np.concatenate([hashes.of(words), np.zeros(PAD, np.uint64)])
-                keys = sorted({(int(k[0].astype(np.int64)), a) for a, used in anchors(len(words)).items() for _, k in walk_keys(h, np.full(1, a, np.int64), used)})
-                rows.append((item, [{"key": k, "anchor": a} for k, a in keys], len(words), " ".join(words), sorted({int(x >> np.uint64(64 - WORD_BITS)) for x in h[: len(words)]}), sorted({int(x >> np.uint64(64 - PAIR_BITS)) for x in pairs(h[: len(words)])})))
+                own = hashes.of(words)
+                h = np.concatenate([own, np.zeros(PAD, np.uint64)])
+                keys = np.unique(np.concatenate([k for a, used in anchors(len(words)).items() for _, k in walk_keys(h, np.full(1, a, np.int64), used)]))
+                held = np.unique(np.concatenate([places(grams(own, q), GRAM_BITS) for q in GRAMS]))
+                probes = np.unique(np.concatenate([places(keys, KEY_BITS, probe) for probe in (0, 1)]))
+                rows.append((item, keys.astype(np.int64), len(words), " ".join(words), held, probes))
         columns = [*zip(*rows, strict=True)] if rows else [[]] * 6
-        kinds = [pa.int64(), pa.list_(pa.struct([("key", pa.int64()), ("anchor", pa.int64())])), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item_id", "keys", "n", "words", "word_bits", "pair_bits"])
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item_id", "keys", "n", "words", "gram_places", "key_places"])
 
 
 def bitmap(places: DataFrame, bits: int) -> np.ndarray:
@@ -109,40 +128,49 @@ def bitmap(places: DataFrame, bits: int) -> np.ndarray:
     rows = packed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return out.view(np.uint8)
 
 
-FOUND = "uid long, _id long, _hash long, begin long, place long, keys array<long>, words string"
+FOUND = "uid long, _id long, _hash long, place long, keys array<long>, words string"
 
 
-def _window_batches(maps, classes: list[tuple[int, int]]):
+def _run_batches(maps, classes: list[tuple[int, int]]):
     used = sorted({r for lo, hi in classes for n in range(lo, hi + 1) for rs in anchors(n).values() for r in rs})
-    longest = max(hi for _, hi in classes)
-    around = longest + 2 * edits(longest)
-
-    def search(hashes: np.ndarray, maps) -> dict[int, list[int]]:
-        """Starts of windows with keys of items, over texts laid end to end, each followed by ``PAD`` blanks."""
-        word_map, pair_map, key_map = maps
-        known = word_map[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
-        known[hashes == 0] = 0
-        paired = np.append(pair_map[(pairs(hashes) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)], 0)
-        n, most = len(hashes), longest + edits(longest)
-        words = np.concatenate([[0], np.cumsum(known, dtype=np.int32), np.full(most, known.sum(dtype=np.int32), np.int32)])
-        both = np.concatenate([[0], np.cumsum(paired, dtype=np.int32), np.full(most, paired.sum(dtype=np.int32), np.int32)])
-        possible = np.zeros(n, bool)
-        for lo, hi in classes:
-            reach = hi + edits(hi)
-            few = min(size - 1 - 2 * edits(size) for size in range(lo, hi + 1))
-            starts = (words[reach : reach + n] - words[:n] >= lo - edits(lo)) & (both[reach - 1 : reach - 1 + n] - both[:n] >= few)
+    # For each class of sizes: the words that a match may take up, and the grams of each size that it must hold.
+    bounds = [(hi + edits(hi), [(q, few) for q in GRAMS if (few := min(n - q + 1 - q * edits(n) for n in range(lo, hi + 1))) > 0]) for lo, hi in classes]
+
+    def possible(hashes: np.ndarray, gram_map: np.ndarray) -> np.ndarray:
+        """Which words lie in a stretch with enough grams of items."""
+        n, most = len(hashes), max(reach for reach, _ in bounds)
+        sums = {q: np.concatenate([[0], np.cumsum(marked(gram_map, places(grams(hashes, q), GRAM_BITS)), dtype=np.int32)]) for q in GRAMS}
+        sums = {q: np.append(x, np.full(most + q, x[-1], np.int32)) for q, x in sums.items()}
+        out = np.zeros(n, bool)
+        for reach, needed in bounds:
+            starts = np.ones(n, bool)
+            for q, few in needed:
+                starts &= sums[q][max(1, reach - q + 1) :][:n] - sums[q][:n] >= few
             before = np.append(0, np.cumsum(starts, dtype=np.int32))
-            possible |= before[1:] > before[np.maximum(np.arange(n) - reach + 1, 0)]
-        at = np.flatnonzero(possible & (hashes != 0))
-        out: dict[int, list[int]] = {}
-        if len(at):
-            for _, keys in walk_keys(hashes, at, used):
-                for i in np.flatnonzero(key_map[(keys >> np.uint64(64 - KEY_BITS)).astype(np.int64)]):
-                    out.setdefault(int(at[i]), []).append(int(keys[i].astype(np.int64)))
-        return out
+            out |= before[1:] > before[np.maximum(np.arange(n) - reach + 1, 0)]
+        return out & (hashes != 0)
+
+    def search(hashes: np.ndarray, maps):
+        """Runs of words (begin, end, keys of items in them) in texts laid end to end, each followed by ``PAD`` blanks."""
+        gram_map, key_map = maps
+        at = np.flatnonzero(possible(hashes, gram_map))
+        if not len(at):
+            return
+        run = np.append(0, np.cumsum(at[1:] != at[:-1] + 1))
+        runs, keys = [], []
+        for _, own in walk_keys(hashes, at, used):
+            hit = np.flatnonzero(marked(key_map, places(own, KEY_BITS)) & marked(key_map, places(own, KEY_BITS, 1)))
+            runs.append(run[hit])
+            keys.append(own[hit].astype(np.int64))
+        runs, keys = np.concatenate(runs), np.concatenate(keys)
+        heads = np.append(np.searchsorted(run, np.arange(run[-1] + 1)), len(at))
+        order = np.argsort(runs, kind="stable")
+        runs, keys = runs[order], keys[order]
+        for i, own in zip(*(np.unique(runs), np.split(keys, np.flatnonzero(runs[1:] != runs[:-1]) + 1)), strict=False):
+            yield int(at[heads[i]]), int(at[heads[i + 1] - 1]) + 1, np.unique(own)
 
     def run(batches):
         from pyspark import TaskContext
@@ -157,15 +185,13 @@ def _window_batches(maps, classes: list[tuple[int, int]]):
                 words += [hashes.of(w), pad]
             sizes = np.array([len(w) + PAD for _, _, w in rows])
             begins = np.cumsum(sizes) - sizes
-            for at, keys in search(np.concatenate(words), held).items():
-                i = int(np.searchsorted(begins, at, side="right")) - 1
+            for begin, end, keys in search(np.concatenate(words), held):
+                i = int(np.searchsorted(begins, begin, side="right")) - 1
                 key, digest, own = rows[i]
-                p = at - int(begins[i])
-                left = max(0, p - longest - edits(longest))
-                found.append((uid, key, digest, p, p - left, keys, " ".join(own[left : p + around])))
+                found.append((uid, key, digest, begin - int(begins[i]), keys, " ".join(own[begin - int(begins[i]) : end - int(begins[i])])))
                 uid += 1
-            columns = [*zip(*found, strict=True)] if found else [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.string()]
+            columns = [*zip(*found, strict=True)] if found else [[]] * 6
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
         for batch in batches:
@@ -184,67 +210,65 @@ def _window_batches(maps, classes: list[tuple[int, int]]):
     return run
 
 
-def best_match(item: list[str], text: list[str]) -> int:
-    """Least edit distance, in words, between ``item`` and any stretch of ``text`` (Myers' bit-parallel search)."""
+def best_match(item: list[str], text: list[str]) -> tuple[int, int]:
+    """Least edit distance, in words, between ``item`` and any stretch of ``text``, and where the first such stretch ends (Myers' bit-parallel search)."""
     n, full, high = len(item), (1 << len(item)) - 1, 1 << (len(item) - 1)
-    places: dict[str, int] = {}
+    held: dict[str, int] = {}
     for i, word in enumerate(item):
-        places[word] = places.get(word, 0) | 1 << i
-    up, down, score, best = full, 0, n, n
-    for word in text:
-        eq = places.get(word, 0)
+        held[word] = held.get(word, 0) | 1 << i
+    up, down, score, best, end = full, 0, n, n, 0
+    for at, word in enumerate(text):
+        eq = held.get(word, 0)
         zero = (((eq & up) + up) ^ up) | eq | down
         plus, minus = down | (full & ~(zero | up)), up & zero
         score += 1 if plus & high else -1 if minus & high else 0
         plus, minus = (plus << 1) & full, (minus << 1) & full
         up, down = minus | (full & ~(zero | plus)), plus & zero
-        best = min(best, score)
-    return best
-
+        if score < best:
+            best, end = score, at + 1
+    return best, end
 
-def _verify(longest: int):
-    """Exact distances; null where words or word pairs of the item that the stretch lacks already rule a match out."""
 
-    def run(batches):
-        held: dict[str, tuple] = {}
-        for batch in batches:
-            distance = []
-            for item, stretch, place, anchor in zip(*(batch.column(c).to_pylist() for c in ("item_words", "words", "place", "anchor")), strict=True):
-                if item not in held:
-                    if len(held) > 4096:
-                        held.clear()
-                    words = item.split(" ")
-                    held[item] = words, set(words), set(zip(words, words[1:], strict=False)), edits(len(words))
-                words, single, double, most = held[item]
-                start = place - anchor
-                own = stretch.split(" ")[max(0, start - edits(longest)) : max(0, start + longest + 2 * edits(longest))]
-                possible = len(single.difference(own)) <= most and len(double.difference(zip(own, own[1:], strict=False))) <= 2 * most
-                distance.append(best_match(words, own) if possible else None)
-            names = ["_id", "_hash", "item_id", "begin", "n"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(distance, pa.int64())], [*names, "edits"])
-
-    return run
+def _verify(batches):
+    """Distance of the best match of each (run, item) and where it begins, of those within the bound."""
+    held: dict[str, tuple] = {}
+    for batch in batches:
+        rows = []
+        for i, (item, stretch, place) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("item_words", "words", "place")), strict=True)):
+            if item not in held:
+                if len(held) > 4096:
+                    held.clear()
+                words = item.split(" ")
+                held[item] = words, set(words), set(zip(words, words[1:], strict=False)), edits(len(words))
+            words, single, double, most = held[item]
+            own = stretch.split(" ")
+            # A match lacks at most ``most`` words of the item and twice as many pairs of words.
+            if len(single.difference(own)) <= most and len(double.difference(zip(own, own[1:], strict=False))) <= 2 * most:
+                best, end = best_match(words, own)
+                if best <= most:
+                    rows.append((i, best, place + end - best_match(words[::-1], own[:end][::-1])[1]))
+        at, best, begin = (pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 3))
+        names = ["_id", "_hash", "item_id", "n"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), best, begin], [*names, "edits", "begin"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (_id, _hash, item_id, n, edits, begin) of ``docs (doc_id, text)`` that hold an item of ``benchmark (item_id, text)``."""
+    """Rows (_id, _hash, item_id, n, edits, begin) of ``docs (doc_id, text)`` that hold an item of ``benchmark (item_id, text)``; ``begin`` counts words."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = cut(benchmark.select("item_id", "text").mapInArrow(_item_keys, "item_id long, keys array<struct<key: long, anchor: long>>, n long, words string, word_bits array<long>, pair_bits array<long>"))
-    # Sizes that differ by up to a tenth share one bound on the words a window must have.
+    items = cut(benchmark.select("item_id", "text").mapInArrow(_item_keys, "item_id long, keys array<long>, n long, words string, gram_places array<long>, key_places array<long>"))
+    # Sizes that differ by up to a tenth share one bound on the grams a stretch must hold.
     sizes = items.groupBy(F.floor(F.log("n") / np.log(1.1)).alias("class")).agg(F.min("n"), F.max("n")).collect()
     if not sizes:
         return spark.createDataFrame([], "_id long, _hash long, item_id long, n long, edits long, begin long")
-    item_keys = items.select("item_id", F.explode("keys").alias("x")).select("item_id", "x.key", "x.anchor")
-    places = F.shiftrightunsigned("key", 64 - KEY_BITS)
-    maps = (bitmap(items.select(F.explode("word_bits").alias("place")), WORD_BITS), bitmap(items.select(F.explode("pair_bits").alias("place")), PAIR_BITS), bitmap(item_keys.select(places.alias("place")), KEY_BITS))
+    maps = bitmap(items.select(F.explode("gram_places").alias("place")), GRAM_BITS), bitmap(items.select(F.explode("key_places").alias("place")), KEY_BITS)
     sent = spark.sparkContext.broadcast(maps)
-    found = cut(docs.select(*row_key(), "text").mapInArrow(_window_batches(sent, [(r[1], r[2]) for r in sizes]), FOUND))
-    pairs = found.select("uid", F.explode("keys").alias("key")).join(item_keys, "key").select("uid", "item_id", "anchor").distinct()
+    found = cut(docs.select(*row_key(), "text").mapInArrow(_run_batches(sent, [(r[1], r[2]) for r in sizes]), FOUND))
+    item_keys = items.select("item_id", F.explode("keys").alias("key")).distinct()
+    pairs = found.select("uid", F.explode("keys").alias("key")).join(item_keys, "key").select("uid", "item_id").distinct()
     texts = items.select(F.col("item_id").alias("own_id"), "n", F.col("words").alias("item_words")).dropDuplicates(["own_id", "item_words"])
-    checked = pairs.join(found.drop("keys"), "uid").join(texts, F.col("item_id").eqNullSafe(F.col("own_id"))).select("_id", "_hash", "item_id", F.greatest(F.col("begin") - F.col("anchor"), F.lit(0)).alias("begin"), "n", "item_words", "words", "place", "anchor")
-    checked = checked.mapInArrow(_verify(max(r[2] for r in sizes)), "_id long, _hash long, item_id long, begin long, n long, edits long")
-    near = checked.where(F.col("edits") <= F.floor(F.col("n") * SHARE))
+    candidates = pairs.join(found.drop("keys"), "uid").join(texts, F.col("item_id").eqNullSafe(F.col("own_id"))).select("_id", "_hash", "item_id", "n", "item_words", "words", "place")
+    near = candidates.mapInArrow(_verify, "_id long, _hash long, item_id long, n long, edits long, begin long")
     return near.groupBy("_id", "_hash", "item_id").agg(F.min(F.struct("edits", "n", "begin")).alias("x")).select("_id", "_hash", "item_id", "x.n", "x.edits", "x.begin")
 
 

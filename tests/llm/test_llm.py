@@ -136,40 +136,53 @@ def test_op2_brute_force(spark):
     expected = set()
     for doc, t in texts.items():
         words = decontamination.words_of(t)
-        expected |= {(doc, i) for i, w in items if w and decontamination.best_match(w, words) <= decontamination.edits(len(w))}
+        expected |= {(doc, i) for i, w in items if w and decontamination.best_match(w, words)[0] <= decontamination.edits(len(w))}
     found = {(r.doc_id, r.item_id) for r in decontamination.op2_decontaminate(spark, SMALL).collect()}
     assert found <= expected
     assert len(found) >= 0.9 * len(expected) > 0
 
 
-def test_op2_recall_of_edited_items(spark):
+def edited(rng, words, kind, where):
+    """``words`` with as many edits of one kind as an item of that size allows, spread at random or in one place."""
+    most, n = decontamination.edits(len(words)), len(words)
+    at = rng.choice(n, most, replace=False) if where == "random" else {"start": 0, "middle": (n - most) // 2, "end": n - most}[where] + np.arange(most)
+    out, at = [], set(at.tolist())
+    for i, word in enumerate(words):
+        if i not in at or kind == "insert":
+            out.append(word)
+        if i in at and kind != "delete":
+            out.append(f"new{i}")
+    return out
+
+
+def test_op2_recall_of_each_kind_of_edit(spark):
     rng = np.random.default_rng(5)
-    items = [(i, " ".join(f"q{rng.integers(3000)}" for _ in range(60))) for i in range(100)]
-    rows = []
-    for i, t in items:
-        words = t.split()
-        for at in rng.choice(60, 12 if i % 2 else 0, replace=False):
-            words[at] = "changed"
-        rows.append((i, "lead in words " + " ".join(words) + " trailing words"))
-    found = {(r["_id"], r["item_id"]) for r in decontamination.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert found <= {(i, i) for i in range(100)}
-    assert {(i, i) for i in range(0, 100, 2)} <= found
-    assert len(found) >= 90
-
-
-def test_op2_recall_of_items_edited_in_one_place(spark):
-    rng = np.random.default_rng(6)
-    items, rows = [], []
-    for size in (24, 40, 58, 100, 300):
-        for where in ("start", "middle", "end", "cut"):
-            for _ in range(10):
-                words, most = [f"q{x}" for x in rng.integers(3000, size=size)], decontamination.edits(size)
-                items.append((len(items), " ".join(words)))
-                at = {"start": 0, "middle": (size - most) // 2, "end": size - most, "cut": 0}[where]
-                words[at : at + most] = [] if where == "cut" else ["changed"] * most
-                rows.append((len(rows), "lead in words " + " ".join(words) + " trailing words"))
-    found = {(r["_id"], r["item_id"]) for r in decontamination.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert found == {(i, i) for i in range(len(items))}
+    items, rows, kinds = [], [], {}
+    for kind in ("substitute", "delete", "insert"):
+        for where in ("random", "start", "middle", "end"):
+            for size in (8, 16, 30, 60, 120, 500):
+                for _ in range(10 if size < 500 else 5):
+                    words = [f"q{x}" for x in rng.integers(3000, size=size)]
+                    kinds[len(items)] = kind, where, size
+                    rows.append((len(items), "lead in words " + " ".join(edited(rng, words, kind, where)) + " trailing words"))
+                    items.append((len(items), " ".join(words)))
+    verbatim = [(10_000 + i, "some text before " + t + " and after") for i, t in items]
+    found = {(r["_id"], r["item_id"]) for r in decontamination.find_leaks(documents(spark, rows + verbatim), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(10_000 + i, i) for i, _ in items} <= found <= {(k, i) for i, _ in items for k in (i, 10_000 + i)}
+    for part in (0, 1, 2):
+        for value in {k[part] for k in kinds.values()}:
+            own = [i for i, k in kinds.items() if k[part] == value]
+            assert np.mean([(i, i) in found for i in own]) >= 0.9, value
+    for kind, where in {k[:2] for k in kinds.values()}:
+        own = [i for i, k in kinds.items() if k[:2] == (kind, where)]
+        assert np.mean([(i, i) in found for i in own]) >= 0.9, (kind, where)
+
+
+def test_op2_says_where_and_how_far(spark):
+    item = [f"w{i}" for i in range(20)]
+    text = ["before"] * 7 + item[:5] + ["other"] + item[6:] + ["after"] * 9
+    row = decontamination.find_leaks(documents(spark, [(1, " ".join(text))]), spark.createDataFrame([(4, " ".join(item))], "item_id long, text string")).first()
+    assert (row["_id"], row["item_id"], row["n"], row["edits"], row["begin"]) == (1, 4, 20, 1, 7)
 
 
 def test_op3_equals_the_library(spark):

@@ -1,12 +1,15 @@
 """Token counts by a compiled finite-state transducer.
 
-A byte-level BPE vocabulary splits a text into pieces by a fixed pattern and then merges inside each piece. The pattern is
-compiled into a deterministic transducer over character classes whose transitions carry the piece boundaries they emit;
-closing a piece emits the piece's token count, an annotation compiled from the vocabulary when a piece is first met.
+A byte-level BPE vocabulary splits a text into pieces by a fixed pattern and then merges inside each piece. Both are compiled.
+``compile_transducer`` gives a deterministic transducer over character classes whose transitions carry the piece boundaries
+they emit. ``MergeTransducer`` reads a piece's bytes; a transition is annotated with the number of tokens it emits, which is
+by how many the tokens of the longer prefix are more than those of the shorter (it can be negative, when bytes merge). Its
+states and transitions are compiled from the vocabulary when they are first met, the library is not asked.
 
 Texts are cut into chunks of ``CHUNK`` characters. Every chunk is run from all entry states at once, which gives a map from
 entry to exit state; the maps of a text's chunks are composed by a parallel prefix scan, the entry states read off, and a
-second run emits the boundaries. All chunks of a slab move in step, as arrays.
+second run emits the boundaries. All chunks of a slab move in step, as arrays. The merge transducer starts anew in every
+piece, so the emitted counts of the pieces add up; sums of whole pieces are kept under the piece itself.
 
 Defined cases: a null text counts as empty and has no tokens; special strings inside a text count as one token each, as the
 library does by default; ids are passed through, null or repeated.
@@ -22,7 +25,9 @@ from .common import bounded_batches, table, worker_cache
 
 CHUNK = 128
 SLAB = 1 << 19
-PIECES_HELD = 1 << 20
+PIECES_HELD = 1 << 19
+STATES_HELD = 1 << 17
+PAIRS_HELD = 1 << 19
 
 # The contractions of the splitting pattern are 's 't 'm 'd, 're 've and 'll.
 CLASSES = "other_letter short_letter r v e l number white space apostrophe other pad".split()
@@ -94,28 +99,138 @@ def character_classes() -> np.ndarray:
     return out
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 on, in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class MergeTransducer:
+    """Counts the tokens of byte strings by transitions annotated with emitted counts.
+
+    The merged form of a string is known by its last token and the form of what is before it: of the tokens that end a string,
+    the last one is the one that stays apart from the last token before it when both are merged alone. So a state holds, for
+    each place from which the bytes read since begin some token: the node of those bytes in the trie of tokens, the last token
+    at that place, and how many tokens more there are now. These are finitely many, and none needs the bytes again.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters = byte_letters()
+        self.bytes = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items() if all(c in letters for c in t)}
+        ids = {raw: i for i, raw in self.bytes.items()}
+        self.single = [ids[bytes([b])] for b in range(256)]
+        self.merges = {}
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            self.merges[model["vocab"][left], model["vocab"][right]] = rank, model["vocab"][left + right]
+        self.child, self.token, nodes = {}, {}, 1
+        for raw, i in ids.items():
+            node = 0
+            for b in raw:
+                step = self.child.get(node << 8 | b)
+                if step is None:
+                    step = self.child[node << 8 | b] = nodes
+                    nodes += 1
+                node = step
+            self.token[node] = i
+        self.inner = {key >> 8 for key in self.child}
+        self.apart: dict[tuple, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        start = ((0, -1, 0),)
+        self.states, self.number, self.step = [start], {start: 0}, {}
+
+    def merged(self, raw: bytes) -> list[int]:
+        """The tokens of a string, by merging the pair of the lowest rank first; used for pairs of tokens only."""
+        out = [self.single[b] for b in raw]
+        while len(out) > 1:
+            rank, at = min((self.merges.get(pair, (len(self.merges), 0))[0], i) for i, pair in enumerate(zip(out, out[1:], strict=False)))
+            if rank == len(self.merges):
+                break
+            out[at : at + 2] = [self.merges[out[at], out[at + 1]][1]]
+        return out
+
+    def stays(self, last: int, token: int) -> bool:
+        """Whether ``token`` stays a token behind ``last`` (-1: at the start)."""
+        known = self.apart.get((last, token))
+        if known is None:
+            if len(self.apart) > PAIRS_HELD:
+                self.apart.clear()
+            whole = [token] if last < 0 else [last, token]
+            known = self.apart[last, token] = self.merged(b"".join(self.bytes[t] for t in whole)) == whole
+        return known
+
+    def compile(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition from a state by a byte: next state and emitted count."""
+        child = self.child.get
+        reached = [(node, last, more) for before, last, more in self.states[state] if (node := child(before << 8 | byte)) is not None]
+        for node, last, more in reached:
+            token = self.token.get(node)
+            if token is not None and self.stays(last, token):
+                emitted = 1 - more
+                break
+        after = (*[(node, last, more + emitted) for node, last, more in reached if node in self.inner], (0, token, 0))
+        number = self.number.get(after)
+        if number is None:
+            number = self.number[after] = len(self.states)
+            self.states.append(after)
+        self.step[state << 8 | byte] = out = number, emitted
+        return out
+
+    def count(self, raw: bytes) -> int:
+        if len(self.states) > STATES_HELD:
+            self.forget()
+        state = total = 0
+        step, get = self.step, self.step.get
+        for b in raw:
+            state, emitted = get(state << 8 | b) or self.compile(state, b)
+            total += emitted
+            if len(self.states) > 2 * STATES_HELD:
+                # Only a very long piece comes here: its state is taken along into fresh tables.
+                kept = self.states[state]
+                self.forget()
+                step, get = self.step, self.step.get
+                if kept not in self.number:
+                    self.number[kept] = len(self.states)
+                    self.states.append(kept)
+                state = self.number[kept]
+        return total
+
+
+class PieceCounts(dict):
+    """Token counts of pieces, emitted by the merge transducer when a piece is first met."""
+
+    def __init__(self, merges: MergeTransducer):
+        self.merges = merges
+
+    def __missing__(self, piece: str) -> int:
+        out = self.merges.count(piece.encode())
+        if len(self) > PIECES_HELD:
+            self.clear()
+        if len(piece) <= 20:
+            self[piece] = out
+        return out
+
+
 class Transducer:
-    """The compiled pattern with the piece counts met so far; made once in a worker."""
+    """The compiled pattern and merges; made once in a worker."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
 
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         step, emit = compile_transducer()
         self.width = len(CLASSES)
         self.step, self.emit = (step * self.width).ravel(), emit.ravel()
         self.classes = character_classes()
-        powers = np.full(SLAB * 2, 0x9E3779B97F4A7C15, np.uint64)
-        powers[0] = 1
-        self.powers = np.multiply.accumulate(powers)
-        inverse = np.full(SLAB * 2, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
-        inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.counts = PieceCounts(MergeTransducer(path))
 
     def entry_states(self, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Entry state of each chunk. ``kinds`` (position, chunk); ``first`` marks the chunks that begin a text."""
@@ -169,40 +284,9 @@ class Transducer:
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts = np.flatnonzero(self.boundaries(points, lengths))
-        mixed = points.astype(np.uint64) + np.uint64(1)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(31)
-        if len(points) > len(self.powers):
-            powers, inverse = (np.full(len(points), x[1], np.uint64) for x in (self.powers, self.inverse))
-            powers[0] = inverse[0] = 1
-            powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
-        else:
-            powers, inverse = self.powers, self.inverse
-        mixed *= powers[: len(points)]
-        hashes = np.add.reduceat(mixed, starts) * inverse[starts]
-        sizes = np.diff(np.append(starts, len(points)))
-        hashes ^= (hashes >> np.uint64(29)) + sizes.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        counts = self.lookup(hashes, starts, sizes, joined)
-        return np.add.reduceat(counts, np.searchsorted(starts, np.cumsum(lengths) - lengths))
-
-    def lookup(self, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, joined: str) -> np.ndarray:
-        at = np.searchsorted(self.known, hashes)
-        met = np.zeros(len(hashes), bool)
-        inside = at < len(self.known)
-        met[inside] = self.known[at[inside]] == hashes[inside]
-        if not met.all():
-            fresh, which = np.unique(hashes[~met], return_index=True)
-            which = np.flatnonzero(~met)[which]
-            pieces = [joined[a : a + n] for a, n in zip(starts[which].tolist(), sizes[which].tolist(), strict=True)]
-            emitted = [len(e.ids) for e in self.library.encode_batch(pieces, add_special_tokens=False)]
-            known, counts = np.concatenate([self.known, fresh]), np.concatenate([self.counts, emitted])
-            order = np.argsort(known)
-            self.known, self.counts = known[order], counts[order]
-            at = np.searchsorted(self.known, hashes)
-        out = self.counts[at]
-        if len(self.known) > PIECES_HELD:
-            self.forget()
-        return out
+        bounds = [*starts.tolist(), len(points)]
+        emitted = np.fromiter(map(self.counts.__getitem__, map(joined.__getitem__, map(slice, bounds, bounds[1:]))), np.int64, len(starts))
+        return np.add.reduceat(emitted, np.searchsorted(starts, np.cumsum(lengths) - lengths))
 
     def count(self, texts: list[str]) -> list[int]:
         """Token counts of whole texts. Parts that surely end at a piece boundary are counted apart and added up."""
@@ -247,9 +331,6 @@ def safe_cuts(text: str):
 
 def _count_batches(path: str):
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         held = worker_cache("transducers")
         if path not in held:
             held[path] = Transducer(path)

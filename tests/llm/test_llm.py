@@ -196,6 +196,19 @@ def test_op3_equals_the_library(spark):
     assert found == {i: (len(whole.encode(t, add_special_tokens=False).ids), len(t.encode())) for i, t in rows}
 
 
+@pytest.mark.parametrize("held", [token_counts.STATES_HELD, 3])
+def test_op3_merge_transducer_equals_the_library_on_any_piece(monkeypatch, held):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "STATES_HELD", held)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, merges, rng = Tokenizer.from_file(path), token_counts.MergeTransducer(path), np.random.default_rng(9)
+    pieces = ["a" * 300, "ing" * 40, "thethethe", "é" * 30, "你好" * 20] + ["".join(rng.choice(list(alphabet), rng.integers(1, 40))) for alphabet in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "aé你🎉", "ab") for _ in range(300)]
+    split = [p for p in pieces if len(library.pre_tokenizer.pre_tokenize_str(p)) == 1]
+    assert len(split) > 700
+    assert [merges.count(p.encode()) for p in split] == [len(library.encode(p, add_special_tokens=False).ids) for p in split]
+
+
 def test_op4_keeps_the_article(spark, tmp_path):
     prose = "The committee met on Tuesday to discuss the harbour plan, and most members agreed that it should go ahead."
     page = f"""<html><head><title>t</title><style>p {{}}</style></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>

@@ -37,6 +37,20 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+LARGE_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined by ``key`` with ``groups``, one row per key that has ``size`` rows; both are read more than once.
+
+    A group of at least 1 / ``LARGE_GROUPS`` of all rows is looked up in a broadcast table, of which there can be at most so
+    many, so no task gets a large group's rows; all others are joined by a shuffle.
+    """
+    least = max(1000, -(-rows.count() // LARGE_GROUPS))
+    large = F.broadcast(groups.where(F.col(size) >= least))
+    rest = rows.join(F.broadcast(groups.where(F.col(size) >= least).select(key)), key, "left_anti").join(groups.where(F.col(size) < least), key)
+    return rows.join(large, key).unionByName(rest)
+
 
 def row_key() -> list:
     """Columns ``_id`` and ``_hash`` that name a row of a documents table, also where ids are null or repeated."""

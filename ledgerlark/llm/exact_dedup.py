@@ -1,8 +1,8 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a Spark table bucketed and sorted by digest. A batch is reduced to one row per digest, the new digests are
-found by an anti-join on the bucketing key and appended; the batch's rows then look up the row that stays. Only digests
-and ids are shuffled, never texts.
+found by an anti-join on the bucketing key and appended; the batch's rows then look up the row that stays, those of large
+groups in a broadcast table of bounded size. Only digests and ids are shuffled, never texts.
 
 Defined cases: a null text counts as empty; a null ``doc_id`` sorts after every other id and stays only if its text has
 no row with an id; of rows repeated with the same id and text exactly one stays; an empty batch gives no rows.
@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, table, text_or_empty
+from .common import cut, join_groups, shuffle_partitions, table, text_or_empty
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 INDEX_SCHEMA = "digest binary, keep_id long"
@@ -50,18 +50,21 @@ class DigestIndex:
         ``group_size`` counts the batch's rows; ``keep_id`` may be of an earlier batch.
         """
         rows = cut(batch.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies")))
-        groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.sum("copies").alias("group_size"))
+        groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.sum("copies").alias("group_size"), F.count(F.lit(1)).alias("rows"))
         self._append(groups.join(self.read(), "digest", "left_anti").withColumnRenamed("first_id", "keep_id"))
-        held = groups.join(self.read(), "digest").select("digest", "keep_id", "group_size")
-        found = rows.join(held, "digest").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        held = cut(groups.join(self.read(), "digest").select("digest", "keep_id", "group_size", "rows"))
+        found = join_groups(rows, held, "digest", "rows").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
         return found.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """Decisions for every row of ``docs (doc_id, text)`` against ``index`` (a new one if not given)."""
-    index = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex[:12]}")
-    return index.add(docs.select("doc_id", digest().alias("digest")))
+    """Decisions for every row of ``docs (doc_id, text)`` against ``index`` (without one, a new one that is dropped again)."""
+    held = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex[:12]}")
+    out = held.add(docs.select("doc_id", digest().alias("digest")))
+    if index is None:
+        docs.sparkSession.sql(f"DROP TABLE {held.name}")
+    return out
 
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

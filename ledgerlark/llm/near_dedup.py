@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import WordHashes, bounded_batches, cut, mix, row_key, table, text_or_empty, without
+from .common import WordHashes, bounded_batches, cut, join_groups, mix, row_key, table, text_or_empty, without
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -309,8 +309,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows = cut(docs.select(*row_key(), F.unhex(F.md5(text)).alias("node"), text.alias("text")).mapInArrow(_sample_batches(stats), "_id long, _hash long, node binary, keys array<long>, codes binary, n_bytes long"))
     nodes = cut(rows.groupBy("node").agg(F.min("_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("codes").alias("codes"), F.first("n_bytes").alias("n_bytes")))
     members = nodes.select(F.posexplode("keys").alias("band", "key"), "node")
-    shared = members.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "center")
-    members = cut(members.join(shared, "key"))
+    shared = cut(members.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = cut(join_groups(members, shared, "key", "n").drop("n"))
     texts = docs.select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").alias("_id"), text.alias("text"))
 
     first = cut(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())

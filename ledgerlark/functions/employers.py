@@ -5,18 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 # Words that an identity key leaves out, and the well-known other names of employers.
 LEGAL_WORDS = "inc incorporated corp corporation co company ltd limited plc llc lp group holdings holding technologies technology systems solutions the com"
 PLACE_WORDS = "america americas usa us international global worldwide na"
-ALIASES = {
-    "google": "alphabet", "youtube": "alphabet", "waymo": "alphabet", "facebook": "meta", "instagram": "meta", "whatsapp": "meta",
-    "aws": "amazon", "twitch": "amazon", "linkedin": "microsoft", "github": "microsoft", "xbox": "microsoft", "gm": "general motors", "jlr": "jaguar land rover",
+OTHER_NAMES = {
+    "alphabet": "google|youtube|waymo", "meta": "facebook|meta platforms|instagram|whatsapp", "x": "twitter|x twitter", "amazon": "amazon com|amazon web services|aws|twitch|aws amazon|amazon fresh",
+    "unitedhealth": "optum|unitedhealth|unitedhealthcare|united health", "block": "block square|square|cash app", "microsoft": "linkedin|github|xbox|activision blizzard|bungie",
+    "hp": "hewlett packard|hewlett-packard|hp inc", "paramount": "paramount skydance|paramount global|cbs", "warner bros": "warner bros discovery|wbd|cnn|hbo", "comcast": "nbcuniversal|nbc universal|xfinity|versant",
+    "saks": "saks fifth avenue|saks global|neiman marcus", "ford": "blueoval sk|blueoval|bosk", "general motors": "ultium cells|factory zero|gm",
+    "conduent": "conduent commercial|conduent federal|conduent state local|conduent business process|conduent education|conduent state healthcare|conduent corporate|conduent commercial solutions",
+    "tcs": "tata consultancy services", "bristol myers": "bristol myers squibb|bristol-myers squibb|bms", "jaguar land rover": "jlr|tata motors jlr|jaguar land rover automotive",
 }
+OTHER_SCRIPTS = {"捷豹路虎": "jaguar land rover", "ジャガー・ランドローバー": "jaguar land rover"}
 REVISION_WORDS = "updated?|revised|revision|amended|amendment|corrected|correction"
+# Words that do not tell one employer from another.
 WEAK_WORDS = (
-    "air airlines airways american associates auto automotive bank brands capital central city consulting county digital district east energy financial first food foods "
-    "general health healthcare hospital industrial industries insurance labs logistics media medical mobility motor motors national new north partners products retail school "
-    "service services south state steel store stores united university west works"
+    "health healthcare motors motor steel bank media energy foods food retail stores store services service industries industrial national american united general first new north south east west central "
+    "auto automotive air airlines airways insurance capital financial partners associates consulting digital labs works brands products mobility logistics university hospital medical school district county city state"
+)
+# Names that stand for no employer, words that describe one without naming it, legal forms that prove a name, and words that don't count.
+NO_EMPLOYER = (
+    "unknown|unknown company|unknown employer|n/a|na|none|null|undisclosed|undisclosed company|undisclosed employer|not disclosed|not specified|not stated|unnamed|unnamed company|unnamed employer|"
+    "anonymous|confidential|various|multiple companies|tbd|unspecified"
+)
+GENERIC_WORDS = (
+    "giant firm maker retailer chain manufacturer conglomerate multinational automaker carmaker supermarket grocer startup outfit major tech technology social media auto automotive parts online digital "
+    "dtc ecommerce telecom telecoms pharma pharmaceutical semiconductor chip chips streaming gaming retail storage logistics aerospace"
+)
+LEGAL_FORMS = "llc llp lp inc incorporated ltd limited plc corp corporation co company gmbh ag sa sas nv bv ab as oy spa srl kk pte pty jsc ojsc pjsc sarl kg se aps doo dd"
+SMALL_WORDS = "the a an and of for in at to s"
+# Letters of other scripts are kept only outside these Latin ranges.
+LATIN_RANGES = (
+    r"\x{0080}-\x{036F}\x{1D00}-\x{1DFF}\x{1E00}-\x{1EFF}\x{2070}-\x{218F}\x{20D0}-\x{20FF}\x{2C60}-\x{2C7F}\x{A720}-\x{A7FF}\x{AB30}-\x{AB6F}\x{FB00}-\x{FB06}\x{FF00}-\x{FF5F}"
+    r"\x{10780}-\x{107BF}\x{1D400}-\x{1D7FF}\x{1DF00}-\x{1DFFF}\x{1AB0}-\x{1AFF}\x{FE00}-\x{FE0F}\x{FE20}-\x{FE2F}\x{E0100}-\x{E01EF}"
 )
 
 
@@ -24,16 +47,23 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
+def small_map(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+
 def company_key(name: Column) -> Column:
-    """Identity key: ASCII letters and digits without legal and place words; other scripts where nothing else is left."""
-    plain = F.regexp_replace(F.lower(name), "[^a-z0-9 ]", " ")
-    wide = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}\p{M} ]", " ")
-    base = F.when(squeeze(plain) == "", wide).otherwise(plain)
-    for words in (LEGAL_WORDS, PLACE_WORDS):
-        base = F.regexp_replace(base, rf"\b(?:{words.replace(' ', '|')})\b", "")
-    key = squeeze(base)
-    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, key), key)
+    """Identity key: ASCII letters and digits without legal and place words; other scripts where nothing else is left; other names of one employer as one."""
+    low = F.lower(name)
+
+    def bare(chars: Column) -> Column:
+        for words in (LEGAL_WORDS, PLACE_WORDS):
+            chars = F.regexp_replace(chars, rf"\b(?:{words.replace(' ', '|')})\b", " ")
+        return F.trim(F.regexp_replace(chars, r"\s+", " "))
+
+    wide = bare(F.regexp_replace(low, rf"[{LATIN_RANGES}]|[^a-z0-9 \p{{L}}\p{{N}}\p{{M}}]", " "))
+    known = {other: name for name, others in OTHER_NAMES.items() for other in others.split("|")}
+    key = let(bare(F.regexp_replace(low, "[^a-z0-9 ]", " ")), lambda plain: F.when(plain == "", wide).otherwise(plain))
+    return F.coalesce(F.try_element_at(small_map(OTHER_SCRIPTS), F.regexp_replace(low, r"\s+", "")), let(key, lambda k: F.coalesce(F.try_element_at(small_map(known), k), k)))
 
 
 def without_revision_mark(name: Column) -> Column:
@@ -41,10 +71,9 @@ def without_revision_mark(name: Column) -> Column:
     tail = rf"(?i)(?:[\s*(\[{{,;:-]*\b(?:{REVISION_WORDS})\b[\s*)\]}}.,:;-]*)+$"
     head = rf"(?i)^(?:[\s*(\[{{]*\b(?:{REVISION_WORDS})\b[\s*)\]}}.,:;-]*)+"
     blank = r"^[\s*(){}\[\],.:;-]*$"
-    cut = F.regexp_replace(name, tail, "")
-    cut = F.when(cut.rlike(blank), name).otherwise(cut)
-    lead = F.regexp_replace(cut, head, "")
-    return F.trim(F.when((lead != cut) & (F.size(F.split(company_key(lead), " ")) >= 2), lead).otherwise(cut))
+    cut = let(F.regexp_replace(name, tail, ""), lambda c: F.when(c.rlike(blank), name).otherwise(c))
+    lead = lambda c: let(F.regexp_replace(c, head, ""), lambda x: F.when((x != c) & (F.size(F.split(company_key(x), " ")) >= 2), x).otherwise(c))
+    return F.trim(let(cut, lead))
 
 
 def tokens(key: Column) -> Column:
@@ -62,19 +91,20 @@ def same_employer(key_a: Column, key_b: Column, name_a: Column, name_b: Column)
     raw = tokens(squeeze(F.regexp_replace(F.lower(F.when(a_short, name_b).otherwise(name_a)), "[^a-z0-9 ]", " ")))
     only = F.try_element_at(short, F.lit(1))
     short_form = (F.size(short) == 1) & only.rlike("^[A-Za-z]{2,}$") & (F.coalesce(initials(long) == only, F.lit(False)) | F.coalesce(initials(raw) == only, F.lit(False)))
-    weak = F.array(*map(F.lit, WEAK_WORDS.split()))
-    telling = F.exists(short, lambda t: ~F.array_contains(weak, t) & (F.length(t) > 2))
+    telling = F.exists(short, lambda t: ~F.array_contains(F.array(*map(F.lit, WEAK_WORDS.split())), t) & (F.length(t) > 2))
     inside = (F.size(short) > 0) & (F.size(F.array_except(short, long)) == 0) & (F.size(F.array_distinct(short)) != F.size(F.array_distinct(long))) & telling
     return (F.trim(key_a) != "") & (F.trim(key_b) != "") & (F.trim(key_a) != F.trim(key_b)) & (short_form | inside)
 
 
 def is_anonymous(name: Column) -> Column:
-    """Placeholders in the place of an employer's name; a legal suffix makes any name real."""
-    low = squeeze(F.lower(name))
-    words = F.split(low, " ")
-    generic = F.array(*map(F.lit, "a an the major large big leading local unnamed undisclosed unknown company firm employer business manufacturer retailer bank hospital startup several multiple various companies".split()))
-    legal = low.rlike(r"\b(?:inc|corp|llc|ltd|plc|gmbh|ag|sa)\b\.?$")
-    return ~legal & (low.isin("", "unknown", "undisclosed", "unnamed", "n/a", "confidential", "not disclosed", "various") | (F.size(words) >= 2) & F.forall(words, lambda w: F.array_contains(generic, w)))
+    """Whether a name stands for no employer: a placeholder, or two words or more that only describe one; a legal form makes any name real."""
+    low = F.lower(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\s\x{00A0}\x{1680}\x{2000}-\x{200B}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]+", " ")))
+    known = squeeze(F.regexp_replace(low, "[^a-z0-9/ ]+", " "))
+    words = F.filter(F.split(known, " "), lambda w: w != "")
+    one_of = lambda text: F.array(*map(F.lit, text.split()))
+    telling = F.filter(words, lambda w: ~F.array_contains(one_of(SMALL_WORDS), w))
+    described = (F.size(telling) >= 2) & F.forall(telling, lambda w: F.array_contains(one_of(GENERIC_WORDS), w)) & ~F.arrays_overlap(words, one_of(LEGAL_FORMS))
+    return (low == "") | known.isin(*NO_EMPLOYER.split("|")) | described
 
 
 def legal_name(name: Column) -> Column:

@@ -7,13 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .guards import fenced, matches
+
 SPACES = r"[\s  -​  　]+"
-# Patterns of the ingest guards.
-REDUCTION = r"(?i)\b(?:lay ?offs?|laid off|job cuts?|cutting jobs|redundanc(?:y|ies)|terminat(?:e|ed|ing|ions?)|eliminat(?:e|ed|ing)|workforce reduction|furlough(?:s|ed)?|dismiss(?:ed|als?))\b"
-CREATION = r"(?i)\b(?:hir(?:e|es|ing)|creat(?:e|es|ing) (?:\w+ )?jobs|new jobs|recruit(?:s|ing)?|add(?:s|ing)? (?:\w+ )?jobs)\b"
-NEGATION = r"(?i)\b(?:no|not|never|without|den(?:y|ies|ied))\b[^.!?]{0,60}\b(?:lay ?offs?|laid off|job cuts?|redundanc(?:y|ies))\b"
-RETROSPECTIVE = r"(?i)\b(?:last year|since (?:19|20)\d\d|in (?:19|20)\d\d|so far this year|to date|over the past|previously)\b"
-INCREMENTAL = r"(?i)\b(?:additional|another|further|more)\b"
+# Parameters of addresses that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
 
 
@@ -44,39 +41,20 @@ def any_date(c: Column) -> Column:
     return F.when(F.year(found) >= 2000, found)
 
 
-def number_pattern(n: Column) -> Column:
-    """A pattern, per row, for one count in any way of grouping: 12,000, 12.000, 12 000, 12000 or 12k."""
-    text = n.cast("string")
-    tail = F.reverse(F.regexp_replace(F.reverse(text), r"(\d{3})(?=\d)", "$1@"))
-    grouped = F.regexp_replace(tail, "@", "[,.   ]?")
-    thousands = F.when((n >= 1000) & (n % 1000 == 0), F.concat(F.lit("|"), (n / 1000).cast("long").cast("string"), F.lit("k")))
-    return F.concat(F.lit(r"(?i)(?<![\d,.])(?:"), grouped, F.coalesce(thousands, F.lit("")), F.lit(r")(?![\d]|[,.]\d)"))
+# Words beside a number that make it a count of people, and words before one that make it a year.
+HEADCOUNT = "jobs?|employe|workers?|positions?|staff|roles?|layoff|headcount|people|workforce|personnel|hires?|staffers?"
+DATE_WORD = "in|by|since|before|after|through|during|fiscal|fy|year|of|the|january|february|march|april|may|june|july|august|september|october|november|december|q[1-4]"
 
 
 def count_in_text(n: Column, text: Column) -> Column:
-    """Whether a text states the count. Numbers that look like years only count beside a word for people or jobs."""
-    stated = F.regexp_like(text, number_pattern(n))
-    near = F.regexp_like(text, F.concat(F.lit(r"(?i)\b"), n.cast("string"), F.lit(r"\b\W+(?:\w+\W+){0,2}(?:jobs|workers|employees|people|staff|positions|roles)\b")))
-    return F.when(n.between(1990, 2099), near).otherwise(stated)
-
-
-def sentences(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
-
-
-def denied(c: Column) -> Column:
-    """Whether a sentence denies a reduction and no other sentence states one: such a text is held back."""
-    parts = sentences(c)
-    return F.exists(parts, lambda s: s.rlike(NEGATION)) & ~F.exists(parts, lambda s: s.rlike(REDUCTION) & ~s.rlike(NEGATION))
+    """Whether a text states the count in any way of grouping, not as a part of a longer number.
 
-
-def creates_jobs(c: Column) -> Column:
-    parts = sentences(c)
-    return F.exists(parts, lambda s: s.rlike(CREATION)) & ~F.exists(parts, lambda s: s.rlike(REDUCTION))
-
-
-def retrospective(c: Column) -> Column:
-    return F.when(c.rlike(RETROSPECTIVE) & c.rlike(INCREMENTAL), "incremental").when(c.rlike(RETROSPECTIVE), "retrospective").otherwise("event")
+    A number between 1990 and 2099 that only follows date words and never stands beside a word for people is a year.
+    """
+    number = fenced(n)
+    beside = matches(text, number, rf"\W{{0,4}}(?:{HEADCOUNT})") | matches(text, rf"(?:{HEADCOUNT})\w*\W{{0,6}}(?:of\s+|about\s+|~)?", number)
+    year = n.between(1990, 2099) & matches(text, rf"\b(?:{DATE_WORD})\s+", number) & ~beside
+    return (n > 0) & matches(text, number) & ~year
 
 
 def quoted(quote: Column, text: Column) -> Column:
@@ -124,10 +102,6 @@ def boundary_pattern(term: str) -> str:
     return ("\\b" if regex.match(r"[\p{L}\p{Nd}_]", term) else "") + re.escape(term) + ("\\b" if regex.search(r"[\p{L}\p{Nd}_]$", term) else "")
 
 
-def percent_of_workforce(c: Column) -> Column:
-    return F.regexp_extract(c, r"(?i)(\d{1,2}(?:\.\d+)?) ?(?:%|per ?cent)[^.]{0,40}\b(?:workforce|employees|staff|headcount)\b", 1).try_cast("double")
-
-
 def formula_guard(c: Column) -> Column:
     """A leading quote before what a spreadsheet would run."""
     return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)

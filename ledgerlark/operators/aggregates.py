@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import percent
 from .filters import FilterSpec, basis, compile_filters, tier
+from .reconcile import near_days
 
 ONCE = "superset_of = 0"
 
@@ -109,14 +110,15 @@ def by_location(facts: DataFrame, column: str, first: str, last: str, limit: int
 def conversion(facts: DataFrame, as_of: str, months: int = 6) -> DataFrame:
     """Announced jobs by month and how many of them later entries of the employer confirm within so many months.
 
-    A ranged equi-join: both sides are hashed by employer, the range is a residual condition.
+    A ranged join: both sides are hashed by employer and bucket of days, the exact range is a residual condition.
     """
     months = max(1, min(24, months))
     anchor = F.coalesce("announcement_date", "layoff_date")
     said = facts.where("announced AND company_key <> ''").where(anchor.isNotNull()).select("id", "company_key", "job_count", anchor.alias("anchor"))
-    done = facts.where("NOT announced AND company_key <> ''").select("company_key", F.col("layoff_date").alias("day"), F.col("job_count").alias("confirmed"))
-    later = (done["company_key"] == said["company_key"]) & (done["day"] > said["anchor"]) & (done["day"] <= F.add_months(said["anchor"], months))
-    pairs = said.join(done, later, "left").groupBy("id", "anchor", "job_count").agg(F.coalesce(F.sum("confirmed"), F.lit(0)).alias("after"))
+    done = facts.where("NOT announced AND company_key <> '' AND layoff_date IS NOT NULL").select("company_key", F.col("layoff_date").alias("day"), F.col("job_count").alias("confirmed"))
+    later = near_days(said.select("id", "company_key", "anchor"), "anchor", done, "day", ["company_key"], 31 * months, before=False).where((F.col("day") > F.col("anchor")) & (F.col("day") <= F.add_months("anchor", months)))
+    sums = later.groupBy("id").agg(F.sum("confirmed").alias("after"))
+    pairs = said.join(sums, "id", "left").select("id", "anchor", "job_count", F.coalesce("after", F.lit(0)).alias("after"))
     out = pairs.groupBy(F.trunc("anchor", "month").alias("first_day")).agg(
         F.count(F.lit(1)).alias("announcements"), F.sum("job_count").alias("announced_jobs"), F.sum(F.least("job_count", "after")).alias("matched_jobs"))
     now = F.to_date(F.lit(as_of))

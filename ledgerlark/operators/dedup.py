@@ -6,14 +6,13 @@ Every pass is a join or window on a key, so no pass gathers more than one employ
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.employers import company_key, same_employer, without_revision_mark
 from ..plans.lineage import cut
 from .components import connected_components
+from .reconcile import bucket_key, near_days
 
 NEWS = ("news", "erm", "8K", "press_release")
 MAX_WINDOW = 200
@@ -33,7 +32,7 @@ def window_marks(facts: DataFrame, days: int = 45, share: float = 0.5, least: in
     rows = candidates(facts).where("layoff_date IS NOT NULL")
     news = rows.where(F.col("source_type").isin(*NEWS) & (F.col("job_count") >= least)).select(F.col("id").alias("news_id"), "company_key", F.col("job_count").alias("total"), F.col("layoff_date").alias("day"))
     notices = rows.where("source_type = 'warn'").select(F.col("id").alias("notice_id"), "company_key", "job_count", "layoff_date")
-    near = news.join(notices, "company_key").where(F.abs(F.datediff("layoff_date", "day")) <= days)
+    near = near_days(news, "day", notices, "layoff_date", ["company_key"], days)
     sums = near.groupBy("news_id", "total").agg(F.sum("job_count").alias("sum"), F.max_by("notice_id", F.struct("job_count", -F.col("notice_id"))).alias("largest"))
     judged = sums.where(F.col("total") >= share * F.col("sum"))
     taken = near.join(judged.where("total >= sum").select("news_id"), "news_id", "left_semi").groupBy(F.col("notice_id").alias("member")).agg(F.min("news_id").alias("primary"))
@@ -53,10 +52,9 @@ def alias_marks(facts: DataFrame, days: int = 2, least: int = 100) -> DataFrame:
     """Pass 3: one count within two days under two names of one employer; components, named by their first entry."""
     rows = candidates(facts).where(F.col("layoff_date").isNotNull() & (F.lower("source_type") != "warn") & (F.col("job_count") >= least))
     rows = rows.select("id", "company", "company_key", "job_count", "layoff_date", "ai_explicit")
-    a, b = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns]), rows
-    pair = (F.col("a_job_count") == F.col("job_count")) & (F.col("a_id") < F.col("id")) & (F.abs(F.datediff("a_layoff_date", "layoff_date")) <= days)
+    a = rows.select("job_count", *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "job_count"])
     same = same_employer(F.col("a_company_key"), F.col("company_key"), F.col("a_company"), F.col("company"))
-    links = a.join(b, pair).where(same).select(F.col("a_id").alias("a"), F.col("id").alias("b"))
+    links = near_days(a, "a_layoff_date", rows, "layoff_date", ["job_count"], days).where("a_id < id").where(same).select(F.col("a_id").alias("a"), F.col("id").alias("b"))
     placed = connected_components(links).withColumnRenamed("node", "id").join(rows, "id")
     first = placed.groupBy("component").agg(F.min_by("id", F.struct(~F.col("ai_explicit"), "layoff_date", "id")).alias("primary"))
     return placed.join(first, "component").where("id <> primary").select(F.col("id").alias("member"), "primary")
@@ -126,8 +124,11 @@ def shape_pairs(facts: DataFrame, ratio: float = 0.98, days: int = 30, least: in
     b = rows.select("*", F.explode(F.array(size - 1, size, size + 1)).alias("size"), span.alias("_span")).select("*", F.explode(F.array(F.col("_span") - 1, F.col("_span"), F.col("_span") + 1)).alias("span"))
     low, high = F.least("a_job_count", "job_count"), F.greatest("a_job_count", "job_count")
     test = (F.col("a_id") < F.col("id")) & (F.col("a_event_id") != F.col("event_id")) & (low >= ratio * high) & (F.abs(F.datediff("a_layoff_date", "layoff_date")) <= days)
-    test &= ((F.col("a_country") == F.col("country")) | (F.col("a_country") == "") | (F.col("country") == "")) & ~((F.col("a_source_type") == "warn") & (F.col("source_type") == "warn"))
-    return a.join(b, ["size", "span"]).where(test).select(F.col("a_id").alias("first_id"), F.col("id").alias("second_id"), "a_job_count", "job_count")
+    test &= ~((F.col("a_source_type") == "warn") & (F.col("source_type") == "warn"))
+    # Equal countries are a part of the key; only rows without one meet all others of their buckets.
+    here = a.withColumn("country", F.col("a_country")).join(b, ["size", "span", "country"])
+    blank = a.join(b.where("country = ''"), ["size", "span"]).where("a_country <> ''").select(*here.columns).unionByName(a.where("a_country = ''").join(b.where("country <> ''"), ["size", "span"]).select(*here.columns))
+    return here.unionByName(blank).where(test).select(F.col("a_id").alias("first_id"), F.col("id").alias("second_id"), "a_job_count", "job_count")
 
 
 def cross_date_hash(company, day, jobs):
@@ -136,31 +137,43 @@ def cross_date_hash(company, day, jobs):
 
 
 def greedy_clusters(facts: DataFrame) -> DataFrame:
-    """Clusters within (employer, count bucket): the order of rows matters, so each bucket is walked by its own small function."""
-    rows = facts.where("company_key <> '' AND layoff_date IS NOT NULL AND job_count >= 100").select("id", "company_key", "job_count", "layoff_date")
+    """Clusters of one employer's rows, taken by (count, day, id): a row joins the first cluster all of whose members it fits.
+
+    Rows fit if the smaller count is at least three quarters of the larger and the days are near: three years for equal counts
+    from 100 on, one year for nearly equal ones from 1000 on, else 120 days; known countries must agree. A chain of counts that are less than a quarter apart
+    can't be joined across a larger step, so the rows of a bucket are cut there first, and the walk goes over one such chain in
+    each task; a cluster is named by its least row.
+    """
+    place = F.lower(F.trim("country"))
+    place = F.when(place.isin("unknown", "multiple countries", "world", "worldwide"), "").otherwise(place)
+    rows = facts.where("layoff_date IS NOT NULL AND job_count > 0 AND source_type <> 'federal_rif'").select("id", bucket_key(F.col("company")).alias("bucket"), "job_count", "layoff_date", place.alias("place")).where("bucket <> ''")
+    order = Window.partitionBy("bucket").orderBy("job_count", "layoff_date", "id")
+    before = F.lag("job_count").over(order)
+    rows = rows.withColumn("chain", F.sum(F.when(before < 0.75 * F.col("job_count"), 1).otherwise(0)).over(order))
 
     def walk(pdf):
-        pdf = pdf.sort_values(["job_count", "layoff_date", "id"])
-        clusters: list[list[tuple]] = []
-        out = []
-        for row in pdf.itertuples():
-            def fits(other) -> bool:
-                low, high = sorted((row.job_count, other.job_count))
-                share = low / high
-                window = 1095 if share >= 0.995 and low >= 100 else 365 if share >= 0.95 and low >= 250 else 120
-                return share >= 0.75 and abs((row.layoff_date - other.layoff_date).days) <= window
-
-            at = next((i for i, c in enumerate(clusters) if all(map(fits, c))), len(clusters))
-            if at == len(clusters):
-                clusters.append([])
-            clusters[at].append(row)
-            out.append((row.id, row.company_key, at))
+        import numpy as np
         import pandas as pd
 
-        return pd.DataFrame(out, columns=["id", "company_key", "cluster"])
-
-    return rows.groupBy("company_key").applyInPandas(walk, "id long, company_key string, cluster int")
-
-
-def all_marks(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+        pdf = pdf.sort_values(["job_count", "layoff_date", "id"])
+        jobs, days = pdf["job_count"].to_numpy(), pd.to_datetime(pdf["layoff_date"]).to_numpy().astype("datetime64[D]").astype(np.int64)
+        places = pdf["place"].to_numpy()
+        clusters: list[list[int]] = []
+        named = np.empty(len(pdf), np.int64)
+        ids = pdf["id"].to_numpy()
+        for i in range(len(pdf)):
+            for own in clusters:
+                at = np.array(own)
+                share = jobs[at] / jobs[i]
+                window = np.where((share >= 0.995) & (jobs[i] >= 100), 1095, np.where((share >= 0.95) & (jobs[i] >= 1000), 365, 120))
+                apart = (places[at] != places[i]) & (places[at] != "") & (places[i] != "")
+                if share.min() >= 0.75 and (np.abs(days[at] - days[i]) <= window).all() and not apart.any():
+                    own.append(i)
+                    named[i] = ids[own[0]]
+                    break
+            else:
+                clusters.append([i])
+                named[i] = ids[i]
+        return pd.DataFrame({"id": ids, "bucket": pdf["bucket"].to_numpy(), "cluster": named})
+
+    return rows.groupBy("bucket", "chain").applyInPandas(walk, "id long, bucket string, cluster long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reconcile import near_days
+
 
 def evidence_lists(page: DataFrame, reports: DataFrame) -> DataFrame:
     """Each row of a page with the distinct report addresses of its event in order, without its own.
@@ -50,13 +52,12 @@ def supported_directory(facts: DataFrame, events: DataFrame, floor: int = 2) ->
 
 def lifecycle_pairs(facts: DataFrame) -> DataFrame:
     """Announced entries and what may be their execution: same employer, count and country, up to a year later."""
-    a = facts.where("announced AND layoff_date IS NOT NULL").select(*[F.col(c).alias(f"a_{c}") for c in ("id", "company_key", "job_count", "country", "state", "event_id", "source_url", "layoff_date")])
+    a = facts.where("announced AND layoff_date IS NOT NULL").select("company_key", "job_count", "country", *[F.col(c).alias(f"a_{c}") for c in ("id", "state", "event_id", "source_url", "layoff_date")])
     b = facts.where("NOT announced AND layoff_date IS NOT NULL").select("id", "company_key", "job_count", "country", "state", "event_id", "source_url", "layoff_date")
-    same = (a["a_company_key"] == b["company_key"]) & (a["a_job_count"] == b["job_count"]) & (a["a_country"] == b["country"])
-    days = F.datediff("layoff_date", "a_layoff_date")
-    near = days.between(0, 365) & ((F.col("a_state") == "") | (F.col("state") == "") | (F.col("a_state") == F.col("state"))) & (F.col("a_event_id") != F.col("event_id"))
+    near = ((F.col("a_state") == "") | (F.col("state") == "") | (F.col("a_state") == F.col("state"))) & (F.col("a_event_id") != F.col("event_id"))
     apart = (F.col("a_source_url") != F.col("source_url")) | (F.col("source_url") == "")
-    return a.join(b, same & near & apart).select(F.col("a_id").alias("announced_id"), F.col("id").alias("executed_id"), days.alias("days"))
+    pairs = near_days(a, "a_layoff_date", b, "layoff_date", ["company_key", "job_count", "country"], 365, before=False).where(near & apart)
+    return pairs.select(F.col("a_id").alias("announced_id"), F.col("id").alias("executed_id"), F.datediff("layoff_date", "a_layoff_date").alias("days"))
 
 
 def unseen(incoming: DataFrame, facts: DataFrame, reports: DataFrame) -> DataFrame:
@@ -77,9 +78,9 @@ def earlier_same_count(facts: DataFrame, days: int = 180) -> DataFrame:
 
 def fuzzy_matches(incoming: DataFrame, facts: DataFrame, days: int = 30, ratio: int = 3) -> DataFrame:
     """Entries that an incoming one may repeat: same employer, so many days around, and not three times as large."""
-    a = incoming.select(F.col("id").alias("new_id"), F.col("company_key").alias("k"), F.col("layoff_date").alias("d"), F.col("job_count").alias("j"))
-    near = (a["k"] == facts["company_key"]) & (F.abs(F.datediff("layoff_date", "d")) <= days) & (a["j"] < ratio * facts["job_count"]) & (a["new_id"] != facts["id"])
-    hits = a.join(facts, near)
+    a = incoming.where("layoff_date IS NOT NULL").select("company_key", F.col("id").alias("new_id"), F.col("layoff_date").alias("d"), F.col("job_count").alias("j"))
+    rows = facts.where("layoff_date IS NOT NULL").select("company_key", "id", "layoff_date", "job_count")
+    hits = near_days(a, "d", rows, "layoff_date", ["company_key"], days).where((F.col("j") < ratio * F.col("job_count")) & (F.col("new_id") != F.col("id")))
     return hits.groupBy("new_id").agg(F.min_by("id", F.struct(F.abs(F.datediff("layoff_date", "d")), "id")).alias("matched_id"), F.count(F.lit(1)).alias("matches"))
 
 
@@ -96,13 +97,13 @@ def unique_name_matches(left: DataFrame, right: DataFrame) -> DataFrame:
 def token_prefix_matches(aliases: DataFrame, facts: DataFrame, before: int = 90, after: int = 270) -> DataFrame:
     """Aliases ``(ref_id, alias_key, ref_day)`` whose words begin an employer's key, within a window of days.
 
-    Blocked by the first word: the words themselves are compared within a block.
+    A key meets aliases by equality with each of its own beginnings, so a frequent first word brings no pairs.
     """
-    a = aliases.select("ref_id", "ref_day", F.split("alias_key", " ").alias("words")).withColumn("block", F.element_at("words", 1))
-    f = facts.where("layoff_date IS NOT NULL").select("id", "layoff_date", "job_count", F.split("company_key", " ").alias("key_words")).withColumn("block", F.element_at("key_words", 1))
+    words = F.split("company_key", " ")
+    begun = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    f = facts.where("layoff_date IS NOT NULL AND company_key <> ''").select("id", "layoff_date", "job_count", F.explode(begun).alias("alias_key"))
     days = F.datediff("layoff_date", "ref_day")
-    inside = (F.slice("key_words", F.lit(1), F.size("words")) == F.col("words")) & days.between(-before, after)
-    return a.join(f, "block").where(inside).select("ref_id", "id", days.alias("days"), "job_count")
+    return aliases.where("alias_key <> ''").join(f, "alias_key").where(days.between(-before, after)).select("ref_id", "id", days.alias("days"), "job_count")
 
 
 def seen_presence(names: DataFrame, facts: DataFrame) -> DataFrame:

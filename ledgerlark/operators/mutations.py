@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import normalise
 from ..functions.employers import is_anonymous
 
 #: Columns that a blank incoming value leaves as they are.
@@ -81,3 +82,23 @@ def newest_slots(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Union of two slot maps ``(slot, updated, status)``, the newer one of each slot; ours on a tie."""
     both = ours.withColumn("own", F.lit(1)).unionByName(theirs.withColumn("own", F.lit(0)))
     return both.groupBy("slot").agg(F.max_by(F.struct("updated", "status"), F.struct("updated", "own")).alias("x")).select("slot", "x.*")
+
+
+def trashed(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entries without those of ``ids (id)``."""
+    return facts.join(ids.select("id").distinct(), "id", "left_anti").select(*facts.columns)
+
+
+def edited(facts: DataFrame, values: DataFrame) -> DataFrame:
+    """The entries with the columns of ``values (id, ...)`` put in, one row per id, and marked as edited; nulls change nothing."""
+    columns = [c for c in values.columns if c != "id"]
+    new = values.dropDuplicates(["id"]).select("id", F.lit(True).alias("_by_hand"), *[F.col(c).alias(f"_{c}") for c in columns])
+    out = facts.join(new, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns})
+    return out.withColumn("edited", F.col("edited") | F.coalesce("_by_hand", F.lit(False))).select(*facts.columns)
+
+
+def normalised_column(facts: DataFrame, column: str) -> DataFrame:
+    """The entries with a column's values normalised; only the distinct values are, and then looked up."""
+    kernel = {"country": normalise.country, "employer_country": normalise.country, "industry": normalise.industry, "state": normalise.state}[column]
+    values = facts.select(F.col(column).alias("_was")).distinct().withColumn("_now", kernel(F.col("_was")))
+    return facts.join(values, F.col(column).eqNullSafe(F.col("_was")), "left").withColumn(column, F.col("_now")).select(*facts.columns)

@@ -13,6 +13,7 @@ from ..operators import aggregates, dedup, evidence, mutations, paging, quality,
 from ..operators.filters import FilterSpec, apply_filters, tier
 from ..sources import ledger as tables
 from ..sources.ledger import AS_OF, LEDGER_SQL, read
+from .planted import PLANTED_SQL, planted
 
 ONCE = "superset_of = 0"
 TIER = "(CASE WHEN source_type IN ('8K', 'warn', 'federal_rif', 'filing') AND verification_level <> 'bronze' THEN 'verified' ELSE 'reported' END)"
@@ -66,7 +67,10 @@ FILTERS = {
     "filter_sources_tier": (dict(sources=("gold", "news"), tier=("verified",)), f"(lower(verification_level) IN ('gold', 'news') OR lower(source_type) IN ('gold', 'news')) AND {TIER} = 'verified'"),
     "filter_ai_tiers": (dict(ai_broad=True), "ai_explicit OR ai_causation = 'ai_linked'"),
     "filter_ai_primary": (dict(ai=True, ai_primary=True), "ai_explicit AND ai_causation = 'primary_cause'"),
-    "filter_incomplete": (dict(context_missing=True, roles_missing=True, industry_missing=True), "len(reason_tags) = 0 AND len(role_categories) = 0 AND source_type NOT IN ('warn', 'erm') AND excerpt <> '' AND industry = ''"),
+    "filter_incomplete": (dict(context_missing=True, roles_missing=True), "len(reason_tags) = 0 AND len(role_categories) = 0 AND source_type NOT IN ('warn', 'erm') AND excerpt <> ''"),
+    "filter_no_industry": (dict(industry_missing=True), "industry = ''"),
+    "filter_company_key": (dict(company_key=("customer 000000007", "customer 000000011", "none")), "company_key IN ('customer 000000007', 'customer 000000011', 'none')"),
+    "filter_company_text": (dict(company="000000012"), "contains(lower(company), '000000012') AND regexp_matches(lower(company), '\\b000000012\\b')"),
     "filter_stage_review": (dict(stage="announced", review_status="pending"), "announced AND review_status = 'pending'"),
     "filter_free_text": (dict(q="jobs at customer"), "(contains(lower(company), 'jobs at customer') OR contains(lower(excerpt), 'jobs at customer')) AND (regexp_matches(lower(company), '\\bjobs at customer\\b') OR regexp_matches(lower(excerpt), '\\bjobs at customer\\b'))"),
     "filter_identity_size": (dict(exclude_supersets=True, min_jobs=2000, exclude_id=8), "superset_of = 0 AND job_count >= 2000 AND id <> 8"),
@@ -199,33 +203,34 @@ query("canonical_repair", """SELECT event_id, min(id) AS canonical_id FROM ledge
     lambda spark, sf_dir: evidence.repaired_canonicals(tables.events(spark, sf_dir), facts(spark, sf_dir)))
 query("directory_supported", """SELECT company_key, count(DISTINCT l.event_id) AS events FROM ledger l JOIN canon c ON l.event_id = c.event_id AND l.id = c.canonical_id GROUP BY 1 HAVING count(DISTINCT l.event_id) >= 2""")(
     lambda spark, sf_dir: evidence.supported_directory(facts(spark, sf_dir), tables.events(spark, sf_dir)))
-query("lifecycle_pairs", """SELECT a.id AS announced_id, b.id AS executed_id, datediff('day', a.layoff_date, b.layoff_date) AS days FROM ledger a JOIN ledger b ON a.company_key = b.company_key AND a.job_count // 100 = b.job_count // 100
+query("lifecycle_pairs", PLANTED_SQL + """ SELECT a.id AS announced_id, b.id AS executed_id, datediff('day', a.layoff_date, b.layoff_date) AS days FROM planted a JOIN planted b ON a.company_key = b.company_key AND a.job_count = b.job_count
   AND a.country = b.country WHERE a.announced AND NOT b.announced AND b.layoff_date - a.layoff_date BETWEEN 0 AND 365 AND (a.state = '' OR b.state = '' OR a.state = b.state) AND a.event_id <> b.event_id
-  AND (a.source_url <> b.source_url OR b.source_url = '')""")(lambda spark, sf_dir: evidence.lifecycle_pairs(facts(spark, sf_dir).withColumn("job_count", F.floor(F.col("job_count") / 100))))
+  AND (a.source_url <> b.source_url OR b.source_url = '')""")(lambda spark, sf_dir: evidence.lifecycle_pairs(planted(spark, sf_dir)))
 query("seen_urls_anti", """SELECT page_id, url AS source_url FROM pages WHERE url <> '' AND url NOT IN (SELECT source_url FROM ledger UNION SELECT source_url FROM reports)""")(
     lambda spark, sf_dir: evidence.unseen(read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("source_url")), facts(spark, sf_dir), tables.reports(spark, sf_dir)).select("page_id", "source_url"))
-query("rebadge_asof", """, f AS (SELECT id, company_key, job_count // 1000 AS job_count, layoff_date FROM ledger WHERE company_key <> '' AND layoff_date IS NOT NULL AND source_type <> 'warn')
+query("rebadge_asof", PLANTED_SQL + """, f AS (SELECT id, company_key, job_count, layoff_date FROM planted WHERE company_key <> '' AND layoff_date IS NOT NULL AND source_type <> 'warn')
 SELECT a.id, arg_max(b.id, (b.layoff_date, b.id)) AS earlier_id, datediff('day', max(b.layoff_date), a.layoff_date) AS days FROM f a JOIN f b ON a.company_key = b.company_key AND a.job_count = b.job_count
-  AND b.layoff_date < a.layoff_date - 180 GROUP BY a.id, a.layoff_date""")(lambda spark, sf_dir: evidence.earlier_same_count(facts(spark, sf_dir).withColumn("job_count", F.floor(F.col("job_count") / 1000))))
+  AND b.layoff_date < a.layoff_date - 180 GROUP BY a.id, a.layoff_date""")(lambda spark, sf_dir: evidence.earlier_same_count(planted(spark, sf_dir)))
 query("fuzzy_duplicates", """SELECT a.id AS new_id, arg_min(b.id, (abs(datediff('day', a.layoff_date, b.layoff_date)), b.id)) AS matched_id, count(*) AS matches FROM ledger a JOIN ledger b ON a.company_key = b.company_key AND a.id <> b.id
   AND abs(datediff('day', a.layoff_date, b.layoff_date)) <= 30 AND a.job_count < 3 * b.job_count WHERE a.source_type = 'news' GROUP BY 1""")(
     lambda spark, sf_dir: evidence.fuzzy_matches(facts(spark, sf_dir).where("source_type = 'news'"), facts(spark, sf_dir)))
-query("unique_name_match", """, a AS (SELECT name, country, min(id) AS left_id FROM (SELECT n_nationkey AS id, n_name AS name, n_regionkey AS country FROM nation) GROUP BY 1, 2 HAVING count(DISTINCT id) = 1),
-b AS (SELECT name, country, min(id) AS right_id FROM (SELECT c_custkey AS id, n_name AS name, n_regionkey AS country FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 60 < 3) GROUP BY 1, 2 HAVING count(DISTINCT id) = 1)
-SELECT name, country, CAST(left_id AS BIGINT) AS left_id, right_id FROM a JOIN b USING (name, country)""")
+@query("unique_name_match", """, l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'Shared ' || (c_custkey % 40) ELSE c_name END AS name, c_nationkey AS country FROM customer),
+r AS (SELECT c_custkey + 1000000 AS id, c_name AS name, c_nationkey AS country FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey + 2000000, c_name, c_nationkey FROM customer WHERE c_custkey % 7 = 0),
+a AS (SELECT name, country, min(id) AS left_id FROM l GROUP BY 1, 2 HAVING count(DISTINCT id) = 1), b AS (SELECT name, country, min(id) AS right_id FROM r GROUP BY 1, 2 HAVING count(DISTINCT id) = 1)
+SELECT name, CAST(country AS BIGINT) AS country, CAST(left_id AS BIGINT) AS left_id, CAST(right_id AS BIGINT) AS right_id FROM a JOIN b USING (name, country)""")
 def _(spark, sf_dir):
-    nation = read(spark, sf_dir, "nation")
-    left = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("country"))
-    rows = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 60 < 3")
-    return evidence.unique_name_matches(left, rows.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("country")))
+    """Names of which some are shared on the left and some appear twice on the right."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("country"))
+    left = rows.withColumn("name", F.when(F.col("id") % 10 == 0, F.concat(F.lit("Shared "), F.col("id") % 40)).otherwise(F.col("name")))
+    right = rows.where("id % 3 <> 0").withColumn("id", F.col("id") + 1000000).unionByName(rows.where("id % 7 = 0").withColumn("id", F.col("id") + 2000000))
+    return evidence.unique_name_matches(left, right)
 
 
-query("token_prefix_match", """, a AS (SELECT p_partkey AS ref_id, split_part(lower(replace(c_name, '#', ' ')), ' ', 1) || ' ' || split_part(lower(replace(c_name, '#', ' ')), ' ', 2) AS k, DATE '1997-06-01' AS d FROM part JOIN customer ON p_partkey = c_custkey WHERE p_partkey < 40)
+@query("token_prefix_match", """, a AS (SELECT c_custkey AS ref_id, CASE WHEN c_custkey % 5 = 0 THEN 'customer 0000' ELSE lower(replace(c_name, '#', ' ')) END AS k, DATE '1997-06-01' AS d FROM customer)
 SELECT ref_id, id, datediff('day', d, layoff_date) AS days, job_count FROM a JOIN ledger ON company_key = k OR starts_with(company_key, k || ' ') WHERE datediff('day', d, layoff_date) BETWEEN -90 AND 270""")
 def _(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").join(read(spark, sf_dir, "customer"), F.col("p_partkey") == F.col("c_custkey")).where("p_partkey < 40")
-    alias = F.array_join(F.slice(F.split(F.lower(F.translate("c_name", "#", " ")), " "), 1, 2), " ")
-    return evidence.token_prefix_matches(rows.select(F.col("p_partkey").alias("ref_id"), alias.alias("alias_key"), F.lit("1997-06-01").cast("date").alias("ref_day")), facts(spark, sf_dir))
+    alias = F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'customer 0000' ELSE lower(replace(c_name, '#', ' ')) END")
+    return evidence.token_prefix_matches(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref_id"), alias.alias("alias_key"), F.lit("1997-06-01").cast("date").alias("ref_day")), facts(spark, sf_dir))
 
 
 query("presence", """SELECT company_key, count(id) AS entries, count(id) > 0 AS present FROM (SELECT lower(regexp_replace(c_name, '[^A-Za-z0-9]', ' ', 'g')) AS company_key FROM customer) LEFT JOIN ledger USING (company_key) GROUP BY 1""")(
@@ -239,29 +244,30 @@ query("dedup_window", _CANDIDATES + """, near AS (SELECT a.id AS news_id, a.job_
 s AS (SELECT news_id, total, sum(job_count) AS s, arg_max(notice_id, (job_count, -notice_id)) AS largest FROM near GROUP BY 1, 2)
 SELECT notice_id AS member, min(n.news_id) AS "primary" FROM near n JOIN s ON n.news_id = s.news_id AND s.total >= s.s GROUP BY 1
 UNION ALL SELECT news_id, largest FROM s WHERE total < s AND total >= 0.5 * s""")(lambda spark, sf_dir: dedup.window_marks(facts(spark, sf_dir)))
-query("dedup_same_count", _CANDIDATES + """, k AS (SELECT id, layoff_date, first_value(id) OVER w AS p, first_value(layoff_date) OVER w AS d FROM c WHERE source_type IN ('news', 'erm', '8K', 'press_release')
-  WINDOW w AS (PARTITION BY company_key, job_count // 500 ORDER BY ai_explicit DESC, layoff_date, id))
-SELECT id AS member, p AS "primary" FROM k WHERE id <> p AND abs(datediff('day', layoff_date, d)) <= 150""")(
-    lambda spark, sf_dir: dedup.same_count_marks(facts(spark, sf_dir).where("job_count > 0").withColumn("job_count", F.floor(F.col("job_count") / 500) + 1)))
-query("dedup_revisions", _CANDIDATES + """, k AS (SELECT id, layoff_date, first_value(id) OVER w AS p, first_value(layoff_date) OVER w AS d FROM c WHERE source_type = 'warn' AND job_count >= 100
-  WINDOW w AS (PARTITION BY state, job_count ORDER BY layoff_date, id))
+query("dedup_same_count", PLANTED_SQL + """, c AS (SELECT * FROM planted WHERE company_key <> '' AND job_count > 0 AND NOT edited AND layoff_date IS NOT NULL),
+k AS (SELECT id, layoff_date, first_value(id) OVER w AS p, first_value(layoff_date) OVER w AS d FROM c WHERE source_type IN ('news', 'erm', '8K', 'press_release')
+  WINDOW w AS (PARTITION BY company_key, job_count ORDER BY ai_explicit DESC, layoff_date, id))
+SELECT id AS member, p AS "primary" FROM k WHERE id <> p AND abs(datediff('day', layoff_date, d)) <= 150""")(lambda spark, sf_dir: dedup.same_count_marks(planted(spark, sf_dir)))
+query("dedup_revisions", PLANTED_SQL + """, c AS (SELECT * FROM planted WHERE company_key <> '' AND job_count > 0 AND NOT edited AND layoff_date IS NOT NULL),
+k AS (SELECT id, layoff_date, first_value(id) OVER w AS p, first_value(layoff_date) OVER w AS d FROM c WHERE source_type = 'warn' AND job_count >= 100 WINDOW w AS (PARTITION BY company_key, state, job_count ORDER BY layoff_date, id))
 SELECT id AS member, p AS "primary" FROM k WHERE id <> p AND datediff('day', d, layoff_date) <= 90""")(
-    lambda spark, sf_dir: dedup.revision_marks(facts(spark, sf_dir).withColumn("company", F.lit("Acme Revised"))))
+    # Revised notices keep their employer's name and carry a mark; the stored key then differs, the revision key must not.
+    lambda spark, sf_dir: dedup.revision_marks(planted(spark, sf_dir).withColumn("company", F.expr("CASE id % 4 WHEN 0 THEN concat(company, ' - Revised') WHEN 1 THEN concat(company, ' (Updated)') WHEN 2 THEN concat('Amended: ', company) ELSE company END"))))
 query("gap_clusters", """, g AS (SELECT id, company_key, layoff_date, verification_level, job_count, datediff('day', lag(layoff_date) OVER (PARTITION BY company_key ORDER BY layoff_date, id), layoff_date) AS gap FROM ledger WHERE company_key <> '' AND layoff_date IS NOT NULL),
 k AS (SELECT *, CAST(sum(CASE WHEN gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY company_key ORDER BY layoff_date, id) AS BIGINT) AS cluster FROM g)
 SELECT id, company_key, cluster, row_number() OVER (PARTITION BY company_key, cluster ORDER BY CASE verification_level WHEN 'gold' THEN 3 WHEN 'warn' THEN 2 WHEN 'silver' THEN 1 ELSE 0 END DESC, job_count DESC, id) = 1 AS keeper FROM k""")(
     lambda spark, sf_dir: dedup.gap_clusters(facts(spark, sf_dir)))
-query("article_duplicates", """, a AS (SELECT source_url, job_count // 1000 AS job_count, event_id FROM ledger WHERE source_url <> '' AND superset_of = 0)
+query("article_duplicates", PLANTED_SQL + """, a AS (SELECT source_url, job_count, event_id FROM planted WHERE source_url <> '' AND superset_of = 0)
 SELECT source_url, job_count, count(DISTINCT event_id) AS events, job_count * (count(DISTINCT event_id) - 1) AS excess FROM a GROUP BY 1, 2 HAVING count(DISTINCT event_id) > 1""")(
-    lambda spark, sf_dir: dedup.article_duplicates(facts(spark, sf_dir).withColumn("job_count", F.floor(F.col("job_count") / 1000))))
-query("duplicate_shapes", """, r AS (SELECT * FROM ledger WHERE layoff_date IS NOT NULL AND superset_of = 0 AND job_count >= 4200)
+    lambda spark, sf_dir: dedup.article_duplicates(planted(spark, sf_dir)))
+query("duplicate_shapes", """, r AS (SELECT * FROM ledger WHERE layoff_date IS NOT NULL AND superset_of = 0 AND job_count >= 1000)
 SELECT a.id AS first_id, b.id AS second_id, a.job_count AS a_job_count, b.job_count FROM r a JOIN r b ON a.id < b.id AND a.event_id <> b.event_id AND least(a.job_count, b.job_count) >= 0.98 * greatest(a.job_count, b.job_count)
   AND abs(datediff('day', a.layoff_date, b.layoff_date)) <= 30 WHERE (a.country = b.country OR a.country = '' OR b.country = '') AND NOT (a.source_type = 'warn' AND b.source_type = 'warn')""")(
-    lambda spark, sf_dir: dedup.shape_pairs(facts(spark, sf_dir), least=4200))
+    lambda spark, sf_dir: dedup.shape_pairs(facts(spark, sf_dir)))
 query("entry_hash", "SELECT id, md5(lower(trim(company)) || coalesce(CAST(layoff_date AS VARCHAR), '') || job_count) AS hash FROM ledger")(
     lambda spark, sf_dir: facts(spark, sf_dir).select("id", dedup.cross_date_hash(F.col("company"), F.col("layoff_date"), F.col("job_count")).alias("hash")))
-query("dedup_reconcile")(lambda spark, sf_dir: dedup.reconcile(facts(spark, sf_dir)))
-query("greedy_clusters")(lambda spark, sf_dir: dedup.greedy_clusters(facts(spark, sf_dir)))
+query("dedup_reconcile")(lambda spark, sf_dir: dedup.reconcile(planted(spark, sf_dir)))
+query("greedy_clusters")(lambda spark, sf_dir: dedup.greedy_clusters(planted(spark, sf_dir)))
 
 # Sorting and paging -----------------------------------------------------------------------------------------------------------------
 

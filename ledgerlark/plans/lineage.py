@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one is made only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``. Where none is set, a local run gets a temporary one; on a cluster that raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -22,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has cut. Results that were not written yet are lost, so it is called when all are."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.mkdirs(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import employers, text
+from ..functions import text
 from ..operators import aggregates, quality, series
 from ..operators.filters import FilterSpec
 from ..sources import ledger as tables
@@ -12,6 +12,7 @@ from ..sources import sinks
 from ..sources.ledger import AS_OF, read
 from ..streaming import jobs as streams
 from .catalogue import MEASURES, ONCE, facts, jobs, n, query
+from .planted import PLANTED_SQL, planted
 
 # Series ---------------------------------------------------------------------------------------------------------------------------
 
@@ -63,12 +64,12 @@ SELECT l.series, l.year, l.quarter, CASE WHEN b.value > 0 THEN round(l.value / b
 
 # Quality --------------------------------------------------------------------------------------------------------------------------
 
-_CADENCE = """, d AS (SELECT DISTINCT source_name AS source, layoff_date AS day FROM ledger WHERE layoff_date IS NOT NULL AND id % 40 < 3),
+_CADENCE = """, d AS (SELECT DISTINCT source_name AS source, layoff_date AS day FROM ledger WHERE layoff_date IS NOT NULL),
 g AS (SELECT source, day, datediff('day', lag(day) OVER (PARTITION BY source ORDER BY day), day) AS gap FROM d),
 a AS (SELECT source, count(*) AS days, quantile_disc(gap, 0.9) AS gap90, max(gap) AS longest_gap, min(day) AS first_day, max(day) AS last_day FROM g GROUP BY 1),
 b AS (SELECT *, CASE WHEN days >= 7 AND last_day > first_day THEN round((days - 1) * 365 / datediff('day', first_day, last_day), 6) END AS per_year, datediff('day', last_day, DATE '2001-12-01') AS days_dark FROM a)
 SELECT *, CASE WHEN days_dark IS NULL OR per_year IS NULL OR gap90 IS NULL THEN 'UNKNOWN' WHEN days_dark < 14 OR exp(-per_year / 365 * days_dark) >= 0.05 OR days_dark <= 1.25 * gap90 THEN 'PASS' WHEN exp(-per_year / 365 * days_dark) >= 0.01 THEN 'QUIET' ELSE 'FAIL' END AS verdict FROM b"""
-query("cadence_profile", _CADENCE)(lambda spark, sf_dir: quality.cadence_profile(facts(spark, sf_dir).where("layoff_date IS NOT NULL AND id % 40 < 3").select(F.col("source_name").alias("source"), F.col("layoff_date").alias("day")), "2001-12-01"))
+query("cadence_profile", _CADENCE)(lambda spark, sf_dir: quality.cadence_profile(facts(spark, sf_dir).where("layoff_date IS NOT NULL").select(F.col("source_name").alias("source"), F.col("layoff_date").alias("day")), "2001-12-01"))
 query("zero_streak", """, z AS (SELECT source, max(CASE WHEN entries > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY attempted_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS stored FROM runs)
 SELECT source, count(CASE WHEN stored = 0 THEN 1 END) AS streak, count(*) AS runs FROM z GROUP BY 1""")(lambda spark, sf_dir: quality.zero_streaks(tables.source_runs(spark, sf_dir)))
 query("source_latest", "SELECT source, status, entries, attempted_at FROM runs QUALIFY row_number() OVER (PARTITION BY source ORDER BY attempted_at DESC, id DESC) = 1")(lambda spark, sf_dir: quality.latest_health(tables.source_runs(spark, sf_dir)))
@@ -91,18 +92,20 @@ query("recall_strata", f""", t AS (SELECT state AS stratum, count(CASE WHEN revi
 SELECT stratum, h AS hits, j AS judged, u AS undecidable, CASE WHEN j > 0 THEN round(100 * h / j, 1) END AS rate_pct, CASE WHEN j > 0 THEN round(greatest(0, {_bound('-')}), 6) END AS low, CASE WHEN j > 0 THEN round(least(1, {_bound('+')}), 6) END AS high,
   CASE WHEN aj > 0 THEN round(100 * hj / aj, 1) END AS weighted_pct, CASE WHEN j = 0 THEN 'UNKNOWN' ELSE 'MEASURED' END AS state FROM t""")(
     lambda spark, sf_dir: quality.recall_by_stratum(facts(spark, sf_dir).where("source_type = 'warn'").select(F.col("state").alias("stratum"), F.col("job_count").alias("jobs"), F.when(F.col("review_status") != "pending", F.col("review_status") == "approved").alias("hit"))))
-query("recall_bands", """, r AS (SELECT id AS ref_id, job_count AS ref_jobs, company_key, state FROM ledger WHERE source_type = 'warn'), m AS (SELECT ref_id, max(CASE WHEN l.job_count // 100 = ref_jobs // 100 THEN 1 ELSE 0 END) AS same FROM r JOIN ledger l ON l.company_key = r.company_key AND l.source_type = 'news' GROUP BY 1)
+@query("recall_bands", PLANTED_SQL + """, r AS (SELECT id AS ref_id, job_count AS ref_jobs, company_key FROM planted WHERE source_type = 'warn'), m AS (SELECT ref_id, max(CASE WHEN l.job_count = ref_jobs THEN 1 ELSE 0 END) AS same FROM r JOIN planted l ON l.company_key = r.company_key AND l.source_type = 'news' AND l.job_count % 3 = 0 GROUP BY 1)
 SELECT CASE same WHEN 1 THEN 'CONFIRMED' WHEN 0 THEN 'PROPOSED' ELSE 'ABSENT' END AS band, count(*) AS events FROM r LEFT JOIN m USING (ref_id) GROUP BY 1""")
 def _(spark, sf_dir):
-    rows = facts(spark, sf_dir).withColumn("job_count", F.floor(F.col("job_count") / 100))
+    rows = planted(spark, sf_dir)
     refs = rows.where("source_type = 'warn'").select(F.col("id").alias("ref_id"), F.col("job_count").alias("ref_jobs"), "company_key")
-    matches = refs.join(rows.where("source_type = 'news'").select("company_key", "job_count"), "company_key").select("ref_id", "job_count")
+    matches = refs.join(rows.where("source_type = 'news' AND job_count % 3 = 0").select("company_key", "job_count"), "company_key").select("ref_id", "job_count")
     return quality.recall_bands(refs, matches)
 
 
-query("count_precision", f""", t AS (SELECT source_type, count(*) AS j, count(*) AS h FROM ledger GROUP BY 1)
-SELECT source_type, h AS hits, j AS judged, round(greatest(0, {_bound('-')}), 6) AS low, round(least(1, {_bound('+')}), 6) AS high FROM t""")(lambda spark, sf_dir: quality.count_precision(facts(spark, sf_dir)))
-query("coverage_band", """, d AS (SELECT n_name AS country, CASE WHEN n_nationkey % 5 = 0 AND x = 1 THEN 'events' ELSE 'jobs' END AS unit, 1000000 + n_nationkey AS total FROM nation, (SELECT unnest([0, 1]) AS x)),
+query("count_precision", f""", t AS (SELECT source_type, count(CASE WHEN id % 4 <> 3 THEN 1 END) AS j, count(CASE WHEN id % 4 = 0 THEN 1 END) AS h FROM ledger GROUP BY 1)
+SELECT source_type, h AS hits, j AS judged, round(greatest(0, {_bound('-')}), 6) AS low, round(least(1, {_bound('+')}), 6) AS high FROM t""")(
+    # Excerpts that state the count, a longer number that begins with it, no number at all, and none.
+    lambda spark, sf_dir: quality.count_precision(facts(spark, sf_dir).withColumn("excerpt", F.expr("CASE id % 4 WHEN 0 THEN excerpt WHEN 1 THEN concat('Notice of ', job_count, '7 jobs') WHEN 2 THEN 'Notice of jobs' ELSE '' END"))))
+@query("coverage_band", """, d AS (SELECT n_name AS country, CASE WHEN n_nationkey % 5 = 0 AND x = 1 THEN 'events' ELSE 'jobs' END AS unit, 1000000 + n_nationkey AS total FROM nation, (SELECT unnest([0, 1]) AS x)),
 o AS (SELECT country, count(DISTINCT unit) AS units, sum(total) AS total FROM d GROUP BY 1), h AS (SELECT country, employer_country, job_count FROM ledger WHERE superset_of = 0),
 s AS (SELECT c AS country, sum(CASE WHEN own THEN job_count END) AS a, sum(job_count) AS b FROM (SELECT country AS c, TRUE AS own, job_count FROM h UNION ALL SELECT employer_country, FALSE, job_count FROM h WHERE employer_country NOT IN ('', country)) GROUP BY 1)
 SELECT o.country, CASE WHEN units = 1 THEN round(100 * a / total, 1) END AS low_pct, CASE WHEN units = 1 THEN round(100 * b / total, 1) END AS high_pct, CASE WHEN units = 1 THEN 'MEASURED' ELSE 'UNKNOWN' END AS state FROM o LEFT JOIN s ON s.country = o.country""")
@@ -112,7 +115,7 @@ def _(spark, sf_dir):
     return quality.coverage_band(facts(spark, sf_dir), rows.select(F.col("n_name").alias("country"), unit.alias("unit"), (1000000 + F.col("n_nationkey")).alias("total")))
 
 
-query("ratchet_baselines", """, b AS (SELECT state, count(*) AS baseline FROM ledger WHERE source_type = 'warn' AND state <> 'AA' GROUP BY 1), c AS (SELECT state, count(*) AS n FROM ledger WHERE source_type = 'warn' AND id % 10 < CASE WHEN state < 'C' THEN 8 ELSE 10 END AND state <> 'BB' GROUP BY 1)
+@query("ratchet_baselines", """, b AS (SELECT state, count(*) AS baseline FROM ledger WHERE source_type = 'warn' AND state <> 'AA' GROUP BY 1), c AS (SELECT state, count(*) AS n FROM ledger WHERE source_type = 'warn' AND id % 10 < CASE WHEN state < 'C' THEN 8 ELSE 10 END AND state <> 'BB' GROUP BY 1)
 SELECT coalesce(b.state, c.state) AS state, coalesce(n, 0) AS n, greatest(coalesce(baseline, 0), coalesce(n, 0)) AS baseline, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n < 0.9 * coalesce(baseline, 0) THEN 'FAIL' ELSE 'PASS' END AS verdict FROM b FULL JOIN c ON b.state = c.state""")
 def _(spark, sf_dir):
     rows = facts(spark, sf_dir).where("source_type = 'warn'")
@@ -120,7 +123,7 @@ def _(spark, sf_dir):
     return quality.ratchet(before, rows.where("id % 10 < CASE WHEN state < 'C' THEN 8 ELSE 10 END AND state <> 'BB'").groupBy("state").agg(F.count(F.lit(1)).alias("n")))
 
 
-query("latest_decisions", """, e AS (SELECT conv_id AS case_id, turn AS seq, CASE WHEN turn % 3 = 2 THEN 'revert' ELSE 'decide' END AS action, role AS verdict FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role) = 1)
+@query("latest_decisions", """, e AS (SELECT conv_id AS case_id, turn AS seq, CASE WHEN turn % 3 = 2 THEN 'revert' ELSE 'decide' END AS action, role AS verdict FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role) = 1)
 SELECT case_id, count(*) AS steps, CASE WHEN arg_max(action, seq) = 'revert' THEN 'OPEN' ELSE arg_max(verdict, seq) END AS verdict FROM e GROUP BY 1""")
 def _(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy(F.col("conv_id").alias("case_id"), F.col("turn").alias("seq")).agg(F.min("role").alias("verdict"))
@@ -131,19 +134,10 @@ query("source_dating", "SELECT source_type, count(*) AS entries, round(avg(CASE
 
 # Texts and exports ------------------------------------------------------------------------------------------------------------------
 
-query("company_key", "SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS key FROM customer")(
-    lambda spark, sf_dir: read(spark, sf_dir, "customer").select("c_custkey", employers.company_key(F.col("c_name")).alias("key")))
 query("first_number", "SELECT id, CAST(regexp_extract(excerpt, '(\\d+)', 1) AS BIGINT) AS found FROM ledger")(lambda spark, sf_dir: facts(spark, sf_dir).select("id", text.first_number(F.col("excerpt")).alias("found")))
-query("count_in_excerpt", "SELECT id, TRUE AS stated FROM ledger")(lambda spark, sf_dir: facts(spark, sf_dir).select("id", text.count_in_text(F.col("job_count"), F.col("excerpt")).alias("stated")))
 query("url_host", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^\w+://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages")(lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", text.url_host(F.col("url")).alias("host")))
-query("url_canonical")(lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical")))
-query("strip_html")(lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", F.length(text.strip_html(F.col("html"))).alias("n_chars")))
 query("latin_share", r"SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0 THEN len(regexp_extract_all(text, '\p{Latin}')) / len(regexp_extract_all(text, '\p{L}')) END, 6) AS share FROM documents")(
     lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.round(text.latin_share(F.col("text")), 6).alias("share")))
-query("sentence_guards")(lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", text.denied(F.col("text")).alias("held"), text.creates_jobs(F.col("text")).alias("creates"), text.retrospective(F.col("text")).alias("kind")))
-query("quoted_excerpt", "SELECT id, length(excerpt) >= 12 AS quoted FROM ledger")(lambda spark, sf_dir: facts(spark, sf_dir).select("id", text.quoted(F.upper("excerpt"), F.col("excerpt")).alias("quoted")))
-query("anonymous_names", "SELECT id, id % 3 = 0 AS anonymous FROM ledger")(
-    lambda spark, sf_dir: facts(spark, sf_dir).select("id", employers.is_anonymous(F.when(F.col("id") % 3 == 0, "A  large  Unnamed Retailer").otherwise(F.col("company"))).alias("anonymous")))
 query("export_guarded", """SELECT id, CASE WHEN id % 4 = 0 THEN '''=' ELSE '' END || company AS company, array_to_string(reason_tags, '|') AS reasons, array_to_string(list_filter(role_categories, lambda x: x <> 'unknown'), '|') AS roles FROM ledger""")(
     lambda spark, sf_dir: sinks.export_rows(facts(spark, sf_dir).withColumn("company", F.when(F.col("id") % 4 == 0, F.concat(F.lit("="), "company")).otherwise(F.col("company")))).select("id", "company", "reasons", "roles"))
 query("appendix_long", f""", a AS (SELECT 'country' AS section, country AS label, {MEASURES} FROM ledger WHERE {ONCE} GROUP BY 2 UNION ALL SELECT 'industry', industry, {MEASURES} FROM ledger WHERE {ONCE} AND industry <> '' GROUP BY 2)

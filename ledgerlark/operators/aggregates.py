@@ -99,12 +99,35 @@ def leaders(facts: DataFrame, reports: DataFrame, limit: int = 24) -> DataFrame:
     return first.join(counts, "event_id", "left").select("id", "company", "job_count", "layoff_date", "country", F.coalesce("n", F.lit(0)).alias("reports"))
 
 
-def by_location(facts: DataFrame, column: str, first: str, last: str, limit: int = 300) -> DataFrame:
-    """Verified jobs per place within a period."""
-    day = F.col("layoff_date")
-    rows = facts.where(ONCE).where(~F.col("announced")).where(day.between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).where(F.col(column) != "")
-    out = rows.groupBy(F.col(column).alias("place")).agg(F.count(F.lit(1)).alias("entries"), F.sum("job_count").alias("jobs"), F.count_distinct("company_key").alias("companies"))
-    return out.orderBy(F.desc("jobs"), "place").limit(limit)
+def period_bounds(period: str, today: str) -> tuple[str | None, str | None]:
+    """First and last day of the running week (from Monday), month, quarter or year, or none."""
+    import datetime
+
+    day = datetime.date.fromisoformat(today)
+    first = {
+        "all": None, "week": day - datetime.timedelta(days=day.weekday()), "month": day.replace(day=1),
+        "quarter": day.replace(month=(day.month - 1) // 3 * 3 + 1, day=1), "ytd": day.replace(month=1, day=1),
+    }[period]
+    return (None, None) if first is None else (str(first), today)
+
+
+def place_board(facts: DataFrame, view: str, period: str, today: str, date_basis: str = "effective", limit: int = 300) -> DataFrame:
+    """Verified entries and jobs per country, state, industry or employer's home within a period, and those by artificial intelligence."""
+    if view not in ("country", "state", "industry", "employer_country"):
+        raise ValueError(f"no view {view}")
+    first, last = period_bounds(period, today)
+    rows = facts.where(ONCE).where(~F.col("announced")).where(F.col(view) != "")
+    if first:
+        rows = rows.where(basis(date_basis).between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+    ai = F.col("ai_explicit")
+    out = rows.groupBy(F.col(view).alias("place")).agg(F.count(F.lit(1)).alias("entries"), F.sum("job_count").alias("jobs"), F.count(F.when(ai, 1)).alias("ai_entries"), jobs_where(ai).alias("ai_jobs"))
+    return out.orderBy(F.desc("jobs"), F.desc("entries"), "place").limit(limit)
+
+
+def ranges(facts: DataFrame) -> DataFrame:
+    """(what, low, high): the spans that filters offer."""
+    out = facts.agg(*[f(c).cast("string").alias(f"{n}_{c}") for c in ("layoff_date", "announcement_date", "job_count") for n, f in (("low", F.min), ("high", F.max))])
+    return out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(f"low_{c}").alias("low"), F.col(f"high_{c}").alias("high")) for c in ("layoff_date", "announcement_date", "job_count")])).alias("x")).select("x.*")
 
 
 def conversion(facts: DataFrame, as_of: str, months: int = 6) -> DataFrame:
@@ -161,18 +184,20 @@ def period_stats(facts: DataFrame, as_of: str) -> DataFrame:
 
 
 def employer_ranking(facts: DataFrame, limit: int = 20) -> DataFrame:
-    """Employers by jobs: attributes of the largest entry, a missing address filled from the next one that has it."""
+    """Employers by jobs, those that named artificial intelligence apart from those where it was only linked: attributes of the
+    largest entry, a missing address or quote filled from the next one that has it."""
     order = F.struct("job_count", "id")
-    linked = F.col("source_url") != ""
-    out = facts.where("superset_of = 0 AND ai_explicit").groupBy("company_key").agg(
-        F.sum("job_count").alias("jobs"), F.max_by("company", order).alias("company"), F.max_by("country", order).alias("country"),
-        F.max_by(F.when(linked, F.col("source_url")), F.when(linked, order)).alias("source_url"),
-    )
-    return out.orderBy(F.desc("jobs"), "company_key").limit(limit)
+    filled = lambda c: F.max_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", order)).alias(c)
+    kind = F.when(F.col("ai_explicit"), "named").when(F.col("ai_causation") == "ai_linked", "mentioned")
+    rows = facts.where("superset_of = 0 AND ai_causation <> 'explicitly_denied'").withColumn("kind", kind).where("kind IS NOT NULL AND company_key <> ''")
+    out = rows.groupBy("kind", "company_key").agg(
+        F.sum("job_count").alias("jobs"), F.max_by("company", order).alias("company"), F.max_by("country", order).alias("country"), filled("source_url"), filled("excerpt"))
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("jobs"), "company_key"))
+    return out.withColumn("rank", nth).where(F.col("rank") <= limit)
 
 
 def company_page(facts: DataFrame) -> DataFrame:
-    """Per employer: totals, first and last date, most common country and industry (the first by name on a tie)."""
+    """Per employer: totals, first and last date, most common country, state and industry (the first by name on a tie)."""
     rows = facts.where("company_key <> ''")
     by = Window.partitionBy("company_key")
 
@@ -182,7 +207,9 @@ def company_page(facts: DataFrame) -> DataFrame:
         return best.select("company_key", F.col(column).alias(f"main_{column}"))
 
     out = rows.groupBy("company_key").agg(F.count(F.lit(1)).alias("entries"), F.sum("job_count").alias("jobs"), F.min("layoff_date").alias("first_date"), F.max("layoff_date").alias("last_date"))
-    return out.join(mode("country"), "company_key", "left").join(mode("industry"), "company_key", "left")
+    for column in ("country", "state", "industry"):
+        out = out.join(mode(column), "company_key", "left")
+    return out
 
 
 def timeline(facts: DataFrame, as_of: str) -> DataFrame:
@@ -200,6 +227,13 @@ def index_buckets(facts: DataFrame) -> DataFrame:
     return facts.where("company_key <> ''").select("company_key", bucket.alias("bucket")).distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("companies"))
 
 
+def canonical_slugs(directory: DataFrame) -> DataFrame:
+    """``directory (company_key, id, slug)``: the shortest slug of each employer, the least id on a tie, with its letter in the index."""
+    out = directory.where("slug <> ''").groupBy("company_key").agg(F.min_by("slug", F.struct(F.length("slug"), "id")).alias("slug"))
+    first = F.substring("slug", 1, 1)
+    return out.withColumn("bucket", F.when(first.rlike("[a-z]"), F.upper(first)).otherwise("0-9"))
+
+
 def change_log(changes: DataFrame) -> DataFrame:
     """Changes by date, action and reason; jobs stay unknown where any part is unknown."""
     known = F.count("jobs") == F.count(F.lit(1))

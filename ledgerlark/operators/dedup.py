@@ -95,14 +95,24 @@ def reconcile_report(facts: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def gap_clusters(facts: DataFrame, days: int = 30) -> DataFrame:
-    """Runs of an employer's entries with no gap of more than so many days; the best verified, then largest entry stays."""
-    rows = facts.where("company_key <> '' AND layoff_date IS NOT NULL")
-    order = Window.partitionBy("company_key").orderBy("layoff_date", "id")
+    """Runs of an employer's entries with no gap of more than so many days, official notices apart; the best verified, then largest entry stays.
+
+    An entry that stays without a quote on artificial intelligence inherits the best member's one. A run is found by its gaps
+    alone, so the window orders an employer's days, not its entries: however many entries it has, they are counted per day first.
+    """
+    rows = facts.where("company_key <> '' AND layoff_date IS NOT NULL AND source_type <> 'warn'")
+    per_day = rows.select("company_key", "layoff_date").distinct()
+    order = Window.partitionBy("company_key").orderBy("layoff_date")
     gap = F.datediff("layoff_date", F.lag("layoff_date").over(order))
-    rows = rows.withColumn("cluster", F.sum(F.when(gap > days, 1).otherwise(0)).over(order))
-    rank = F.when(F.col("verification_level") == "gold", 3).when(F.col("verification_level") == "warn", 2).when(F.col("verification_level") == "silver", 1).otherwise(0)
-    best = Window.partitionBy("company_key", "cluster").orderBy(F.desc(rank), F.desc("job_count"), "id")
-    return rows.select("id", "company_key", "cluster", (F.row_number().over(best) == 1).alias("keeper"))
+    days_of = per_day.withColumn("cluster", F.sum(F.when(gap > days, 1).otherwise(0)).over(order))
+    rows = rows.join(days_of, ["company_key", "layoff_date"])
+    rank = F.when(F.col("verification_level") == "gold", 3).when(F.col("verification_level") == "silver", 2).when(F.col("verification_level") == "bronze", 1).otherwise(0)
+    order_of = F.struct(-rank, -F.col("job_count"), F.col("id"))
+    told = F.col("ai_explicit") & (F.col("excerpt") != "")
+    groups = rows.groupBy("company_key", "cluster").agg(F.min_by("id", order_of).alias("keeper_id"), F.min_by(F.when(told, F.col("excerpt")), F.when(told, order_of)).alias("ai_quote"))
+    out = rows.select("id", "company_key", "cluster", "ai_explicit").join(groups, ["company_key", "cluster"])
+    keeper = F.col("id") == F.col("keeper_id")
+    return out.select("id", "company_key", "cluster", keeper.alias("keeper"), F.when(keeper & ~F.col("ai_explicit"), F.col("ai_quote")).alias("inherited_quote"))
 
 
 def article_duplicates(facts: DataFrame) -> DataFrame:

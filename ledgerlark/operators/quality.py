@@ -10,16 +10,34 @@ from ..functions.text import count_in_text
 from .filters import in_country
 
 
+# How much history a source needs before its rhythm can be judged.
+WINDOW, LEAST_SEEN, LEAST_DAYS, LEAST_SPAN = 1095, 8, 7, 180
+RATE_WINDOW, LEAST_RECENT, LEAST_RECENT_SPAN, SLOWER = 365, 8, 120, 0.6
+
+
 def cadence_profile(days: DataFrame, as_of: str) -> DataFrame:
-    """``days (source, day)``: distinct days, usual and nearest-rank 90 % gap, yearly rate, silence and its verdict."""
-    seen = days.distinct()
-    gap = F.datediff("day", F.lag("day").over(Window.partitionBy("source").orderBy("day")))
-    out = seen.withColumn("gap", gap).groupBy("source").agg(
-        F.count(F.lit(1)).alias("days"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY gap)").cast("long").alias("gap90"), F.max("gap").alias("longest_gap"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    """``days (source, day)``, a row per observation: the rhythm of each source over the three years before its newest day.
+
+    Nearest-rank 90 % and longest gap between days, yearly rates in the long run and of the last year (where that is thick
+    enough), whether it slowed down, days of silence and the verdict. Too thin a history is UNKNOWN, never a pass.
+    """
+    per_day = days.groupBy("source", "day").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("source")
+    rows = per_day.withColumn("newest", F.max("day").over(by)).where(F.datediff("newest", "day") <= WINDOW)
+    gap = F.datediff("day", F.lag("day").over(by.orderBy("day")))
+    recent = F.datediff("newest", "day") <= RATE_WINDOW
+    out = rows.withColumns({"gap": gap, "recent": recent}).groupBy("source").agg(
+        F.sum("n").alias("seen"), F.count(F.lit(1)).alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY gap)").cast("long").alias("gap90"), F.max("gap").alias("longest_gap"),
+        F.sum(F.when(F.col("recent"), F.col("n"))).alias("recent_seen"), F.datediff(F.max(F.when(F.col("recent"), F.col("day"))), F.min(F.when(F.col("recent"), F.col("day")))).alias("recent_span"),
+    )
     span = F.datediff("last_day", "first_day")
-    rate = F.when((F.col("days") >= 7) & (span > 0), F.round((F.col("days") - 1) * 365 / span, 6))
-    out = out.withColumns({"per_year": rate, "days_dark": F.datediff(F.to_date(F.lit(as_of)), "last_day")})
-    return out.withColumn("verdict", dark_verdict(F.col("days_dark"), F.col("per_year"), F.col("gap90")))
+    enough = (F.col("seen") >= LEAST_SEEN) & (F.col("days") >= LEAST_DAYS) & (span >= LEAST_SPAN)
+    long_run = F.when(enough, F.round((F.col("seen") - 1) / span * 365, 2))
+    last_year = F.when((F.col("recent_seen") >= LEAST_RECENT) & (F.col("recent_span") >= LEAST_RECENT_SPAN), F.round((F.col("recent_seen") - 1) / F.col("recent_span") * 365, 2))
+    out = out.withColumns({"long_run": long_run, "days_dark": F.greatest(F.datediff(F.to_date(F.lit(as_of)), "last_day"), F.lit(0))})
+    out = out.withColumn("per_year", F.when(F.col("long_run").isNotNull(), F.coalesce(last_year, F.col("long_run"))))
+    out = out.withColumns({"slowed": F.coalesce(F.col("per_year") < SLOWER * F.col("long_run"), F.lit(False)), "verdict": dark_verdict(F.col("days_dark"), F.col("per_year"), F.col("gap90"))})
+    return out.select("source", "seen", "days", "first_day", "last_day", "gap90", "longest_gap", "long_run", "per_year", "slowed", "days_dark", "verdict")
 
 
 def zero_streaks(runs: DataFrame) -> DataFrame:

@@ -141,10 +141,12 @@ query("repeat_companies", """SELECT company_key, count(*) AS n, CAST(sum(job_cou
   FROM ledger WHERE company_key <> '' GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, jobs DESC, company_key LIMIT 24""")(lambda spark, sf_dir: aggregates.repeat_companies(facts(spark, sf_dir)))
 query("leaders", """SELECT id, company, job_count, layoff_date, country, (SELECT count(*) FROM reports r WHERE r.event_id = l.event_id) AS reports
   FROM ledger l ORDER BY job_count DESC, id DESC LIMIT 24""")(lambda spark, sf_dir: aggregates.leaders(facts(spark, sf_dir), tables.reports(spark, sf_dir)))
-query("by_location", f"""SELECT country AS place, count(*) AS entries, CAST(sum(job_count) AS BIGINT) AS jobs, count(DISTINCT company_key) AS companies FROM ledger
-  WHERE {ONCE} AND NOT announced AND layoff_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND country <> '' GROUP BY 1""")(
-    lambda spark, sf_dir: aggregates.by_location(facts(spark, sf_dir), "country", "1996-01-01", "1998-12-31")
-)
+for _view, _period, _where in (("country", "ytd", "layoff_date BETWEEN DATE '1997-01-01' AND DATE '1997-08-06'"), ("state", "quarter", "layoff_date BETWEEN DATE '1997-07-01' AND DATE '1997-08-06'"),
+                               ("industry", "all", "TRUE"), ("employer_country", "month", "layoff_date BETWEEN DATE '1997-08-01' AND DATE '1997-08-06'"), ("country", "week", "layoff_date BETWEEN DATE '1997-08-04' AND DATE '1997-08-06'")):
+    query(f"by_location_{_view}_{_period}", f"""SELECT {_view} AS place, count(*) AS entries, CAST(sum(job_count) AS BIGINT) AS jobs, {n('ai_explicit')} AS ai_entries, {jobs('ai_explicit')} AS ai_jobs FROM ledger
+      WHERE {ONCE} AND NOT announced AND {_where} AND {_view} <> '' GROUP BY 1""")(lambda spark, sf_dir, v=_view, p=_period: aggregates.place_board(facts(spark, sf_dir), v, p, "1997-08-06"))
+query("facet_ranges", "SELECT 'layoff_date' AS what, CAST(min(layoff_date) AS VARCHAR) AS low, CAST(max(layoff_date) AS VARCHAR) AS high FROM ledger UNION ALL SELECT 'announcement_date', CAST(min(announcement_date) AS VARCHAR), CAST(max(announcement_date) AS VARCHAR) FROM ledger UNION ALL SELECT 'job_count', CAST(min(job_count) AS VARCHAR), CAST(max(job_count) AS VARCHAR) FROM ledger")(
+    lambda spark, sf_dir: aggregates.ranges(facts(spark, sf_dir)))
 query("conversion_6m", f""", pairs AS (
   SELECT a.id, coalesce(a.announcement_date, a.layoff_date) AS anchor, a.job_count, coalesce(sum(b.job_count), 0) AS after FROM ledger a
   LEFT JOIN (SELECT company_key, layoff_date, job_count FROM ledger WHERE NOT announced AND company_key <> '') b ON a.company_key = b.company_key AND b.layoff_date > coalesce(a.announcement_date, a.layoff_date)
@@ -167,17 +169,23 @@ query("stats_periods", f"""SELECT period, count(*) AS entries, CAST(sum(job_coun
   SELECT *, unnest(list_filter(['all', CASE WHEN date_trunc('week', layoff_date) = date_trunc('week', DATE '{AS_OF}') THEN 'week' END, CASE WHEN date_trunc('month', layoff_date) = date_trunc('month', DATE '{AS_OF}') THEN 'month' END,
     CASE WHEN date_trunc('quarter', layoff_date) = date_trunc('quarter', DATE '{AS_OF}') THEN 'quarter' END, CASE WHEN date_trunc('year', layoff_date) = date_trunc('year', DATE '{AS_OF}') THEN 'year' END], lambda x: x IS NOT NULL)) AS period
   FROM ledger WHERE {ONCE}) GROUP BY 1""")(lambda spark, sf_dir: aggregates.period_stats(facts(spark, sf_dir), AS_OF))
-query("employer_ranking", f"""SELECT company_key, CAST(sum(job_count) AS BIGINT) AS jobs, arg_max(company, (job_count, id)) AS company, arg_max(country, (job_count, id)) AS country,
-  arg_max(source_url, (job_count, id)) FILTER (source_url <> '') AS source_url FROM ledger WHERE {ONCE} AND ai_explicit GROUP BY 1 ORDER BY jobs DESC, company_key LIMIT 20""")(lambda spark, sf_dir: aggregates.employer_ranking(facts(spark, sf_dir)))
-query("company_page", """, m AS (SELECT company_key, country, industry FROM ledger WHERE company_key <> ''),
+query("employer_ranking", f"""SELECT CASE WHEN ai_explicit THEN 'named' ELSE 'mentioned' END AS kind, company_key, CAST(sum(job_count) AS BIGINT) AS jobs, arg_max(company, (job_count, id)) AS company, arg_max(country, (job_count, id)) AS country,
+  arg_max(source_url, (job_count, id)) FILTER (source_url <> '') AS source_url, arg_max(excerpt, (job_count, id)) FILTER (id % 3 <> 0) AS excerpt, row_number() OVER (PARTITION BY CASE WHEN ai_explicit THEN 'named' ELSE 'mentioned' END ORDER BY sum(job_count) DESC, company_key) AS rank
+  FROM ledger WHERE {ONCE} AND ai_causation <> 'explicitly_denied' AND (ai_explicit OR ai_causation = 'ai_linked') GROUP BY 1, 2 QUALIFY rank <= 20""")(
+    lambda spark, sf_dir: aggregates.employer_ranking(facts(spark, sf_dir).withColumn("excerpt", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("excerpt")))))
+query("company_page", """, m AS (SELECT company_key, country, state, industry FROM ledger WHERE company_key <> ''),
 c AS (SELECT company_key, country FROM (SELECT company_key, country, row_number() OVER (PARTITION BY company_key ORDER BY count(*) DESC, country) AS k FROM m WHERE country <> '' GROUP BY 1, 2) WHERE k = 1),
+s AS (SELECT company_key, state FROM (SELECT company_key, state, row_number() OVER (PARTITION BY company_key ORDER BY count(*) DESC, state) AS k FROM m WHERE state <> '' GROUP BY 1, 2) WHERE k = 1),
 i AS (SELECT company_key, industry FROM (SELECT company_key, industry, row_number() OVER (PARTITION BY company_key ORDER BY count(*) DESC, industry) AS k FROM m WHERE industry <> '' GROUP BY 1, 2) WHERE k = 1)
-SELECT l.company_key, count(*) AS entries, CAST(sum(job_count) AS BIGINT) AS jobs, min(layoff_date) AS first_date, max(layoff_date) AS last_date, any_value(c.country) AS main_country, any_value(i.industry) AS main_industry
-FROM ledger l LEFT JOIN c USING (company_key) LEFT JOIN i USING (company_key) WHERE l.company_key <> '' GROUP BY 1""")(lambda spark, sf_dir: aggregates.company_page(facts(spark, sf_dir)))
+SELECT l.company_key, count(*) AS entries, CAST(sum(job_count) AS BIGINT) AS jobs, min(layoff_date) AS first_date, max(layoff_date) AS last_date, any_value(c.country) AS main_country, any_value(s.state) AS main_state, any_value(i.industry) AS main_industry
+FROM ledger l LEFT JOIN c USING (company_key) LEFT JOIN s USING (company_key) LEFT JOIN i USING (company_key) WHERE l.company_key <> '' GROUP BY 1""")(lambda spark, sf_dir: aggregates.company_page(facts(spark, sf_dir)))
 query("timeline_years", f"""SELECT year(layoff_date) AS year, CAST(sum(job_count) AS BIGINT) AS jobs, {jobs(_DONE)} AS jobs_to_date, year(layoff_date) = 2000 AS partial FROM ledger
   WHERE {ONCE} AND layoff_date IS NOT NULL GROUP BY 1 HAVING year(layoff_date) <= 2000 OR {jobs(_DONE)} > 0""")(lambda spark, sf_dir: aggregates.timeline(facts(spark, sf_dir), AS_OF))
 query("index_buckets", """SELECT CASE WHEN f BETWEEN 'A' AND 'Z' THEN f WHEN f BETWEEN '0' AND '9' THEN '0-9' ELSE '#' END AS bucket, count(*) AS companies
   FROM (SELECT DISTINCT company_key, upper(substr(regexp_replace(company_key, '^[^a-z0-9]+', ''), 1, 1)) AS f FROM ledger WHERE company_key <> '') GROUP BY 1""")(lambda spark, sf_dir: aggregates.index_buckets(facts(spark, sf_dir)))
+query("canonical_slugs", """, d AS (SELECT company_key, id, CASE WHEN id % 2 = 0 THEN replace(company_key, ' ', '-') WHEN id % 3 = 0 THEN '' ELSE substr(company_key, 16) || '-' || (id % 3) END AS slug FROM ledger)
+SELECT company_key, arg_min(slug, (length(slug), id)) AS slug, CASE WHEN arg_min(slug, (length(slug), id)) SIMILAR TO '[a-z].*' THEN upper(arg_min(slug, (length(slug), id))[1]) ELSE '0-9' END AS bucket FROM d WHERE slug <> '' GROUP BY 1""")(
+    lambda spark, sf_dir: aggregates.canonical_slugs(facts(spark, sf_dir).select("company_key", "id", F.expr("CASE WHEN id % 2 = 0 THEN replace(company_key, ' ', '-') WHEN id % 3 = 0 THEN '' ELSE concat(substr(company_key, 16), '-', id % 3) END").alias("slug"))))
 query("change_log", """SELECT layoff_date AS day, review_status AS action, source_type AS reason, count(*) AS changes, CASE WHEN count(CASE WHEN id % 50 <> 0 THEN 1 END) = count(*) THEN CAST(sum(job_count) AS BIGINT) END AS jobs
   FROM ledger WHERE edited GROUP BY 1, 2, 3""")(lambda spark, sf_dir: aggregates.change_log(
     facts(spark, sf_dir).where("edited").select(F.col("layoff_date").alias("day"), F.col("review_status").alias("action"), F.col("source_type").alias("reason"), F.when(F.col("id") % 50 != 0, F.col("job_count")).alias("jobs"))))
@@ -253,10 +261,17 @@ k AS (SELECT id, layoff_date, first_value(id) OVER w AS p, first_value(layoff_da
 SELECT id AS member, p AS "primary" FROM k WHERE id <> p AND datediff('day', d, layoff_date) <= 90""")(
     # Revised notices keep their employer's name and carry a mark; the stored key then differs, the revision key must not.
     lambda spark, sf_dir: dedup.revision_marks(planted(spark, sf_dir).withColumn("company", F.expr("CASE id % 4 WHEN 0 THEN concat(company, ' - Revised') WHEN 1 THEN concat(company, ' (Updated)') WHEN 2 THEN concat('Amended: ', company) ELSE company END"))))
-query("gap_clusters", """, g AS (SELECT id, company_key, layoff_date, verification_level, job_count, datediff('day', lag(layoff_date) OVER (PARTITION BY company_key ORDER BY layoff_date, id), layoff_date) AS gap FROM ledger WHERE company_key <> '' AND layoff_date IS NOT NULL),
-k AS (SELECT *, CAST(sum(CASE WHEN gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY company_key ORDER BY layoff_date, id) AS BIGINT) AS cluster FROM g)
-SELECT id, company_key, cluster, row_number() OVER (PARTITION BY company_key, cluster ORDER BY CASE verification_level WHEN 'gold' THEN 3 WHEN 'warn' THEN 2 WHEN 'silver' THEN 1 ELSE 0 END DESC, job_count DESC, id) = 1 AS keeper FROM k""")(
-    lambda spark, sf_dir: dedup.gap_clusters(facts(spark, sf_dir)))
+query("gap_clusters", """, g AS (SELECT id, company_key, layoff_date, verification_level, job_count, ai_explicit, excerpt, datediff('day', lag(layoff_date) OVER (PARTITION BY company_key ORDER BY layoff_date, id), layoff_date) AS gap FROM ledger WHERE company_key <> '' AND layoff_date IS NOT NULL AND source_type <> 'warn'),
+k AS (SELECT *, CAST(sum(CASE WHEN gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY company_key ORDER BY layoff_date, id) AS BIGINT) AS cluster, CASE verification_level WHEN 'gold' THEN 3 WHEN 'silver' THEN 2 WHEN 'bronze' THEN 1 ELSE 0 END AS r FROM g),
+q AS (SELECT company_key, cluster, arg_min(id, (-r, -job_count, id)) AS keeper_id, arg_min(excerpt, (-r, -job_count, id)) FILTER (ai_explicit) AS quote FROM k GROUP BY 1, 2)
+SELECT id, company_key, cluster, id = keeper_id AS keeper, CASE WHEN id = keeper_id AND NOT ai_explicit THEN quote END AS inherited_quote FROM k JOIN q USING (company_key, cluster)""")(lambda spark, sf_dir: dedup.gap_clusters(facts(spark, sf_dir)))
+query("declared_memberships", """, m AS (SELECT id AS member, id + 1 AS p FROM ledger WHERE id % 10 = 0), d AS (SELECT id AS member, CASE WHEN id % 20 = 11 THEN -1 ELSE id - 2 END AS p FROM ledger WHERE id % 10 = 1),
+v AS (SELECT * FROM d WHERE p IN (SELECT id FROM ledger) AND p NOT IN (SELECT member FROM d)), o AS (SELECT * FROM m WHERE member NOT IN (SELECT member FROM v) AND member NOT IN (SELECT p FROM v))
+SELECT CAST(member AS BIGINT) AS member, CAST(p AS BIGINT) AS "primary" FROM v UNION ALL SELECT o.member, coalesce(v.p, o.p) FROM o LEFT JOIN v ON v.member = o.p WHERE o.member <> coalesce(v.p, o.p)""")(
+    lambda spark, sf_dir: dedup.declared_marks(facts(spark, sf_dir).where("id % 10 = 0").select(F.col("id").alias("member"), (F.col("id") + 1).alias("primary")),
+        facts(spark, sf_dir).where("id % 10 = 1").select(F.col("id").alias("member"), F.expr("CASE WHEN id % 20 = 11 THEN -1 ELSE id - 2 END").alias("primary")), facts(spark, sf_dir)))
+query("membership_changes", """SELECT id, superset_of AS was, CASE WHEN id % 4 = 0 THEN id + 1 ELSE 0 END AS now FROM ledger WHERE superset_of <> CASE WHEN id % 4 = 0 THEN id + 1 ELSE 0 END""")(
+    lambda spark, sf_dir: dedup.reconcile_report(facts(spark, sf_dir), facts(spark, sf_dir).where("id % 4 = 0").select(F.col("id").alias("member"), (F.col("id") + 1).alias("primary"))))
 query("article_duplicates", PLANTED_SQL + """, a AS (SELECT source_url, job_count, event_id FROM planted WHERE source_url <> '' AND superset_of = 0)
 SELECT source_url, job_count, count(DISTINCT event_id) AS events, job_count * (count(DISTINCT event_id) - 1) AS excess FROM a GROUP BY 1, 2 HAVING count(DISTINCT event_id) > 1""")(
     lambda spark, sf_dir: dedup.article_duplicates(planted(spark, sf_dir)))
@@ -275,8 +290,14 @@ query("default_page", f"""SELECT id, layoff_date, job_count FROM ledger ORDER BY
     lambda spark, sf_dir: paging.default_page(facts(spark, sf_dir), AS_OF, page=2).select("id", "layoff_date", "job_count"))
 query("changed_after", """SELECT id, updated_at FROM ledger WHERE updated_at > TIMESTAMP '1997-03-01' OR (updated_at = TIMESTAMP '1997-03-01' AND id > 500) ORDER BY updated_at, id LIMIT 201""")(
     lambda spark, sf_dir: paging.changed_after(facts(spark, sf_dir), ("1997-03-01 00:00:00", 500)).select("id", "updated_at"))
-query("review_queue", """SELECT * FROM (SELECT id, job_count, concat_ws(',', CASE WHEN job_count >= 3000 THEN 'large' END, CASE WHEN ai_causation = 'primary_cause' THEN 'ai_primary' END) AS triggers
-  FROM ledger WHERE review_status = 'pending') WHERE triggers <> '' ORDER BY job_count DESC, id DESC LIMIT 100""")(lambda spark, sf_dir: paging.review_queue(facts(spark, sf_dir), jobs=3000))
+for _sort, _down in (("job_count", False), ("company", True), ("layoff_date", False)):
+    query(f"page_by_{_sort}", f"SELECT id, layoff_date, job_count, company FROM ledger ORDER BY {_sort} IS NULL, {_sort} {'DESC' if _down else 'ASC'}, id DESC LIMIT 25 OFFSET 25")(
+        lambda spark, sf_dir, c=_sort, d=_down: paging.default_page(facts(spark, sf_dir), AS_OF, 2, 25, c, d).select("id", "layoff_date", "job_count", "company"))
+query("page_total", "SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM ledger WHERE superset_of = 0 AND job_count >= 2000")(
+    lambda spark, sf_dir: apply_filters(facts(spark, sf_dir), FilterSpec.of(exclude_supersets=True, min_jobs=2000)).agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / 25)))
+query("review_queue", """, r AS (SELECT id, event_id, job_count, concat_ws(',', CASE WHEN job_count >= 3000 THEN 'very_large_event' END, CASE WHEN ai_causation = 'primary_cause' THEN 'ai_primary_claim' END, CASE WHEN id % 5 = 0 THEN 'multi_country_event' END) AS triggers FROM ledger)
+SELECT id, job_count, triggers, (SELECT count(*) FROM reports p WHERE p.event_id = r.event_id) AS reports FROM r WHERE triggers <> '' ORDER BY job_count DESC, id DESC LIMIT 100""")(
+    lambda spark, sf_dir: paging.review_queue(facts(spark, sf_dir).withColumn("country", F.when(F.col("id") % 5 == 0, "Multiple countries").otherwise(F.col("country"))), tables.reports(spark, sf_dir), jobs=3000))
 query("typeahead", """SELECT company, max(layoff_date) AS last_date, count(*) AS entries FROM ledger WHERE contains(lower(company), '00012') GROUP BY 1
   ORDER BY starts_with(lower(company), '00012') DESC, last_date DESC NULLS LAST, company LIMIT 10""")(lambda spark, sf_dir: paging.typeahead(facts(spark, sf_dir), "00012"))
 
@@ -294,9 +315,19 @@ def _(spark, sf_dir):
 
 query("register_new", "SELECT id, dedup_hash FROM ledger WHERE id % 3 <> 0 UNION ALL SELECT id, dedup_hash FROM ledger WHERE id % 3 = 0 AND dedup_hash NOT IN (SELECT dedup_hash FROM ledger WHERE id % 3 <> 0)")(
     lambda spark, sf_dir: mutations.register(facts(spark, sf_dir).where("id % 3 <> 0").select("id", "dedup_hash"), facts(spark, sf_dir).select("id", "dedup_hash"), "dedup_hash"))
-query("merged_reports", """, p AS (SELECT k.event_id AS t, d.event_id AS f FROM ledger k JOIN ledger d ON d.id = k.id + 2 WHERE k.id % 40 = 0), moves AS (SELECT f, min(t) AS t FROM p GROUP BY 1)
-SELECT coalesce(t, event_id) AS event_id, count(*) AS reports FROM reports LEFT JOIN moves ON f = event_id GROUP BY 1""")(
-    lambda spark, sf_dir: mutations.merge_events(facts(spark, sf_dir), tables.reports(spark, sf_dir), facts(spark, sf_dir).where("id % 40 = 0").select(F.col("id").alias("keep_id"), (F.col("id") + 2).alias("drop_id")))[1].groupBy("event_id").agg(F.count(F.lit(1)).alias("reports")))
+_MERGES = ", p AS (SELECT k.id AS keep_id, d.id AS drop_id, k.event_id AS t, d.event_id AS f, d.dedup_hash FROM ledger k JOIN ledger d ON d.id = k.id + 2 WHERE k.id % 8 = 0), moves AS (SELECT f, min(t) AS t FROM p GROUP BY 1)"
+
+
+def merges(spark, sf_dir):
+    rows = facts(spark, sf_dir)
+    return mutations.merge_events(rows, tables.reports(spark, sf_dir), rows.where("id % 8 = 0").select(F.col("id").alias("keep_id"), (F.col("id") + 2).alias("drop_id")))
+
+
+query("merged_reports", _MERGES + " SELECT coalesce(t, event_id) AS event_id, count(*) AS reports FROM reports LEFT JOIN moves ON f = event_id GROUP BY 1")(lambda spark, sf_dir: merges(spark, sf_dir)[1].groupBy("event_id").agg(F.count(F.lit(1)).alias("reports")))
+query("merged_entries", _MERGES + " SELECT id, event_id FROM ledger WHERE id NOT IN (SELECT drop_id FROM p)")(lambda spark, sf_dir: merges(spark, sf_dir)[0].select("id", "event_id"))
+query("merged_suppressed", _MERGES + " SELECT DISTINCT dedup_hash FROM p")(lambda spark, sf_dir: merges(spark, sf_dir)[2])
+query("upsert_suppressed", """, fresh AS (SELECT dedup_hash, min(id) AS id FROM ledger WHERE id % 3 = 0 AND id % 7 <> 0 GROUP BY 1) SELECT dedup_hash FROM ledger WHERE id % 3 = 1 UNION SELECT dedup_hash FROM fresh WHERE dedup_hash NOT IN (SELECT dedup_hash FROM ledger WHERE id % 7 = 0)""")(
+    lambda spark, sf_dir: mutations.upsert(facts(spark, sf_dir).where("id % 3 = 1"), facts(spark, sf_dir).where("id % 3 = 0"), facts(spark, sf_dir).where("id % 7 = 0").select("dedup_hash")).select("dedup_hash").distinct())
 query("purge_notices", "SELECT id, source_type FROM ledger WHERE NOT (source_type = 'warn' AND NOT edited)")(lambda spark, sf_dir: mutations.purge_notices(facts(spark, sf_dir)).select("id", "source_type"))
 query("plausible_dates", "SELECT id, CASE WHEN year(layoff_date) >= 2000 AND layoff_date <= DATE '2001-01-15' THEN layoff_date END AS layoff_date, CASE WHEN year(announcement_date) >= 2000 AND announcement_date <= DATE '2001-01-15' THEN announcement_date END AS announcement_date FROM ledger")(
     lambda spark, sf_dir: mutations.plausible_dates(facts(spark, sf_dir), "1998-01-15").select("id", "layoff_date", "announcement_date"))

@@ -73,6 +73,12 @@ dealt("script_mismatch", {"Jaguar Land Rover": True, "JLR": True, "捷豹路虎"
 dealt("typo_hint", {"acme holdings": False, "bridgestone": False, "bridgestome": True, "bridge stone": False, "brick": False, "bridgeston": True}, lambda c: reconcile.typo_hint(c, F.lit("bridgestone")), "typo")
 dealt("bucket_key", {"Meta (Facebook)": "meta", "CTS (Flex)": "cts flex", "Groupe Casino": "casino", "Volkswagen Group": "volkswagen", "SAS": "sas", "Siemens AG": "siemens ag", "Nokia Oyj": "nokia", "Enel S.p.A.": "enel", "Sony (Game Division)": "sony", "Tata Motors Ltd.": "tata motors", "": ""}, reconcile.bucket_key, "key")
 
+dealt("same_employer", {"jaguar land rover": True, "land rover": False, "jlr": False, "tata steel": False, "jaguar": True}, lambda c: employers.same_employer(c, F.when(c == "jaguar land rover", "jlr").when(c == "jaguar", "jaguar cars").when(c == "tata steel", "steel").when(c == "jlr", "jlr").otherwise("rover cars"), c, F.lit("none at all")), "same")
+dealt("legal_names", {"Société Générale S.A.": "societe generale", "The Boeing Company": "boeing", "Müller & Co. KG": "muller", "Acme Holdings, Inc.": "acme holdings", "AT&T Inc.": "at and t", "": "", "Nestlé SA": "nestle"}, employers.legal_name, "name")
+dealt("dates_anywhere", {"2026-01-22": "2026-01-22", "on 1/22/2026 at noon": "2026-01-22", "Jan 22, 2026": "2026-01-22", "September 3 2025": "2025-09-03", "2026-13-40": None, "1/22/1887": None, "soon": None}, lambda c: text.any_date(c).cast("string"), "day")
+dealt("folded_spaces", {"Carl\u202fZeiss  Meditec": "Carl Zeiss Meditec", "\u00a0a\u2003b\u200b": "a b", " x ": "x", "": ""}, text.fold_spaces, "name")
+dealt("repaired_xml", {"<rss>a & b</rss>junk": "<rss>a &amp; b</rss>", "<feed>&lt; &#38;</feed>": "<feed>&lt; &#38;</feed>", "R&D": "R&amp;D"}, text.repaired_xml, "xml")
+
 # Texts with a count: {n} stands for the row's own --------------------------------------------------------------------------------------
 
 

@@ -64,12 +64,16 @@ SELECT l.series, l.year, l.quarter, CASE WHEN b.value > 0 THEN round(l.value / b
 
 # Quality --------------------------------------------------------------------------------------------------------------------------
 
-_CADENCE = """, d AS (SELECT DISTINCT source_name AS source, layoff_date AS day FROM ledger WHERE layoff_date IS NOT NULL),
-g AS (SELECT source, day, datediff('day', lag(day) OVER (PARTITION BY source ORDER BY day), day) AS gap FROM d),
-a AS (SELECT source, count(*) AS days, quantile_disc(gap, 0.9) AS gap90, max(gap) AS longest_gap, min(day) AS first_day, max(day) AS last_day FROM g GROUP BY 1),
-b AS (SELECT *, CASE WHEN days >= 7 AND last_day > first_day THEN round((days - 1) * 365 / datediff('day', first_day, last_day), 6) END AS per_year, datediff('day', last_day, DATE '2001-12-01') AS days_dark FROM a)
-SELECT *, CASE WHEN days_dark IS NULL OR per_year IS NULL OR gap90 IS NULL THEN 'UNKNOWN' WHEN days_dark < 14 OR exp(-per_year / 365 * days_dark) >= 0.05 OR days_dark <= 1.25 * gap90 THEN 'PASS' WHEN exp(-per_year / 365 * days_dark) >= 0.01 THEN 'QUIET' ELSE 'FAIL' END AS verdict FROM b"""
-query("cadence_profile", _CADENCE)(lambda spark, sf_dir: quality.cadence_profile(facts(spark, sf_dir).where("layoff_date IS NOT NULL").select(F.col("source_name").alias("source"), F.col("layoff_date").alias("day")), "2001-12-01"))
+_CADENCE = """, o AS (SELECT CASE WHEN id % 23 = 0 AND year(layoff_date) < 1993 THEN 'thin' ELSE source_name END AS source, layoff_date AS day, 1 AS x FROM ledger WHERE layoff_date IS NOT NULL),
+w AS (SELECT * FROM (SELECT *, max(day) OVER (PARTITION BY source) AS newest FROM o) WHERE newest - day <= 1095), p AS (SELECT source, day, any_value(newest) AS newest, count(*) AS n FROM w GROUP BY 1, 2),
+g AS (SELECT *, datediff('day', lag(day) OVER (PARTITION BY source ORDER BY day), day) AS gap FROM p),
+a AS (SELECT source, CAST(sum(n) AS BIGINT) AS seen, count(*) AS days, min(day) AS first_day, max(day) AS last_day, quantile_disc(gap, 0.9) AS gap90, max(gap) AS longest_gap, sum(CASE WHEN newest - day <= 365 THEN n END) AS rs, max(CASE WHEN newest - day <= 365 THEN day END) - min(CASE WHEN newest - day <= 365 THEN day END) AS rspan FROM g GROUP BY 1),
+b AS (SELECT *, CASE WHEN seen >= 8 AND days >= 7 AND last_day - first_day >= 180 THEN round((seen - 1) / (last_day - first_day) * 365, 2) END AS long_run, greatest(DATE '2001-12-01' - last_day, 0) AS days_dark FROM a),
+c AS (SELECT *, CASE WHEN long_run IS NOT NULL THEN coalesce(CASE WHEN rs >= 8 AND rspan >= 120 THEN round((rs - 1) / rspan * 365, 2) END, long_run) END AS per_year FROM b)
+SELECT source, seen, days, first_day, last_day, gap90, longest_gap, long_run, per_year, coalesce(per_year < 0.6 * long_run, FALSE) AS slowed, days_dark,
+  CASE WHEN per_year IS NULL OR gap90 IS NULL THEN 'UNKNOWN' WHEN days_dark < 14 OR exp(-per_year / 365 * days_dark) >= 0.05 OR days_dark <= 1.25 * gap90 THEN 'PASS' WHEN exp(-per_year / 365 * days_dark) >= 0.01 THEN 'QUIET' ELSE 'FAIL' END AS verdict FROM c"""
+query("cadence_profile", _CADENCE)(lambda spark, sf_dir: quality.cadence_profile(
+    facts(spark, sf_dir).where("layoff_date IS NOT NULL").select(F.expr("CASE WHEN id % 23 = 0 AND year(layoff_date) < 1993 THEN 'thin' ELSE source_name END").alias("source"), F.col("layoff_date").alias("day")), "2001-12-01"))
 query("zero_streak", """, z AS (SELECT source, max(CASE WHEN entries > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY attempted_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS stored FROM runs)
 SELECT source, count(CASE WHEN stored = 0 THEN 1 END) AS streak, count(*) AS runs FROM z GROUP BY 1""")(lambda spark, sf_dir: quality.zero_streaks(tables.source_runs(spark, sf_dir)))
 query("source_latest", "SELECT source, status, entries, attempted_at FROM runs QUALIFY row_number() OVER (PARTITION BY source ORDER BY attempted_at DESC, id DESC) = 1")(lambda spark, sf_dir: quality.latest_health(tables.source_runs(spark, sf_dir)))
@@ -152,4 +156,15 @@ query("stream_dedupe", "SELECT event_type, count(DISTINCT event_id) AS n FROM ev
 query("stream_health", "SELECT event_type, arg_max(event_id, (ts, event_id)) AS last_run, max(ts) AS last_at, count(*) AS runs FROM events GROUP BY 1")(streams.health)
 query("stream_sessions", """, g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1""")(streams.sessions)
-query("stream_ledger", """SELECT event_type AS source, strftime(ts, '%Y-%m-%d') AS day, count(*) AS attempts, CASE WHEN count(CASE WHEN value > 95 THEN 1 END) > 0 THEN 'complete' WHEN count(*) >= 6 THEN 'failed' ELSE 'queued' END AS status FROM events GROUP BY 1, 2""")(streams.work_ledger)
+query("stream_ledger", """, s AS (SELECT event_type AS source, strftime(ts, '%Y-%m-%d') AS day, count(*) AS attempts, CASE WHEN count(CASE WHEN value > 95 THEN 1 END) > 0 THEN 'complete' WHEN count(CASE WHEN value > 90 THEN 1 END) > 0 THEN 'partial' WHEN count(*) >= 6 THEN 'failed' ELSE 'queued' END AS status FROM events GROUP BY 1, 2)
+SELECT source, day, attempts, CASE WHEN status <> 'complete' AND day < max(CASE WHEN status = 'complete' THEN day END) OVER (PARTITION BY source) THEN 'superseded' ELSE status END AS status FROM s""")(streams.work_ledger)
+query("stream_changed", "SELECT event_id, ts, event_type FROM events WHERE ts >= (SELECT min(ts) FROM events) + INTERVAL 3 DAY")(
+    lambda spark, sf_dir: streams.changed(spark, sf_dir, str(read(spark, sf_dir, "events").agg(F.expr("min(ts) + INTERVAL 3 DAYS")).first()[0])))
+query("stream_silence", """, h AS (SELECT event_type, max(ts) AS last_at FROM events GROUP BY 1), a AS (SELECT *, CAST(floor(epoch((SELECT max(ts) FROM events) + INTERVAL 1 HOUR - last_at) / 3600) AS BIGINT) AS hours FROM h)
+SELECT event_type, last_at, hours, CASE WHEN hours > 1 THEN 'SILENT' ELSE 'OK' END AS verdict FROM a""")(
+    lambda spark, sf_dir: streams.silence(spark, sf_dir, str(read(spark, sf_dir, "events").agg(F.expr("max(ts) + INTERVAL 1 HOUR")).first()[0]), 1))
+query("json_lines", """SELECT id AS place, CAST(to_json({'id': id, 'company': company, 'job_count': job_count, 'country': country}) AS VARCHAR) AS line FROM ledger UNION ALL SELECT 0, CAST(to_json({'filters': 'all', 'rows': count(*)}) AS VARCHAR) FROM ledger""")(
+    lambda spark, sf_dir: sinks.json_lines(facts(spark, sf_dir), "all"))
+query("personal_data", r"""SELECT 'email' AS kind, count(CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 1 END) AS rows FROM documents UNION ALL
+SELECT 'phone', count(CASE WHEN regexp_matches(text, '\+?\d{1,3}[ .-]\(?\d{2,4}\)?[ .-]\d{3}[ .-]\d{3,4}') THEN 1 END) FROM documents""")(
+    lambda spark, sf_dir: sinks.personal_data(read(spark, sf_dir, "documents"), ["text"]))

@@ -21,8 +21,11 @@ def write_csv(facts: DataFrame, path: str) -> None:
     export_rows(facts).write.option("header", True).option("escape", '"').csv(path)
 
 
-def write_json(facts: DataFrame, path: str) -> None:
-    facts.write.json(path)
+def json_lines(facts: DataFrame, filters: str) -> DataFrame:
+    """(place, line): an envelope line with the filters and the number of rows, then one line per row; the rows are never gathered."""
+    rows = facts.select(F.col("id").alias("place"), F.to_json(F.struct("id", "company", "job_count", "country")).alias("line"))
+    head = facts.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(0).cast("long").alias("place"), F.to_json(F.struct(F.lit(filters).alias("filters"), "rows")).alias("line"))
+    return head.unionByName(rows)
 
 
 def appendix(parts: dict[str, DataFrame], label: str = "label") -> DataFrame:
@@ -36,10 +39,33 @@ def appendix(parts: dict[str, DataFrame], label: str = "label") -> DataFrame:
     return out
 
 
-def backup(df: DataFrame, path: str, columns: list[str]) -> int:
-    """Compressed JSON lines with pinned columns; returns the rows written, after holding them against the rows read back."""
+# What must not be in a public backup.
+PERSONAL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "phone": r"\+?\d{1,3}[ .-]\(?\d{2,4}\)?[ .-]\d{3}[ .-]\d{3,4}"}
+
+
+def personal_data(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(kind, rows): how many rows have an address or number of a person in one of the columns."""
+    text = F.concat_ws(" ", *columns)
+    counts = df.agg(*[F.count(F.when(text.rlike(p), 1)).alias(k) for k, p in PERSONAL.items()])
+    return counts.unpivot([], list(PERSONAL), "kind", "rows")
+
+
+def backup(df: DataFrame, path: str, columns: list[str], last_rows: int | None = None, tolerance: float = 0.05) -> int:
+    """Compressed JSON lines with pinned columns; returns the rows written, after holding them against the rows read back.
+
+    Raises, and writes nothing, where personal data stand in the columns or rows are gone against the last backup beyond the tolerance.
+    """
+    texts = [c for c, t in df.dtypes if t == "string" and c in columns]
+    n = df.count()
+    if last_rows is not None and n < (1 - tolerance) * last_rows:
+        raise ValueError(f"{n} rows where the last backup had {last_rows}")
+    if texts and (found := {r["kind"]: r["rows"] for r in personal_data(df, texts).collect() if r["rows"]}):
+        raise ValueError(f"personal data in the backup: {found}")
     df.select(*columns).write.option("compression", "gzip").json(path)
-    return restore(df, path, columns).count()
+    back = restore(df, path, columns).count()
+    if back != n:
+        raise ValueError(f"wrote {n} rows, read back {back}")
+    return n
 
 
 def restore(like: DataFrame, path: str, columns: list[str]) -> DataFrame:

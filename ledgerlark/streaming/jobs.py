@@ -16,17 +16,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.lineage import shared_dir
 
-#: Late data: a live window ends so long behind now. Retries of a slot end after so many attempts.
+#: Late data: a live window ends so long behind now. Retries of a slot end after so many attempts, its state after so many days.
 LATENESS = "90 minutes"
 ATTEMPTS = 6
+HORIZON_DAYS = 14
 
 
-def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def span(spark: SparkSession, sf_dir: str) -> str:
+    """How late a row of a whole table can be when its files come in any order: the time that the table covers.
+
+    A replay with this lateness drops nothing; a live job passes ``LATENESS`` instead and keeps its state small.
+    """
+    first, last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("ts"), F.max("ts")).first()
+    return LATENESS if first is None else f"{(last - first).days + 1} days"
+
+
+def source(spark: SparkSession, sf_dir: str, files: int = 64) -> DataFrame:
     """The telemetry as a stream of files, a few at a time."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # A pattern also matches a table that is one file; a plain path would have to be a folder.
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def run(stream: DataFrame, mode: str) -> DataFrame:
@@ -46,26 +56,40 @@ def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*keys, "x.*")
 
 
-def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type."""
-    counts = source(spark, sf_dir).withWatermark("at", LATENESS).groupBy(F.window("at", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+def tumbling(spark: SparkSession, sf_dir: str, lateness: str | None = None, files: int = 64) -> DataFrame:
+    """Events by hour and type; rows later than the lateness are dropped, by default none are."""
+    rows = source(spark, sf_dir, files).withWatermark("at", lateness or span(spark, sf_dir))
+    counts = rows.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     out = counts.select(F.col("window.start").alias("hour"), "event_type", "n")
     return newest(run(out, "update"), ["hour", "event_type"]).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
-def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sliding(spark: SparkSession, sf_dir: str, lateness: str | None = None, files: int = 64) -> DataFrame:
     """Events by window of 36 hours, a new one every 12."""
-    counts = source(spark, sf_dir).withWatermark("at", LATENESS).groupBy(F.window("at", "36 hours", "12 hours")).agg(F.count(F.lit(1)).alias("n"))
+    rows = source(spark, sf_dir, files).withWatermark("at", lateness or span(spark, sf_dir))
+    counts = rows.groupBy(F.window("at", "36 hours", "12 hours")).agg(F.count(F.lit(1)).alias("n"))
     return newest(run(counts.select(F.col("window.start").alias("start"), "n"), "update"), ["start"]).select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
 
 
-def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deduplicated(spark: SparkSession, sf_dir: str, lateness: str | None = None, files: int = 64) -> DataFrame:
     """Runs seen once, whichever overlapping window delivers them."""
-    twice = source(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    once = twice.withWatermark("at", "36 hours").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
+    twice = source(spark, sf_dir, files).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    once = twice.withWatermark("at", lateness or span(spark, sf_dir)).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
     return run(once, "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def changed(spark: SparkSession, sf_dir: str, since: str, files: int = 64) -> DataFrame:
+    """The feed of rows changed since instrumentation began, in order of arrival; a consumer goes on from its last batch."""
+    rows = source(spark, sf_dir, files).where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    return run(rows.select("event_id", "ts", "event_type"), "append").select("event_id", "ts", "event_type")
+
+
+def silence(spark: SparkSession, sf_dir: str, now: str, hours: int) -> DataFrame:
+    """Sources whose newest run is older than the limit, by the latest state that the stream keeps of each."""
+    age = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp_ntz").cast("timestamp")) - F.unix_timestamp(F.col("last_at").cast("timestamp"))) / 3600)
+    return health(spark, sf_dir).select("event_type", "last_at", age.alias("hours"), F.when(age > hours, "SILENT").otherwise("OK").alias("verdict"))
+
+
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest run of each source."""
     latest = source(spark, sf_dir).groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_run"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("runs"))
@@ -80,20 +104,32 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(F.broadcast(last), "batch").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
-def work_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of every (source, day) slot: complete once a run stored something, failed after enough attempts, else queued.
+def work_ledger(spark: SparkSession, sf_dir: str, lateness: str | None = None, files: int = 64) -> DataFrame:
+    """The state of every (source, day) slot: complete once a run stored all, partial if one stored a part, failed after enough attempts, else queued.
 
-    Custom state: two numbers a slot, kept by Spark's state store and updated by one small function a group.
+    Custom state: three numbers a slot, kept by Spark's state store and updated by one small function a group; a slot is forgotten
+    ``HORIZON_DAYS`` after its day, and one that was still open then has aged out. Open slots before a complete later one of the
+    same source are superseded, which is settled on reading.
     """
 
     def update(key: tuple, batches, state: GroupState):
-        attempts, stored = state.get if state.exists else (0, 0)
+        attempts, stored, parts = state.get if state.exists else (0, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if not stored:
+                yield pd.DataFrame({"source": [key[0]], "day": [key[1]], "attempts": [attempts], "status": ["aged out"]})
+            return
         for pdf in batches:
-            attempts, stored = attempts + len(pdf), stored + int((pdf["value"] > 95).sum())
-        state.update((attempts, stored))
-        status = "complete" if stored else "failed" if attempts >= ATTEMPTS else "queued"
+            attempts, stored, parts = attempts + len(pdf), stored + int((pdf["value"] > 95).sum()), parts + int((pdf["value"] > 90).sum())
+        state.update((attempts, stored, parts))
+        end = pd.Timestamp(key[1]) + pd.Timedelta(days=1 + HORIZON_DAYS)
+        state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        status = "complete" if stored else "partial" if parts else "failed" if attempts >= ATTEMPTS else "queued"
         yield pd.DataFrame({"source": [key[0]], "day": [key[1]], "attempts": [attempts], "status": [status]})
 
-    rows = source(spark, sf_dir).select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
-    slots = rows.groupBy("event_type", "day").applyInPandasWithState(update, "source string, day string, attempts long, status string", "attempts long, stored long", "update", GroupStateTimeout.NoTimeout)
-    return newest(run(slots, "update"), ["source", "day"])
+    rows = source(spark, sf_dir, files).withWatermark("at", lateness or span(spark, sf_dir)).select("at", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    slots = rows.groupBy("event_type", "day").applyInPandasWithState(update, "source string, day string, attempts long, status string", "attempts long, stored long, parts long", "update", GroupStateTimeout.EventTimeTimeout)
+    found = newest(run(slots, "update"), ["source", "day"])
+    last = found.where("status = 'complete'").groupBy("source").agg(F.max("day").alias("_last"))
+    open_ = F.col("status").isin("queued", "failed", "partial") & (F.col("day") < F.col("_last"))
+    return found.join(last, "source", "left").withColumn("status", F.when(open_, "superseded").otherwise(F.col("status"))).drop("_last")

@@ -220,6 +220,38 @@ def test_op4_keeps_the_article(spark, tmp_path):
     assert row.n_chars == len(row.text)
 
 
+def test_op4_cuts_equal_the_least_of_all_cuts():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        net = [float(x) for x in np.round(rng.normal(0, 2, n), 3)]
+        ties = {(i, j): float(np.round(rng.random() * 2, 3)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
+        cost = lambda kept: sum(-x for x, k in zip(net, kept, strict=True) if k and x < 0) + sum(x for x, k in zip(net, kept, strict=True) if not k and x > 0) + sum(w for (i, j), w in ties.items() if kept[i] != kept[j])  # noqa: B023, E731
+        least = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert cost(html_extract.minimum_cut(net, ties)) == pytest.approx(least, abs=1e-6)
+
+
+def test_op4_text_of_all_pages(spark):
+    """In these pages the article's element holds the main text and nothing else."""
+    import html
+
+    wrong = 0
+    pages = {r.page_id: r.html for r in table(spark, "pages").collect()}
+    for r in html_extract.op4_html_extract(spark, SF).collect():
+        inner = re.search(r"(?s)<article>(.*?)</article>", pages[r.page_id]).group(1)
+        wrong += r.text != " ".join(html.unescape(re.sub(r"<(?:/?(?:p|h1|br)\b)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+    assert wrong <= 0.02 * len(pages)
+
+
+def test_op4_learns_what_class_names_mean():
+    """Blocks under an unknown name, met beside clear boilerplate, are told from the article's."""
+    prose = "The committee met on Tuesday to discuss the harbour plan, and most members agreed that it should go ahead."
+    clear, named = html_extract.text_features(prose, 0), sorted(html_extract.name_words([("class", "zqx-box")]))
+    model = html_extract.fit(np.array([clear] * 200), [[]] * 100 + [named] * 100, np.array([1.0] * 100 + [0.0] * 100))
+    assert model.odds(prose, 0, frozenset()) > 1 and model.odds(prose, 0, frozenset(named)) < -1
+    assert html_extract.fit(np.zeros((0, len(html_extract.PRIOR))), [], np.zeros(0)).weights[:4].tolist() == list(html_extract.PRIOR[:4])
+
+
 def test_op5_balance_and_slots(spark):
     rows = sharding.op5_shard(spark, SF).collect()
     texts = table(spark, "documents").collect()

@@ -6,6 +6,9 @@ with the room left goes in; where no whole tail fits, the longest one is cut to
 sequences whose lengths are powers of two, which need no padding. Each task packs its own partition in one pass, with a pool
 of bounded size, so nothing is shuffled.
 
+``pack_documents`` packs texts all of whose ids bear loss. ``pack_conversations`` packs instruction data: an example is a
+conversation (at most ``TURNS`` turns of it, so that no example is unbounded), of which only the answers bear loss.
+
 Defined cases: a null text counts as empty, and an empty text still has its end id; repeated rows are packed as often as they
 come; null ids are passed through; an empty table gives no rows.
 """
@@ -18,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import bounded_batches, table, worker_cache
+from .token_counts import byte_letters
 
 CAPACITY = 2048
 SEGMENTS = 256
 END_ID = 1
 POOL = 256
 WORDS_HELD = 1 << 19
+TURNS = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -41,8 +47,12 @@ class WordIds(dict):
         # Fixed value: the splitting pattern of the vocabulary file.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
 
+        # Words come normalised and apart, so only the merging of their byte letters is asked of the library.
+        self.model = self.library.model
+        self.letters = str.maketrans({chr(byte): letter for letter, byte in byte_letters().items()})
+
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
         if len(self) > WORDS_HELD:
             self.clear()
         if len(word) < 100:
@@ -149,27 +159,30 @@ class Packer:
         return rows
 
 
-def _pack_batches(path: str):
-    def run(batches):
-        held = worker_cache("word_ids")
-        if path not in held:
-            held[path] = WordIds(path)
-        words, packer = held[path], Packer(TaskContext.get().partitionId() << 40)
-        kinds = [pa.int64()] * 8
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def _rows(packer: Packer):
+    if rows := packer.drain():
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], NAMES)
 
-        def out():
-            columns = [*zip(*packer.drain(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names) if columns else None
 
+def _word_ids(path: str) -> WordIds:
+    held = worker_cache("word_ids")
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
+
+
+def _pack_batches(path: str):
+    def run(batches):
+        words, packer = _word_ids(path), Packer(TaskContext.get().partitionId() << 40)
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 packer.place(key, words.encode(text or ""))
-            if (rows := out()) is not None:
-                yield rows
+            yield from _rows(packer)
         packer.finish()
-        if (rows := out()) is not None:
-            yield rows
+        yield from _rows(packer)
 
     return run
 
@@ -180,6 +193,43 @@ def pack_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_pack_batches(path), SCHEMA)
 
 
+def _pack_turns(path: str, role: str, loss: int, segments: int):
+    def run(batches):
+        words, packer = _word_ids(path), Packer(TaskContext.get().partitionId() << 40, segments=segments, loss=loss)
+        key, ids, masks = None, [], []
+
+        def place():
+            if ids:
+                packer.place(key[0], np.concatenate(ids), np.concatenate(masks))
+                ids.clear(), masks.clear()
+
+        for batch in batches:
+            for conv, block, who, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "block", "role", "text")), strict=True):
+                if (conv, block) != key or len(ids) >= TURNS:
+                    place()
+                    key = conv, block
+                ids.append(words.encode(text or ""))
+                masks.append(np.full(len(ids[-1]), who == role))
+            yield from _rows(packer)
+        place()
+        packer.finish()
+        yield from _rows(packer)
+
+    return run
+
+
+def pack_conversations(turns: DataFrame, path: str, role: str = "assistant", loss: int = CAPACITY * 3 // 4, segments: int = SEGMENTS) -> DataFrame:
+    """One row per piece of the conversations in ``turns (conv_id long, turn, role, text)``, under limits on tokens, segments and loss-bearing tokens.
+
+    ``doc_id`` is the conversation, ``loss_tokens`` the ids of a piece that turns of ``role`` have. Turns are dealt by conversation
+    and block of ``TURNS`` turns, so a conversation of any size is spread over tasks; turns without a number are dealt by their text.
+    """
+    bounded_batches(turns.sparkSession)
+    block = F.when(F.col("turn").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(1024))).otherwise(F.floor(F.col("turn") / TURNS))
+    rows = turns.select("conv_id", block.alias("block"), "turn", "role", "text").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+    return rows.select("conv_id", "block", "role", "text").mapInArrow(_pack_turns(path, role, loss, segments), SCHEMA)
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

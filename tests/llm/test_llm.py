@@ -362,6 +362,46 @@ def test_op9_round_trip(spark):
     assert total > 0.97 * 2048 * len(sequences)
 
 
+def test_op9_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(8)
+    whole, own = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = ["".join(rng.choice(list("abcXYZ éÉñ你好🎉'.,!?12\u0301 \n\tΣİßǅ"), rng.integers(0, 80))) for _ in range(400)] + ["don't we'll <|endoftext|> x", "o\u0301 O\u0301"]
+    assert all(own.encode(t).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts)
+
+
+def test_op9_three_limits_hold_at_once(spark):
+    """Conversations of which only answers bear loss: the loss limit binds in some sequences, the token or segment limit in others."""
+    rng, rows = np.random.default_rng(12), []
+    for conv in range(150):
+        heavy = conv % 2 == 0
+        for turn in range(int(rng.integers(1, 7))):
+            role = "assistant" if turn % 2 else "user"
+            rows.append((conv, turn, role, " ".join(f"w{x}" for x in rng.integers(99, size=rng.integers(0, 160 if heavy == (role == "assistant") else 12)))))
+    rows += [(None, None, None, None), (7, None, "assistant", "late"), (900, 0, "assistant", "many " * 9000), (901, 100, "user", "x")]
+    path, limit, most = public_tokenizers.path("word_bpe_49k.json"), 700, 9
+    words = packing.WordIds(path)
+    found = packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), path, loss=limit, segments=most).collect()
+    sequences, ids, loss = collections.defaultdict(list), collections.Counter(), collections.Counter()
+    for r in found:
+        sequences[r.sequence_id].append(r)
+        ids[r.doc_id] += r.length
+        loss[r.doc_id] += r.loss_tokens
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(r.length for r in own[:i]) for i in range(len(own))]
+        assert sum(r.length for r in own) <= 2048 and len(own) <= most and sum(r.loss_tokens for r in own) <= limit
+    assert {sum(r.loss_tokens for r in own) == limit for own in sequences.values()} == {True, False}
+    assert any(len(own) == most for own in sequences.values())
+    expected, bearing = collections.Counter(), collections.Counter()
+    for conv, _, role, text in rows:
+        n = len(words.encode(text or ""))
+        expected[conv] += n
+        bearing[conv] += n * (role == "assistant")
+    assert (ids, +loss) == (expected, +bearing)
+
+
 def test_op10_base_is_exact_and_the_model_beats_it(spark):
     texts = texts_of(spark)
     tokens = {i: [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), None] for i, t in texts.items()}

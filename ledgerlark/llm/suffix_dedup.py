@@ -1,12 +1,12 @@
 """Removal of byte strings that occur earlier, by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 Two equal strings of ``LENGTH`` bytes have the same least-hashed gram of ``GRAM`` bytes, so texts are cut into runs of windows
-with one such gram, and only runs that share it can share a string. Runs whose whole bytes are equal are settled by hash (each
-task first settles its own, so a passage copied everywhere sends one row per task). The first runs of grams that have several
+with one such gram, and only runs that share it can share a string. Runs whose whole bytes are equal are settled at once, by a
+128-bit cryptographic digest of the bytes (each task first settles its own, so a passage copied everywhere sends one row per task). The first runs of grams that have several
 different runs are dealt by gram into buckets of bounded size. A bucket is laid end to end and its suffixes are sorted to a
 depth of ``LENGTH``; breadth-first backward extension on the transform then visits the intervals of ever longer strings and
 so fills in the common prefixes by increasing value, stopping at ``LENGTH``: what is left open is a repeat. A gram with more
-than ``HOT_BYTES`` of different runs is compared window by window on 128-bit hashes instead, which needs no bucket.
+than ``HOT_BYTES`` of different runs fits no bucket; its windows are compared one by one on such digests instead, with the same result.
 
 Defined cases: a null text counts as empty; null ids come after all others; rows repeated with one id and text are one
 document, and rows of one id with other texts are separate documents ordered by a hash of the text; texts shorter than
@@ -15,7 +15,7 @@ document, and rows of one id with other texts are separate documents ordered by
 
 from __future__ import annotations
 
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
@@ -35,19 +35,24 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
 
 
-def prefix_hashes(data: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Sums for the hash of any stretch, and the factors that bring a stretch to its start."""
-    step = (MULTIPLIER + 2 * seed * 0x632BE59BD9B4E019) & (1 << 64) - 1
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB) + np.uint64(seed))[data]
-    powers = np.full(len(data) + 1, step, np.uint64)
+def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums for the hash of any stretch, and the factors that bring a stretch to its start; they only order and block."""
+    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))[data]
+    powers = np.full(len(data) + 1, MULTIPLIER, np.uint64)
     powers[0] = 1
-    inverse = np.full(len(data) + 1, pow(step, -1, 1 << 64), np.uint64)
+    inverse = np.full(len(data) + 1, pow(MULTIPLIER, -1, 1 << 64), np.uint64)
     inverse[0] = 1
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values * np.multiply.accumulate(powers)[:-1], out=sums[1:])
     return sums, np.multiply.accumulate(inverse)
 
 
+def digests(data: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
+    """128-bit digests of stretches, as two numbers each."""
+    out = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
 def sliding_least(x: np.ndarray, span: int) -> np.ndarray:
     """The least of every ``span`` neighbours."""
     width = 1
@@ -58,11 +63,12 @@ def sliding_least(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one least gram: index of the text, start, length, gram hash, hash of the run's bytes.
+    """Runs of windows with one least gram: index of the text, start, length, gram hash, and the two halves of the digest of the run's bytes.
 
     The length is the number of windows, with bit 15 set where the run may repeat itself.
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes) - sizes
     sums, inverse = prefix_hashes(data)
@@ -82,15 +88,15 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     start = np.repeat(at[first], parts) + nth * LONGEST_RUN
     n = np.minimum(np.repeat(count, parts) - nth * LONGEST_RUN, LONGEST_RUN)
     end = start + n + LENGTH - 1
-    whole = mix((sums[end] - sums[start]) * inverse[start] + n.astype(np.uint64))
+    whole = digests(joined, start.tolist(), end.tolist())
     who = owner[start]
     # A run over more than one place of its gram may repeat itself.
     moves = np.concatenate([[0], np.cumsum(leftmost[1:] != leftmost[:-1])])
     periodic = (moves[start + n - 1] != moves[start]) | (len(data) >= 1 << 24)
-    return who, start - begins[who], n | (periodic.astype(np.int64) << 15), np.repeat(value[first], parts), whole
+    return who, start - begins[who], n | (periodic.astype(np.int64) << 15), np.repeat(value[first], parts), whole[:, 0], whole[:, 1]
 
 
-RUNS = "route long, settled boolean, whole long, doc long, tie long, spot long"
+RUNS = "route long, settled boolean, whole long, rest long, doc long, tie long, spot long"
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -116,22 +122,22 @@ def _run_batches(batches):
     held: list[tuple[np.ndarray, ...]] = []
 
     def out():
-        route, whole, doc, tie, spot = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((spot, tie, doc, whole, route))
-        route, whole, doc, tie, spot = (x[order] for x in (route, whole, doc, tie, spot))
-        settled = np.append(False, (route[1:] == route[:-1]) & (whole[1:] == whole[:-1]))
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        order = np.lexsort(columns[::-1])
+        route, whole, rest, doc, tie, spot = (x[order] for x in columns)
+        settled = np.append(False, (route[1:] == route[:-1]) & (whole[1:] == whole[:-1]) & (rest[1:] == rest[:-1]))
         same = np.append(False, (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (spot[1:] == spot[:-1])) & settled
         route = np.where(settled, mix(doc.astype(np.uint64) + spot.astype(np.uint64)).astype(np.int64), route)
         for at in range(0, len(route), 1 << 16):
             own = slice(at, at + (1 << 16))
             keep = ~same[own]
-            yield _batch(RUNS, *(x[own][keep] for x in (route, settled, whole, doc, tie, spot)))
+            yield _batch(RUNS, *(x[own][keep] for x in (route, settled, whole, rest, doc, tie, spot)))
 
     for batch in batches:
         for slab in _slabs(batch):
-            who, start, n, gram, whole = runs_of([raw for _, _, raw in slab])
+            who, start, n, gram, whole, rest = runs_of([raw for _, _, raw in slab])
             docs, ties = np.array([d for d, _, _ in slab], np.int64), np.array([t for _, t, _ in slab], np.int64)
-            held.append((gram.astype(np.int64), whole.astype(np.int64), docs[who], ties[who], (start.astype(np.int64) << 16) | n))
+            held.append((gram.astype(np.int64), whole, rest, docs[who], ties[who], (start.astype(np.int64) << 16) | n))
             if sum(len(h[0]) for h in held) > RUNS_HELD:
                 yield from out()
                 held = []
@@ -152,13 +158,13 @@ def _settle_batches(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        route, settled, whole, doc, tie, spot = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+        route, settled, whole, rest, doc, tie, spot = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
         if last is None:
-            last = (np.int64(0), True, np.int64(0), None, None, None, True)
-        before = [np.append(np.asarray([last[i]], x.dtype), x[:-1]) for i, x in ((0, route), (1, settled), (2, whole))]
+            last = (np.int64(0), True, np.int64(0), np.int64(0), None, None, None)
+        before = [np.append(np.asarray([last[i]], x.dtype), x[:-1]) for i, x in enumerate((route, settled, whole, rest))]
         same_gram = (route == before[0]) & ~settled & ~before[1].astype(bool)
-        same_run = same_gram & (whole == before[2])
-        twin = np.append(last[3] is not None and (doc[0], tie[0], spot[0]) == last[3:6], (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (spot[1:] == spot[:-1])) & same_run
+        same_run = same_gram & (whole == before[2]) & (rest == before[3])
+        twin = np.append(last[4] is not None and (doc[0], tie[0], spot[0]) == last[4:7], (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (spot[1:] == spot[:-1])) & same_run
         done = (settled | same_run) & ~twin
         fresh = ~settled & ~same_run
         # A first run is asked for if its gram has another: the run before it, or the next fresh one, is of the same gram.
@@ -173,7 +179,7 @@ def _settle_batches(batches):
             i = at[-1]
             pending = None if joined[-1] or spot[i] >> 15 & 1 else (route[i], doc[i], tie[i], spot[i])
         rows.append((route[done], doc[done], tie[done], spot[done], np.ones(int(done.sum()), bool)))
-        last = (route[-1], bool(settled[-1]), whole[-1], doc[-1], tie[-1], spot[-1])
+        last = (route[-1], bool(settled[-1]), whole[-1], rest[-1], doc[-1], tie[-1], spot[-1])
         yield _batch(FOUND, *(np.concatenate(c) for c in zip(*rows, strict=True)))
 
 
@@ -286,15 +292,12 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _window_batches(batches):
-    """Every window of hot snippets with a 128-bit hash."""
+    """Every window of hot snippets with the digest of its bytes."""
     for batch in batches:
         for doc, tie, start, raw in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "start", "bytes")), strict=True):
-            data, hashes = np.frombuffer(raw, np.uint8), []
-            for seed in (1, 2):
-                sums, inverse = prefix_hashes(data, seed)
-                hashes.append(mix((sums[LENGTH:] - sums[:-LENGTH]) * inverse[:-LENGTH]).astype(np.int64))
-            n = len(hashes[0])
-            yield _batch("one, two, doc, tie, place", *hashes, np.full(n, doc), np.full(n, tie), start + np.arange(n))
+            n = len(raw) - LENGTH + 1
+            found = digests(raw, range(n), range(LENGTH, LENGTH + n))
+            yield _batch("one, two, doc, tie, place", found[:, 0], found[:, 1], np.full(n, doc), np.full(n, tie), start + np.arange(n))
 
 
 def _finish_batches(batches):
@@ -336,7 +339,7 @@ def remove_repeats(docs: DataFrame, hot_bytes: int = HOT_BYTES, bucket_bytes: in
     keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), tie.alias("tie"), "text")
     runs = keyed.select("doc", "tie", "text").mapInArrow(_run_batches, RUNS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartition(parts, "route").sortWithinPartitions("route", "settled", "whole", "doc", "tie", "spot")
+    dealt = runs.repartition(parts, "route").sortWithinPartitions("route", "settled", "whole", "rest", "doc", "tie", "spot")
     found = cut(dealt.mapInArrow(_settle_batches, FOUND))
     asked = found.where(~F.col("settled")).groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "spot")).alias("asked"))
     once = keyed.select("doc", "tie", "text")

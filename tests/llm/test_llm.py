@@ -305,7 +305,8 @@ def test_op7_ranks_held_out_labels(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in held)
 
 
-def test_op8_brute_force(spark):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, 500, 0])
+def test_op8_brute_force(spark, hot):
     rng = np.random.default_rng(11)
     pool = [bytes(rng.choice(list(b"abcdefgh "), 150)).decode() for _ in range(6)]
     rows = []
@@ -325,11 +326,7 @@ def test_op8_brute_force(spark):
         kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         expected[i] = (len(data), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), sha256(kept).hexdigest())
     docs = documents(spark, rows)
-    import tempfile
-
-    home = tempfile.mkdtemp(prefix="op8-")
-    docs.write.parquet(f"{home}/documents.parquet")
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op8_suffix_dedup(spark, home).collect()}
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, hot_bytes=hot).collect()}
     assert found == expected
 
 

@@ -1,10 +1,13 @@
 """Every registered query of the ledger against DuckDB on the same tables."""
 
+import ast
+from pathlib import Path
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerlark.plans import catalogue, measures  # noqa: F401
+from ledgerlark.plans import catalogue, ingest, measures, reporting
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,3 +43,12 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_query_is_registered():
+    """``query(...)`` only makes a decorator: one that stands alone registers nothing."""
+    for module in (catalogue, ingest, measures, reporting):
+        tree = ast.parse(Path(module.__file__).read_text())
+        lost = [n.lineno for n in ast.walk(tree) if isinstance(n, ast.Expr) and isinstance(n.value, ast.Call) and isinstance(n.value.func, ast.Name) and n.value.func.id == "query"]
+        assert not lost, (module.__name__, lost)
+    assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)

@@ -129,3 +129,14 @@ def legal_name(name: Column) -> Column:
     forms = LEGAL_SUFFIXES.replace(" ", "|")
     tail = rf"(?:(?:^| )(?:{forms}))*(?:(?:(?:^| )and)+(?:(?:^| )(?:{forms}))*)*$"
     return F.regexp_replace(F.trim(F.regexp_replace(base, tail, "")), "^the (?=.)", "")
+
+
+def starts_with_words(short: Column, long: Column) -> Column:
+    """Whether a key begins with all words of another."""
+    a, b = tokens(short), tokens(long)
+    return (F.size(a) > 0) & (F.slice(b, F.lit(1), F.size(a)) == a)
+
+
+def names_align(a: Column, b: Column) -> Column:
+    """Whether one of two keys begins with all words of the other."""
+    return starts_with_words(a, b) | starts_with_words(b, a)

@@ -36,7 +36,3 @@ def dark_verdict(days_dark: Column, per_year: Column, cadence: Column) -> Column
         F.when(days_dark.isNull() | per_year.isNull() | cadence.isNull(), "UNKNOWN")
         .when(days_dark < 14, "PASS").when(p0 >= 0.05, "PASS").when(days_dark <= 1.25 * cadence, "PASS").when(p0 >= 0.01, "QUIET").otherwise("FAIL")
     )
-
-
-def share_label(pct: Column) -> Column:
-    return F.when(pct.isNull(), "n/a").when((pct > 0) & (pct < 1), "under 1%").otherwise(F.concat(F.round(pct, 0).cast("int"), F.lit("%")))

@@ -7,11 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .guards import fenced, matches
+from .guards import fenced, matches, reduction_language
 
 SPACES = r"[\s  -​  　]+"
 # Parameters of addresses that only track.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
+TRACKING = (
+    "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_name utm_reader utm_brand utm_social gclid dclid fbclid msclkid twclid igshid mc_cid mc_eid ocid cmpid cmp ito smid smtyp ns_campaign "
+    "ns_mchannel ns_source at_medium at_campaign spm _hsenc _hsmi guccounter"
+)
 
 
 def fold_spaces(c: Column) -> Column:
@@ -74,13 +77,65 @@ def repaired_xml(c: Column) -> Column:
 
 
 def canonical_url(c: Column) -> Column:
-    """An address without fragment, tracking parameters, trailing slash or upper-case host."""
-    bare = F.regexp_replace(c, "#.*$", "")
-    base, query = F.split_part(bare, F.lit("?"), F.lit(1)), F.split_part(bare, F.lit("?"), F.lit(2))
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.split_part(p, F.lit("="), F.lit(1)).isin(*TRACKING))
-    host = F.lower(F.regexp_extract(base, r"^(\w+://[^/]*)", 1))
-    path = F.regexp_replace(F.regexp_replace(base, r"^\w+://[^/]*", ""), "/+$", "")
-    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    """An address without fragment and tracking parameters; what else it has stays as it is, but for the case of its scheme."""
+    bare = F.regexp_replace(F.trim(c), "#.*$", "")
+    base, query = F.split_part(bare, F.lit("?"), F.lit(1)), F.regexp_extract(bare, r"\?(.*)$", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*TRACKING.split()))
+    scheme = F.regexp_extract(base, r"^(\w+)://", 1)
+    plain = F.when(scheme != "", F.concat(F.lower(scheme), F.substring(base, F.length(scheme) + 1, F.length(base)))).otherwise(base)
+    return F.concat(plain, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+
+
+def redirect_target(c: Column) -> Column:
+    """The address that a news redirector hides, in a parameter or in its token; null where there is none, or it leads to the redirector's own hosts."""
+    own = r"(?i)^https?://(?:[\w-]+\.)*google\.\w+(?:\.\w+)?(?:[/:?#]|$)"
+    named = F.url_decode(F.regexp_extract(c, r"[?&](?:url|u)=([^&#]+)", 1))
+    token = F.regexp_extract(c, r"/articles/([A-Za-z0-9_-]+)", 1)
+    padded = F.rpad(F.translate(token, "-_", "+/"), F.ceil(F.length(token) / 4).cast("int") * 4, F.lit("="))
+    blob = F.try_to_binary(padded, F.lit("base64"))
+    held = F.regexp_extract(F.decode(blob, "ISO-8859-1"), r"(https?://[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]{6,})", 1)
+    good = lambda u: F.when(u.rlike(r"(?i)^https?://[^/:?#]+\.[^/:?#.]+") & ~u.rlike(own), u)
+    return F.when(c.rlike(r"(?i)^https?://news\.google\."), F.coalesce(good(named), good(held)))
+
+
+def share_label(pct: Column) -> Column:
+    """A share in whole per cent, with ``under 1%`` for what is less but something; 0% of nothing."""
+    return F.when(pct.isNull(), "0%").when((pct > 0) & (pct < 1), "under 1%").otherwise(F.concat(F.round(pct, 0).cast("int"), F.lit("%")))
+
+
+def change_label(change: Column) -> Column:
+    """A change in whole per cent with its sign."""
+    pct = F.round(change * 100, 0).cast("int")
+    return F.concat(F.when(pct > 0, "+").otherwise(""), pct.cast("string"), F.lit("%"))
+
+
+# How headlines state a count, and words that open one without naming an employer.
+HEADLINE_COUNT = r"(?i)\b(\d{1,3}(?:,\d{3})+|\d{2,6})\s+(?:\w+\s+){0,2}(?:jobs?|employees|workers|staff|positions|roles|people)\b(?!\s*%)"
+HEADLINE_STOP = "major top global local state federal national leading giant embattled struggling troubled the a an report breaking exclusive update"
+
+
+def headline_jobs(title: Column, least: int = 50) -> Column:
+    """The first count of people that a headline states, if it is not too small."""
+    n = F.regexp_replace(F.regexp_extract(title, HEADLINE_COUNT, 1), ",", "").try_cast("long")
+    return F.when(n >= least, n)
+
+
+def headline_employer(title: Column) -> Column:
+    """The word that names a headline's employer, as far as one can tell: the first in capitals before any other, or blank."""
+    t = F.regexp_replace(F.trim(F.regexp_replace(title, r"\s+", " ")), r"^[A-Z][A-Za-z]{2,9}:\s*", "")
+    words = F.filter(F.split(F.regexp_replace(t, r"\s+[-–|]\s+.*$", ""), r"[^A-Za-z0-9&.'’-]+"), lambda w: (w != "") & ~F.array_contains(F.array(*map(F.lit, HEADLINE_STOP.split())), F.lower(w)))
+    first = F.btrim(F.get(words, 0), F.lit(".'’-"))
+    return F.when(first.rlike("^[A-Z]") & (F.length(first) >= 3), first).otherwise("")
+
+
+def feed_relevant(title: Column, english: bool = True) -> Column:
+    """Why a headline is kept or not: its language first, then words for reductions, then a stated count."""
+    blank = F.trim(F.coalesce(title, F.lit(""))) == ""
+    out = F.when(blank, "empty-title")
+    if english:
+        out = out.when(F.coalesce(latin_share(title), F.lit(0.0)) < 0.8, "language-mismatch")
+    kind = reduction_language(title)
+    return out.when(kind != "none", F.concat(F.lit("term:"), kind)).when(headline_jobs(title).isNotNull(), "pattern:headcount").otherwise("no-layoff-term")
 
 
 def url_host(c: Column) -> Column:

@@ -57,6 +57,22 @@ def top(facts: DataFrame, spec: FilterSpec, column: str, limit: int = 60) -> Dat
     return out.orderBy(F.desc("jobs"), "label").limit(limit)
 
 
+def endpoint(facts: DataFrame) -> DataFrame:
+    """(block, label, entries, measures) of all blocks of the interface's aggregate in one scan and one shuffle.
+
+    Every row is dealt to its label in each block (the total, places, industry, source, tier, month, tags); the partial sums per
+    task are as many as there are labels, whatever the number of rows.
+    """
+    one = lambda block, label: F.struct(F.lit(block).alias("block"), label.alias("label"))
+    single = F.array(
+        one("total", F.lit("all")), *[one(c, F.col(c)) for c in ("country", "employer_country", "industry", "state", "source_type")], one("tier", tier()),
+        one("month", F.coalesce(F.date_format("layoff_date", "yyyy-MM"), F.lit(""))))
+    tags = [F.transform(c, lambda x, b=b: one(b, x)) for b, c in (("reason", "reason_tags"), ("role", "role_categories"))]
+    rows = facts.where(ONCE).select("job_count", "ai_explicit", "source_type", "verification_level", F.explode(F.concat(single, *tags)).alias("x"))
+    rows = rows.where("x.label <> '' AND NOT (x.block = 'role' AND x.label = 'unknown')")
+    return rows.groupBy("x.block", "x.label").agg(F.count(F.lit(1)).alias("entries"), *measures())
+
+
 def facet_counts(facts: DataFrame) -> DataFrame:
     """Entries by country, state and industry in one scan."""
     sets = facts.where(ONCE).groupingSets([["country"], ["state"], ["industry"]], "country", "state", "industry").agg(F.count(F.lit(1)).alias("entries"), F.grouping_id().alias("gid"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.columns import let
 from ..functions.employers import company_key, same_employer
@@ -54,11 +58,19 @@ def script_mismatch(a: Column, b: Column) -> Column:
     return a.rlike(NON_LATIN) != b.rlike(NON_LATIN)
 
 
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def typo_hint(a: Column, b: Column, share: float = 0.9) -> Column:
-    """Whether two identity keys of six letters or more and as many words differ by a few letters only."""
+    """Whether two identity keys of six letters or more and as many words look like one spelling and a typo; a hint for a reader, never a merge.
+
+    Matching blocks have no built-in function, so pairs that pass the cheap tests are compared in Arrow batches.
+    """
     words = lambda c: F.size(F.split(c, " "))
-    longest = F.greatest(F.length(a), F.length(b))
-    return (a != b) & (F.least(F.length(a), F.length(b)) >= 6) & (words(a) == words(b)) & (1 - F.levenshtein(a, b) / longest >= share)
+    gates = (a != b) & (F.least(F.length(a), F.length(b)) >= 6) & (words(a) == words(b)) & ~a.rlike(NON_LATIN) & ~b.rlike(NON_LATIN)
+    ratio = F.pandas_udf(_similarity, DoubleType())(F.when(gates, a), F.when(gates, b))
+    return F.coalesce(gates & (ratio >= share), F.lit(False))
 
 
 def cross_alias_groups(facts: DataFrame, days: int = 2) -> DataFrame:
@@ -270,3 +282,40 @@ def collected(sources: dict[str, DataFrame], columns: list[str]) -> DataFrame:
 def allowed_tags(tags: Column, vocabulary: tuple[str, ...]) -> Column:
     """The tags of a closed vocabulary, without the marker for unknown."""
     return F.array_except(F.array_intersect(tags, F.array(*map(F.lit, vocabulary))), F.array(F.lit("unknown")))
+
+
+def concentration_verdict(facts: DataFrame, bound: float, headline: int | None = None) -> DataFrame:
+    """Whether one row carries more than its bound of a headline: UNKNOWN without rows, FAIL also where the headline is not what these rows add up to."""
+    out = facts.where("superset_of = 0").agg(F.max_by("id", F.struct("job_count", -F.col("id"))).alias("id"), F.max("job_count").alias("largest"), F.sum("job_count").alias("jobs"))
+    share = F.when(F.col("jobs") > 0, F.round(F.col("largest") / F.col("jobs"), 6))
+    apart = F.lit(False) if headline is None else F.col("jobs") != headline
+    return out.withColumn("share", share).withColumn("verdict", F.when(F.col("share").isNull(), "UNKNOWN").when(apart | (F.col("share") >= bound), "FAIL").otherwise("PASS"))
+
+
+# Words that name artificial intelligence.
+NAMES_AI = r"(?i)\bAI\b|\bartificial intelligence\b|\bautomat\w+|\bmachine learning\b|\brobot\w*|\bgenerative\b|\balgorithm\w*|\bchatbots?\b"
+
+
+def quote_precision(facts: DataFrame, quote: str) -> DataFrame:
+    """Of the rows that count as caused by artificial intelligence: how many have a quote, and one that names it."""
+    q = F.trim(F.coalesce(quote, F.lit("")))
+    out = facts.where("ai_explicit").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(q != "", 1)).alias("quoted"), F.count(F.when(q.rlike(NAMES_AI), 1)).alias("named"))
+    return out.withColumn("rate_pct", F.when(F.col("rows") > 0, F.round(100 * F.col("named") / F.col("rows"), 1)))
+
+
+def panel_verdicts(votes: DataFrame, large: int) -> DataFrame:
+    """``votes (case_id, jobs, approve, cited)``: any explicit no rejects; only a unanimous panel that cites its evidence applies a change, and a large one still waits for review."""
+    out = votes.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("votes"), F.max("jobs").alias("jobs"), F.count(F.when(~F.col("approve"), 1)).alias("noes"), F.count(F.when(F.col("approve") & F.coalesce("cited", F.lit(False)), 1)).alias("clean"))
+    clean = (F.col("votes") > 0) & (F.col("clean") == F.col("votes"))
+    return out.select("case_id", "votes", F.when(F.col("noes") > 0, "REJECT").when(clean & (F.col("jobs") < large), "AUTO_APPLY").otherwise("HOLD_FOR_REVIEW").alias("verdict"))
+
+
+def recall_by_size(cases: DataFrame, matches: DataFrame, days: int = 45) -> DataFrame:
+    """``cases (case_id, company_key, jobs, day)`` against ``matches (company_key, job_count, day)``: candidates and exact counts by size band (L from 500, M from 100, S)."""
+    left = cases.select("case_id", "company_key", "jobs", F.col("day").alias("case_day"))
+    pairs = near_days(left, "case_day", matches, "day", ["company_key"], days)
+    best = pairs.groupBy("case_id").agg(F.max((F.col("jobs") == F.col("job_count")).cast("int")).alias("exact"))
+    band = F.when(F.col("jobs").isNull(), "UNKNOWN").when(F.col("jobs") >= 500, "L").when(F.col("jobs") >= 100, "M").otherwise("S")
+    out = cases.join(best, "case_id", "left").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("cases"), F.count("exact").alias("candidates"), F.count(F.when(F.col("exact") == 1, 1)).alias("exact"))
+    return out.withColumn("candidate_pct", F.round(100 * F.col("candidates") / F.col("cases"), 1))

@@ -129,6 +129,10 @@ for _name, _column in (("reasons_by_tag", "reason_tags"), ("roles_by_tag", "role
         lambda spark, sf_dir, c=_column: aggregates.by_tag(facts(spark, sf_dir), c)
     )
 
+_BLOCKS = {"total": "'all'", "country": "country", "employer_country": "employer_country", "industry": "industry", "state": "state", "source_type": "source_type", "tier": TIER, "month": "strftime(layoff_date, '%Y-%m')", "reason": "unnest(reason_tags)", "role": "unnest(role_categories)"}
+query("endpoint_blocks", ", b AS (" + " UNION ALL ".join(f"SELECT '{block}' AS block, {label} AS label, job_count, ai_explicit, source_type, verification_level FROM ledger WHERE {ONCE}" for block, label in _BLOCKS.items())
+      + f") SELECT block, label, count(*) AS entries, {MEASURES} FROM b WHERE label <> '' AND NOT (block = 'role' AND label = 'unknown') GROUP BY 1, 2")(lambda spark, sf_dir: aggregates.endpoint(facts(spark, sf_dir)))
+
 _BASES = {"effective": "layoff_date", "announcement": "announcement_date", "notice": "coalesce(announcement_date, layoff_date)"}
 _DONE = f"coalesce(layoff_date <= DATE '{AS_OF}', FALSE)"
 for _basis, _day in _BASES.items():

@@ -127,10 +127,20 @@ query("text_window", "SELECT id, substr(excerpt, greatest(1, strpos(excerpt, ' j
     lambda spark, sf_dir: facts(spark, sf_dir).select("id", guards.text_window(F.col("excerpt"), " jobs at ", 6, 20).alias("shown")))
 query("quoted_excerpt", "SELECT id, id % 5 IN (0, 1) AS quoted FROM ledger")(
     lambda spark, sf_dir: facts(spark, sf_dir).select("id", text.quoted(F.element_at(F.array(F.upper("excerpt"), F.replace(F.substring("excerpt", 1, 20), F.lit(" "), F.lit("\n  ")), F.substring("excerpt", 1, 11), F.concat("excerpt", F.lit(" more")), F.lit("Notice of none at all")), (F.col("id") % 5 + 1).cast("int")), F.col("excerpt")).alias("quoted")))
-query("url_canonical", r"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '?utm_source=x&id=7&ref=y#top' WHEN 1 THEN url || '/#a' WHEN 2 THEN url || '?fbclid=1' ELSE url END AS url FROM pages)),
-p AS (SELECT page_id, split_part(url, '?', 1) AS base, list_filter(string_split(split_part(url, '?', 2), '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'ref')) AS q FROM u)
-SELECT page_id, lower(regexp_extract(base, '^(\w+://[^/]*)', 1)) || regexp_replace(regexp_replace(base, '^\w+://[^/]*', ''), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p""".replace("WITH u", ", u", 1))(
-    lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.expr("CASE page_id % 4 WHEN 0 THEN concat(url, '?utm_source=x&id=7&ref=y#top') WHEN 1 THEN concat(url, '/#a') WHEN 2 THEN concat(url, '?fbclid=1') ELSE url END")).alias("canonical")))
+_TRACKED = "CASE page_id % 4 WHEN 0 THEN {0}split_part(url, '?', 1), '?utm_source=x&id=7&Ito=y#top'{1} WHEN 1 THEN {0}url, '/#a'{1} WHEN 2 THEN {0}'HTTPS://', split_part(split_part(url, '?', 1), '://', 2), '?fbclid=1'{1} ELSE url END"
+query("url_canonical", ", u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM (SELECT page_id, " + _TRACKED.format("concat(", ")") + r""" AS url FROM pages)),
+p AS (SELECT page_id, split_part(url, '?', 1) AS base, list_filter(string_split(split_part(url, '?', 2), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'fbclid', 'ito')) AS q FROM u)
+SELECT page_id, regexp_replace(base, '^HTTPS:', 'https:') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p""")(
+    lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.expr(_TRACKED.format("concat(", ")"))).alias("canonical")))
+dealt("redirect_targets", {
+    "https://news.google.com/rss/articles/x?url=https%3A%2F%2Fpaper.example%2Fa%3Fb%3D1": "https://paper.example/a?b=1", "https://news.google.com/rss/articles/CBMiGmh0dHBzOi8vcGFwZXIuZXhhbXBsZS9hL2IxMtIBAA": "https://paper.example/a/b12",
+    "https://news.google.com/rss/articles/AU_yqLNotAUrl": None, "https://news.google.com/x?url=https%3A%2F%2Fwww.google.com%2Fy": None, "https://paper.example/?url=https%3A%2F%2Fother.example%2Fz": None}, text.redirect_target, "target")
+dealt("headline_jobs", {"Acme cuts 1,200 jobs": 1200, "Acme lays off 500 of 2,000 workers": 2000, "Acme to cut 12 jobs": None, "Acme cuts 20% of staff": None, "Acme: 300 people go": 300}, text.headline_jobs, "jobs")
+dealt("headline_employers", {"Exclusive: Acme cuts 300 jobs": "Acme", "Major Boeing cuts - Paper": "Boeing", "the layoffs go on": "", "IBM's plan": "IBM's", "Top bank cuts": ""}, text.headline_employer, "employer")
+dealt("feed_relevance", {"Acme announces layoffs": "term:strong", "A restructuring at Acme": "term:weak", "Acme loses 300 people": "pattern:headcount", "Sports results": "no-layoff-term", "裁员": "language-mismatch", " ": "empty-title"}, text.feed_relevant, "why")
+dealt("share_labels", {"0": "0%", "0.4": "under 1%", "1.4": "1%", "99.6": "100%", "": "0%"}, lambda c: text.share_label(c.try_cast("double")), "label")
+dealt("change_labels", {"0.061": "+6%", "-0.03": "-3%", "0": "0%"}, lambda c: text.change_label(c.cast("double")), "label")
+dealt("names_align", {"zoominfo": True, "zoominfo technologies": True, "zoom": False, "zoominfo technologies inc": True, "": False}, lambda c: employers.names_align(c, F.lit("zoominfo technologies")), "align")
 query("strip_html", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}\x{1680}\x{2000}-\x{200B}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]+', ' ', 'g')) AS stripped FROM pages""")(
     lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("stripped")))
 query("closed_tags", "SELECT id, array_to_string(list_filter(reason_tags, lambda x: x IN ('closure', 'bankruptcy', 'restructuring')), '|') AS tags FROM ledger")(

@@ -178,6 +178,19 @@ SELECT city, count(*) AS cases, count(CASE WHEN city = 'Customer' THEN 1 END) AS
     lambda spark, sf_dir: reconcile.city_recall(facts(spark, sf_dir).where("source_type = 'warn' AND layoff_date IS NOT NULL").select(F.col("id").alias("case_id"), picked(["Austin", "Waco", "Customer", "Dallas"]).alias("city"), "company",
         F.expr("CASE WHEN id % 3 = 0 THEN job_count + 1 ELSE job_count END").alias("jobs"), F.date_add("layoff_date", (F.col("id") % 60).cast("int")).alias("day")), facts(spark, sf_dir)))
 
+query("concentration_verdict", f"""SELECT arg_max(id, (job_count, -id)) AS id, max(job_count) AS largest, CAST(sum(job_count) AS BIGINT) AS jobs, round(max(job_count) / sum(job_count), 6) AS share, CASE WHEN max(job_count) / sum(job_count) >= 0.2 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM ledger WHERE {ONCE}""")(
+    lambda spark, sf_dir: reconcile.concentration_verdict(facts(spark, sf_dir), 0.2))
+query("quote_precision", """SELECT count(*) AS rows, count(CASE WHEN id % 4 <> 0 THEN 1 END) AS quoted, count(CASE WHEN id % 4 = 1 THEN 1 END) AS named, round(100 * count(CASE WHEN id % 4 = 1 THEN 1 END) / count(*), 1) AS rate_pct FROM ledger WHERE ai_explicit""")(
+    lambda spark, sf_dir: reconcile.quote_precision(facts(spark, sf_dir).withColumn("quote", F.expr("CASE id % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'replaced by AI tools' WHEN 2 THEN 'technology-enabled efficiency' ELSE 'said the chairman' END")), "quote"))
+query("panel_verdicts", """, v AS (SELECT company_key AS case_id, job_count AS jobs, CASE WHEN id % 11 = 0 THEN FALSE WHEN id % 13 = 0 THEN NULL ELSE TRUE END AS approve, id % 17 <> 0 AS cited FROM ledger)
+SELECT case_id, count(*) AS votes, CASE WHEN count(CASE WHEN NOT approve THEN 1 END) > 0 THEN 'REJECT' WHEN count(CASE WHEN approve AND cited THEN 1 END) = count(*) AND max(jobs) < 3000 THEN 'AUTO_APPLY' ELSE 'HOLD_FOR_REVIEW' END AS verdict FROM v GROUP BY 1""")(
+    lambda spark, sf_dir: reconcile.panel_verdicts(facts(spark, sf_dir).select(F.col("company_key").alias("case_id"), F.col("job_count").alias("jobs"), F.expr("CASE WHEN id % 11 = 0 THEN FALSE WHEN id % 13 = 0 THEN NULL ELSE TRUE END").alias("approve"), (F.col("id") % 17 != 0).alias("cited")), 3000))
+query("recall_by_size", PLANTED_SQL + """, c AS (SELECT id AS case_id, company_key, CASE WHEN id % 9 = 0 THEN NULL WHEN id % 4 = 0 THEN job_count // 10 ELSE job_count END AS jobs, layoff_date AS day FROM planted WHERE source_type = 'warn' AND layoff_date IS NOT NULL),
+m AS (SELECT case_id, max(CASE WHEN jobs = job_count THEN 1 WHEN jobs IS NOT NULL THEN 0 END) AS exact FROM c JOIN planted p ON p.company_key = c.company_key AND p.source_type = 'news' AND abs(datediff('day', day, layoff_date)) <= 45 GROUP BY 1)
+SELECT CASE WHEN jobs IS NULL THEN 'UNKNOWN' WHEN jobs >= 500 THEN 'L' WHEN jobs >= 100 THEN 'M' ELSE 'S' END AS band, count(*) AS cases, count(exact) AS candidates, count(CASE WHEN exact = 1 THEN 1 END) AS exact, round(100 * count(m.exact) / count(*), 1) AS candidate_pct FROM c LEFT JOIN m USING (case_id) GROUP BY 1""")(
+    lambda spark, sf_dir: (lambda p: reconcile.recall_by_size(p.where("source_type = 'warn' AND layoff_date IS NOT NULL").select(F.col("id").alias("case_id"), "company_key", F.expr("CASE WHEN id % 9 = 0 THEN NULL WHEN id % 4 = 0 THEN job_count div 10 ELSE job_count END").alias("jobs"), F.col("layoff_date").alias("day")),
+        p.where("source_type = 'news' AND layoff_date IS NOT NULL").select("company_key", "job_count", F.col("layoff_date").alias("day"))))(planted(spark, sf_dir)))
+
 # Rows of the interface, follows, mutations -----------------------------------------------------------------------------------------------------
 
 query("interface_rows", f"""SELECT id, company, CASE WHEN state <> '' THEN state || ', ' ELSE '' END || country AS location, {TIER} AS tier, array_to_string(reason_tags, '|') AS reasons, array_to_string(list_filter(role_categories, lambda x: x <> 'unknown'), '|') AS roles,

@@ -67,7 +67,7 @@ def endpoint(facts: DataFrame) -> DataFrame:
     single = F.array(
         one("total", F.lit("all")), *[one(c, F.col(c)) for c in ("country", "employer_country", "industry", "state", "source_type")], one("tier", tier()),
         one("month", F.coalesce(F.date_format("layoff_date", "yyyy-MM"), F.lit(""))))
-    tags = [F.transform(c, lambda x, b=b: one(b, x)) for b, c in (("reason", "reason_tags"), ("role", "role_categories"))]
+    tags = [F.transform("reason_tags", lambda t: one("reason", t)), F.transform("role_categories", lambda t: one("role", t))]
     rows = facts.where(ONCE).select("job_count", "ai_explicit", "source_type", "verification_level", F.explode(F.concat(single, *tags)).alias("x"))
     rows = rows.where("x.label <> '' AND NOT (x.block = 'role' AND x.label = 'unknown')")
     return rows.groupBy("x.block", "x.label").agg(F.count(F.lit(1)).alias("entries"), *measures())

@@ -54,6 +54,7 @@ CLEAR_CONTENT, CLEAR_REST = 3.0, -4.0
 #: Weights of the text features before any fitting: intercept, words (up to 40), a sentence's end, share of link text, of digits, of capitals, long lines.
 PRIOR = (-0.8, 2.4, 0.5, -4.0, 0.0, 0.0, 0.0)
 PENALTY = 20.0
+DIGITS, CAPITALS = re.compile("[0-9]"), re.compile("[A-ZÀ-ÖØ-Þ]")
 
 
 class Blocks(HTMLParser):
@@ -155,7 +156,7 @@ def name_words(attrs: list[tuple[str, str | None]]) -> frozenset[int]:
 
 def text_features(text: str, linked: int) -> tuple[float, ...]:
     n = len(text)
-    return 1.0, min(len(text.split()), 40) / 40, float(text[-1] in ".!?…\"'"), linked / n, sum(map(str.isdigit, text)) / n, sum(map(str.isupper, text)) / n, float(n > 400)
+    return 1.0, min(len(text.split()), 40) / 40, float(text[-1] in ".!?…\"'"), linked / n, len(DIGITS.findall(text)) / n, len(CAPITALS.findall(text)) / n, float(n > 400)
 
 
 def page_blocks(html: str) -> tuple[Blocks, list[float]]:
@@ -306,8 +307,10 @@ def _clear_batches(batches):
 
 def fit_model(pages: DataFrame) -> TextModel:
     """The text classifier, from the clear blocks of a bounded number of pages."""
-    some = pages.select("html", F.xxhash64("page_id", "url").alias("_at")).orderBy("_at").limit(FIT_PAGES)
-    rows = some.select("html").mapInArrow(_clear_batches, "features array<double>, words array<int>, content boolean").toArrow()
+    # The hash of the last page that still takes part; only hashes are sorted, never pages.
+    last = pages.select(F.xxhash64("page_id", "url").alias("at")).orderBy("at").limit(FIT_PAGES).agg(F.max("at")).first()[0]
+    some = pages.where(F.xxhash64("page_id", "url") <= F.lit(last)).select("html")
+    rows = some.mapInArrow(_clear_batches, "features array<double>, words array<int>, content boolean").limit(FIT_PAGES * FIT_BLOCKS).toArrow()
     features = rows.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(PRIOR)) if rows.num_rows else np.zeros((0, len(PRIOR)))
     return fit(features, rows.column("words").to_pylist(), np.array(rows.column("content").to_pylist(), float))
 

@@ -109,9 +109,9 @@ counted("disciplinary", {"{g} officers dismissed for misconduct": True, "{g} pol
 counted("held_by_negation", {
     "The outage is not related to {g} job cuts.": True, "Acme denied reports of {g} layoffs.": True, "Acme cut {g} jobs. No layoffs are planned next year.": False, "Acme rules out {g} cuts": True, "Acme cuts {g} jobs": False}, guards.held_by_negation, "held")
 counted("jobs_created", {"The plant will create {g} new jobs.": True, "It adds {g} jobs while job cuts hit {g} others.": False, "It will cut {g} jobs.": False, "Hiring {g} new workers. Another site closes.": False, "It hires {g} workers.": True, "nothing": False}, guards.jobs_created, "created")
-counted("cost_only", {"restructuring of ${g} this year": True, "costs (2) 1,047 1,336 {g} 3,377": True, "{g} thousand in charges": True, "{g} employees and ${g} in costs": False, "none": False}, guards.cost_only, "cost")
+counted("cost_only", {"restructuring of ${g} this year": True, "costs (2) 11,047 21,336 {g} 53,377": True, "{g} thousand in charges": True, "{g} employees and ${g} in costs": False, "none": False}, guards.cost_only, "cost")
 counted("retrospective_verdict", {
-    "Amazon has cut around {g} corporate jobs since late 2025.": "retrospective", "Acme cuts {g} jobs.": "event", "It cut 15 more jobs, bringing the total to {g}.": "incremental",
+    "Amazon has cut around {g} corporate jobs since late 2025.": "retrospective", "Acme cuts {g} jobs.": "event", "It cut 3 more jobs, bringing the total to {g}.": "incremental",
     "Over the past two years it cut {g} roles. It cut {g} jobs on Monday.": "event", "An additional {g} jobs since 2025.": "event", "Its biggest cut since 2020: {g} jobs.": "event",
     "So far this year it shed {g} jobs.": "retrospective", "{g} jobs gone since 2025, it announced on Monday.": "event", "It cut {g} jobs since 2025, and 2024 more.": "retrospective"}, lambda n, t: guards.retrospective(n, t)["verdict"], "verdict")
 dealt("projection_words", {"could cost 4,500 jobs, a study says": 1, "projected ripple  effects": 2, "Acme cuts 500 jobs": 0, "according to a new report, the county would lose jobs": 2}, lambda c: F.size(guards.projections(c)).cast("int"), "hints")

@@ -1,7 +1,11 @@
 """Preparing a corpus: toxicity, exact and near duplicates, benchmark leaks, packing.
 
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next one's ``docs``. All but the last return the columns of ``documents``.
+as the next one's ``docs``. All but the last return the columns of ``documents``, whatever further columns those have, and
+change no value.
+
+Defined cases, for every stage: an empty table gives an empty one; null texts count as empty texts, null ids are ids like others;
+what each stage does with repeated rows and ties is said there.
 """
 
 from __future__ import annotations
@@ -15,27 +19,27 @@ from ledgerlark.llm.common import shared_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows not predicted toxic; the model learns from the labels of the rows at hand."""
+    """Rows not predicted toxic; the model learns from the labels of the rows at hand. Repeated rows share their verdict; without confirmed toxic rows all stay."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text."""
+    """One row of each text, that of the least id (a null id only where no other has the text); of rows with one id and text exactly one."""
     return exact_dedup.keep_first(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates."""
+    """The rows of each class of near duplicates that have its least id; texts without words are near only to equal ones."""
     return near_dedup.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows that hold no benchmark item; empty items and texts match nothing, repeated rows go or stay together."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows that are left, in training sequences."""
+    """The pieces of all rows that are left, in training sequences; an empty text still has its end id, repeated rows are packed as often as they come."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

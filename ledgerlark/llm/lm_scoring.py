@@ -38,7 +38,6 @@ SUBTREES_HELD = 1 << 19
 FREQUENT = 1 << 16
 FOLDS = 5
 END = b"\xff"
-GAP = END * (DEPTH + 1)
 
 
 def fold(column: str = "doc_id") -> Column:

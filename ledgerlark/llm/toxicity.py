@@ -31,7 +31,6 @@ UNLABELLED = 10_000
 FEATURES = 8_192
 GRAMS = 1 << 20
 SHARES = (0.005, 0.01, 0.02, 0.04)
-SPACE = GRAMS * (2 + len(SHARES))
 FOLDS = 5
 WORD = re.compile(r"\w+")
 WORDS_HELD = 1 << 18
@@ -110,28 +109,37 @@ def _feature_batches(chosen: np.ndarray):
     return run
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], k: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 3e-4) -> np.ndarray:
-    """Weights of ``k`` features and the bias, from the feature numbers of each row."""
+def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Feature numbers of all rows, the row of each, and how many rows there are."""
+    return np.concatenate([np.zeros(0, int), *rows]).astype(int), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
+
+
+def risk_and_step(weights: np.ndarray, positives: tuple, unlabelled: tuple, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk, and the direction the method descends along: the risk's gradient, or, where the negative part is
+    below zero, that part's gradient turned round."""
+    k = len(weights) - 1
+    (cp, rp, n_p), (cu, ru, n_u) = positives, unlabelled
+    n_u = max(1, n_u)
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    g_p = np.bincount(rp, weights[cp], n_p) + weights[-1]
+    g_u = np.bincount(ru, weights[cu], n_u) + weights[-1]
+    s_p, s_u = sigmoid(g_p), sigmoid(g_u)
+    negative = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
+    risk = prior * np.logaddexp(0, -g_p).mean() + max(0.0, negative)
+    if negative >= 0:
+        d_p, d_u = prior * (s_p - 1) / n_p - prior * s_p / n_p, s_u / n_u
+    else:
+        d_p, d_u = prior * s_p / n_p, -s_u / n_u
+    return float(risk), np.append(np.bincount(cp, d_p[rp], k) + np.bincount(cu, d_u[ru], k), d_p.sum() + d_u.sum())
 
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([np.zeros(0, int), *rows]).astype(int), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
-    (cp, rp), (cu, ru) = matrix(positives), matrix(unlabelled)
-    n_p, n_u = len(positives), max(1, len(unlabelled))
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], k: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 3e-4) -> np.ndarray:
+    """Weights of ``k`` features and the bias, from the feature numbers of each row."""
+    p, u = flat(positives), flat(unlabelled)
     weights = np.concatenate([np.zeros(k), [np.log(prior / (1 - prior)) - 1]])
     mean, square = np.zeros(k + 1), np.zeros(k + 1)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(1, rounds + 1):
-        g_p = np.bincount(rp, weights[cp], n_p) + weights[-1]
-        g_u = np.bincount(ru, weights[cu], n_u) + weights[-1]
-        s_p, s_u = sigmoid(g_p), sigmoid(g_u)
-        negative = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
-        d_p, d_u = prior * (s_p - 1) / n_p, np.zeros(n_u)
-        if negative >= 0:
-            d_p, d_u = d_p - prior * s_p / n_p, s_u / n_u
-        else:
-            d_p, d_u = prior * s_p / n_p, -s_u / n_u
-        grad = np.append(np.bincount(cp, d_p[rp], k) + np.bincount(cu, d_u[ru], k), d_p.sum() + d_u.sum())
+        _, grad = risk_and_step(weights, p, u, prior)
         grad[:-1] += decay * weights[:-1]
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         weights -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)

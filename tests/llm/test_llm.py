@@ -294,6 +294,42 @@ def test_op6_index_persists_between_batches(spark):
     assert {(r.doc_id, r.keep_id, r.kept) for r in second} == {(1, 3, False), (2, 2, True)}
 
 
+def plain_risk(weights, positives, unlabelled, prior):
+    """The two parts of the positive-unlabelled risk by loops over rows: positive part, negative part."""
+    margin = lambda row: weights[-1] + sum(weights[f] for f in row)
+    loss = lambda x: math.log1p(math.exp(-x))
+    mean = lambda rows, sign: sum(loss(sign * margin(r)) for r in rows) / len(rows)
+    return prior * mean(positives, 1), mean(unlabelled, -1) - prior * mean(positives, -1)
+
+
+def test_op7_risk_and_steps_equal_plain_ones():
+    rng, seen = np.random.default_rng(15), set()
+    for prior in (0.05, 0.3, 0.9):
+        for shift in (-3.0, 0.0, 4.0):
+            k = 6
+            rows = lambda n: [np.flatnonzero(rng.random(k) < 0.4) for _ in range(n)]  # noqa: B023, E731
+            positives, unlabelled, weights = rows(7), rows(11), rng.normal(0, 1, k + 1) + np.array([shift] * k + [0.0])
+            risk, step = toxicity.risk_and_step(weights, toxicity.flat(positives), toxicity.flat(unlabelled), prior)
+            good, bad = plain_risk(weights, positives, unlabelled, prior)
+            assert risk == pytest.approx(good + max(0.0, bad))
+            # Where the negative part is below zero, the step climbs out of it.
+            target = (lambda w: sum(plain_risk(w, positives, unlabelled, prior))) if bad >= 0 else (lambda w: -plain_risk(w, positives, unlabelled, prior)[1])  # noqa: B023
+            seen.add(bad >= 0)
+            for i in range(k + 1):
+                d = np.zeros(k + 1)
+                d[i] = 1e-6
+                assert step[i] == pytest.approx((target(weights + d) - target(weights - d)) / 2e-6, abs=1e-5)
+    assert seen == {True, False}
+
+
+def test_op7_learns_the_prior_from_labels_and_separates():
+    rng = np.random.default_rng(16)
+    toxic = lambda: np.array([0, *np.flatnonzero(rng.random(5) < 0.3) + 1])
+    clean = lambda: np.flatnonzero(rng.random(5) < 0.3) + 1
+    weights = toxicity.fit([toxic() for _ in range(80)], [toxic() for _ in range(40)] + [clean() for _ in range(360)], 6, 0.1)
+    assert weights[0] + weights[-1] > 0 > weights[-1]
+
+
 def test_op7_ranks_held_out_labels(spark):
     rows = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1")
     labels = table(spark, "labels", "/root/testdata/sf0.1").select("doc_id", "toxic")

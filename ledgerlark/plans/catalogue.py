@@ -46,7 +46,6 @@ def n(condition: str = "TRUE") -> str:
 
 VERIFIED = f"{TIER} = 'verified'"
 MEASURES = f"{jobs()} AS jobs, {jobs('ai_explicit')} AS ai_jobs, {jobs(VERIFIED)} AS verified_jobs, {jobs(VERIFIED + ' AND ai_explicit')} AS verified_ai_jobs"
-FACT = "ledger"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession) -> None:
     """Delete what this application has cut. Results that were not written yet are lost, so it is called when all are."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.mkdirs(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault())
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(shared_dir(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(path, True)
+    files.mkdirs(path)

@@ -74,7 +74,7 @@ def mix(x):
 class WordHashes(dict):
     """64-bit hashes of words, computed when first met; emptied when it grows too large."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 18):
         self.most = most
 
     def __missing__(self, word: str) -> int:

@@ -28,7 +28,7 @@ from .common import bounded_batches, cut, mix, table, text_or_empty
 LENGTH, GRAM = 100, 32
 LONGEST_RUN = 256
 SLAB = 1 << 20
-RUNS_HELD = 1 << 20
+RUNS_HELD = 1 << 19
 BUCKET_BYTES = 4 << 20
 HOT_BYTES = 4 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .reconcile import near_days
@@ -94,14 +94,18 @@ def unique_name_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return unique(left, "left_id").join(unique(right, "right_id"), ["name", "country"])
 
 
+def beginnings(key: Column) -> Column:
+    """All beginnings of a key in whole words."""
+    words = F.split(key, " ")
+    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+
+
 def token_prefix_matches(aliases: DataFrame, facts: DataFrame, before: int = 90, after: int = 270) -> DataFrame:
     """Aliases ``(ref_id, alias_key, ref_day)`` whose words begin an employer's key, within a window of days.
 
     A key meets aliases by equality with each of its own beginnings, so a frequent first word brings no pairs.
     """
-    words = F.split("company_key", " ")
-    begun = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
-    f = facts.where("layoff_date IS NOT NULL AND company_key <> ''").select("id", "layoff_date", "job_count", F.explode(begun).alias("alias_key"))
+    f = facts.where("layoff_date IS NOT NULL AND company_key <> ''").select("id", "layoff_date", "job_count", F.explode(beginnings(F.col("company_key"))).alias("alias_key"))
     days = F.datediff("layoff_date", "ref_day")
     return aliases.where("alias_key <> ''").join(f, "alias_key").where(days.between(-before, after)).select("ref_id", "id", days.alias("days"), "job_count")
 
@@ -110,3 +114,18 @@ def seen_presence(names: DataFrame, facts: DataFrame) -> DataFrame:
     """Listed names with the number of entries under the same key."""
     counts = facts.groupBy("company_key").agg(F.count(F.lit(1)).alias("entries"))
     return names.join(counts, "company_key", "left").select("company_key", F.coalesce("entries", F.lit(0)).alias("entries"), F.col("entries").isNotNull().alias("present"))
+
+
+def aligned_presence(names: DataFrame, facts: DataFrame) -> DataFrame:
+    """Listed names ``(name_id, name_key)`` with the number of employers whose key begins with all their words, or all of whose words they begin with.
+
+    Keys are counted per beginning first, so a frequent first word brings a number and no pairs.
+    """
+    keys = facts.where("company_key <> ''").select("company_key").distinct()
+    listed = names.where("name_key <> ''")
+    begun = keys.select(F.explode(beginnings(F.col("company_key"))).alias("name_key")).groupBy("name_key").agg(F.count(F.lit(1)).alias("n"))
+    longer = listed.join(begun, "name_key").select("name_id", "n")
+    own = listed.select("name_id", "name_key", F.explode(beginnings(F.col("name_key"))).alias("company_key")).where("company_key <> name_key")
+    shorter = own.join(keys, "company_key").select("name_id", F.lit(1).cast("long").alias("n"))
+    counts = longer.union(shorter).groupBy("name_id").agg(F.sum("n").alias("employers"))
+    return names.join(counts, "name_id", "left").select("name_id", F.coalesce("employers", F.lit(0)).alias("employers"), F.col("employers").isNotNull().alias("present"))

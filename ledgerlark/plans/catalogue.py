@@ -247,6 +247,12 @@ def _(spark, sf_dir):
 query("presence", """SELECT company_key, count(id) AS entries, count(id) > 0 AS present FROM (SELECT lower(regexp_replace(c_name, '[^A-Za-z0-9]', ' ', 'g')) AS company_key FROM customer) LEFT JOIN ledger USING (company_key) GROUP BY 1""")(
     lambda spark, sf_dir: evidence.seen_presence(read(spark, sf_dir, "customer").select(F.lower(F.regexp_replace("c_name", "[^A-Za-z0-9]", " ")).alias("company_key")), facts(spark, sf_dir)))
 
+query("aligned_presence", """, n AS (SELECT c_custkey AS name_id, CASE c_custkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN lower(replace(c_name, '#', ' ')) || ' works' WHEN 2 THEN 'custom' ELSE lower(replace(c_name, '#', ' ')) END AS name_key FROM customer WHERE c_custkey % 4 > 0 OR c_custkey % 40 = 0),
+k AS (SELECT DISTINCT company_key FROM ledger), m AS (SELECT name_id, count(*) AS employers FROM n JOIN k ON company_key = name_key OR starts_with(company_key, name_key || ' ') OR starts_with(name_key, company_key || ' ') GROUP BY 1)
+SELECT name_id, coalesce(employers, 0) AS employers, employers IS NOT NULL AS present FROM n LEFT JOIN m USING (name_id)""")(
+    lambda spark, sf_dir: evidence.aligned_presence(read(spark, sf_dir, "customer").where("c_custkey % 4 > 0 OR c_custkey % 40 = 0").select(F.col("c_custkey").alias("name_id"),
+        F.expr("CASE c_custkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN concat(lower(replace(c_name, '#', ' ')), ' works') WHEN 2 THEN 'custom' ELSE lower(replace(c_name, '#', ' ')) END").alias("name_key")), facts(spark, sf_dir)))
+
 # Deduplication ---------------------------------------------------------------------------------------------------------------------
 
 _CANDIDATES = ", c AS (SELECT * FROM ledger WHERE company_key <> '' AND job_count > 0 AND NOT edited AND layoff_date IS NOT NULL)"

@@ -9,7 +9,8 @@ The model is fitted on at most ``POSITIVES`` confirmed and about ``UNLABELLED``
 the id; it is sent to the tasks as at most ``FEATURES`` weights, and scores every whole text.
 
 Defined cases: null and empty texts score by the bias alone; null ids are passed through and learned from only as unlabelled
-rows; several labels of one id count as toxic if one is; without a confirmed toxic row every score is the prior or 0.
+rows; several labels of one id count as toxic if one is; without a confirmed toxic row every score is about 0, and where
+no feature tells toxic rows apart it is the prior, but below one half.
 """
 
 from __future__ import annotations
@@ -172,7 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     best = counts.withColumn("gain", (F.col("p") - F.col("u")) / noise).where("gain > 4").orderBy(F.desc("gain"), "feature").limit(FEATURES)
     chosen = np.array(sorted(r["feature"] for r in best.select("feature").collect()), np.int64)
     if not n_p or not len(chosen):
-        rest = prior if n_p else 1e-6
+        # Nothing tells toxic rows apart: no row is called toxic on the prior alone.
+        rest = min(prior, 0.49) if n_p else 1e-6
         return chosen[:0], np.zeros(0), float(np.log(rest / (1 - rest)))
     found = sample.mapInArrow(_feature_batches(chosen), "positive boolean, features array<int>").toArrow()
     side = np.asarray(found.column("positive").to_pylist(), bool)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity
+from . import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, resampling, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_pack": packing.op9_pack,
     "op10_lm_score": lm_scoring.op10_lm_score,
+    "op11_resample": resampling.op11_resample,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_resample": resampling.OP11_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, resampling, sharding, suffix_dedup, token_counts, toxicity
+from . import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, repair, resampling, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_pack": packing.op9_pack,
     "op10_lm_score": lm_scoring.op10_lm_score,
     "op11_resample": resampling.op11_resample,
+    "op12_repair": repair.op12_repair,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op11_resample": resampling.OP11_SQL,
+    "op12_repair": repair.OP12_SQL,
 }

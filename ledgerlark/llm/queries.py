@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, repair, resampling, sharding, suffix_dedup, token_counts, toxicity
+from . import chat_format, decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, repair, resampling, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_lm_score": lm_scoring.op10_lm_score,
     "op11_resample": resampling.op11_resample,
     "op12_repair": repair.op12_repair,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op11_resample": resampling.OP11_SQL,
     "op12_repair": repair.OP12_SQL,
+    "op13_chat_format": chat_format.OP13_SQL,
 }

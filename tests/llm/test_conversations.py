@@ -8,7 +8,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import repair
+from ledgerlark.llm import chat_format, repair
 
 ROWS = "conv_id long, turn long, role string, text string"
 
@@ -128,3 +128,114 @@ def test_op12_odd_rows(spark, odd):
 def test_op12_empty(spark, tmp_path):
     spark.createDataFrame([], ROWS).write.parquet(f"{tmp_path}/conversations.parquet")
     assert repair.op12_repair(spark, str(tmp_path)).count() == 0
+
+
+# Chat formatting ------------------------------------------------------------------------------------------------------------------------
+
+SHARDS = ["<s>", "</s>", "[INST]", "[/INST]", "[INST] ", " [/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[END]", "<image>", "<audio>", "<document>", "<file>", "<", "[", "\\", "\\-", "-", "/", " ", "\n", "s>", "é", "🎉", "INST]", "x"]
+
+
+def shards(rng, most=6):
+    return "".join(rng.choice(SHARDS) for _ in range(rng.randrange(most)))
+
+
+def test_escaping_comes_back_and_hides_every_control_string():
+    template, rng = chat_format.Template(), random.Random(1)
+    escape, control = chat_format.Escape(template), template.control()
+    for _ in range(20_000):
+        text = shards(rng, 8)
+        hidden = escape.hide(text)
+        assert escape.show(hidden) == text
+        assert not any(c in hidden for c in control)
+        # Whatever mark comes next, the only control string of both is its own.
+        assert all((hidden + c).count(c) == 1 for c in control)
+
+
+def test_templates_whose_marks_could_run_together_are_refused():
+    with pytest.raises(ValueError):
+        chat_format.Template(begin="<s><s", end="<s>x")
+    with pytest.raises(ValueError):
+        chat_format.Template(end="\\END")
+
+
+def random_parts(rng):
+    def part():
+        kind = rng.choice(["text", "text", "image", "audio", "document", "video", None])
+        return {"kind": kind, "text": rng.choice([None, shards(rng)]), "ref": f"r{rng.randrange(99)}", "width": rng.choice([None, 0, 28, 57]), "height": rng.choice([None, 28, 29]), "seconds": rng.choice([None, 0.0, 1.01, 2.0]), "pages": rng.choice([None, 3])}
+
+    return [part() for _ in range(rng.randrange(4))]
+
+
+def expected_tokens(p):
+    if p["kind"] == "image":
+        return -(-max(p["width"] or 1, 1) // 28) * -(-(p["height"] or 1) // 28)
+    return {"audio": {None: 1, 0.0: 1, 1.01: 26, 2.0: 50}[p["seconds"]], "document": 512 * (p["pages"] or 1)}.get(p["kind"], 1)
+
+
+@pytest.mark.parametrize("piece_chars", [1 << 18, 40])
+def test_parts_come_back_from_the_formatted_text(spark, piece_chars):
+    rng = random.Random(7)
+    rows = [(conv, turn, rng.choice(["user", "assistant", "system", "tool", "", None, shards(rng)]), random_parts(rng)) for conv in (1, 2, 3, None) for turn in range(rng.choice([1, 9, 40]))]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat_format.PARTS}").repartition(4)
+    pieces = sorted((r.asDict(recursive=True) for r in chat_format.format_conversations(df, piece_chars=piece_chars).collect()), key=lambda p: (p["conv_id"] or 0, p["piece"]))
+    template, found, borne, attached = chat_format.Template(), {}, {}, {}
+    for p in pieces:
+        conv = p["conv_id"]
+        assert p["n_turns"] == 1 or len(p["formatted"]) <= piece_chars
+        turns = list(chat_format.turns_of(template, p["formatted"], p["piece"] == 0))
+        assert len(turns) == p["n_turns"]
+        found.setdefault(conv, []).extend((role, chat_format.parts_of(template, content)) for role, content, _ in turns)
+        borne.setdefault(conv, []).extend(chat_format.Escape.show(p["formatted"][s["begin"] : s["end"]]) for s in p["loss"])
+        marks = dict(template.placeholders)
+        for a in p["attachments"]:
+            assert p["formatted"].startswith(marks[a["kind"]], a["place"])
+        attached.setdefault(conv, []).extend((a["turn"], a["kind"], a["ref"], a["tokens"]) for a in p["attachments"])
+        assert p["expanded_tokens"] == sum(a["tokens"] for a in p["attachments"])
+    assert (len(pieces) == 4) == (piece_chars > 40)
+    for conv in (1, 2, 3, None):
+        mine = [r for r in rows if r[0] == conv]
+        kind = lambda p: p["kind"] if p["kind"] in ("image", "audio", "document") else "file"
+        for (_, _, role, parts), (got_role, got) in zip(mine, found[conv], strict=True):
+            assert got_role == (role or "")
+            # Texts side by side are one text when read back.
+            want = []
+            for p in parts:
+                if p["kind"] != "text":
+                    want.append({"kind": kind(p)})
+                elif p["text"]:
+                    want = [*want[:-1], {"kind": "text", "text": want[-1]["text"] + p["text"]}] if want and want[-1]["kind"] == "text" else [*want, {"kind": "text", "text": p["text"]}]
+            assert got == want
+        assert borne[conv] == [p["text"] for _, _, role, parts in mine if role == "assistant" for p in parts if p["kind"] == "text" and p["text"]]
+        assert attached[conv] == [(turn, kind(p), p["ref"], expected_tokens(p)) for _, turn, _, parts in mine for p in parts if p["kind"] != "text"]
+
+
+def test_op13_odd_rows(spark, odd):
+    rows = {}
+    for conv, turn, role, text in [*ODD_ROWS, *chat_format.INJECTED]:
+        rows.setdefault(conv, []).append((turn, role or "", text or ""))
+    found = {r.conv_id: r for r in chat_format.op13_chat_format(spark, odd).collect()}
+    assert set(found) == set(rows)
+    for conv, mine in rows.items():
+        got, orders = found[conv], [sorted(p, key=lambda r: (r[0] is not None, r[0] or 0)) for p in itertools.permutations(mine)]
+        assert got.turns_sha256 in {sha256("".join(f"{r}\n{t}\n" for _, r, t in o).encode()).hexdigest() for o in orders}
+        assert got.loss_sha256 in {sha256("".join(t for _, r, t in o if r == "assistant").encode()).hexdigest() for o in orders}
+        assert (got.n_turns, got.loss_chars) == (len(mine), sum(len(t) for _, r, t in mine if r == "assistant"))
+    # <s>[INST] <\-/s>[\-INST] ok [\-/INST] [/INST]<\-/s>[\-INST] ok [\-/INST]</s>
+    assert found[-7].formatted_chars == 3 + 7 + 27 + 8 + 27 + 4
+
+
+def test_op13_empty(spark, tmp_path):
+    spark.createDataFrame([], ROWS).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.conv_id for r in chat_format.op13_chat_format(spark, str(tmp_path)).collect()] == [-7]
+
+
+@pytest.mark.parametrize("name", ["op12_repair", "op13_chat_format"])
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    from ledgerlark.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES[name]})").fetchall(), key=str)

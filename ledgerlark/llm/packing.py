@@ -32,24 +32,91 @@ END_ID = 1
 POOL = 256
 WORDS_HELD = 1 << 18
 TURNS = 64
+CHARS_AT_ONCE = 1 << 18
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
+# Fixed value: the splitting pattern of the vocabulary file.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: Where a code point is tried: among letters, digits, spaces and marks, before and behind marks that reorder, around a contraction.
+AROUND = "{} a{}b1{}2 {}!{}'s a{}\u0334 a\u0345{} a{}\u0301 '{}"
+UNKNOWN, PLAIN, ODD = range(3)
+
+
+class Points:
+    """Which code points Python's Unicode tables and the library's treat alike; a text with any other is left to the library whole.
+
+    The tables of classes, case and composition may be of different Unicode versions. A code point is tried when it is first met and
+    is plain only if both sides normalise and split it alike wherever it is tried. What Python hasn't assigned, or is for private use,
+    is odd without trial, and so is what ends a composition that only one side knows.
+    """
+
+    def __init__(self, library):
+        import regex
+
+        self.library, self.words = library, regex.compile(SPLIT).findall
+        self.letters = str.maketrans({chr(byte): letter for letter, byte in byte_letters().items()})
+        self.kinds = None
+
+    def begin(self) -> None:
+        """Marks what can be told without trial, when the first text beyond ASCII comes."""
+        import unicodedata
+
+        from tokenizers import normalizers
+
+        apart, whole = normalizers.NFD(), normalizers.NFC()
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+        for point in (*range(0xD800), *range(0xE000, 0x110000)):
+            char = chr(point)
+            if unicodedata.category(char) in ("Cn", "Co"):
+                self.kinds[point] = ODD
+            elif point < 0x3400 or 0xF900 <= point < 0x20000:
+                for parts in {unicodedata.normalize("NFD", char), apart.normalize_str(char)}:
+                    if len(parts) > 1 and whole.normalize_str(parts) != unicodedata.normalize("NFC", parts):
+                        self.kinds[ord(parts[-1])] = ODD
+        # Lower case of these depends on what is around them.
+        self.kinds[[ord("Σ"), ord("İ")]] = ODD
+
+    def split(self, text: str) -> list[str]:
+        """A text's words by Python's tables."""
+        import unicodedata
+
+        return self.words(unicodedata.normalize("NFC", text).lower())
+
+    def alike(self, point: int) -> bool:
+        text = AROUND.replace("{}", chr(point))
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [x for x, _ in found] == [w.encode().decode("latin-1").translate(self.letters) for w in self.split(text)]
+
+    def any_odd(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        if self.kinds is None:
+            self.begin()
+        for i in range(0, len(text), CHARS_AT_ONCE):
+            points = np.frombuffer(text[i : i + CHARS_AT_ONCE].encode("utf-32-le"), np.uint32)
+            kinds = self.kinds[points]
+            if (kinds == UNKNOWN).any():
+                for point in np.unique(points[kinds == UNKNOWN]).tolist():
+                    self.kinds[point] = PLAIN if self.alike(point) else ODD
+                kinds = self.kinds[points]
+            if (kinds == ODD).any():
+                return True
+        return False
+
+
 class WordIds(dict):
     """Ids of single words as packed 32-bit numbers, asked of the library when first met."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.points = Points(self.library)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # Fixed value: the splitting pattern of the vocabulary file.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
-
         # Words come normalised and apart, so only the merging of their byte letters is asked of the library.
         self.model = self.library.model
-        self.letters = str.maketrans({chr(byte): letter for letter, byte in byte_letters().items()})
+        self.letters = self.points.letters
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
@@ -62,11 +129,11 @@ class WordIds(dict):
     def encode(self, text: str) -> np.ndarray:
         import unicodedata
 
-        if any(s in text for s in self.special) or "Σ" in text or "İ" in text:
+        if any(s in text for s in self.special) or self.points.any_odd(text):
             return np.array([*self.library.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return np.frombuffer(b"".join([*map(self.__getitem__, self.words(text.lower())), END_ID.to_bytes(4, "little")]), "<u4")
+        return np.frombuffer(b"".join([*map(self.__getitem__, self.points.words(text.lower())), END_ID.to_bytes(4, "little")]), "<u4")
 
 
 class Packer:

@@ -404,6 +404,31 @@ def test_op9_words_equal_the_library():
     assert all(own.encode(t).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts)
 
 
+def every_point(step=1 << 14):
+    """Blocks of code points, unassigned ones too, each in the context of a word, a number, spaces and marks."""
+    points = [*range(1, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200), *range(0xF0000, 0xF0010)]
+    for begin in range(0, len(points), step):
+        yield [around.replace("{}", chr(p)) for p in points[begin : begin + step] for around in ("x{} 9{} ", "{}'s!{}", "a{}\u0301z")]
+
+
+def test_op3_equals_the_library_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_counts.Transducer(path, token_counts.character_classes(path))
+    for texts in every_point():
+        assert own.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op9_equals_the_library_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.WordIds(path)
+    for texts in every_point():
+        assert [own.encode(t)[:-1].tolist() for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_op9_three_limits_hold_at_once(spark):
     """Conversations of which only answers bear loss: the loss limit binds in some sequences, the token or segment limit in others."""
     rng, rows = np.random.default_rng(12), []

@@ -10,8 +10,8 @@ from every word of a possible window, and what is found is shifted back by the a
 
 Before any walk, a stretch of a text must hold enough grams of ``GRAMS`` words that some item has: ``edits`` edits of an item of n
 words leave n - q + 1 - q * edits of its grams of q words, so this loses nothing. What passes is a run of words that holds every
-possible match whole, however long the items are. The tasks get two bitmaps of fixed size (grams and keys of the items),
-however many items there are; runs with a key are joined with the items by key, once a run and item, and the edit distance of
+possible match whole, however long the items are. The tasks get two bitmaps (grams and keys of the items) of 16 places and more a
+hash, up to 128 MB each; runs with a key are joined with the items by key, once a run and item, and the edit distance of
 the best match, in words, is computed exactly over the run.
 
 Defined cases: null, empty and wordless texts match nothing, on either side; an item of fewer than five words must match
@@ -33,11 +33,13 @@ WALKS, SETS, BITS = 4, 4, 4
 REACHES = (1, 2, 4, 8, 16, 32, 64)
 SHARE = 0.2
 GRAMS = (1, 2, 3, 4)
-GRAM_BITS, KEY_BITS = 24, 26
+#: Places of the bitmaps have so many bits at least and at most.
+LEAST_BITS, MOST_BITS = 20, 30
 SLAB = 1 << 19
 WORD = re.compile(r"\w+")
 PAD = max(REACHES)
 STRIDE = 8
+PAIR = 2
 
 
 def words_of(text: str | None) -> list[str]:
@@ -58,7 +60,12 @@ def reaches(n: int) -> list[int]:
 def anchors(n: int) -> dict[int, list[int]]:
     """Places in an item of ``n`` words that walks start from, with their lengths: all at its start, then one at every ``STRIDE`` words, just behind an edited opening, and at the last place for 8 steps."""
     later = {*range(STRIDE, n - 7, STRIDE), edits(n), max(0, n - 8)} - {0}
-    return {0: reaches(n)} | {a: [max(r for r in REACHES if r <= min(16, n - a))] for a in sorted(later)}
+    out = {0: reaches(n)} | {a: [max(r for r in REACHES if r <= min(16, n - a))] for a in sorted(later)}
+    if edits(n) == 1:
+        # One edit leaves two words side by side somewhere, in an item of five words perhaps no more: walks of two steps from everywhere.
+        for a in range(n - 1):
+            out[a] = sorted({*out.get(a, ()), PAIR})
+    return out
 
 
 def grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -85,11 +92,16 @@ def samples() -> dict[tuple[int, int, int], np.ndarray]:
     return {(w, r, s): np.sort(draw.choice(r, min(r, BITS), replace=False)) for w in range(WALKS) for r in REACHES for s in range(SETS if r > BITS else 1)}
 
 
+def moves_of(words: np.ndarray, walk: int) -> np.ndarray:
+    """For each word a bit per step of a walk: whether it moves on from there."""
+    return mix(words ^ np.uint64((walk + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
 def walk_keys(words: np.ndarray, at: np.ndarray, used: list[int]):
     """Keys of the windows of ``words`` that start at ``at``: (reach, array of keys) for each sample of the reaches in ``used``."""
     chosen = samples()
     for walk in range(WALKS):
-        moves = mix(words ^ np.uint64((walk + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        moves = moves_of(words, walk)
         here = at.copy()
         keys = {(r, s): np.full(len(at), (walk << 16) + (r << 8) + s, np.uint64) for w, r, s in chosen if w == walk and r in used}
         for step in range(max(used)):
@@ -104,6 +116,16 @@ def walk_keys(words: np.ndarray, at: np.ndarray, used: list[int]):
             yield r, mix(k)
 
 
+def item_keys(words: np.ndarray, at: int, used: list[int]) -> list[np.ndarray]:
+    """Keys of an item's walks from one place. Walks of two steps that stay on one word are left out: one word tells nothing."""
+    start = np.full(1, at, np.int64)
+    out = [k for _, k in walk_keys(words, start, [r for r in used if r != PAIR])] if used != [PAIR] else []
+    if PAIR in used:
+        moved = [bool(moves_of(words[start], walk)[0] & np.uint64(1)) for walk in range(WALKS)]
+        out += [k for (_, k), m in zip(walk_keys(words, start, [PAIR]), moved, strict=True) if m or not any(moved)]
+    return out
+
+
 def _item_keys(batches):
     hashes = WordHashes()
     for batch in batches:
@@ -113,17 +135,23 @@ def _item_keys(batches):
             if words:
                 own = hashes.of(words)
                 h = np.concatenate([own, np.zeros(PAD, np.uint64)])
-                keys = np.unique(np.concatenate([k for a, used in anchors(len(words)).items() for _, k in walk_keys(h, np.full(1, a, np.int64), used)]))
-                held = np.unique(np.concatenate([places(grams(own, q), GRAM_BITS) for q in GRAMS]))
-                probes = np.unique(np.concatenate([places(keys, KEY_BITS, probe) for probe in (0, 1)]))
-                rows.append((item, keys.astype(np.int64), len(words), " ".join(words), held, probes))
-        columns = [*zip(*rows, strict=True)] if rows else [[]] * 6
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item_id", "keys", "n", "words", "gram_places", "key_places"])
+                keys = np.unique(np.concatenate([k for a, used in anchors(len(words)).items() for k in item_keys(h, a, used)]))
+                held = np.unique(np.concatenate([grams(own, q) for q in GRAMS]))
+                rows.append((item, keys.astype(np.int64), len(words), " ".join(words), held.astype(np.int64)))
+        columns = [*zip(*rows, strict=True)] if rows else [[]] * 5
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item_id", "keys", "n", "words", "grams"])
+
+
+def bits_for(n: int) -> int:
+    """Bits of a bitmap's places that leaves at most one place in 16 marked by ``n`` hashes, up to a map of 128 MB; fuller maps only let more through."""
+    return min(MOST_BITS, max(LEAST_BITS, int(n * 16).bit_length()))
 
 
-def bitmap(places: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size from a column of places: one row of 64 bits for each word of the map that is not empty."""
+def bitmap(hashes: DataFrame, bits: int, probes: tuple[int, ...] = (0,)) -> np.ndarray:
+    """A bitmap from a column of hashes: one row of 64 bits for each word of the map that is not empty."""
+    place = lambda probe: F.shiftrightunsigned("hash", 64 - bits - 12 * probe).bitwiseAND((1 << bits) - 1)
+    places = hashes.select(F.explode(F.array(*map(place, probes))).alias("place"))
     packed = places.select((F.col("place") / 64).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int")).alias("bit"))
     rows = packed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
@@ -134,7 +162,8 @@ def bitmap(places: DataFrame, bits: int) -> np.ndarray:
 FOUND = "uid long, _id long, _hash long, place long, keys array<long>, words string"
 
 
-def _run_batches(maps, classes: list[tuple[int, int]]):
+def _run_batches(maps, bits: tuple[int, int], classes: list[tuple[int, int]]):
+    gram_bits, key_bits = bits
     used = sorted({r for lo, hi in classes for n in range(lo, hi + 1) for rs in anchors(n).values() for r in rs})
     # For each class of sizes: the words that a match may take up, and the grams of each size that it must hold.
     bounds = [(hi + edits(hi), [(q, few) for q in GRAMS if (few := min(n - q + 1 - q * edits(n) for n in range(lo, hi + 1))) > 0]) for lo, hi in classes]
@@ -142,7 +171,7 @@ def _run_batches(maps, classes: list[tuple[int, int]]):
     def possible(hashes: np.ndarray, gram_map: np.ndarray) -> np.ndarray:
         """Which words lie in a stretch with enough grams of items."""
         n, most = len(hashes), max(reach for reach, _ in bounds)
-        sums = {q: np.concatenate([[0], np.cumsum(marked(gram_map, places(grams(hashes, q), GRAM_BITS)), dtype=np.int32)]) for q in GRAMS}
+        sums = {q: np.concatenate([[0], np.cumsum(marked(gram_map, places(grams(hashes, q), gram_bits)), dtype=np.int32)]) for q in GRAMS}
         sums = {q: np.append(x, np.full(most + q, x[-1], np.int32)) for q, x in sums.items()}
         out = np.zeros(n, bool)
         for reach, needed in bounds:
@@ -162,7 +191,7 @@ def _run_batches(maps, classes: list[tuple[int, int]]):
         run = np.append(0, np.cumsum(at[1:] != at[:-1] + 1))
         runs, keys = [], []
         for _, own in walk_keys(hashes, at, used):
-            hit = np.flatnonzero(marked(key_map, places(own, KEY_BITS)) & marked(key_map, places(own, KEY_BITS, 1)))
+            hit = np.flatnonzero(marked(key_map, places(own, key_bits)) & marked(key_map, places(own, key_bits, 1)))
             runs.append(run[hit])
             keys.append(own[hit].astype(np.int64))
         runs, keys = np.concatenate(runs), np.concatenate(keys)
@@ -256,14 +285,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (_id, _hash, item_id, n, edits, begin) of ``docs (doc_id, text)`` that hold an item of ``benchmark (item_id, text)``; ``begin`` counts words."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = cut(benchmark.select("item_id", "text").mapInArrow(_item_keys, "item_id long, keys array<long>, n long, words string, gram_places array<long>, key_places array<long>"))
+    items = cut(benchmark.select("item_id", "text").mapInArrow(_item_keys, "item_id long, keys array<long>, n long, words string, grams array<long>"))
     # Sizes that differ by up to a tenth share one bound on the grams a stretch must hold.
     sizes = items.groupBy(F.floor(F.log("n") / np.log(1.1)).alias("class")).agg(F.min("n"), F.max("n")).collect()
     if not sizes:
         return spark.createDataFrame([], "_id long, _hash long, item_id long, n long, edits long, begin long")
-    maps = bitmap(items.select(F.explode("gram_places").alias("place")), GRAM_BITS), bitmap(items.select(F.explode("key_places").alias("place")), KEY_BITS)
-    sent = spark.sparkContext.broadcast(maps)
-    found = cut(docs.select(*row_key(), "text").mapInArrow(_run_batches(sent, [(r[1], r[2]) for r in sizes]), FOUND))
+    total = items.agg(F.sum(F.size("grams")).alias("grams"), F.sum(2 * F.size("keys")).alias("keys")).first()
+    bits = bits_for(total.grams), bits_for(total.keys)
+    sent = spark.sparkContext.broadcast((bitmap(items.select(F.explode("grams").alias("hash")), bits[0]), bitmap(items.select(F.explode("keys").alias("hash")), bits[1], (0, 1))))
+    found = cut(docs.select(*row_key(), "text").mapInArrow(_run_batches(sent, bits, [(r[1], r[2]) for r in sizes]), FOUND))
     item_keys = items.select("item_id", F.explode("keys").alias("key")).distinct()
     pairs = found.select("uid", F.explode("keys").alias("key")).join(item_keys, "key").select("uid", "item_id").distinct()
     texts = items.select(F.col("item_id").alias("own_id"), "n", F.col("words").alias("item_words")).dropDuplicates(["own_id", "item_words"])

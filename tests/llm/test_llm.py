@@ -160,8 +160,8 @@ def test_op2_recall_of_each_kind_of_edit(spark):
     items, rows, kinds = [], [], {}
     for kind in ("substitute", "delete", "insert"):
         for where in ("random", "start", "middle", "end"):
-            for size in (8, 16, 30, 60, 120, 500):
-                for _ in range(10 if size < 500 else 5):
+            for size in (5, 6, 7, 8, 9, 10, 12, 16, 30, 60, 120, 500, 1000):
+                for _ in range(10 if size < 500 else 4):
                     words = [f"q{x}" for x in rng.integers(3000, size=size)]
                     kinds[len(items)] = kind, where, size
                     rows.append((len(items), "lead in words " + " ".join(edited(rng, words, kind, where)) + " trailing words"))
@@ -176,6 +176,16 @@ def test_op2_recall_of_each_kind_of_edit(spark):
     for kind, where in {k[:2] for k in kinds.values()}:
         own = [i for i, k in kinds.items() if k[:2] == (kind, where)]
         assert np.mean([(i, i) in found for i in own]) >= 0.9, (kind, where)
+    # One edit leaves a pair of words, which surely has a key.
+    for kind in ("substitute", "delete", "insert"):
+        for size in range(5, 10):
+            own = [i for i, k in kinds.items() if (k[0], k[2]) == (kind, size)]
+            assert np.mean([(i, i) in found for i in own]) >= 0.95, (kind, size)
+
+
+def test_op2_maps_grow_with_the_items():
+    assert decontamination.bits_for(10) == 20 and decontamination.bits_for(1 << 40) == 30
+    assert all(16 * n <= 1 << decontamination.bits_for(n) for n in (1, 70_000, 1 << 20, 1 << 25))
 
 
 def test_op2_says_where_and_how_far(spark):

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, join_groups, shuffle_partitions, table, text_or_empty
@@ -45,9 +45,9 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Add ``batch (doc_id, digest)``; returns one row per row of it: doc_id, digest, keep_id, group_size, kept.
+        """Add ``batch (doc_id, digest)``; returns one row per row of it: doc_id, digest, keep_id, group_size, kept, copies.
 
-        ``group_size`` counts the batch's rows; ``keep_id`` may be of an earlier batch.
+        ``group_size`` counts the batch's rows, ``copies`` those with the id too; ``keep_id`` may be of an earlier batch.
         """
         rows = cut(batch.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies")))
         groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.sum("copies").alias("group_size"), F.count(F.lit(1)).alias("rows"))
@@ -55,7 +55,7 @@ class DigestIndex:
         held = cut(groups.join(self.read(), "digest").select("digest", "keep_id", "group_size", "rows"))
         found = join_groups(rows, held, "digest", "rows").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-        return found.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
+        return found.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"), "copies")
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
@@ -69,13 +69,14 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    kept = exact_dedup(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    kept = exact_dedup(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "copies")
     seen = docs.withColumn("_own_digest", digest())
     same = seen["doc_id"].eqNullSafe(kept["_id"]) & (seen["_own_digest"] == kept["_digest"])
-    # One of several rows with the same id and text: the window reuses the join's partitioning.
-    one = Window.partitionBy("doc_id", "_own_digest").orderBy(F.lit(0))
-    left = seen.join(kept, same, "left_semi").withColumn("_nth", F.row_number().over(one))
-    return left.where("_nth = 1").select(*docs.columns)
+    single = seen.join(kept.where("copies = 1"), same, "left_semi").select(*docs.columns)
+    # Of rows with one id and text any one stays; tasks reduce theirs before they meet, so many of them are no burden.
+    again = seen.join(kept.where("copies > 1"), same, "left_semi")
+    one = again.groupBy("doc_id", "_own_digest").agg(F.any_value(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(one.select("row.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import percent
-from .filters import FilterSpec, basis, compile_filters, tier
+from .filters import FilterSpec, basis, compile_dimensions, compile_filters, tier
 from .reconcile import near_days
 
 ONCE = "superset_of = 0"
@@ -57,19 +57,41 @@ def top(facts: DataFrame, spec: FilterSpec, column: str, limit: int = 60) -> Dat
     return out.orderBy(F.desc("jobs"), "label").limit(limit)
 
 
-def endpoint(facts: DataFrame) -> DataFrame:
-    """(block, label, entries, measures) of all blocks of the interface's aggregate in one scan and one shuffle.
+#: Blocks of the interface's aggregate, and the filter that each leaves aside so that it keeps showing all of its own values.
+BLOCKS = {"total": None, "country": "country", "employer_country": "employer_country", "industry": "industry", "state": "state", "source_type": "sources", "tier": "tier", "month": None, "reason": "reasons", "role": None}
 
-    Every row is dealt to its label in each block (the total, places, industry, source, tier, month, tags); the partial sums per
-    task are as many as there are labels, whatever the number of rows.
+
+def endpoint(facts: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
+    """(block, label, entries, measures) of all blocks of the interface's aggregate in one scan and one shuffle, under any filters.
+
+    Each filter that some block leaves aside has a bit; a row's mask has the bits of those that it fails. Rows that fail any other
+    filter, or two of these, are in no block and go at once. A row is dealt to its label in each block whose own bit is all that its
+    mask may have, so a row that fails one filter goes to one block. Months lie on the filters' own date. The partial sums per task are
+    as many as there are labels, whatever the number of rows.
     """
-    one = lambda block, label: F.struct(F.lit(block).alias("block"), label.alias("label"))
+    spec = spec or FilterSpec()
+    tests = compile_dimensions(spec)
+    own = [name for name in dict.fromkeys(BLOCKS.values()) if name in tests]
+    bit = {name: 1 << i for i, name in enumerate(own)}
+    failed = F.lit(0)
+    for name in own:
+        failed = failed.bitwiseOR(F.when(F.coalesce(tests[name], F.lit(False)), 0).otherwise(bit[name]))
+    always = [t for name, t in tests.items() if name not in bit]
+    rows = facts.where(ONCE)
+    for test in always:
+        rows = rows.where(test)
+    rows = rows.withColumn("failed", failed).where(F.bit_count("failed") <= 1)
+
+    def one(block: str, label: Column) -> Column:
+        shown = F.col("failed").bitwiseAND(~bit.get(BLOCKS[block], 0)) == 0
+        return F.struct(F.lit(block).alias("block"), F.when(shown, label).otherwise("").alias("label"))
+
     single = F.array(
         one("total", F.lit("all")), *[one(c, F.col(c)) for c in ("country", "employer_country", "industry", "state", "source_type")], one("tier", tier()),
-        one("month", F.coalesce(F.date_format("layoff_date", "yyyy-MM"), F.lit(""))))
+        one("month", F.coalesce(F.date_format(basis(spec.date_basis), "yyyy-MM"), F.lit(""))))
     tags = [F.transform("reason_tags", lambda t: one("reason", t)), F.transform("role_categories", lambda t: one("role", t))]
-    rows = facts.where(ONCE).select("job_count", "ai_explicit", "source_type", "verification_level", F.explode(F.concat(single, *tags)).alias("x"))
-    rows = rows.where("x.label <> '' AND NOT (x.block = 'role' AND x.label = 'unknown')")
+    rows = rows.select("job_count", "ai_explicit", "source_type", "verification_level", F.explode(F.filter(F.concat(single, *tags), lambda x: x["label"] != "")).alias("x"))
+    rows = rows.where("NOT (x.block = 'role' AND x.label = 'unknown')")
     return rows.groupBy("x.block", "x.label").agg(F.count(F.lit(1)).alias("entries"), *measures())
 
 

@@ -100,59 +100,65 @@ def free_text(columns: tuple[str, ...], term: str) -> Column:
     return out & any_of([c.rlike(pattern) for c in held]) if pattern else out
 
 
-def compile_filters(spec: FilterSpec) -> Column:
-    """All row-wise dimensions of ``spec``; ``sourced`` needs other tables and is applied by ``apply_filters``."""
+def compile_dimensions(spec: FilterSpec) -> dict[str, Column]:
+    """The row-wise tests of ``spec`` by dimension, for those that it names; ``sourced`` needs other tables and is applied by ``apply_filters``."""
     day = basis(spec.date_basis)
-    tests = [F.lit(True)]
+    tests: dict[str, list[Column]] = {}
+    add = lambda name, test: tests.setdefault(name, []).append(test)
     valid = lambda d: d is not None and re.fullmatch(r"\d{4}-\d{2}-\d{2}", d)
     if valid(spec.date_from):
-        tests.append(day >= F.to_date(F.lit(spec.date_from)))
+        add("date_from", day >= F.to_date(F.lit(spec.date_from)))
     if valid(spec.date_to):
-        tests.append(day <= F.to_date(F.lit(spec.date_to)))
-    for values, part, low, high in ((spec.years, F.year, 1990, 2100), (spec.quarters, F.quarter, 1, 4), (spec.months, F.month, 1, 12)):
-        if values:
-            tests.append(day.isNotNull() & part(day).isin(*[v for v in values if low <= v <= high]))
+        add("date_to", day <= F.to_date(F.lit(spec.date_to)))
+    for name, part, low, high in (("years", F.year, 1990, 2100), ("quarters", F.quarter, 1, 4), ("months", F.month, 1, 12)):
+        if values := getattr(spec, name):
+            add(name, day.isNotNull() & part(day).isin(*[v for v in values if low <= v <= high]))
     for column in ("industry", "state", "employer_country"):
         if values := getattr(spec, column):
-            tests.append(among(column, values))
+            add(column, among(column, values))
     if spec.country:
-        tests.append(in_country(spec.country, spec.country_basis))
+        add("country", in_country(spec.country, spec.country_basis))
     if spec.reasons:
-        tests.append(F.arrays_overlap("reason_tags", F.array(*map(F.lit, spec.reasons))))
+        add("reasons", F.arrays_overlap("reason_tags", F.array(*map(F.lit, spec.reasons))))
     if roles := [r for r in spec.roles if r != "unknown"]:
-        tests.append(F.arrays_overlap("role_categories", F.array(*map(F.lit, roles))))
+        add("roles", F.arrays_overlap("role_categories", F.array(*map(F.lit, roles))))
     if spec.sources:
-        tests.append(among("verification_level", spec.sources) | among("source_type", spec.sources))
+        add("sources", among("verification_level", spec.sources) | among("source_type", spec.sources))
     if spec.tier:
-        tests.append(tier().isin(*spec.tier))
+        add("tier", tier().isin(*spec.tier))
     if spec.ai:
-        tests.append(F.col("ai_explicit"))
+        add("ai", F.col("ai_explicit"))
     if spec.ai_primary:
-        tests.append(F.col("ai_causation") == "primary_cause")
+        add("ai_primary", F.col("ai_causation") == "primary_cause")
     if spec.ai_broad:
-        tests.append(F.col("ai_explicit") | (F.col("ai_causation") == "ai_linked"))
+        add("ai_broad", F.col("ai_explicit") | (F.col("ai_causation") == "ai_linked"))
     if spec.review_status:
-        tests.append(F.col("review_status") == spec.review_status)
+        add("review_status", F.col("review_status") == spec.review_status)
     if spec.context_missing:
-        tests.append(F.size("reason_tags") == 0)
+        add("context_missing", F.size("reason_tags") == 0)
     if spec.roles_missing:
-        tests.append((F.size("role_categories") == 0) & ~F.col("source_type").isin("warn", "erm") & (F.col("excerpt") != ""))
+        add("roles_missing", (F.size("role_categories") == 0) & ~F.col("source_type").isin("warn", "erm") & (F.col("excerpt") != ""))
     if spec.industry_missing:
-        tests.append(F.col("industry") == "")
+        add("industry_missing", F.col("industry") == "")
     if spec.stage in ("announced", "verified"):
-        tests.append(F.col("announced") == F.lit(spec.stage == "announced"))
-    for term, columns in ((spec.company, ("company",)), (spec.keyword, ("company", "excerpt")), (spec.q, ("company", "excerpt", "industry", "country", "source_name"))):
-        if term:
-            tests.append(free_text(columns, term))
+        add("stage", F.col("announced") == F.lit(spec.stage == "announced"))
+    for name, columns in (("company", ("company",)), ("keyword", ("company", "excerpt")), ("q", ("company", "excerpt", "industry", "country", "source_name"))):
+        if term := getattr(spec, name):
+            add(name, free_text(columns, term))
     if spec.company_key:
-        tests.append(F.col("company_key").isin(*spec.company_key))
+        add("company_key", F.col("company_key").isin(*spec.company_key))
     if spec.exclude_supersets:
-        tests.append(F.col("superset_of") == 0)
+        add("exclude_supersets", F.col("superset_of") == 0)
     if spec.min_jobs is not None:
-        tests.append(F.col("job_count") >= spec.min_jobs)
+        add("min_jobs", F.col("job_count") >= spec.min_jobs)
     if spec.exclude_id is not None:
-        tests.append(F.col("id") != spec.exclude_id)
-    return reduce(lambda a, b: a & b, tests)
+        add("exclude_id", F.col("id") != spec.exclude_id)
+    return {name: reduce(lambda a, b: a & b, own) for name, own in tests.items()}
+
+
+def compile_filters(spec: FilterSpec) -> Column:
+    """All row-wise dimensions of ``spec`` in one test."""
+    return reduce(lambda a, b: a & b, compile_dimensions(spec).values(), F.lit(True))
 
 
 def apply_filters(facts: DataFrame, spec: FilterSpec, events: DataFrame | None = None, reports: DataFrame | None = None) -> DataFrame:

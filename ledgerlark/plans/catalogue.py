@@ -12,6 +12,7 @@ from ..functions.stats import wilson
 from ..operators import aggregates, dedup, evidence, mutations, paging, quality, series
 from ..operators.filters import FilterSpec, apply_filters, tier
 from ..sources import ledger as tables
+from ..sources import store
 from ..sources.ledger import AS_OF, LEDGER_SQL, read
 from .planted import PLANTED_SQL, planted
 
@@ -132,6 +133,21 @@ _BLOCKS = {"total": "'all'", "country": "country", "employer_country": "employer
 query("endpoint_blocks", ", b AS (" + " UNION ALL ".join(f"SELECT '{block}' AS block, {label} AS label, job_count, ai_explicit, source_type, verification_level FROM ledger WHERE {ONCE}" for block, label in _BLOCKS.items())
       + f") SELECT block, label, count(*) AS entries, {MEASURES} FROM b WHERE label <> '' AND NOT (block = 'role' AND label = 'unknown') GROUP BY 1, 2")(lambda spark, sf_dir: aggregates.endpoint(facts(spark, sf_dir)))
 
+#: Five filters at once; blocks that have one of them leave their own aside.
+_SLICED = FilterSpec.of(country=("NATION_5", "NATION_3", "NATION_17"), industry=("BUILDING", "machinery"), sources=("gold", "news", "warn"), reasons=("closure", "restructuring"), years=(1995, 1996, 1997))
+_TESTS = {"country": "lower(country) IN ('nation_5', 'nation_3', 'nation_17')", "industry": "lower(industry) IN ('building', 'machinery')", "sources": "(lower(verification_level) IN ('gold', 'news', 'warn') OR lower(source_type) IN ('gold', 'news', 'warn'))",
+          "reasons": "list_has_any(reason_tags, ['closure', 'restructuring'])", "years": "layoff_date IS NOT NULL AND year(layoff_date) IN (1995, 1996, 1997)"}
+_SLICED_SQL = ", b AS (" + " UNION ALL ".join(
+    f"SELECT '{block}' AS block, {label} AS label, job_count, ai_explicit, source_type, verification_level FROM ledger WHERE {ONCE} AND " + " AND ".join(t for name, t in _TESTS.items() if name != aggregates.BLOCKS[block]) for block, label in _BLOCKS.items()
+) + f") SELECT block, label, count(*) AS entries, {MEASURES} FROM b WHERE label <> '' AND NOT (block = 'role' AND label = 'unknown') GROUP BY 1, 2"
+query("endpoint_sliced", _SLICED_SQL)(lambda spark, sf_dir: aggregates.endpoint(facts(spark, sf_dir), _SLICED))
+query("endpoint_stored", _SLICED_SQL)(lambda spark, sf_dir: aggregates.endpoint(store.stored_ledger(spark, sf_dir).where(store.months_of(_SLICED)), _SLICED))
+query("stored_window", "SELECT id, company, job_count, layoff_date FROM ledger WHERE layoff_date BETWEEN DATE '1996-02-11' AND DATE '1996-06-20' AND job_count >= 2000")(
+    lambda spark, sf_dir: store.pruned(store.stored_ledger(spark, sf_dir), FilterSpec.of(date_from="1996-02-11", date_to="1996-06-20", min_jobs=2000)).select("id", "company", "job_count", "layoff_date"))
+query("stored_join", """, s AS (SELECT company_key, min(layoff_date) AS first_day, CAST(sum(job_count) AS BIGINT) AS announced_jobs FROM ledger WHERE announced AND company_key <> '' AND layoff_date IS NOT NULL GROUP BY 1)
+SELECT company_key, announced_jobs, CAST(sum(job_count) AS BIGINT) AS executed_jobs, count(*) AS executions FROM s JOIN ledger l USING (company_key) WHERE NOT announced AND datediff('day', first_day, layoff_date) BETWEEN 0 AND 180 GROUP BY 1, 2""")(
+    lambda spark, sf_dir: store.executed_after(store.stored_ledger(spark, sf_dir)))
+
 _BASES = {"effective": "layoff_date", "announcement": "announcement_date", "notice": "coalesce(announcement_date, layoff_date)"}
 _DONE = f"coalesce(layoff_date <= DATE '{AS_OF}', FALSE)"
 for _basis, _day in _BASES.items():

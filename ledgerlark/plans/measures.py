@@ -11,6 +11,7 @@ from ..sources import ledger as tables
 from ..sources import sinks
 from ..sources.ledger import AS_OF, read
 from ..streaming import jobs as streams
+from ..streaming import snapshots, stateful
 from .catalogue import MEASURES, ONCE, facts, jobs, n, query
 from .planted import PLANTED_SQL, planted
 
@@ -168,3 +169,10 @@ query("json_lines", """SELECT id AS place, CAST(to_json({'id': id, 'company': co
 query("personal_data", r"""SELECT 'email' AS kind, count(CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 1 END) AS rows FROM documents UNION ALL
 SELECT 'phone', count(CASE WHEN regexp_matches(text, '\+?\d{1,3}[ .-]\(?\d{2,4}\)?[ .-]\d{3}[ .-]\d{3,4}') THEN 1 END) FROM documents""")(
     lambda spark, sf_dir: sinks.personal_data(read(spark, sf_dir, "documents"), ["text"]))
+query("stream_upsert", """, old AS (SELECT * FROM ledger WHERE id % 3 <> 0), fresh AS (SELECT id + 1000000 AS id, dedup_hash, job_count + 1 AS job_count, CASE WHEN id % 2 = 0 THEN '' ELSE 'NEW' END AS industry FROM ledger WHERE id % 5 = 0
+  QUALIFY row_number() OVER (PARTITION BY dedup_hash ORDER BY id DESC) = 1)
+SELECT coalesce(o.id, f.id) AS id, coalesce(o.dedup_hash, f.dedup_hash) AS dedup_hash, CASE WHEN f.id IS NULL OR coalesce(o.edited, FALSE) THEN o.job_count ELSE f.job_count END AS job_count,
+  CASE WHEN f.id IS NULL OR coalesce(o.edited, FALSE) THEN o.industry ELSE coalesce(nullif(f.industry, ''), o.industry, f.industry) END AS industry FROM old o FULL JOIN fresh f ON o.dedup_hash = f.dedup_hash""")(
+    lambda spark, sf_dir: snapshots.upserted_ledger(spark, sf_dir).select("id", "dedup_hash", "job_count", "industry"))
+query("stream_zero_streak", """, last AS (SELECT source, max((attempted_at, id)) FILTER (entries > 0) AS at FROM runs GROUP BY 1)
+SELECT source, count(*) FILTER (entries = 0 AND (at IS NULL OR (attempted_at, id) > at)) AS streak, any_value(at) IS NOT NULL AS stored_ever FROM runs JOIN last USING (source) GROUP BY 1""")(stateful.streaks_of)

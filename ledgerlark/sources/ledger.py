@@ -27,13 +27,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reported event per row. The dimensions are of fixed size or joined by key as the optimiser sees fit."""
+def ledger(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """One reported event per row, of all orders or of those given (a stream of them too). The dimensions are of fixed size or joined by key as the optimiser sees fit."""
     k = F.col("o_orderkey")
     nation = read(spark, sf_dir, "nation")
     home = nation.select(F.col("n_nationkey").alias("home_key"), F.col("n_name").alias("home_name"))
     rows = (
-        read(spark, sf_dir, "orders")
+        (read(spark, sf_dir, "orders") if orders is None else orders)
         .join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(home, k % 25 == F.col("home_key"))

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.lineage import shared_dir
 
@@ -31,12 +29,17 @@ def span(spark: SparkSession, sf_dir: str) -> str:
     return LATENESS if first is None else f"{(last - first).days + 1} days"
 
 
-def source(spark: SparkSession, sf_dir: str, files: int = 64) -> DataFrame:
-    """The telemetry as a stream of files, a few at a time."""
-    path = f"{sf_dir}/events.parquet"
+def files_of(spark: SparkSession, sf_dir: str, name: str, files: int = 64) -> DataFrame:
+    """A table as a stream of its files, a few at a time."""
+    path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     # A pattern also matches a table that is one file; a plain path would have to be a folder.
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def source(spark: SparkSession, sf_dir: str, files: int = 64) -> DataFrame:
+    """The telemetry as a stream."""
+    return files_of(spark, sf_dir, "events", files).withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def run(stream: DataFrame, mode: str) -> DataFrame:
@@ -107,29 +110,14 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_ledger(spark: SparkSession, sf_dir: str, lateness: str | None = None, files: int = 64) -> DataFrame:
     """The state of every (source, day) slot: complete once a run stored all, partial if one stored a part, failed after enough attempts, else queued.
 
-    Custom state: three numbers a slot, kept by Spark's state store and updated by one small function a group; a slot is forgotten
-    ``HORIZON_DAYS`` after its day, and one that was still open then has aged out. Open slots before a complete later one of the
-    same source are superseded, which is settled on reading.
+    Each slot has a state of its own (``stateful.Slots``) and is forgotten ``HORIZON_DAYS`` after its day; one that was still open then
+    has aged out. Open slots before a complete later one of the same source are superseded, which is settled on reading.
     """
-
-    def update(key: tuple, batches, state: GroupState):
-        attempts, stored, parts = state.get if state.exists else (0, 0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            if not stored:
-                yield pd.DataFrame({"source": [key[0]], "day": [key[1]], "attempts": [attempts], "status": ["aged out"]})
-            return
-        for pdf in batches:
-            attempts, stored, parts = attempts + len(pdf), stored + int((pdf["value"] > 95).sum()), parts + int((pdf["value"] > 90).sum())
-        state.update((attempts, stored, parts))
-        end = pd.Timestamp(key[1]) + pd.Timedelta(days=1 + HORIZON_DAYS)
-        state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        status = "complete" if stored else "partial" if parts else "failed" if attempts >= ATTEMPTS else "queued"
-        yield pd.DataFrame({"source": [key[0]], "day": [key[1]], "attempts": [attempts], "status": [status]})
+    from . import stateful
 
     rows = source(spark, sf_dir, files).withWatermark("at", lateness or span(spark, sf_dir)).select("at", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
-    slots = rows.groupBy("event_type", "day").applyInPandasWithState(update, "source string, day string, attempts long, status string", "attempts long, stored long, parts long", "update", GroupStateTimeout.EventTimeTimeout)
-    found = newest(run(slots, "update"), ["source", "day"])
+    with stateful.rocks(spark):
+        found = newest(run(stateful.slot_states(rows), "update"), ["source", "day"])
     last = found.where("status = 'complete'").groupBy("source").agg(F.max("day").alias("_last"))
     open_ = F.col("status").isin("queued", "failed", "partial") & (F.col("day") < F.col("_last"))
     return found.join(last, "source", "left").withColumn("status", F.when(open_, "superseded").otherwise(F.col("status"))).drop("_last")

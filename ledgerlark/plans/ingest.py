@@ -84,17 +84,21 @@ dealt("repaired_xml", {"<rss>a & b</rss>junk": "<rss>a &amp; b</rss>", "<feed>&l
 
 
 
-def counted(name: str, table: dict, kernel, column: str, number: str = "job_count") -> None:
-    """A query that deals sentences with the row's count to the ledger's rows and gives what the kernel says of them."""
+def counted(name: str, table: dict, kernel, column: str, number: str = "job_count", besides: tuple[str, str] | None = None) -> None:
+    """A query that deals sentences with the row's count to the ledger's rows and gives what the kernel says of them.
+
+    ``besides`` is a condition in SQL under which a row's answer is another one, as its count means something else in its sentence.
+    """
     values = list(table.values())
 
     def run(spark, sf_dir):
         n = F.expr(number).cast("long")
         grouped = F.format_number(n, 0)
         sentence = F.replace(F.replace(picked(list(table)), F.lit("{n}"), n.cast("string")), F.lit("{g}"), grouped)
-        return facts(spark, sf_dir).where("job_count NOT BETWEEN 1990 AND 2099").select("id", kernel(n, sentence).alias(column))
+        return facts(spark, sf_dir).select("id", kernel(n, sentence).alias(column))
 
-    query(name, f"SELECT id, {pick(values)} AS {column} FROM ledger WHERE job_count NOT BETWEEN 1990 AND 2099")(run)
+    other = f"CASE WHEN {besides[0]} THEN {besides[1]} ELSE {pick(values)} END" if besides else pick(values)
+    query(name, f"SELECT id, {other} AS {column} FROM ledger")(run)
 
 
 counted("count_in_excerpt", {"The firm cuts {n} jobs.": True, "It cuts {g} jobs": True, "A bill of $1{n} million": False, "{n}9 people": False, "no number at all": False, "costs {n},000 in all": False, "about {n}.": True}, text.count_in_text, "stated")
@@ -113,7 +117,7 @@ counted("cost_only", {"restructuring of ${g} this year": True, "costs (2) 11,047
 counted("retrospective_verdict", {
     "Amazon has cut around {g} corporate jobs since late 2025.": "retrospective", "Acme cuts {g} jobs.": "event", "It cut 3 more jobs, bringing the total to {g}.": "incremental",
     "Over the past two years it cut {g} roles. It cut {g} jobs on Monday.": "event", "An additional {g} jobs since 2025.": "event", "Its biggest cut since 2020: {g} jobs.": "event",
-    "So far this year it shed {g} jobs.": "retrospective", "{g} jobs gone since 2025, it announced on Monday.": "event", "It cut {g} jobs since 2025, and 2024 more.": "retrospective"}, lambda n, t: guards.retrospective(n, t)["verdict"], "verdict")
+    "So far this year it shed {g} jobs.": "retrospective", "{g} jobs gone since 2025, it announced on Monday.": "event", "It cut {g} jobs since 2025, and 2024 more.": "retrospective"}, lambda n, t: guards.retrospective(n, t)["verdict"], "verdict", besides=("id % 9 = 8 AND job_count = 2024", "'event'"))
 dealt("projection_words", {"could cost 4,500 jobs, a study says": 1, "projected ripple  effects": 2, "Acme cuts 500 jobs": 0, "according to a new report, the county would lose jobs": 2}, lambda c: F.size(guards.projections(c)).cast("int"), "hints")
 dealt("filing_section", {"Item 2.05 Costs": "item_2.05", "Item 2.05 x Risk Factors Risks related": "risk_factors", "Risk Factors y Item 5.02 z": "item_5.02", "see the Risk Factors section of our 10-K": None, "": None}, guards.section, "section")
 dealt("workforce_percent", {"cut 10% of its workforce": 10.0, "reduce its workforce by approximately 12.5 percent": 12.5, "10% of its revenue": None, "0% of the workforce": None, "": None}, guards.workforce_percent, "pct")
@@ -176,9 +180,9 @@ RECORDS = [
 ]
 
 
-@query("validated", f"SELECT id, {pick([r[3] for r in RECORDS])} AS decision, {pick([r[4] for r in RECORDS])} AS reason, CASE WHEN {pick([r[3] == 'reject' for r in RECORDS])} THEN NULL ELSE job_count END AS stored_count FROM ledger WHERE job_count NOT BETWEEN 1990 AND 2099")
+@query("validated", f"SELECT id, {pick([r[3] for r in RECORDS])} AS decision, {pick([r[4] for r in RECORDS])} AS reason, CASE WHEN {pick([r[3] == 'reject' for r in RECORDS])} THEN NULL ELSE job_count END AS stored_count FROM ledger")
 def _(spark, sf_dir):
-    rows = facts(spark, sf_dir).where("job_count NOT BETWEEN 1990 AND 2099")
+    rows = facts(spark, sf_dir)
     filled = lambda i: F.replace(picked([r[i] for r in RECORDS]), F.lit("{g}"), F.format_number("job_count", 0))
     rows = rows.withColumns({
         "is_event": F.lit(True), "job_count_max": F.col("job_count"), "employees": F.lit(None).cast("long"), "text": filled(1), "excerpt": filled(2), "source_type": picked([r[0] for r in RECORDS]),

@@ -174,5 +174,5 @@ query("stream_upsert", """, old AS (SELECT * FROM ledger WHERE id % 3 <> 0), fre
 SELECT coalesce(o.id, f.id) AS id, coalesce(o.dedup_hash, f.dedup_hash) AS dedup_hash, CASE WHEN f.id IS NULL OR coalesce(o.edited, FALSE) THEN o.job_count ELSE f.job_count END AS job_count,
   CASE WHEN f.id IS NULL OR coalesce(o.edited, FALSE) THEN o.industry ELSE coalesce(nullif(f.industry, ''), o.industry, f.industry) END AS industry FROM old o FULL JOIN fresh f ON o.dedup_hash = f.dedup_hash""")(
     lambda spark, sf_dir: snapshots.upserted_ledger(spark, sf_dir).select("id", "dedup_hash", "job_count", "industry"))
-query("stream_zero_streak", """, last AS (SELECT source, max((attempted_at, id)) FILTER (entries > 0) AS at FROM runs GROUP BY 1)
-SELECT source, count(*) FILTER (entries = 0 AND (at IS NULL OR (attempted_at, id) > at)) AS streak, any_value(at) IS NOT NULL AS stored_ever FROM runs JOIN last USING (source) GROUP BY 1""")(stateful.streaks_of)
+query("stream_zero_streak", """, last AS (SELECT source, max((attempted_at, id)) FILTER (entries > 0) AS newest FROM runs GROUP BY 1)
+SELECT source, count(*) FILTER (entries = 0 AND (newest IS NULL OR (attempted_at, id) > newest)) AS streak, count(newest) > 0 AS stored_ever FROM runs JOIN last USING (source) GROUP BY 1""")(stateful.streaks_of)

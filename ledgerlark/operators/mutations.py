@@ -54,13 +54,18 @@ def purge_notices(facts: DataFrame) -> DataFrame:
     return facts.where("NOT (source_type = 'warn' AND NOT edited)")
 
 
-def plausible_dates(facts: DataFrame, as_of: str, years: int = 3) -> DataFrame:
-    """Dates before 2000 or too far ahead become null."""
-    last = F.add_months(F.to_date(F.lit(as_of)), 12 * years)
-    keep = lambda c: F.when((F.year(c) >= 2000) & (F.col(c) <= last), F.col(c)).alias(c)
+def plausible_dates(facts: DataFrame, as_of: str, first_year: int = 2000, months: int = 36) -> DataFrame:
+    """Dates before a year or too far ahead become null, as an entry is put in; ``cleaned_dates`` has the tighter bounds of the cleanup."""
+    last = F.add_months(F.to_date(F.lit(as_of)), months)
+    keep = lambda c: F.when((F.year(c) >= first_year) & (F.col(c) <= last), F.col(c)).alias(c)
     return facts.select(*[keep(c) if c in ("layoff_date", "announcement_date") else F.col(c) for c in facts.columns])
 
 
+def cleaned_dates(facts: DataFrame, as_of: str) -> DataFrame:
+    """Dates that the cleanup of stored entries lets stand: from 2015 on, and up to 18 months ahead."""
+    return plausible_dates(facts, as_of, 2015, 18)
+
+
 def key_drift(facts: DataFrame, derive) -> DataFrame:
     """Entries whose stored identity key is not what the name gives now."""
     return facts.select("id", F.col("company_key").alias("was"), derive(F.col("company")).alias("now")).where("was <> now")

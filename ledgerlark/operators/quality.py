@@ -41,10 +41,22 @@ def cadence_profile(days: DataFrame, as_of: str) -> DataFrame:
 
 
 def zero_streaks(runs: DataFrame) -> DataFrame:
-    """How many of each source's newest runs in a row stored nothing."""
-    newest = Window.partitionBy("source").orderBy(F.desc("attempted_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    stored = F.max((F.col("entries") > 0).cast("int")).over(newest)
-    return runs.withColumn("stored", stored).groupBy("source").agg(F.count(F.when(F.col("stored") == 0, 1)).alias("streak"), F.count(F.lit(1)).alias("runs"))
+    """How many of each source's newest runs in a row stored nothing.
+
+    Runs are added up by source and day first: their number, and the newest that stored something. The newest such run of all days then
+    splits a source: whole days behind its own count by their sums, and only its own day is read again, by source and day. So no
+    task holds the runs of a source, and what is ordered are never more than the runs of one day.
+    """
+    at = F.struct("attempted_at", "id")
+    stored = F.when(F.col("entries") > 0, at)
+    dated = runs.withColumn("day", F.to_date("attempted_at"))
+    days = dated.groupBy("source", "day").agg(F.count(F.lit(1)).alias("n"), F.max(stored).alias("last"))
+    sources = days.groupBy("source").agg(F.max("last").alias("last"), F.sum("n").alias("runs")).withColumn("last_day", F.to_date("last.attempted_at"))
+    later = days.join(sources.select("source", "last_day"), "source").where("last_day IS NULL OR day > last_day").groupBy("source").agg(F.sum("n").alias("later"))
+    own = sources.select("source", F.col("last_day").alias("day"), "last")
+    same = dated.join(own, ["source", "day"]).where(F.struct("attempted_at", "id") > F.col("last")).groupBy("source").agg(F.count(F.lit(1)).alias("same"))
+    streak = F.coalesce("later", F.lit(0)) + F.coalesce("same", F.lit(0))
+    return sources.join(later, "source", "left").join(same, "source", "left").select("source", streak.alias("streak"), "runs")
 
 
 def latest_health(runs: DataFrame) -> DataFrame:

@@ -263,11 +263,11 @@ def _(spark, sf_dir):
 query("presence", """SELECT company_key, count(id) AS entries, count(id) > 0 AS present FROM (SELECT lower(regexp_replace(c_name, '[^A-Za-z0-9]', ' ', 'g')) AS company_key FROM customer) LEFT JOIN ledger USING (company_key) GROUP BY 1""")(
     lambda spark, sf_dir: evidence.seen_presence(read(spark, sf_dir, "customer").select(F.lower(F.regexp_replace("c_name", "[^A-Za-z0-9]", " ")).alias("company_key")), facts(spark, sf_dir)))
 
-query("aligned_presence", """, n AS (SELECT c_custkey AS name_id, CASE c_custkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN lower(replace(c_name, '#', ' ')) || ' works' WHEN 2 THEN 'custom' ELSE lower(replace(c_name, '#', ' ')) END AS name_key FROM customer WHERE c_custkey % 4 > 0 OR c_custkey % 40 = 0),
+query("aligned_presence", """, n AS (SELECT c_custkey AS name_id, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 40 = 0 THEN 'customer' ELSE 'other firm ' || c_custkey END WHEN 1 THEN lower(replace(c_name, '#', ' ')) || ' works' WHEN 2 THEN 'custom' ELSE lower(replace(c_name, '#', ' ')) END AS name_key FROM customer),
 k AS (SELECT DISTINCT company_key FROM ledger), m AS (SELECT name_id, count(*) AS employers FROM n JOIN k ON company_key = name_key OR starts_with(company_key, name_key || ' ') OR starts_with(name_key, company_key || ' ') GROUP BY 1)
 SELECT name_id, coalesce(employers, 0) AS employers, employers IS NOT NULL AS present FROM n LEFT JOIN m USING (name_id)""")(
-    lambda spark, sf_dir: evidence.aligned_presence(read(spark, sf_dir, "customer").where("c_custkey % 4 > 0 OR c_custkey % 40 = 0").select(F.col("c_custkey").alias("name_id"),
-        F.expr("CASE c_custkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN concat(lower(replace(c_name, '#', ' ')), ' works') WHEN 2 THEN 'custom' ELSE lower(replace(c_name, '#', ' ')) END").alias("name_key")), facts(spark, sf_dir)))
+    lambda spark, sf_dir: evidence.aligned_presence(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name_id"),
+        F.expr("CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 40 = 0 THEN 'customer' ELSE concat('other firm ', c_custkey) END WHEN 1 THEN concat(lower(replace(c_name, '#', ' ')), ' works') WHEN 2 THEN 'custom' ELSE lower(replace(c_name, '#', ' ')) END").alias("name_key")), facts(spark, sf_dir)))
 
 # Deduplication ---------------------------------------------------------------------------------------------------------------------
 
@@ -356,6 +356,9 @@ query("upsert_suppressed", """, fresh AS (SELECT dedup_hash, min(id) AS id FROM
 query("purge_notices", "SELECT id, source_type FROM ledger WHERE NOT (source_type = 'warn' AND NOT edited)")(lambda spark, sf_dir: mutations.purge_notices(facts(spark, sf_dir)).select("id", "source_type"))
 query("plausible_dates", "SELECT id, CASE WHEN year(layoff_date) >= 2000 AND layoff_date <= DATE '2001-01-15' THEN layoff_date END AS layoff_date, CASE WHEN year(announcement_date) >= 2000 AND announcement_date <= DATE '2001-01-15' THEN announcement_date END AS announcement_date FROM ledger")(
     lambda spark, sf_dir: mutations.plausible_dates(facts(spark, sf_dir), "1998-01-15").select("id", "layoff_date", "announcement_date"))
+query("cleaned_dates", """, d AS (SELECT id, CAST(layoff_date + INTERVAL 18 YEAR AS DATE) AS layoff_date, CAST(announcement_date + INTERVAL 18 YEAR AS DATE) AS announcement_date FROM ledger)
+SELECT id, CASE WHEN year(layoff_date) >= 2015 AND layoff_date <= DATE '2016-07-15' THEN layoff_date END AS layoff_date, CASE WHEN year(announcement_date) >= 2015 AND announcement_date <= DATE '2016-07-15' THEN announcement_date END AS announcement_date FROM d""")(
+    lambda spark, sf_dir: mutations.cleaned_dates(facts(spark, sf_dir).withColumns({c: F.add_months(c, 216) for c in ("layoff_date", "announcement_date")}), "2015-01-15").select("id", "layoff_date", "announcement_date"))
 query("key_drift", "SELECT id, company_key AS was, trim(regexp_replace(company_key, ' +', ' ', 'g')) || ' x' AS now FROM ledger")(
     lambda spark, sf_dir: mutations.key_drift(facts(spark, sf_dir), lambda c: F.concat(employers.company_key(c), F.lit(" x"))))
 query("propagate_industry", """, a AS (SELECT company_key, min(industry) AS agreed FROM ledger WHERE industry <> '' AND company_key <> '' GROUP BY 1 HAVING count(DISTINCT industry) = 1)

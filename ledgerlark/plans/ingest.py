@@ -190,32 +190,7 @@ def _(spark, sf_dir):
     return validation.validated(rows, "2000-06-30").select("id", "decision", "reason", "stored_count")
 
 
-# Scans of small samples --------------------------------------------------------------------------------------------------------------------
-
-
-def texts(spark, *values: tuple[str, str]):
-    return spark.createDataFrame(list(values), "source string, value string")
-
-
-JSON_STAT = '{"id": ["unit", "geo", "time"], "size": [1, 3, 2], "dimension": {"unit": {"category": {"index": {"PC": 0}}}, "geo": {"category": {"index": {"DE": 0, "FR": 1, "IT": 2}}}, "time": {"category": {"index": {"2025-01": 0, "2025-02": 1}}}}, "value": {"0": 3.1, "1": 3.2, "3": 7.4, "4": 6.0, "9x": 1.0}}'
-query("scan_json_stat", ", t AS (SELECT * FROM (VALUES ('DE', '2025-01', 3.1::DOUBLE), ('DE', '2025-02', 3.2), ('FR', '2025-02', 7.4), ('IT', '2025-01', 6.0)) AS v(geo, period, value)) SELECT * FROM t")(
-    lambda spark, sf_dir: scans.json_stat(texts(spark, ("a", JSON_STAT), ("b", "{}"), ("c", "no json"))))
-FEED = "<rss><channel><item><title><![CDATA[Acme & Co cuts]]></title><link>https://a/1</link><pubDate>Tue, 06 Jan 2026 10:00:00 GMT</pubDate></item><item><title>R&D closes</title><link>https://a/2</link></item></channel></rss>trailing junk"
-ATOM = '<feed><entry><title>Beta &amp; sons</title><link href="https://b/1"/><updated>2026-02-03T04:05:06Z</updated></entry><entry><title>again</title><link href="https://a/1"/><updated>2026-03-01T00:00:00Z</updated></entry></feed>'
-query("scan_feeds", ", t AS (SELECT * FROM (VALUES ('https://a/1', 'x', 'Acme & Co cuts', TIMESTAMP '2026-01-06 10:00:00'), ('https://a/2', 'x', 'R&D closes', NULL), ('https://b/1', 'y', 'Beta & sons', TIMESTAMP '2026-02-03 04:05:06')) AS v(link, source, title, \"at\")) SELECT * FROM t")(
-    lambda spark, sf_dir: scans.feed_items(texts(spark, ("x", FEED), ("y", ATOM), ("z", "no feed"))))
-ARTICLES = '{"articles": [{"source": {"name": "Wire"}, "title": "Acme layoffs", "description": "many", "url": "https://w/1", "publishedAt": "2026-01-01T00:00:00Z"}, {"source": {"name": "Wire"}, "title": "Sports", "url": "https://w/2"}]}'
-query("scan_articles", ", t AS (SELECT 'Wire' AS source, 'Acme layoffs' AS title, 'many' AS description, 'https://w/1' AS url, TIMESTAMP '2026-01-01 00:00:00' AS \"at\") SELECT * FROM t")(
-    lambda spark, sf_dir: scans.api_candidates(texts(spark, ("a", ARTICLES), ("b", "[]")), r"(?i)\blayoffs?\b"))
-QWI = '[["Emp", "Sep", "time", "state"], ["10", "3.0", "2025-Q1", "01"], [null, null, "2025-Q2", "01"], ["7", null, "2025-Q1", "02"]]'
-query("scan_array_table", ", t AS (SELECT * FROM (VALUES ('2025-Q1', '01', 10::BIGINT, 3::BIGINT), ('2025-Q1', '02', 7, NULL)) AS v(time, state, \"Emp\", \"Sep\")) SELECT * FROM t")(
-    lambda spark, sf_dir: scans.array_table(texts(spark, ("a", QWI), ("b", "[]"), ("c", "?")), ("time", "state"), ("Emp", "Sep")))
-BLS = '{"status": "REQUEST_SUCCEEDED", "Results": {"series": [{"seriesID": "JTS1", "data": [{"year": "2025", "period": "M02", "value": "1,234", "footnotes": [{"code": "P"}]}, {"year": "2025", "period": "M13", "value": "9"}, {"year": "2025", "period": "M01", "value": "-"}]}]}}'
-query("scan_series", ", t AS (SELECT 'JTS1' AS series, '2025-02' AS month, 1234::DOUBLE AS value, 'P' AS flag) SELECT * FROM t")(
-    lambda spark, sf_dir: scans.series_points(texts(spark, ("a", BLS), ("b", '{"status": "REQUEST_FAILED"}'))))
-GKG = "\t".join(["1", "20260102030405", "1", "example.org", "https://e/1", "", "", "LAYOFFS;ECON_JOBS;", *[""] * 18, "<PAGE_TITLE>Acme cuts</PAGE_TITLE>"])
-query("scan_knowledge_graph", ", t AS (SELECT TIMESTAMP '2026-01-02 03:04:05' AS seen_at, 'https://e/1' AS url, 'Acme cuts' AS title, 'LAYOFFS|ECON_JOBS' AS themes) SELECT * FROM t")(
-    lambda spark, sf_dir: scans.knowledge_graph(texts(spark, ("a", GKG), ("b", "short\tline"))).withColumn("themes", F.array_join("themes", "|")))
+# Scans of tables ----------------------------------------------------------------------------------------------------------------------------
 
 
 @query("scan_notice_table", """, r AS (SELECT * FROM ledger WHERE source_type = 'warn')

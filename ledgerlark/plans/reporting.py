@@ -131,8 +131,6 @@ query("log_scale", """, c AS (SELECT country AS label, sum(job_count) AS jobs FR
 SELECT coalesce(max(top) / min(top) > 25, FALSE) AS log_scale, count(*) AS series FROM t""")(lambda spark, sf_dir: reconcile.needs_log_scale(series.compare(facts(spark, sf_dir), "country")))
 query("daily_slice", """, w AS (SELECT DISTINCT company_key AS key FROM ledger), p AS (SELECT key, row_number() OVER (ORDER BY md5(key)) - 1 AS place, count(*) OVER () AS all_ FROM w)
 SELECT key FROM p WHERE ((place - datediff('day', DATE '1970-01-01', DATE '1998-02-03') * 40) % all_ + all_) % all_ < 40""")(lambda spark, sf_dir: reconcile.daily_slice(facts(spark, sf_dir).select(F.col("company_key").alias("key")), "1998-02-03", 40))
-query("containment_groups", ", t AS (SELECT * FROM (VALUES ('ai', 'ai'), ('us', 'ai'), ('world', 'ai'), ('eu', 'eu'), ('europe', 'eu')) AS v(slice, \"group\")) SELECT * FROM t")(
-    lambda spark, sf_dir: reconcile.containment_groups(spark.createDataFrame([("us", "world"), ("ai", "world"), ("eu", "europe")], "part string, whole string")))
 
 # Audits --------------------------------------------------------------------------------------------------------------------------------------
 

@@ -56,3 +56,29 @@ def test_separations_are_read_and_summed(spark, tmp_path):
     wide.selectExpr("*", "'unused' AS other").write.parquet(f"{tmp_path}/s")
     found = reports.agency_months(scans.separations(spark, f"{tmp_path}/s"), "202601").collect()
     assert [tuple(r) for r in found] == [("202601", "Dept Of X", 8)]
+
+
+# Small samples with every odd case: what the queries over written texts don't hold.
+
+def texts(spark, *values):
+    return spark.createDataFrame(list(values), "source string, value string")
+
+
+JSON_STAT = '{"id": ["unit", "geo", "time"], "size": [1, 3, 2], "dimension": {"unit": {"category": {"index": {"PC": 0}}}, "geo": {"category": {"index": {"DE": 0, "FR": 1, "IT": 2}}}, "time": {"category": {"index": {"2025-01": 0, "2025-02": 1}}}}, "value": {"0": 3.1, "1": 3.2, "3": 7.4, "4": 6.0, "9x": 1.0}}'
+FEED = "<rss><channel><item><title><![CDATA[Acme & Co cuts]]></title><link>https://a/1</link><pubDate>Tue, 06 Jan 2026 10:00:00 GMT</pubDate></item><item><title>R&D closes</title><link>https://a/2</link></item></channel></rss>trailing junk"
+ATOM = '<feed><entry><title>Beta &amp; sons</title><link href="https://b/1"/><updated>2026-02-03T04:05:06Z</updated></entry><entry><title>again</title><link href="https://a/1"/><updated>2026-03-01T00:00:00Z</updated></entry></feed>'
+ARTICLES = '{"articles": [{"source": {"name": "Wire"}, "title": "Acme layoffs", "description": "many", "url": "https://w/1", "publishedAt": "2026-01-01T00:00:00Z"}, {"source": {"name": "Wire"}, "title": "Sports", "url": "https://w/2"}]}'
+QWI = '[["Emp", "Sep", "time", "state"], ["10", "3.0", "2025-Q1", "01"], [null, null, "2025-Q2", "01"], ["7", null, "2025-Q1", "02"]]'
+BLS = '{"status": "REQUEST_SUCCEEDED", "Results": {"series": [{"seriesID": "JTS1", "data": [{"year": "2025", "period": "M02", "value": "1,234", "footnotes": [{"code": "P"}]}, {"year": "2025", "period": "M13", "value": "9"}, {"year": "2025", "period": "M01", "value": "-"}]}]}}'
+GKG = "\t".join(["1", "20260102030405", "1", "example.org", "https://e/1", "", "", "LAYOFFS;ECON_JOBS;", *[""] * 18, "<PAGE_TITLE>Acme cuts</PAGE_TITLE>"])
+
+
+def test_samples(spark):
+    at = dt.datetime
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(scans.json_stat(texts(spark, ("a", JSON_STAT), ("b", "{}"), ("c", "no json")))) == [("DE", "2025-01", 3.1), ("DE", "2025-02", 3.2), ("FR", "2025-02", 7.4), ("IT", "2025-01", 6.0)]
+    assert rows(scans.feed_items(texts(spark, ("x", FEED), ("y", ATOM), ("z", "no feed")))) == [("https://a/1", "x", "Acme & Co cuts", at(2026, 1, 6, 10)), ("https://a/2", "x", "R&D closes", None), ("https://b/1", "y", "Beta & sons", at(2026, 2, 3, 4, 5, 6))]
+    assert rows(scans.api_candidates(texts(spark, ("a", ARTICLES), ("b", "[]")), r"(?i)\blayoffs?\b")) == [("Wire", "Acme layoffs", "many", "https://w/1", at(2026, 1, 1))]
+    assert rows(scans.array_table(texts(spark, ("a", QWI), ("b", "[]"), ("c", "?")), ("time", "state"), ("Emp", "Sep"))) == [("2025-Q1", "01", 10, 3), ("2025-Q1", "02", 7, None)]
+    assert rows(scans.series_points(texts(spark, ("a", BLS), ("b", '{"status": "REQUEST_FAILED"}')))) == [("JTS1", "2025-02", 1234.0, "P")]
+    assert rows(scans.knowledge_graph(texts(spark, ("a", GKG), ("b", "short\tline")))) == [(at(2026, 1, 2, 3, 4, 5), "https://e/1", "Acme cuts", ["LAYOFFS", "ECON_JOBS"])]

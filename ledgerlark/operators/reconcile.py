@@ -33,20 +33,56 @@ def near_days(left: DataFrame, left_day: str, right: DataFrame, right_day: str,
     return a.join(b, [*keys, "_at"]).where(gap.between(-days if before else 0, days)).drop("_at")
 
 
+#: Places that fit any country.
+WILD = ("", "Multiple countries")
+
+
+def _nearest(points: DataFrame, asked: DataFrame, ratio: float, k: int) -> DataFrame:
+    """For every (list, n) of ``asked`` the ``k`` ids of ``points (list, n, id)`` whose counts have the best ratio to n, of those within ``ratio``.
+
+    Only the ``k`` least ids of a count can be among them, so equal counts are reduced before anything is shuffled by list. Counts
+    are put into logarithmic buckets as wide as the ratio and copied over the borders, so a bucket holds some counts of three
+    buckets, never more than whole numbers lie in them, however many rows there are. Inside a bucket counts are numbered in order and each
+    question looks up the ``k`` before and behind it by number: no pair is made that isn't a neighbour.
+    """
+    size = F.floor(F.log("n") / -F.log(F.lit(ratio)))
+    nth = F.row_number().over(Window.partitionBy("list", "n").orderBy("id"))
+    counts = points.withColumn("_nth", nth).where(F.col("_nth") <= k).groupBy("list", "n").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    copied = counts.withColumn("bucket", F.explode(F.array(size - 1, size, size + 1)))
+    numbered = copied.withColumn("at", F.row_number().over(Window.partitionBy("list", "bucket").orderBy("n")))
+    asked = asked.distinct().withColumn("bucket", size)
+    both = numbered.select("list", "bucket", "n", F.lit(1).alias("held")).unionByName(asked.select("list", "bucket", "n", F.lit(0).alias("held")))
+    before = F.sum("held").over(Window.partitionBy("list", "bucket").orderBy("n").rangeBetween(Window.unboundedPreceding, 0))
+    places = both.withColumn("upto", before).where("held = 0").select("list", "bucket", "n", F.explode(F.sequence(F.col("upto") - k, F.col("upto") + k)).alias("at"))
+    share = F.least("n", "count") / F.greatest("n", "count")
+    found = places.join(numbered.select("list", "bucket", "at", F.col("n").alias("count"), "ids"), ["list", "bucket", "at"]).withColumn("share", share).where(F.col("share") >= ratio)
+    each = found.groupBy("list", "n").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("share")).alias("apart"), i.alias("id"))))).alias("all"))
+    return each.select("list", "n", F.slice(F.array_sort("all"), 1, k).alias("near"))
+
+
 def dateless_neighbours(facts: DataFrame, ratio: float = 0.98, limit: int = 5, least: int = 1000) -> DataFrame:
     """For undated rows, up to so many rows that they may repeat: nearly equal counts in a country that fits, the same country first, then the closest count.
 
-    Counts are put into logarithmic buckets as wide as the ratio, so a row only meets its own and the neighbouring buckets.
+    A row asks two lists of counts: its own country's, and either all rows (where its own place fits any country) or the rows whose place
+    does. Both give their best; twice the limit is enough to put them together.
     """
-    rows = facts.where(F.col("job_count") >= least).select("id", "job_count", "country", "layoff_date")
-    size = F.floor(F.log("job_count") / -F.log(F.lit(ratio)))
-    a = rows.where("layoff_date IS NULL").select(F.col("id").alias("undated_id"), F.col("job_count").alias("n"), F.col("country").alias("place"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
-    b = rows.select("id", "job_count", "country", size.alias("size"))
-    share = F.least("n", "job_count") / F.greatest("n", "job_count")
-    fits = (F.col("place") == F.col("country")) | F.col("place").isin("", "Multiple countries") | F.col("country").isin("", "Multiple countries")
-    pairs = a.join(b, "size").where((F.col("undated_id") != F.col("id")) & fits & (share >= ratio))
-    nth = F.row_number().over(Window.partitionBy("undated_id").orderBy(F.when(F.col("place") == F.col("country"), 0).otherwise(1), F.desc(share), "id"))
-    return pairs.withColumn("rank", nth).where(F.col("rank") <= limit).select("undated_id", "id", "rank")
+    rows = facts.where(F.col("job_count") >= least).select("id", F.col("job_count").alias("n"), "country", F.col("layoff_date").isNull().alias("undated"))
+    wild = F.col("country").isin(*WILD)
+    one = lambda kind, value=F.lit(""): F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    own, second = one("country", F.col("country")), F.when(wild, one("all")).otherwise(one("wild"))
+    lists = F.array_compact(F.array(own, one("all"), F.when(wild, one("wild"))))
+    points = rows.select(F.explode(lists).alias("list"), "n", "id")
+    undated = rows.where("undated").select("id", "n", own.alias("own"), second.alias("second"))
+    asked = undated.select(F.explode(F.array("own", "second")).alias("list"), "n")
+    near = _nearest(points, asked, ratio, 2 * limit + 2)
+    answers = lambda name: near.select(F.col("list").alias(name), "n", F.col("near").alias(f"near_{name}"))
+    found = undated.join(answers("own"), ["own", "n"], "left").join(answers("second"), ["second", "n"], "left")
+    empty = F.array().cast("array<struct<apart: double, id: bigint>>")
+    here, there = F.coalesce("near_own", empty), F.coalesce("near_second", empty)
+    ranked = lambda x, far: F.transform(x, lambda e: F.struct(F.lit(far).alias("far"), e["apart"].alias("apart"), e["id"].alias("id")))
+    others = F.filter(there, lambda e: ~F.exists(here, lambda h: h["id"] == e["id"]))
+    best = F.slice(F.array_sort(F.filter(F.concat(ranked(here, 0), ranked(others, 1)), lambda e: e["id"] != F.col("id"))), 1, limit)
+    return found.select(F.col("id").alias("undated_id"), F.posexplode(best).alias("at", "x")).select("undated_id", F.col("x.id").alias("id"), (F.col("at") + 1).alias("rank"))
 
 
 # Scripts without Latin letters (Greek, Cyrillic, Hebrew, Arabic, Thai, kana, Chinese characters, Hangul).

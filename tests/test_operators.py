@@ -235,3 +235,18 @@ def test_cross_script_names_meet_on_the_same_day_only(spark):
 def test_agency_months_refuse_incomplete_files(spark):
     with pytest.raises(ValueError, match="count"):
         reports.agency_months(spark.createDataFrame([("199601", "A", "SH")], "yyyymm string, agency string, category string"), "199601")
+
+
+def test_dateless_neighbours_equal_a_plain_search(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1000, 1003, 1010, 1500, 1501, 1502, 4000, rng.randrange(1000, 1100), 900]), rng.choice(["A", "A", "B", "", "Multiple countries"]), None if rng.random() < 0.3 else dt.date(2024, 1, 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, job_count long, country string, layoff_date date").repartition(5)
+    wild, expected = ("", "Multiple countries"), set()
+    for i, n, place, day in rows:
+        if day is None and n >= 1000:
+            fits = [(place != c, -min(n, m) / max(n, m), j) for j, m, c, _ in rows if j != i and m >= 1000 and (place == c or place in wild or c in wild) and min(n, m) / max(n, m) >= 0.98]
+            expected |= {(i, j, k + 1) for k, (_, _, j) in enumerate(sorted(fits)[:5])}
+    assert {tuple(r) for r in reconcile.dateless_neighbours(df).collect()} == expected and len(expected) > 300

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reconcile
+from ..operators import reconcile, similar
 from ..sources import scans
 from ..sources.ledger import read
 from .catalogue import facts, query
@@ -91,3 +91,22 @@ def _(spark, sf_dir):
     for table, c in (("supplier", "s"), ("customer", "c")):
         pairs = pairs.unionByName(read(spark, sf_dir, table).join(nation, F.col(f"{c}_nationkey") == F.col("n_nationkey")).select(F.col(f"{c}_name").alias("part"), F.col("n_name").alias("whole")))
     return reconcile.containment_groups(pairs)
+
+
+_NAME = "translate(substr(md5({0}), 1, 9), '0123456789', 'ghijklmnop') {2} ' ' {2} translate(substr(md5({0}), 12, 1{1}), '0123456789', 'qrstuvwxyz')"
+
+
+@query("typo_pairs", f""", n AS (SELECT c_custkey AS id, {_NAME.format("c_name", 0, "||")} AS key FROM customer UNION ALL SELECT 1000000 + s_suppkey, {_NAME.format("s_name", 4, "||")} FROM supplier),
+p AS (SELECT id, key FROM n UNION ALL SELECT id + 5000000, substr(key, 1, CAST(id % 8 AS INTEGER)) || substr(key, CAST(id % 8 AS INTEGER) + 2) FROM n WHERE id % 5 = 0 UNION ALL SELECT id + 7000000, substr(key, 1, 12) || 'zz' || substr(key, 13) FROM n WHERE id % 7 = 0)
+SELECT CAST(least_a AS BIGINT) AS a_id, CAST(least_b AS BIGINT) AS b_id, a, b FROM (SELECT key AS a, min(id) AS least_a, length(key) AS na FROM p GROUP BY 1) JOIN (SELECT key AS b, min(id) AS least_b, length(key) AS nb FROM p GROUP BY 1)
+  ON a < b AND abs(na - nb) <= 3 AND levenshtein(a, b) <= 3""")
+def _(spark, sf_dir):
+    """Names of customers and suppliers as letters of a digest; a fifth come again with a letter dropped, a seventh with two put in."""
+    def named(table, key, name, more, shift):
+        label = F.expr(f"concat(translate(substr(md5({name}), 1, 9), '0123456789', 'ghijklmnop'), ' ', translate(substr(md5({name}), 12, 1{more}), '0123456789', 'qrstuvwxyz'))")
+        return read(spark, sf_dir, table).select((F.col(key) + shift).alias("id"), label.alias("key"))
+
+    names = named("customer", "c_custkey", "c_name", 0, 0).unionByName(named("supplier", "s_suppkey", "s_name", 4, 1000000))
+    dropped = names.where("id % 5 = 0").select((F.col("id") + 5000000).alias("id"), F.expr("concat(substr(key, 1, cast(id % 8 AS int)), substr(key, cast(id % 8 AS int) + 2))").alias("key"))
+    doubled = names.where("id % 7 = 0").select((F.col("id") + 7000000).alias("id"), F.expr("concat(substr(key, 1, 12), 'zz', substr(key, 13))").alias("key"))
+    return similar.typo_pairs(names.unionByName(dropped).unionByName(doubled))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import employers, text
 from ledgerlark.functions.stats import dark_verdict, vote, wilson
-from ledgerlark.operators import aggregates, dedup, evidence, mutations, reconcile, reports
+from ledgerlark.operators import aggregates, dedup, evidence, mutations, reconcile, reports, similar
 from ledgerlark.operators.components import connected_components
 from ledgerlark.operators.filters import FilterSpec, compile_filters
 from ledgerlark.plans.catalogue import facts
@@ -250,3 +250,24 @@ def test_dateless_neighbours_equal_a_plain_search(spark):
             fits = [(place != c, -min(n, m) / max(n, m), j) for j, m, c, _ in rows if j != i and m >= 1000 and (place == c or place in wild or c in wild) and min(n, m) / max(n, m) >= 0.98]
             expected |= {(i, j, k + 1) for k, (_, _, j) in enumerate(sorted(fits)[:5])}
     assert {tuple(r) for r in reconcile.dateless_neighbours(df).collect()} == expected and len(expected) > 300
+
+
+def test_typo_pairs_equal_a_comparison_of_all_names(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng, keys = random.Random(6), set()
+    while len(keys) < 260:
+        word = "".join(rng.choice("abcde ") for _ in range(rng.randrange(6, 34))).strip()
+        keys.add(word)
+        for _ in range(2):
+            at = rng.randrange(len(word) + 1)
+            keys.add(rng.choice([word[:at] + word[at + 1 :], word[:at] + rng.choice("abcde") + word[at:], word[:at] + "x" + word[at + 1 :], word[:at] + word[at:][::-1]]))
+    keys |= {"", "short", "東京電力株式会社", "東京電力株式会杜"}
+    df = spark.createDataFrame(list(enumerate(sorted(keys))), "id long, key string")
+    latin = [k for k in sorted(keys) if len(k) >= 6 and k.isascii()]
+    expected = {(a, b) for i, a in enumerate(latin) for b in latin[i + 1 :] if a.count(" ") == b.count(" ") and SequenceMatcher(None, a, b).ratio() >= 0.9}
+    found = {(r.a, r.b) for r in similar.typo_pairs(df).collect()}
+    assert found == expected and len(expected) > 150
+    candidates = similar.typo_candidates(df).count()
+    assert candidates < len(latin) ** 2 / 4

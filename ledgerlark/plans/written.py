@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..operators import reconcile, similar
 from ..sources import scans
 from ..sources.ledger import read
 from .catalogue import facts, query
+from .planted import pick, picked
 
 FIRST_YEAR, YEARS = 1990, 20
 
@@ -110,3 +112,19 @@ def _(spark, sf_dir):
     dropped = names.where("id % 5 = 0").select((F.col("id") + 5000000).alias("id"), F.expr("concat(substr(key, 1, cast(id % 8 AS int)), substr(key, cast(id % 8 AS int) + 2))").alias("key"))
     doubled = names.where("id % 7 = 0").select((F.col("id") + 7000000).alias("id"), F.expr("concat(substr(key, 1, 12), 'zz', substr(key, 13))").alias("key"))
     return similar.typo_pairs(names.unionByName(dropped).unionByName(doubled))
+
+
+_WORDS = list(spans.VOCABULARY)
+_LANGUAGES, _TIERS = [spans.VOCABULARY[w][0] for w in _WORDS], [spans.VOCABULARY[w][1] for w in _WORDS]
+
+
+@query("reduction_spans", f""", w AS (SELECT doc_id, least(10, length(coalesce(text, ''))) AS k, {pick(_WORDS, "doc_id")} AS word, {pick(_LANGUAGES, "doc_id")} AS language, {pick(_TIERS, "doc_id")} AS tier FROM documents)
+SELECT doc_id, CAST(k + 1 AS BIGINT) AS start, CAST(k + 1 + length(word) + CASE doc_id % 4 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS "end", language, tier, word FROM w WHERE doc_id % 4 < 3 AND (length(word) >= 3 OR doc_id % 4 <> 1)""")
+def _(spark, sf_dir):
+    """All documents, with a word put into three of four: whole, broken by a line break and a space, or whole beside half-width forms."""
+    word = picked(_WORDS, "doc_id")
+    shown = F.when(F.col("doc_id") % 4 == 1, F.concat(F.substring(word, 1, 1), F.lit("\n\u3000"), F.expr("substr(w, 2)"))).when(F.col("doc_id") % 4 == 3, "\uff76\uff85").otherwise(F.concat(word, F.when(F.col("doc_id") % 4 == 2, " \uff76\uff85").otherwise("")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", word)
+    texts = docs.select("doc_id", F.concat(F.substring("text", 1, 10), F.lit(" "), shown, F.lit(" "), F.expr("substr(text, 11)")).alias("text"))
+    found = texts.select("doc_id", F.explode(spans.reduction_spans(F.col("text"))).alias("s"))
+    return found.select("doc_id", "s.start", "s.end", "s.language", "s.tier", "s.word")

@@ -49,3 +49,23 @@ def test_guards(judged, table, column):
 
 def test_verdicts(judged):
     assert {t: tuple(judged[t].verdict) for t in VERDICTS} == VERDICTS
+
+
+SPANNED = {
+    "会社は人員削減を行う": [("人員削減", "人員削減")], "人 員\n削　減と早期退職": [("人 員\n削　減", "人員削減"), ("早期退職", "早期退職")], "ﾘｽﾄﾗの発表": [("ﾘｽﾄﾗ", "リストラ")], "정리 해고": [("정리 해고", "정리해고")],
+    "\u1100\u1161\u11b7\u110b\u116f\u11ab 발표": [("\u1100\u1161\u11b7\u110b\u116f\u11ab", "감원")], "대감원": [], "감 원": [], "감원, 감원": [("감원", "감원"), ("감원", "감원")], "절감 원가": [], "plain text": [], "": [], None: [],
+    "x" * 5000 + "구조조정": [("구조조정", "구조조정")],
+}
+
+
+def test_every_span_cuts_out_its_word(spark):
+    import unicodedata
+
+    from ledgerlark.functions import spans
+
+    df = spark.createDataFrame([(t,) for t in SPANNED], "text string")
+    found = {r.text: r.s for r in df.select("text", spans.reduction_spans(F.col("text")).alias("s")).collect()}
+    for text, expected in SPANNED.items():
+        assert [(text[s.start : s.end], s.word) for s in found[text]] == expected
+        for s in found[text]:
+            assert "".join(unicodedata.normalize("NFKC", text[s.start : s.end]).split()) == s.word and (s.language, s.tier) == spans.VOCABULARY[s.word]

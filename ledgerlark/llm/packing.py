@@ -15,6 +15,7 @@ come; null ids are passed through; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -38,6 +39,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 # Fixed value: the splitting pattern of the vocabulary file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: The same over lower-cased ASCII, where the plain engine is quicker.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+").findall
 #: Where a code point is tried: among letters, digits, spaces and marks, before and behind marks that reorder, around a contraction.
 AROUND = "{} a{}b1{}2 {}!{}'s a{}\u0334 a\u0345{} a{}\u0301 '{}"
 UNKNOWN, PLAIN, ODD = range(3)
@@ -131,9 +134,11 @@ class WordIds(dict):
 
         if any(s in text for s in self.special) or self.points.any_odd(text):
             return np.array([*self.library.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return np.frombuffer(b"".join([*map(self.__getitem__, self.points.words(text.lower())), END_ID.to_bytes(4, "little")]), "<u4")
+        if text.isascii():
+            words = ASCII_WORDS(text.lower())
+        else:
+            words = self.points.words((text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower())
+        return np.frombuffer(b"".join([*map(self.__getitem__, words), END_ID.to_bytes(4, "little")]), "<u4")
 
 
 class Packer:

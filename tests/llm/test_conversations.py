@@ -227,15 +227,3 @@ def test_op13_odd_rows(spark, odd):
 def test_op13_empty(spark, tmp_path):
     spark.createDataFrame([], ROWS).write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.conv_id for r in chat_format.op13_chat_format(spark, str(tmp_path)).collect()] == [-7]
-
-
-@pytest.mark.parametrize("name", ["op12_repair", "op13_chat_format"])
-def test_same_rows_as_sql(spark, name):
-    import duckdb
-
-    from ledgerlark.llm import queries
-
-    con = duckdb.connect()
-    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
-    df = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
-    assert sorted(map(tuple, df.collect()), key=str) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES[name]})").fetchall(), key=str)

@@ -13,11 +13,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlark.llm import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, queries, sharding, suffix_dedup, token_counts, toxicity
+from ledgerlark.llm import decontamination, exact_dedup, html_extract, lm_scoring, near_dedup, packing, queries, resampling, sharding, suffix_dedup, token_counts, toxicity
 from ledgerlark.llm.common import WordHashes
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+TURNS = "conv_id long, turn long, role string, text string"
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "x"), (4, "x"), (4, "y"), (None, "a b c d e f g"), (None, None), (7, "héllo wörld 你好 🎉 " * 30), (8, "word " * 60_000), (9, "<|endoftext|> don't 'S")]
 
 
@@ -35,13 +36,14 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame([(1, "x"), (2, None), (3, ""), (None, "a b c d e f g"), (3, "word word word word word word word")], "item_id long, text string").write.parquet(f"{home}/benchmark.parquet")
     pages = [(1, "u", None), (2, None, ""), (None, "u", "<p>a &amp; b"), (3, "u", "<div>" * 3000 + "deep"), (3, "u", "< > <b <!-- <p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{home}/pages.parquet")
+    spark.createDataFrame([(1, 0, "user", "x"), (1, 0, "user", "x"), (None, None, None, None)], TURNS).write.parquet(f"{home}/conversations.parquet")
     return home
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, tmp_path_factory):
     home = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("conversations", TURNS)):
         spark.createDataFrame([], schema).write.parquet(f"{home}/{name}.parquet")
     return home
 
@@ -53,13 +55,17 @@ def test_odd_rows(spark, odd_dir, name):
         assert {(r.doc_id, r.item_id) for r in found} >= {(4, 1), (None, None), (8, 3)}
     elif name == "op4_html_extract":
         assert len(found) == 5
+    elif name in ("op12_repair", "op13_chat_format"):
+        # By value in test_conversations.py; here one with an id, one without, and the one that formatting adds.
+        assert len(found) == (2 if name == "op12_repair" else 3)
     elif name != "op9_pack":
         assert len(found) == len(ODD)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, empty_dir, name):
-    assert queries.QUERIES[name](spark, empty_dir).count() == 0
+    # Formatting adds a conversation of its own.
+    assert queries.QUERIES[name](spark, empty_dir).count() == (name == "op13_chat_format")
 
 
 def table(spark, name, sf=SF):
@@ -288,7 +294,8 @@ def test_op5_differencing_of_a_tree_of_buckets(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     expected = con.sql(queries.ORACLES[name])
     columns = sorted(expected.columns)
     rows = queries.QUERIES[name](spark, SF).select(columns).collect()
@@ -613,3 +620,53 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd_dir, empty_dir, which):
     found = {r.doc_id for r in corpus_pipeline.run(spark, odd_dir if which == "odd" else empty_dir).collect()}
     assert found <= ({1, 3, 4, 7, 9} if which == "odd" else set())
     assert which == "empty" or found >= {3, 9} - {None}
+
+
+def drawn_by_hand(rows, items, percent=10, least_words=20):
+    """doc_id, n_features, weight, score and rank of each row, in plain loops."""
+    words = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    buckets = lambda texts: collections.Counter(zlib.crc32(w.encode()) % 10000 for t in texts for w in words(t))
+    s, t = buckets(r[1] for r in rows), buckets(items)
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (s_all + 10000) / ((s[b] + 1) * (t_all + 10000)))) for s_all, t_all in [(s.total(), t.total())] for b in s}
+    out = []
+    for i, text in rows:
+        own = words(text)
+        weight = sum(gain[zlib.crc32(w.encode()) % 10000] for w in own) // len(own) if own else 0
+        h = int(sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    can = sorted((r for r in out if r[1] >= least_words), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, row in enumerate(can[: len(can) * percent // 100]):
+        row[4] = rank + 1
+    return sorted(map(tuple, out), key=repr)
+
+
+def test_op11_equals_plain_loops(spark, odd_dir, tmp_path):
+    rows = lambda home: [(r.doc_id, r.text) for r in table(spark, "documents", home).collect()]
+    for home in (odd_dir, SMALL):
+        items = [r.text for r in table(spark, "benchmark", home).collect()]
+        assert sorted(map(tuple, resampling.op11_resample(spark, home).collect()), key=repr) == drawn_by_hand(rows(home), items)
+
+
+def test_op11_ties_and_repeated_rows(spark, monkeypatch):
+    """Rows repeated with id and text have ranks of their own; of one score the smaller id is first, and frequent words are looked up as the others are."""
+    rng = np.random.default_rng(2)
+    rows = [(i % 40 if i % 3 else None, " ".join(f"w{x}" for x in rng.zipf(1.3, 30) % 500) + f" {'Long' * 30}") for i in range(200)]
+    rows += [rows[7]] * 60 + [(i, rows[11][1]) for i in range(1000, 1030)]
+    items = [(1, " ".join(f"w{x}" for x in range(30)))]
+    docs, target = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted((r[0] or -1, r[3], r[4] or 0) for r in drawn_by_hand(rows, [t for _, t in items], 30))
+    for frequent in (1, 100_000):
+        monkeypatch.setattr(resampling, "FREQUENT", frequent)
+        found = resampling.resample(docs, target, percent=30).collect()
+        ranks = sorted(r["rank"] for r in found if r["rank"])
+        assert ranks == list(range(1, len(rows) * 30 // 100 + 1))
+        assert sorted((r["_id"] or -1, r["score"]) for r in found) == [e[:2] for e in expected]
+        # Null ids of one score stand in any order, so ranks are compared by score.
+        assert sorted((r["rank"], r["score"]) for r in found if r["rank"]) == sorted((e[2], e[1]) for e in expected if e[2])
+    kept = resampling.keep_drawn(docs, target, percent=30)
+    assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+
+
+def test_op11_longer_features(spark):
+    found = resampling.weights(documents(spark, [(1, "A b a B a"), (2, "b"), (3, None)]), spark.createDataFrame([(1, "a b")], "item_id long, text string"), longest=2).collect()
+    assert {r["_id"]: (r["words"], r["features"], r["copies"]) for r in found} == {1: (5, 9, 1), 2: (1, 1, 1), 3: (0, 0, 1)}

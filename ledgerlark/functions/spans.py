@@ -6,6 +6,7 @@ hide it. Every letter of the shadow knows the letters of the text that it stands
 
 from __future__ import annotations
 
+import re
 from typing import Iterator
 
 import pandas as pd
@@ -20,6 +21,8 @@ CONTEXT_KO = ("구조조정", "사업철수", "공장폐쇄", "퇴직위로금",
 #: Words of fewer letters must stand unbroken, and not inside a longer Hangul word.
 LEAST_BROKEN = 3
 VOCABULARY = {word: (language, tier) for language, tier, words in (("ja", "strong", STRONG_JA), ("ja", "context", CONTEXT_JA), ("ko", "strong", STRONG_KO), ("ko", "context", CONTEXT_KO)) for word in words}
+#: Blocks of Hangul, kana and Chinese characters, wide and half-width.
+EASTERN = "\u1100-\u11ff\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3040-\u30ff\u3130-\u318f\u31f0-\u31ff\u3200-\u33ff\u3400-\u4dbf\u4e00-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff\uff66-\uffdc\U00020000-\U0003ffff"
 SPANS = "array<struct<start: int, end: int, language: string, tier: string, word: string>>"
 
 
@@ -34,8 +37,9 @@ def _finder():
     for word in VOCABULARY:
         words.add_word(word, word)
     words.make_automaton()
-    eastern = regex.compile(r"[\p{Hangul}\p{Han}\p{Hiragana}\p{Katakana}]")
-    cluster, hangul = regex.compile(r"\X"), regex.compile(r"[가-힣]")
+    # A word lies inside one run of Eastern letters, white space and marks; only these runs are folded.
+    runs = re.compile(rf"[{EASTERN}][{EASTERN}\s\u0300-\u036f\uff9e\uff9f]*")
+    cluster, hangul = regex.compile(r"\X"), re.compile(r"[가-힣]")
 
     def shadow(text: str) -> tuple[str, list[int], list[int]]:
         """The folded text without white space, and for each of its letters where what it stands for begins and ends in the text."""
@@ -48,9 +52,7 @@ def _finder():
                     ends.append(found.end())
         return "".join(letters), begins, ends
 
-    def find(text: str) -> list[dict]:
-        if not eastern.search(text):
-            return []
+    def search(text: str) -> list[dict]:
         folded, begins, ends = shadow(text)
         out = []
         for last, word in words.iter(folded):
@@ -63,7 +65,13 @@ def _finder():
                 if not joined or before or behind:
                     continue
             out.append({"start": start, "end": end, "language": VOCABULARY[word][0], "tier": VOCABULARY[word][1], "word": word})
-        return sorted(out, key=lambda s: (s["start"], s["word"]))
+        return out
+
+    def find(text: str) -> list[dict]:
+        if text.isascii():
+            return []
+        found = [s | {"start": s["start"] + run.start(), "end": s["end"] + run.start()} for run in runs.finditer(text) for s in search(run[0])]
+        return sorted(found, key=lambda s: (s["start"], s["word"]))
 
     return find
 

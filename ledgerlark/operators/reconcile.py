@@ -173,11 +173,11 @@ def interface_rows(facts: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def membership_flags(facts: DataFrame, home: str) -> DataFrame:
-    """Whether a row belongs to a country's headline by the job's place, by the employer's home, or only to their union."""
+    """Whether a row belongs to a country's headline by the job's place, by the employer's home, or to their union by one of the two alone."""
     once = F.col("superset_of") == 0
-    place, own = once & (F.col("country") == home), once & F.when(F.col("employer_country") != "", F.col("employer_country") == home).otherwise(F.col("country") == home)
-    union = once & ((F.col("country") == home) | (F.col("employer_country") == home))
-    return facts.select("id", place.alias("by_place"), own.alias("by_home"), (union & ~place & ~own).alias("union_only"))
+    here, domestic = F.col("country") == home, F.col("employer_country") == home
+    own = F.when(F.col("employer_country") != "", domestic).otherwise(here)
+    return facts.select("id", (once & here).alias("by_place"), (once & own).alias("by_home"), (once & (here != domestic)).alias("union_only"))
 
 
 def follow_matches(facts: DataFrame, follows: DataFrame, first: str, last: str, limit: int = 10) -> DataFrame:

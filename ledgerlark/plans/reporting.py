@@ -193,7 +193,7 @@ SELECT CASE WHEN jobs IS NULL THEN 'UNKNOWN' WHEN jobs >= 500 THEN 'L' WHEN jobs
 
 query("interface_rows", f"""SELECT id, company, CASE WHEN state <> '' THEN state || ', ' ELSE '' END || country AS location, {TIER} AS tier, array_to_string(reason_tags, '|') AS reasons, array_to_string(list_filter(role_categories, lambda x: x <> 'unknown'), '|') AS roles,
   CASE WHEN source_url <> '' AND status = 'archived' THEN '/archive/' || url_hash ELSE '' END AS archived_at FROM ledger LEFT JOIN archived ON md5(trim(source_url)) = url_hash""")(lambda spark, sf_dir: reconcile.interface_rows(facts(spark, sf_dir), tables.archive(spark, sf_dir)))
-query("membership_flags", """SELECT id, superset_of = 0 AND country = 'NATION_5' AS by_place, superset_of = 0 AND CASE WHEN employer_country <> '' THEN employer_country ELSE country END = 'NATION_5' AS by_home, FALSE AS union_only FROM ledger""")(
+query("membership_flags", """SELECT id, superset_of = 0 AND country = 'NATION_5' AS by_place, superset_of = 0 AND CASE WHEN employer_country <> '' THEN employer_country ELSE country END = 'NATION_5' AS by_home, superset_of = 0 AND (country = 'NATION_5') <> (employer_country = 'NATION_5') AS union_only FROM ledger""")(
     lambda spark, sf_dir: reconcile.membership_flags(facts(spark, sf_dir), HOME))
 query("follow_matches", """, w AS (SELECT *, coalesce(announcement_date, layoff_date) AS d FROM ledger WHERE superset_of = 0), r AS (SELECT * FROM w WHERE CAST(updated_at AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' OR d BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'),
 f AS (SELECT DISTINCT 's' || state AS follow_id, 'state' AS kind, state AS value FROM ledger WHERE state <> '' UNION ALL SELECT DISTINCT 'c' || company_key, 'company', company_key FROM ledger)

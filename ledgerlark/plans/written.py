@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import spans
@@ -9,6 +11,7 @@ from ..operators import reconcile, similar
 from ..sources import scans
 from ..sources.ledger import read
 from .catalogue import facts, query
+from .lineage import shared_dir
 from .planted import pick, picked
 
 FIRST_YEAR, YEARS = 1990, 20
@@ -128,3 +131,28 @@ def _(spark, sf_dir):
     texts = docs.select("doc_id", F.concat(F.substring("text", 1, 10), F.lit(" "), shown, F.lit(" "), F.expr("substr(text, 11)")).alias("text"))
     found = texts.select("doc_id", F.explode(spans.reduction_spans(F.col("text"))).alias("s"))
     return found.select("doc_id", "s.start", "s.end", "s.language", "s.tier", "s.word")
+
+
+#: Six layouts of notice tables: state, and columns by header.
+LAYOUTS = {
+    "IL": {"Location Name": "company", "WARN Notice": "'True'", "Expected Layoff": "format_number(job_count, 0)", "Revised Layoff": "CASE WHEN id % 5 = 0 THEN string(job_count + 1) ELSE '' END", "Company Address": "'12 Main St'",
+           "Effective Date": "CASE WHEN id % 2 = 0 THEN date_format(held, 'M/d/yyyy') END", "Notice Date": "told", "Total Employees": "'99'"},
+    "CA": {"County": "'Kern'", "Company": "company", "Employees Affected": "job_count", "Received Date": "told", "Effective Date": "held"},
+    "TX": {"NOTICE_DATE": "told", "JOB_SITE_NAME": "company", "COUNTY_NAME": "'Bexar'", "TOTAL_LAYOFF_NUMBER": "job_count", "LayOff_Date": "held"},
+    "NY": {"Date of Notice": "told", "Business Name": "concat(company, '\\n')", "Number of Workers": "concat(job_count, ' (about)')", "Reason": "'closure, 77 sites'"},
+    "MD": {"notice_date": "told", "naics": "'1234'", "company": "company", "address": "'9 \"Elm\", Rd'", "county": "''", "affected": "job_count", "effective_date": "held", "layoff_type": "'Closure'"},
+    "WA": {"# of Workers": "job_count", "Layoff Start Date": "held", "Employer": "company", "Received Date": "told", "Phone": "'555 1234'"},
+}
+_DAY = """CASE id % 6 WHEN 0 THEN CASE WHEN id % 2 = 0 AND held IS NOT NULL THEN held ELSE told END WHEN 1 THEN coalesce(held, told) WHEN 2 THEN coalesce(told, held) WHEN 3 THEN told WHEN 4 THEN coalesce(held, told) ELSE coalesce(told, held) END"""
+
+
+@query("scan_notice_folder", f""", n AS (SELECT id, company, job_count, layoff_date + 11000 AS held, announcement_date + 11000 AS told FROM ledger WHERE source_type = 'warn')
+SELECT {pick(list(LAYOUTS), "id")} AS state, company, CAST(CASE WHEN id % 30 = 0 THEN job_count + 1 ELSE job_count END AS BIGINT) AS job_count, {_DAY} AS day FROM n WHERE job_count > 0""")
+def _(spark, sf_dir):
+    """Some fifty files in six layouts, one of them without a header, written from the official notices and read in one scan."""
+    home = f"{shared_dir(spark)}/notices-{uuid.uuid4().hex}"
+    rows = facts(spark, sf_dir).where("source_type = 'warn'").withColumns({"held": F.date_add("layoff_date", 11000), "told": F.date_add("announcement_date", 11000)})
+    for k, (state, columns) in enumerate(LAYOUTS.items()):
+        own = rows.where(f"id % 6 = {k}").repartition(9, "id").select(*[F.expr(e).cast("string").alias(c) for c, e in columns.items()])
+        own.write.option("header", state != "MD").option("escape", '"').csv(f"{home}/{state}-tables")
+    return scans.notice_folder(spark, [f"{home}/{state}-tables" for state in LAYOUTS])

@@ -58,6 +58,46 @@ def notice_csv(spark: SparkSession, path: str, state: str) -> DataFrame:
     return notices(rows, state)
 
 
+#: Columns that are read of a notice table; further ones are left.
+WIDTH = 48
+
+
+def places_like(header: Column, groups: tuple[str, ...], never: str = "") -> Column:
+    """``columns_like`` over an array of names: their places, in order of the groups."""
+    low = lambda name: F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    holds = lambda name, words: F.coalesce(*[F.when(F.contains(low(name), F.lit(w)), F.lit(True)) for w in words.split("|") if w], F.lit(False))
+
+    def of(words: str) -> Column:
+        allowed = lambda name: holds(name, words) & ~(holds(name, never) if never else F.lit(False))
+        return F.filter(F.transform(header, lambda name, i: F.when(allowed(name), i)), lambda i: i.isNotNull())
+
+    return F.array_distinct(F.concat(*map(of, groups)))
+
+
+def notice_folder(spark: SparkSession, paths: list[str], state: str = r"/([A-Z]{2})-") -> DataFrame:
+    """Notices of a folder of tables, each with a header of its own: one scan, whatever the layouts.
+
+    A table's header is its first record. What its columns are is worked out once a file, from the names alone; rows then look their
+    values up by place. ``state`` is a pattern that finds the state in a file's path; tables of states without a header get its names.
+    """
+    names = [f"c{i}" for i in range(WIDTH)]
+    read = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(paths, header=False, multiLine=True, escape='"', recursiveFileLookup=True)
+    # A file of multi-line records is read by one task from its beginning, so its first record has the least number.
+    rows = read.select(F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    files = rows.groupBy("file").agg(F.min_by("cells", "at").alias("first")).withColumn("state", F.regexp_extract("file", state, 1))
+    fixed = F.coalesce(F.lit(None).cast("array<string>"), *[F.when(F.col("state") == s, F.array(*map(F.lit, n.split()))) for s, n in HEADERLESS.items()])
+    header = F.coalesce(fixed, F.col("first"))
+    plan = files.select(
+        "file", "state", F.when(fixed.isNull(), F.col("first")).alias("header"), places_like(header, COMPANY_WORDS).alias("who"), places_like(header, ("revised",), NO_COUNT).alias("revised"),
+        places_like(header, COUNT_WORDS, NO_COUNT).alias("jobs"), places_like(header, DATE_WORDS).alias("days"))
+    body = rows.join(plan, "file").where(F.col("header").isNull() | ~F.col("cells").eqNullSafe(F.col("header")))
+    filled = lambda places, value=lambda c: F.when(F.trim(c) != "", F.trim(c)): F.get(F.filter(F.transform(places, lambda i: value(F.get("cells", i))), lambda x: x.isNotNull()), 0)
+    count = lambda c: F.when(first_number(c) > 0, first_number(c))
+    jobs = F.coalesce(filled(F.col("revised"), count), first_number(filled(F.col("jobs"))))
+    out = body.select("state", filled(F.col("who")).alias("company"), jobs.cast("long").alias("job_count"), filled(F.col("days"), any_date).cast("date").alias("day"))
+    return out.where("company IS NOT NULL AND job_count > 0")
+
+
 def separations(spark: SparkSession, path: str) -> DataFrame:
     """Federal separations, four columns of many; see ``reports.agency_months``."""
     rows = spark.read.parquet(path)

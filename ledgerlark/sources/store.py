@@ -1,19 +1,22 @@
 """The ledger as a stored table: partitioned by month, bucketed by employer, with statistics.
 
 Queries that name dates read their months only, and joins or groups on the employer need no exchange, as all rows of a key lie in
-one bucket of every month. The table lies in the warehouse that driver and executors share. Its name holds a digest of the files it
-was made from, so it is made once and made anew when they change.
+one bucket of every month. The table lies in the folder that driver and executors share. Its name holds a digest of the files it
+was made from, so a catalogue has it once and gets it anew when they change. A bucket is one task where it is joined or grouped by
+employer; with an employer that has a large share of all rows, ``spark.sql.sources.bucketing.enabled`` is better off.
 """
 
 from __future__ import annotations
 
 import datetime
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import FilterSpec, compile_filters
+from ..plans.lineage import shared_dir
 from . import ledger as tables
 
 #: So many rows fill a bucket; a month's share of it is one file.
@@ -38,11 +41,11 @@ def buckets_for(rows: int) -> int:
 
 
 def store(facts: DataFrame, name: str, buckets: int) -> None:
-    """Write ``facts`` as the table ``name``. A bucket is written by one task, so every month has one file a bucket."""
-    month = F.coalesce(F.date_format("layoff_date", "yyyy-MM"), F.lit(UNDATED))
-    rows = facts.withColumn("month", month).repartition(buckets, "company_key")
-    rows.write.mode("overwrite").format("parquet").partitionBy("month").bucketBy(buckets, "company_key").sortBy("company_key", "layoff_date").saveAsTable(name)
+    """Write ``facts`` as the table ``name``. Rows are dealt by bucket and month: every month has one file a bucket, and a large employer is spread over its months."""
     spark = facts.sparkSession
+    month = F.coalesce(F.date_format("layoff_date", "yyyy-MM"), F.lit(UNDATED))
+    rows = facts.withColumn("month", month).repartition(F.pmod(F.hash("company_key"), F.lit(buckets)), "month")
+    rows.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}").partitionBy("month").bucketBy(buckets, "company_key").sortBy("company_key", "layoff_date").saveAsTable(name)
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS id, company_key, layoff_date, job_count")
 
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from ledgerlark.operators import reports
 from ledgerlark.sources import scans
 
@@ -82,3 +84,29 @@ def test_samples(spark):
     assert rows(scans.array_table(texts(spark, ("a", QWI), ("b", "[]"), ("c", "?")), ("time", "state"), ("Emp", "Sep"))) == [("2025-Q1", "01", 10, 3), ("2025-Q1", "02", 7, None)]
     assert rows(scans.series_points(texts(spark, ("a", BLS), ("b", '{"status": "REQUEST_FAILED"}')))) == [("JTS1", "2025-02", 1234.0, "P")]
     assert rows(scans.knowledge_graph(texts(spark, ("a", GKG), ("b", "short\tline")))) == [(at(2026, 1, 2, 3, 4, 5), "https://e/1", "Acme cuts", ["LAYOFFS", "ECON_JOBS"])]
+
+
+def test_a_folder_of_unlike_tables(spark, tmp_path):
+    """Each file by its own header, as if it were read alone; empty files, headers alone and broken rows give nothing."""
+    files = {
+        "CT-a.csv": 'affected_company,Affected Workers,Address,Notice Date,Effective Date\nAcme,"1,250",99 Main St,2026-01-05,"Jan 22, 2026"\nBeta,none,x,,\n,7,x,,\n',
+        "CT-b.csv": 'Employer,Jobs,Zip,Received\n"Gamma, ""G""\nWorks",12,99999,2026-02-03\nDelta,0,1,2026-02-03\n',
+        "MD-c.csv": "2026-03-01,1234,Epsilon,9 Elm,Kent,40,2026-04-01,Closure\n",
+        "NJ-d.csv": "Company,Number Affected\n",
+        "NJ-e.csv": "",
+        "NJ-f.csv": "what,ever\n1,2\n",
+        "NJ-g.csv": "Company,Workforce Affected,Layoff Date\nZeta,3\nEta,4,2026-05-06,more,and more\n",
+    }
+    for name, text in files.items():
+        written(tmp_path / name, text)
+    day = dt.date
+    found = sorted(tuple(r) for r in scans.notice_folder(spark, [str(tmp_path)]).collect())
+    assert found == sorted([("CT", "Acme", 1250, day(2026, 1, 22)), ("CT", 'Gamma, "G"\nWorks', 12, day(2026, 2, 3)), ("MD", "Epsilon", 40, day(2026, 4, 1)), ("NJ", "Zeta", 3, None), ("NJ", "Eta", 4, day(2026, 5, 6))])
+
+
+def test_places_are_those_of_the_named_columns(spark):
+    headers = [["Company", "Job Site", "title"], ["# of Workers", "Employee Address", "Total Affected", "jobs"], ["DATE", "Effective date", "notice", " Received "], [], [None, "x", "employer"]]
+    df = spark.createDataFrame([(h,) for h in headers], "h array<string>")
+    for groups, never in ((scans.COMPANY_WORDS, ""), (scans.COUNT_WORDS, scans.NO_COUNT), (scans.DATE_WORDS, "")):
+        found = [r[0] for r in df.select(scans.places_like(F.col("h"), groups, never)).collect()]
+        assert found == [[h.index(n) for n in scans.columns_like([x or "" for x in h], groups, never)] for h in [[x or "" for x in h] for h in headers]]

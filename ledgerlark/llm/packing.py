@@ -16,6 +16,7 @@ come; null ids are passed through; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -119,11 +120,18 @@ class WordIds(dict):
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # Words come normalised and apart, so only the merging of their byte letters is asked of the library.
         self.model = self.library.model
-        self.letters = self.points.letters
+        self.letters, self.before = self.points.letters, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
-        if len(self) > WORDS_HELD:
+        ids = self.before.get(word)
+        if ids is None:
+            # Letters and digits of ASCII stand for themselves.
+            shown = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.model.tokenize(shown)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self) >= WORDS_HELD // 2:
+            # Words that are still in use come back from the older half.
+            self.before = dict(self)
             self.clear()
         if len(word) < 100:
             self[word] = ids

@@ -44,7 +44,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+").findall
 #: Where a code point is tried: among letters, digits, spaces and marks, before and behind marks that reorder, around a contraction.
 AROUND = "{} a{}b1{}2 {}!{}'s a{}\u0334 a\u0345{} a{}\u0301 '{}"
-UNKNOWN, PLAIN, ODD = range(3)
+#: Kinds of code points, the worst last: letters (and all of ASCII), others that are plain, odd ones, those that were never met.
+LETTER, PLAIN, ODD, UNKNOWN = range(4)
+#: The splitting pattern for texts whose letters beyond ASCII are all that is beyond ASCII.
+LETTER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w \t\n\r\x0b\x0c]|_)+").findall
 
 
 class Points:
@@ -78,6 +81,7 @@ class Points:
                 for parts in {unicodedata.normalize("NFD", char), apart.normalize_str(char)}:
                     if len(parts) > 1 and whole.normalize_str(parts) != unicodedata.normalize("NFC", parts):
                         self.kinds[ord(parts[-1])] = ODD
+        self.kinds[:128] = LETTER
         # Lower case of these depends on what is around them.
         self.kinds[[ord("Σ"), ord("İ")]] = ODD
 
@@ -92,21 +96,29 @@ class Points:
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [x for x, _ in found] == [w.encode().decode("latin-1").translate(self.letters) for w in self.split(text)]
 
-    def any_odd(self, text: str) -> bool:
+    def kind(self, point: int) -> int:
+        import unicodedata
+
+        return (LETTER if unicodedata.category(chr(point))[0] == "L" else PLAIN) if self.alike(point) else ODD
+
+    def worst(self, text: str) -> int:
+        """The worst kind among a text's code points."""
         if text.isascii():
-            return False
+            return LETTER
         if self.kinds is None:
             self.begin()
+        out = LETTER
         for i in range(0, len(text), CHARS_AT_ONCE):
             points = np.frombuffer(text[i : i + CHARS_AT_ONCE].encode("utf-32-le"), np.uint32)
-            kinds = self.kinds[points]
-            if (kinds == UNKNOWN).any():
-                for point in np.unique(points[kinds == UNKNOWN]).tolist():
-                    self.kinds[point] = PLAIN if self.alike(point) else ODD
-                kinds = self.kinds[points]
-            if (kinds == ODD).any():
-                return True
-        return False
+            most = self.kinds[points].max()
+            if most == UNKNOWN:
+                for point in np.unique(points[self.kinds[points] == UNKNOWN]).tolist():
+                    self.kinds[point] = self.kind(point)
+                most = self.kinds[points].max()
+            out = max(out, int(most))
+            if out == ODD:
+                break
+        return out
 
 
 class WordIds(dict):
@@ -140,12 +152,15 @@ class WordIds(dict):
     def encode(self, text: str) -> np.ndarray:
         import unicodedata
 
-        if any(s in text for s in self.special) or self.points.any_odd(text):
+        worst = self.points.worst(text)
+        if worst == ODD or any(s in text for s in self.special):
             return np.array([*self.library.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
         if text.isascii():
             words = ASCII_WORDS(text.lower())
+        elif unicodedata.is_normalized("NFC", text):
+            words = (LETTER_WORDS if worst == LETTER else self.points.words)(text.lower())
         else:
-            words = self.points.words((text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower())
+            words = self.points.words(unicodedata.normalize("NFC", text).lower())
         return np.frombuffer(b"".join([*map(self.__getitem__, words), END_ID.to_bytes(4, "little")]), "<u4")
 
 

@@ -146,44 +146,89 @@ def cross_date_hash(company, day, jobs):
     return F.md5(F.concat(F.lower(F.trim(company)), F.coalesce(day.cast("string"), F.lit("")), jobs.cast("string")))
 
 
+class _Cluster:
+    """A cluster of the walk below: its members by count, and the first and last day of all, and of those too small for the wider windows."""
+
+    __slots__ = ("all", "close", "days", "jobs", "name", "place", "same")
+
+    def __init__(self, name: int, jobs: int, day: int, place: str):
+        self.name, self.place, self.jobs, self.days = name, place, [jobs], [day]
+        # (first day, last day, number of members) of all, of those below 99.5 % and of those below 95 % of the present count.
+        self.all, self.same, self.close = (day, day), (1 << 40, -(1 << 40), 0), (1 << 40, -(1 << 40), 0)
+
+    def below(self, span: tuple[int, int, int], share: float, jobs: int) -> tuple[int, int, int]:
+        low, high, k = span
+        while k < len(self.jobs) and self.jobs[k] / jobs < share:
+            low, high, k = min(low, self.days[k]), max(high, self.days[k]), k + 1
+        return low, high, k
+
+    def fits(self, jobs: int, day: int, place: str) -> bool:
+        """Whether a row of at least the greatest count so far fits all members; every window is wide enough for the members with wider ones."""
+        if place and self.place and place != self.place:
+            return False
+        low, high = self.all
+        if jobs < 100:
+            return high - 120 <= day <= low + 120
+        if not high - 1095 <= day <= low + 1095:
+            return False
+        self.same = low, high, _ = self.below(self.same, 0.995, jobs)
+        days = 365 if jobs >= 1000 else 120
+        if not high - days <= day <= low + days:
+            return False
+        if jobs < 1000:
+            return True
+        self.close = low, high, _ = self.below(self.close, 0.95, jobs)
+        return high - 120 <= day <= low + 120
+
+    def add(self, jobs: int, day: int, place: str) -> None:
+        self.all, self.place = (min(self.all[0], day), max(self.all[1], day)), self.place or place
+        self.jobs.append(jobs)
+        self.days.append(day)
+
+
+def _walk(batches):
+    """Cluster names for batches of rows ordered by (bucket, count, day, id); open clusters are all that is held."""
+    import pyarrow as pa
+
+    bucket, open_clusters, last, seen = None, [], None, {}
+    for batch in batches:
+        ids, named = batch.column("id").to_pylist(), []
+        columns = (batch.column(c).to_pylist() for c in ("bucket", "job_count", "day", "place"))
+        for i, own, jobs, day, place in zip(ids, *columns, strict=True):
+            if own != bucket:
+                bucket, open_clusters, last = own, [], None
+            if (jobs, day) != last:
+                last, seen = (jobs, day), {}
+                # Counts only grow, so a cluster whose first member is too small is never joined again; the first ones are the smallest.
+                dead = 0
+                while dead < len(open_clusters) and open_clusters[dead].jobs[0] / jobs < 0.75:
+                    dead += 1
+                del open_clusters[:dead]
+            # A row with the count, day and place of one before it joins where that one did.
+            if place not in seen:
+                for found in open_clusters:
+                    if found.fits(jobs, day, place):
+                        found.add(jobs, day, place)
+                        break
+                else:
+                    found = _Cluster(i, jobs, day, place)
+                    open_clusters.append(found)
+                seen[place] = found.name
+            named.append(seen[place])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("bucket"), pa.array(named, pa.int64())], ["id", "bucket", "cluster"])
+
+
 def greedy_clusters(facts: DataFrame) -> DataFrame:
     """Clusters of one employer's rows, taken by (count, day, id): a row joins the first cluster all of whose members it fits.
 
     Rows fit if the smaller count is at least three quarters of the larger and the days are near: three years for equal counts
-    from 100 on, one year for nearly equal ones from 1000 on, else 120 days; known countries must agree. A chain of counts that are less than a quarter apart
-    can't be joined across a larger step, so the rows of a bucket are cut there first, and the walk goes over one such chain in
-    each task; a cluster is named by its least row.
+    from 100 on, one year for nearly equal ones from 1000 on, else 120 days; known countries must agree. The order decides, so an
+    employer's rows are walked in one task, but as a stream: rows come sorted, and what is held is the clusters whose first count is
+    not yet a quarter smaller, each with the days that bound it. A cluster is named by its least row.
     """
     place = F.lower(F.trim("country"))
-    place = F.when(place.isin("unknown", "multiple countries", "world", "worldwide"), "").otherwise(place)
-    rows = facts.where("layoff_date IS NOT NULL AND job_count > 0 AND source_type <> 'federal_rif'").select("id", bucket_key(F.col("company")).alias("bucket"), "job_count", "layoff_date", place.alias("place")).where("bucket <> ''")
-    order = Window.partitionBy("bucket").orderBy("job_count", "layoff_date", "id")
-    before = F.lag("job_count").over(order)
-    rows = rows.withColumn("chain", F.sum(F.when(before < 0.75 * F.col("job_count"), 1).otherwise(0)).over(order))
-
-    def walk(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["job_count", "layoff_date", "id"])
-        jobs, days = pdf["job_count"].to_numpy(), pd.to_datetime(pdf["layoff_date"]).to_numpy().astype("datetime64[D]").astype(np.int64)
-        places = pdf["place"].to_numpy()
-        clusters: list[list[int]] = []
-        named = np.empty(len(pdf), np.int64)
-        ids = pdf["id"].to_numpy()
-        for i in range(len(pdf)):
-            for own in clusters:
-                at = np.array(own)
-                share = jobs[at] / jobs[i]
-                window = np.where((share >= 0.995) & (jobs[i] >= 100), 1095, np.where((share >= 0.95) & (jobs[i] >= 1000), 365, 120))
-                apart = (places[at] != places[i]) & (places[at] != "") & (places[i] != "")
-                if share.min() >= 0.75 and (np.abs(days[at] - days[i]) <= window).all() and not apart.any():
-                    own.append(i)
-                    named[i] = ids[own[0]]
-                    break
-            else:
-                clusters.append([i])
-                named[i] = ids[i]
-        return pd.DataFrame({"id": ids, "bucket": pdf["bucket"].to_numpy(), "cluster": named})
-
-    return rows.groupBy("bucket", "chain").applyInPandas(walk, "id long, bucket string, cluster long")
+    place = F.coalesce(F.when(place.isin("unknown", "multiple countries", "world", "worldwide"), "").otherwise(place), F.lit(""))
+    day = F.datediff("layoff_date", F.lit("1970-01-01").cast("date"))
+    rows = facts.where("layoff_date IS NOT NULL AND job_count > 0 AND source_type <> 'federal_rif'").select("id", bucket_key(F.col("company")).alias("bucket"), "job_count", day.alias("day"), place.alias("place")).where("bucket <> ''")
+    walked = rows.repartition("bucket").sortWithinPartitions("bucket", "job_count", "day", "id")
+    return walked.mapInArrow(_walk, "id long, bucket string, cluster long")

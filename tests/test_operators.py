@@ -225,6 +225,31 @@ def test_greedy_clusters_equal_one_walk_over_each_employer(spark):
     assert found == greedy_by_hand([(i + 1, r["company"], r["job_count"], r["layoff_date"]) for i, r in enumerate(rows)])
 
 
+def test_greedy_clusters_walk_a_stream_and_gather_no_group(spark):
+    """Many rows of one employer, with repeats, in batches of seven: no chain of counts lies in one group, and only open clusters are held."""
+    import random
+
+    rng = random.Random(8)
+    rows = [dict(company=rng.choice(["One", "One", "One", "Two"]), company_key="x", job_count=rng.choice([80, 99, 100, 101, 398, 400, 402, 950, 970, 1000, 1004, 1049, 1053, rng.randrange(1, 1500)]), layoff_date=day(rng.randrange(1400)), country=rng.choice(["", "", "A", "B"])) for _ in range(700)]
+    rows += rng.choices(rows, k=200)
+    df = dedup.greedy_clusters(ledger(spark, *rows))
+    clusters, expected = {}, {}
+    for i, r in sorted(enumerate(rows), key=lambda x: (x[1]["job_count"], x[1]["layoff_date"], x[0])):
+        n, d, place = r["job_count"], r["layoff_date"], r["country"]
+        fits = lambda m, e, p: m / n >= 0.75 and abs((d - e).days) <= (1095 if m / n >= 0.995 and n >= 100 else 365 if m / n >= 0.95 and n >= 1000 else 120) and not (p and place and p != place)  # noqa: B023, E731
+        own = next((c for c in clusters.setdefault(r["company"], []) if all(fits(*m) for m in c[1])), None)
+        if own is None:
+            clusters[r["company"]].append(own := (i + 1, []))
+        own[1].append((n, d, place))
+        expected[i + 1] = own[0]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {r.id: r.cluster for r in df.collect()} == expected and len(set(expected.values())) > 50
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cross_script_names_meet_on_the_same_day_only(spark):
     names = dict(company="Jaguar", company_key="jaguar"), dict(company="東京電力", company_key="東京電力")
     same = reconcile.cross_alias_groups(ledger(spark, names[0], names[1])).collect()

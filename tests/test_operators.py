@@ -301,3 +301,16 @@ def test_typo_pairs_equal_a_comparison_of_all_names(spark):
 def test_register_keeps_whole_rows_that_share_a_new_key(spark):
     known, incoming = (spark.createDataFrame(rows, "id long, k string") for rows in ([(1, "a"), (2, "a")], [(1, "a"), (3, "b"), (4, "b"), (5, "a"), (6, "c")]))
     assert sorted(tuple(r) for r in mutations.register(known, incoming, "k").collect()) == [(1, "a"), (2, "a"), (3, "b"), (4, "b"), (6, "c")]
+
+
+def test_typo_candidates_of_random_names_are_few(spark):
+    """Names that share nothing but an alphabet: hardly any two are candidates, and no gram that many have is joined on."""
+    import random
+
+    rng = random.Random(11)
+    keys = ["".join(rng.choice("abcdefghijklmnop") for _ in range(20)) for _ in range(2000)]
+    keys += [k[:3] + k[4:] for k in keys[:50]] + [k[:9] + "zz" + k[9:] for k in keys[:50]] + [k[2:] + "yx" for k in keys[50:60]]
+    found = similar.typo_candidates(spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert found.count() == 50 * 3 + 10
+    join = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "digest" in join and "gram" not in join

@@ -90,7 +90,8 @@ def notice_folder(spark: SparkSession, paths: list[str], state: str = r"/([A-Z]{
     plan = files.select(
         "file", "state", F.when(fixed.isNull(), F.col("first")).alias("header"), places_like(header, COMPANY_WORDS).alias("who"), places_like(header, ("revised",), NO_COUNT).alias("revised"),
         places_like(header, COUNT_WORDS, NO_COUNT).alias("jobs"), places_like(header, DATE_WORDS).alias("days"))
-    body = rows.join(plan, "file").where(F.col("header").isNull() | ~F.col("cells").eqNullSafe(F.col("header")))
+    # The engine takes an array of 48 cells for one text and would have all rows broadcast; there is one plan a file, and that is what travels.
+    body = rows.join(F.broadcast(plan), "file").where(F.col("header").isNull() | ~F.col("cells").eqNullSafe(F.col("header")))
     filled = lambda places, value=lambda c: F.when(F.trim(c) != "", F.trim(c)): F.get(F.filter(F.transform(places, lambda i: value(F.get("cells", i))), lambda x: x.isNotNull()), 0)
     count = lambda c: F.when(first_number(c) > 0, first_number(c))
     jobs = F.coalesce(filled(F.col("revised"), count), first_number(filled(F.col("jobs"))))

@@ -104,6 +104,15 @@ def test_a_folder_of_unlike_tables(spark, tmp_path):
     assert found == sorted([("CT", "Acme", 1250, day(2026, 1, 22)), ("CT", 'Gamma, "G"\nWorks', 12, day(2026, 2, 3)), ("MD", "Epsilon", 40, day(2026, 4, 1)), ("NJ", "Zeta", 3, None), ("NJ", "Eta", 4, day(2026, 5, 6))])
 
 
+def test_a_folder_broadcasts_what_its_columns_are_and_never_its_rows(spark, tmp_path):
+    """The estimate of an array of cells is that of one text, so that a folder of 100 MB seemed small enough to broadcast."""
+    written(tmp_path / "CA-a.csv", "Company,Employees Affected\n" + "Acme,5\n" * 1000)
+    query = scans.notice_folder(spark, [str(tmp_path)])._jdf.queryExecution()
+    assert "rightHint=(strategy=broadcast)" in query.optimizedPlan().toString()
+    join = next(line for line in query.executedPlan().toString().splitlines() if "BroadcastHashJoin" in line)
+    assert "BuildRight" in join
+
+
 def test_places_are_those_of_the_named_columns(spark):
     headers = [["Company", "Job Site", "title"], ["# of Workers", "Employee Address", "Total Affected", "jobs"], ["DATE", "Effective date", "notice", " Received "], [], [None, "x", "employer"]]
     df = spark.createDataFrame([(h,) for h in headers], "h array<string>")

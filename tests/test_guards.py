@@ -69,3 +69,12 @@ def test_every_span_cuts_out_its_word(spark):
         assert [(text[s.start : s.end], s.word) for s in found[text]] == expected
         for s in found[text]:
             assert "".join(unicodedata.normalize("NFKC", text[s.start : s.end]).split()) == s.word and (s.language, s.tier) == spans.VOCABULARY[s.word]
+
+
+def test_guards_search_a_text_once_for_each_pattern(spark):
+    """Searches over arrays are shared by no optimiser: each place of the count is found by three of them, however often it is read."""
+    df = spark.range(1).selectExpr("id AS n", "string(id) AS t")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    n, t = F.col("n"), F.col("t")
+    assert plan(guards.retrospective(n, t)["verdict"]).count("regexp_extract_all(") <= 12
+    assert max(plan(guard(n, t)).count("regexp_extract_all(") for guard in (guards.only_an_offer, guards.disciplinary)) == 3

@@ -81,9 +81,11 @@ def declared_marks(marks: DataFrame, declared: DataFrame, facts: DataFrame) -> D
 
 def reconcile(facts: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """(member, primary) of all passes. Marked entries take no part in later passes."""
-    marks = cut(window_marks(facts))
+    # Entries that no pass takes are left out at once, and what the passes read is derived once, not by each of them.
+    rows = cut(candidates(facts).where("layoff_date IS NOT NULL").select("id", "company", "company_key", "job_count", "layoff_date", "source_type", "ai_explicit", "state", "edited"))
+    marks = cut(window_marks(rows))
     for find in (same_count_marks, alias_marks, revision_marks):
-        rest = facts.join(marks.select(F.col("member").alias("id")), "id", "left_anti")
+        rest = rows.join(marks.select(F.col("member").alias("id")), "id", "left_anti")
         marks = cut(marks.unionByName(find(rest)))
     return declared_marks(marks, declared, facts) if declared is not None else marks
 

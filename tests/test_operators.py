@@ -314,3 +314,12 @@ def test_typo_candidates_of_random_names_are_few(spark):
     assert found.count() == 50 * 3 + 10
     join = found._jdf.queryExecution().optimizedPlan().toString()
     assert "digest" in join and "gram" not in join
+
+
+def test_reconcile_derives_its_rows_once(spark, monkeypatch):
+    """All passes read rows written once, without those that none of them takes."""
+    written, own = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: written.append(own(df)) or written[-1])
+    rows = ledger(spark, dict(), dict(layoff_date=day(20)), dict(edited=True), dict(layoff_date=None), dict(job_count=0))
+    assert marks(dedup.reconcile(rows)) == {(2, 1)}
+    assert sorted(r.id for r in written[0].select("id").collect()) == [1, 2] and "excerpt" not in written[0].columns

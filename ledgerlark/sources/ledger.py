@@ -27,18 +27,39 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ledger(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """One reported event per row, of all orders or of those given (a stream of them too). The dimensions are of fixed size or joined by key as the optimiser sees fit."""
+def company_key():
+    """The employer's key, of a row of :func:`sourced`."""
+    return F.lower(F.regexp_replace("c_name", "[^A-Za-z0-9]", " "))
+
+
+def layoff_date():
+    """The effective date, of a row of :func:`sourced`."""
     k = F.col("o_orderkey")
+    return F.when(k % 37 != 0, F.date_add(F.col("o_orderdate").cast("date"), (k % 90).cast("int")))
+
+
+def sourced(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Orders beside their customers: the few short columns that the ledger's rows are derived from."""
+    rows = (read(spark, sf_dir, "orders") if orders is None else orders).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "c_name", "c_nationkey", "c_mktsegment")
+
+
+def keyed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Rows of :func:`sourced` with their nations, employer's key and effective date. Nations are of fixed number and broadcast, so that rows stay where they are."""
     nation = read(spark, sf_dir, "nation")
     home = nation.select(F.col("n_nationkey").alias("home_key"), F.col("n_name").alias("home_name"))
-    rows = (
-        (read(spark, sf_dir, "orders") if orders is None else orders)
-        .join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(home, k % 25 == F.col("home_key"))
-    )
-    day = F.col("o_orderdate").cast("date")
+    rows = rows.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(home), F.col("o_orderkey") % 25 == F.col("home_key"))
+    return rows.withColumns({"company_key": company_key(), "layoff_date": layoff_date()})
+
+
+def ledger(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """One reported event per row, of all orders or of those given (a stream of them too). Customers are joined by key as the optimiser sees fit."""
+    return derived(keyed(spark, sf_dir, sourced(spark, sf_dir, orders)))
+
+
+def derived(rows: DataFrame, *more: str) -> DataFrame:
+    """The ledger of :func:`keyed` rows, and the columns ``more`` of theirs; each row by itself, so rows stay where they are."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     types = F.create_map(*[F.lit(x) for pair in SOURCE_TYPES.items() for x in pair])
     kind = types[F.col("o_orderpriority")]
     tags = F.filter(F.array(*[F.when(k % m == 0, F.lit(t)) for m, t in zip((2, 3, 5, 7, 11), REASON_TAGS, strict=True)]), lambda x: x.isNotNull())
@@ -46,9 +67,9 @@ def ledger(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) ->
     jobs = F.floor(F.col("o_totalprice") / 100).cast("long")
     place = F.when(F.col("n_regionkey") == 1, F.concat(F.char(65 + k % 5), F.char(65 + k % 7))).otherwise("")
     return rows.select(
-        (k + 1).alias("id"), F.col("c_name").alias("company"), F.lower(F.regexp_replace("c_name", "[^A-Za-z0-9]", " ")).alias("company_key"),
+        (k + 1).alias("id"), F.col("c_name").alias("company"), "company_key",
         F.when(k % 9 == 0, F.concat(F.lit("T"), F.col("o_custkey"))).otherwise("").alias("ticker"), jobs.alias("job_count"),
-        F.when(k % 37 != 0, F.date_add(day, (k % 90).cast("int"))).alias("layoff_date"), F.when(k % 5 != 0, day).alias("announcement_date"),
+        "layoff_date", F.when(k % 5 != 0, day).alias("announcement_date"),
         F.when(k % 11 == 0, "").otherwise(F.col("c_mktsegment")).alias("industry"), F.col("n_name").alias("country"),
         F.when(k % 4 == 0, "").otherwise(F.col("home_name")).alias("employer_country"), place.alias("state"), kind.alias("source_type"),
         F.when(kind == "warn", "warn").when(kind == "8K", F.when(k % 10 == 0, "bronze").otherwise("gold")).when(k % 3 == 0, "bronze").otherwise("silver").alias("verification_level"),
@@ -59,7 +80,7 @@ def ledger(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) ->
         (F.col("o_orderstatus") == "P").alias("announced"), (k % 17 == 0).alias("edited"), tags.alias("reason_tags"), roles.alias("role_categories"),
         F.concat(F.lit("Notice of "), jobs, F.lit(" jobs at "), F.col("c_name"), F.lit(" in "), F.col("n_name")).alias("excerpt"),
         (k + 1).cast("long").alias("_id1"), F.when(k % 13 == 0, k + 2).otherwise(F.lit(0).cast("long")).alias("superset_of"),
-        F.col("o_orderdate").alias("updated_at"), F.md5(F.concat_ws("|", "c_name", day.cast("string"), jobs.cast("string"))).alias("dedup_hash"),
+        F.col("o_orderdate").alias("updated_at"), F.md5(F.concat_ws("|", "c_name", day.cast("string"), jobs.cast("string"))).alias("dedup_hash"), *more,
     ).withColumn("event_id", F.floor(F.col("_id1") / 2)).drop("_id1")
 
 

@@ -21,6 +21,8 @@ from . import ledger as tables
 
 #: So many rows fill a bucket; a month's share of it is one file.
 BUCKET_ROWS = 4_000_000
+#: So many rows on average are sorted by one task that writes: they are whole rows there, and these fit in its memory.
+TASK_ROWS = 250_000
 SOURCES = ("orders", "customer", "nation")
 #: The partition of rows without a date.
 UNDATED = "none"
@@ -40,12 +42,18 @@ def buckets_for(rows: int) -> int:
     return max(2, min(16_384, -(-rows // BUCKET_ROWS)))
 
 
-def store(facts: DataFrame, name: str, buckets: int) -> None:
-    """Write ``facts`` as the table ``name``. Rows are dealt by bucket and month: every month has one file a bucket, and a large employer is spread over its months."""
-    spark = facts.sparkSession
-    month = F.coalesce(F.date_format("layoff_date", "yyyy-MM"), F.lit(UNDATED))
-    rows = facts.withColumn("month", month).repartition(F.pmod(F.hash("company_key"), F.lit(buckets)), "month")
-    rows.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}").partitionBy("month").bucketBy(buckets, "company_key").sortBy("company_key", "layoff_date").saveAsTable(name)
+def dealt(spark: SparkSession, sf_dir: str, buckets: int, tasks: int) -> DataFrame:
+    """The ledger and its ``month``, dealt over tasks by bucket and month. What is dealt are the short rows that it is derived from; a row gets its long texts where it is written."""
+    month = lambda day: F.coalesce(F.date_format(day, "yyyy-MM"), F.lit(UNDATED))
+    rows = tables.sourced(spark, sf_dir).repartition(tasks, F.pmod(F.hash(tables.company_key()), F.lit(buckets)), month(tables.layoff_date()))
+    return tables.derived(tables.keyed(spark, sf_dir, rows).withColumn("month", month("layoff_date")), "month")
+
+
+def store(rows: DataFrame, name: str, buckets: int) -> None:
+    """Write ``rows`` as the table ``name``. Rows come dealt by bucket and month: every month has one file a bucket, and a large employer is spread over its months."""
+    spark = rows.sparkSession
+    out = rows.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}").option("compression", "zstd")
+    out.partitionBy("month").bucketBy(buckets, "company_key").sortBy("company_key", "layoff_date").saveAsTable(name)
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS id, company_key, layoff_date, job_count")
 
 
@@ -53,9 +61,10 @@ def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger from its table, with its partition column ``month``; written first where it isn't there."""
     name = f"ledger_{fingerprint(spark, sf_dir)}"
     if not spark.catalog.tableExists(name):
-        facts = tables.ledger(spark, sf_dir)
         # Orders are the ledger's rows; their number comes from the files' footers.
-        store(facts, name, buckets_for(tables.read(spark, sf_dir, "orders").count()))
+        rows = tables.read(spark, sf_dir, "orders").count()
+        buckets = buckets_for(rows)
+        store(dealt(spark, sf_dir, buckets, max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))), name, buckets)
     return spark.table(name)
 
 

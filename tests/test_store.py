@@ -1,6 +1,8 @@
 """Plans and rows of the stored ledger and the filtered endpoint."""
 
 import re
+import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +86,21 @@ def test_a_block_leaves_only_its_own_filter_aside(spark):
     assert found == {
         ("total", "all"): 1, ("country", "A"): 1, ("country", "B"): 1, ("industry", "X"): 1, ("industry", "Y"): 1, ("source_type", "news"): 1, ("tier", "reported"): 1, ("month", "2020-01"): 1, ("reason", "closure"): 1, ("role", "engineering"): 1,
     }
+
+
+def test_only_short_rows_are_dealt_to_the_tables_files(spark, tmp_path, monkeypatch):
+    # The texts made for each row are several times as long as what they are made of: those never pass an exchange.
+    monkeypatch.setattr(store, "TASK_ROWS", 100, raising=False)
+    sf = shutil.copytree(SF, tmp_path / "dealt")
+    stored = store.stored_ledger(spark, str(sf))
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    texts = [done.apply(i).physicalPlanDescription() for i in range(done.size())]
+    written = [t for t in texts if "InsertIntoHadoopFsRelation" in t and f"{sf}/orders.parquet" in t]
+    dealt = re.findall(r"\) Exchange\b.*\nInput \[\d+\]: \[(.*)\]\nArguments: (.*)", written[-1])
+    assert dealt and all(not re.search(r"\b(excerpt|dedup_hash|source_url|reason_tags|company_key)#", columns) for columns, _ in dealt)
+    # Tasks grow with the rows, whatever the number of shuffle partitions: 1500 rows by 100.
+    assert any(re.search(r"none\), 15\), REPARTITION_BY_NUM", how) for _, how in dealt)
+    names = Counter((f.split("month=")[1].split("/")[0], re.search(r"_(\d{5})\.", f)[1]) for f in stored.inputFiles())
+    assert set(names.values()) == {1}
+    facts = ledger.ledger(spark, str(sf))
+    assert stored.count() == facts.count() == 1500 and facts.exceptAll(stored.select(facts.columns)).count() == 0

@@ -57,10 +57,21 @@ def store(rows: DataFrame, name: str, buckets: int) -> None:
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS id, company_key, layoff_date, job_count")
 
 
+def kept(spark: SparkSession, name: str) -> bool:
+    """Whether the table ``name`` is there with its folder. A table whose folder was deleted, as ``lineage.clean`` does, leaves the catalogue."""
+    if not spark.catalog.tableExists(name):
+        return False
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first().data_type)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return True
+    spark.sql(f"DROP TABLE {name}")
+    return False
+
+
 def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger from its table, with its partition column ``month``; written first where it isn't there."""
     name = f"ledger_{fingerprint(spark, sf_dir)}"
-    if not spark.catalog.tableExists(name):
+    if not kept(spark, name):
         # Orders are the ledger's rows; their number comes from the files' footers.
         rows = tables.read(spark, sf_dir, "orders").count()
         buckets = buckets_for(rows)

@@ -104,3 +104,10 @@ def test_only_short_rows_are_dealt_to_the_tables_files(spark, tmp_path, monkeypa
     assert set(names.values()) == {1}
     facts = ledger.ledger(spark, str(sf))
     assert stored.count() == facts.count() == 1500 and facts.exceptAll(stored.select(facts.columns)).count() == 0
+
+
+def test_a_table_whose_files_were_deleted_is_written_anew(spark, tmp_path):
+    sf = str(shutil.copytree(SF, tmp_path / "gone"))
+    first = store.stored_ledger(spark, sf)
+    shutil.rmtree(first.inputFiles()[0].removeprefix("file:").split("/month=")[0].replace("///", "/"))
+    assert store.stored_ledger(spark, sf).count() == ledger.ledger(spark, sf).count() == 1500
